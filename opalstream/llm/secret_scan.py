@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds."""
     out = []
     low = text.lower()
-    if any(k in low for k in KEYS) or not low.isascii():  # lower() may change non-ASCII lengths, never ASCII letters
+    if any(k in low for k in KEYS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
