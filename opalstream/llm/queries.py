@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import secret_scan
+from opalstream.llm import quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_secret_scan": op4_secret_scan}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+QUERIES = {"op9_quality_rules": op9_quality_rules, "op4_secret_scan": op4_secret_scan}
 ORACLES: dict[str, str] = {}
