@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import quality_rules, secret_scan
+from opalstream.llm import mixing, packing, quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(documents(spark, sf_dir))
 
@@ -19,5 +23,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op4_secret_scan": op4_secret_scan}
-ORACLES: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_digest(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_secret_scan": op4_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op10_mixing": mixing.oracle()}
