@@ -10,7 +10,7 @@ How it is found.  Equal sets form a class; only a class's smallest doc_id goes o
    pair stays together in a tree with probability at least (num/den)^depth, and is missed by all of
    them with (1 - (num/den)^depth)^trees: 1e-5 for 12 trees of depth 3 at 0.85, less for closer pairs.
 2. Nodes of at most `leaf` members are compared exhaustively by signature; pairs whose share of
-   equal minwise bytes is within 4 standard deviations of the threshold or above are confirmed.  A
+   equal minwise bytes is within 5 standard deviations of the threshold or above are confirmed.  A
    first round confirms a star around each node's centre; pairs that are then in one component
    need no more work; a second round confirms all others.
 3. A larger node, of groups of near copies, isn't compared pair by pair.  Its centre is the member
@@ -61,7 +61,7 @@ class Near:
     @property
     def likely(self) -> float:
         p = self.num / self.den
-        return p - 4 * (p * (1 - p) / self.coordinates) ** 0.5
+        return p - 5 * (p * (1 - p) / self.coordinates) ** 0.5
 
 
 def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
