@@ -1,8 +1,9 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and passages, in SQL functions only.
 
 A text is cut into sections (after blank lines), those into paragraphs (after line ends), those into
-passages of 32 characters or more that end after a mark or a chosen letter and a space, so that the
-cuts after an edit soon fall where they fell before.  Nothing is dropped between cuts: passages laid
+passages of 32 characters or more (6 in short paragraphs) that end after a mark or a chosen letter and
+a space, so that the cuts after an edit soon fall where they fell before; without such an end they are
+cut at a space, or at 120 characters (30).  Nothing is dropped between cuts: passages laid
 end to end are the text.  A passage's hash is 32 bits wide; a paragraph's digest covers its passages
 in full, a section's its paragraphs' digests and the root the sections'.  The fingerprint is text:
 
@@ -27,13 +28,16 @@ from opalstream.llm.common import Tables
 
 SECTION = r"(?<=\n\n)(?=[^\n])"
 PARAGRAPH = r"(?<=\n)"
-PASSAGE = r"(?s).{32,}?(?:[.!?;:,|dgsxeu] |\n|\z)|.{1,32}\z"
+_ENDS = r"(?s).{%d,%d}?(?:[.!?;:,|dgsxeu] |\n|\z)|.{%d,%d}? |.{1,%d}"
+PASSAGE, SHORT_PASSAGE = _ENDS % (32, 120, 32, 120, 120), _ENDS % (6, 30, 6, 30, 30)
+SHORT = 128  # characters of a paragraph that is cut into short passages
 
 
 def tree(text: Column) -> Column:
     """array (sections) of array (paragraphs) of struct (digest, passages: array of int)."""
     some = lambda parts: F.filter(parts, lambda x: x != "")
-    hashes = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PASSAGE), F.lit(0)), lambda x: F.xxhash64(x))
+    cut = lambda p, pattern: F.regexp_extract_all(p, F.lit(pattern), F.lit(0))
+    hashes = lambda p: F.transform(F.when(F.length(p) < SHORT, cut(p, SHORT_PASSAGE)).otherwise(cut(p, PASSAGE)), lambda x: F.xxhash64(x))
     paragraphs = lambda s: F.transform(some(F.split(s, PARAGRAPH)), hashes)
     node = lambda h: F.struct(F.substring(F.md5(F.array_join(F.transform(h, lambda x: F.hex(x)), ".")), 1, 16).alias("digest"), F.transform(h, lambda x: x.bitwiseAND(0xFFFFFFFF)).alias("passages"))
     return F.transform(some(F.split(F.coalesce(text, F.lit("")), SECTION)), lambda s: F.transform(paragraphs(s), node))
