@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import fingerprints, mixing, near_dedup, packing, quality_rules, secret_scan
+from opalstream.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digest(documents(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_format.with_hostile(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.chats_digest(chat_format.format_chats(chats))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -40,6 +49,8 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_fingerprints": op5_fingerprints,
+    "op6_chat_format": op6_chat_format,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
