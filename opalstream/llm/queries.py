@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import chat_format, fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from opalstream.llm import chat_format, fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_chat_format": op6_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_language_model": op8_language_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
