@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalstream.llm.tokens import Encoder, chunks_of, vocabulary_path
+from opalstream.llm.tokens import Encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -134,16 +134,18 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, packer, held = Encoder(path), Packer(window, TaskContext.get().partitionId() << 32), 0
         for pdf in batches:
-            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for a, b in chunks_of(texts):
-                for doc, packed in zip(ids[a:b], encoder.packed(texts[a:b])):
-                    packer.add(None if pd.isna(doc) else doc, packed + end)
-                held += b - a
+            size = 0
+            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                packer.add(None if pd.isna(doc) else int(doc), packed := encoder.packed(text) + end)
+                held, size = held + 1, size + len(packed)
                 if held >= block:
                     packer.pack()
                     held = 0
-                if packer.rows:
+                if size > 16_000_000 and packer.rows:
                     yield packer.take()
+                    size = 0
+            if packer.rows:
+                yield packer.take()
         packer.pack()
         packer.finish()
         if packer.rows:

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 VOCABULARY = "byte_bpe_50k.json"
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ƺƼ-ƿǄ-ʓ"
@@ -28,10 +27,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level vocabulary's letter for each byte: printable Latin-1 is itself, the others follow from 256 on."""
+    same = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in same)
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Memo(dict):
+    """Pre-tokens to packed ids; a new one is encoded by the library's BPE model."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        out = self[piece] = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return out
+
+
 class Encoder:
-    """One to a Python worker; memo entries are dropped when there are too many."""
+    """One to a Python worker."""
 
-    LIMIT = 250_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,39 +58,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def packed(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null is as empty."""
-        known, pieces = [], []
-        for t in texts:
-            t = t or ""
-            ok = KNOWN.fullmatch(t) is not None and not any(a in t for a in self.added)
-            known.append(ok)
-            pieces.append(PRETOKEN.findall(t) if ok else [t])
-        memo = self.memo
+        self.memo = Memo(self.tokenizer)
+
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers; null is as empty."""
+        text, memo = text or "", self.memo
+        if KNOWN.fullmatch(text) is None or any(a in text for a in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(memo) > self.LIMIT:
             memo.clear()
-        new = list({p for ok, ps in zip(known, pieces) if ok for p in ps if p not in memo})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ps)) if ok else self._pack(ps)[0] for ok, ps in zip(known, pieces)]
-
-
-def chunks_of(texts: list, most_chars: int = 4_000_000):
-    """Slices of a list of texts that hold at most so many characters, or one text."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > at and size + n > most_chars:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+        return b"".join(map(memo.__getitem__, PRETOKEN.findall(text)))
