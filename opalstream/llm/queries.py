@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import chat_format, fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from opalstream.llm import chat_format, fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.tokens_digest(documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_digest(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
+    "op3_token_store": op3_token_store,
     "op4_secret_scan": op4_secret_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_chat_format": op6_chat_format,
