@@ -41,11 +41,20 @@ def make_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
 
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python: batches of Spark's default of 10,000 rows would hold tens of MB several
+    times over, on both sides.  A value that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Tables:
     """Tables written to the shared folder to cut lineage; drop() deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag = spark, tag
+        light_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, f"{self.tag}-{name}")
@@ -68,7 +77,7 @@ class Tables:
 class WordHash(dict):
     """Word bytes to a 64-bit hash; bounded, as vocabularies are not."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

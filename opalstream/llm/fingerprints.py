@@ -111,12 +111,13 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     ring = next_ids(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(half).alias("half")), tables)
     # each text goes once to its id, with the id before it and what that needs of it
     needed = ring.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("half").alias("need"))
-    own = docs.join(needed, "doc_id", "left")
-    heads = own.filter("before is not null").withColumn("t", tree(F.col("text")))
+    named = docs.filter("doc_id is not null")  # the same for both joins, so that one shuffle of the texts serves them
+    heads = named.join(needed, "doc_id").withColumn("t", tree(F.col("text")))
     heads = heads.select(F.col("before").alias("doc_id"), F.struct(F.col("text").substr(F.lit(1), F.col("need").cast("int")).alias("head"), root(F.col("t")).alias("root"), passages(F.col("t")).alias("passages")).alias("next"))
     heads = heads.groupBy("doc_id").agg(F.min("next").alias("next"))
     n = F.length("text")
-    out = own.select("doc_id", "text").join(heads, "doc_id", "left")
+    nameless = docs.filter("doc_id is null").withColumn("next", F.lit(None).cast(heads.schema["next"].dataType))
+    out = named.join(heads, "doc_id", "left").unionByName(nameless)
     edited = F.concat(F.col("text").substr(F.lit(1), n - half.cast("int")), F.coalesce(F.col("next.head").substr(F.lit(1), half.cast("int")), F.lit("")))
     return out.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
 

@@ -221,9 +221,13 @@ def _stars(cfg: Near):
                 x, h = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)
                 near.append(linked(x, h, cfg))
                 tokens.append(prefix(x, h, near[-1], cfg).view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("rep"), pa.array(near, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["hub", "rep", "near", "tokens"])
+            # a row for the member itself, then one for each token
+            each = np.repeat(np.arange(len(near)), [len(t) + 1 for t in tokens])
+            own = np.concatenate([[True], each[1:] != each[:-1]]) if len(each) else np.zeros(0, bool)
+            values = np.zeros(len(each), np.int64)
+            values[~own] = np.concatenate(tokens) if tokens else values[~own]
+            rows = batch.select(["hub", "rep"]).take(pa.array(each))
+            yield pa.RecordBatch.from_arrays([rows.column("hub"), rows.column("rep"), pa.array(np.array(near, bool)[each], pa.bool_()), pa.array(values, pa.int64(), mask=own)], ["hub", "rep", "near", "token"])
 
     return stars
 
@@ -292,13 +296,12 @@ class Join:
         pairs = self.t.write(nodes.join(hubs, "path").filter("rep <> hub").select("hub", "rep").distinct(), f"star-pairs{level}")
         hub_sets = self.t.write(self.sets.join(pairs.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hset")), f"hub-sets{level}")
         rows = pairs.join(self.sets, "rep").join(hub_sets, "hub").select("hub", "rep", "set", "hset")
-        stars = self.t.write(rows.mapInArrow(_stars(self.cfg), "hub long, rep long, near boolean, tokens array<long>"), f"stars{level}")
+        stars = self.t.write(rows.mapInArrow(_stars(self.cfg), "hub long, rep long, near boolean, token long"), f"stars{level}")
         self.t.drop(pairs, hub_sets)
         self.t.tidy()
-        links = stars.filter("near").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        links = stars.filter("near and token is null").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         # nodes whose members are all near the centre need no children, which the sizes' filter on u sees to
-        child = stars.select("rep", (~F.col("near")).alias("u"), F.col("hub"), F.explode("tokens").alias("token"))
-        child = child.select(F.xxhash64("hub", "token", F.lit(level)).alias("path"), "rep", "u")
+        child = stars.filter("token is not null").select(F.xxhash64("hub", "token", F.lit(level)).alias("path"), "rep", (~F.col("near")).alias("u"))
         return links, self.sized(child, f"children{level}")
 
     def blocks(self, nodes: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opalstream.llm.common import light_batches
 from opalstream.llm.tokens import Encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -129,6 +130,7 @@ class Packer:
 
 def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id", block: int = 8192) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
+    light_batches(docs.sparkSession)
     path, end = vocabulary or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opalstream.llm.common import light_batches
+
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -147,6 +149,7 @@ def redact_text(text: str | None, spans, mark: str) -> str | None:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", cfg: Entropy | None = None) -> DataFrame:
     """The same rows and columns with each span of text_col, overlapping ones as one, replaced by mark."""
+    light_batches(docs.sparkSession)
     cfg = cfg or Entropy()
 
     @F.pandas_udf("string")
@@ -160,6 +163,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
 
 def secrets_digest(docs: DataFrame, cfg: Entropy | None = None) -> DataFrame:
     """The contract's columns of op4 for each row of docs."""
+    light_batches(docs.sparkSession)
     found = docs.select("doc_id", secret_spans(F.col("text"), cfg).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin(*KINDS[:3]))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

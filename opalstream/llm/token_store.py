@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalstream.llm.common import make_dir, new_path
+from opalstream.llm.common import light_batches, make_dir, new_path
 from opalstream.llm.range_coder import decode, encode
 from opalstream.llm.tokens import Encoder, vocabulary_path
 
@@ -143,6 +143,7 @@ class Shard:
 
 def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, vocabulary: str | None = None) -> list[Shard]:
     """Writes the files, by ranges of doc_id; the driver gets a row per file."""
+    light_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
