@@ -17,8 +17,8 @@ from opalstream.functions.columns import game, normal_name, ratio, safe_int, tru
 
 
 def first_truth(rows: DataFrame, key: list[str], price: str, block: str, index: str) -> DataFrame:
-    """key, truth: the price at the smallest (block, index)."""
-    return rows.groupBy(*key).agg(F.min_by(price, F.struct(block, index)).alias("truth"), F.min(block).alias("truth_block"))
+    """key, truth: the price at the smallest (block, index), the smallest such."""
+    return rows.groupBy(*key).agg(F.min_by(price, F.struct(block, index, price)).alias("truth"), F.min(block).alias("truth_block"))
 
 
 def race(pending: DataFrame, confirmed: DataFrame, signal: DataFrame, truth: DataFrame, key: list[str]) -> DataFrame:
