@@ -77,7 +77,7 @@ class EntropyScan:
         self.classes = [(KINDS.index(c.kind), re.compile(c.run), c, [re.compile(p) for p in c.needs.split()]) for c in cfg.classes]
         self.allow = re.compile("|".join(f"(?:{p})" for p in cfg.allow)) if cfg.allow else None
         top = max((c.window for c in cfg.classes), default=1)
-        self.clog = [0.0] + [c * math.log2(c) for c in range(1, top + 1)]
+        self.clog = [0.0] + [c * math.log2(c) for c in range(1, top + 2)]  # a window holds one more before its oldest goes
 
     def windows(self, run: str, w: int, threshold: float) -> list[tuple[int, int]]:
         """Merged windows of w characters with at least threshold bits a character."""
