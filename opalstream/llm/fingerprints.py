@@ -106,7 +106,9 @@ def next_ids(ids: DataFrame, tables: Tables) -> DataFrame:
 def edited_texts(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, text, n_chars, edited, and the next text's root and passages."""
     tables = Tables(docs.sparkSession, "merkle")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # an alias of a column that needs no cast would keep the two joins below from sharing one shuffle
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = docs.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2)
     ring = next_ids(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(half).alias("half")), tables)
     # each text goes once to its id, with the id before it and what that needs of it
