@@ -5,7 +5,7 @@ import pytest
 
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
-os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (HERE, os.environ.get("PYTHONPATH", "")) if p)
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (HERE, os.path.join(HERE, "tests"), os.environ.get("PYTHONPATH", "")) if p)
 
 
 @pytest.fixture(scope="session")
