@@ -54,7 +54,7 @@ class Near:
     coordinates: int = 128
     trees: int = 12
     depth: int = 3
-    leaf: int = 64
+    leaf: int = 128
     levels: int = 3
     bits: int = 23  # log2 of the bit table's bits: 1 MB
 
@@ -146,8 +146,8 @@ def _candidates(cfg: Near, star: bool):
             def keep(i: np.ndarray, j: np.ndarray) -> None:
                 differ = label[i] != label[j]
                 i, j = i[differ], j[differ]
-                for at in range(0, len(i), 100_000):
-                    a, b = i[at : at + 100_000], j[at : at + 100_000]
+                for at in range(0, len(i), 20_000):
+                    a, b = i[at : at + 20_000], j[at : at + 20_000]
                     ok = (sigs[a] == sigs[b]).mean(axis=1) >= cfg.likely
                     found.append(np.stack([rep[a[ok]], rep[b[ok]]]))
 
@@ -158,7 +158,7 @@ def _candidates(cfg: Near, star: bool):
                     keep(np.repeat(mid, s), (at[:, None] + np.arange(s)).ravel())
                 else:
                     x, y = np.triu_indices(s, 1)
-                    step = max(1, 2_000_000 // len(x))
+                    step = max(1, 100_000 // len(x))
                     for g in range(0, len(at), step):
                         keep((at[g : g + step, None] + x).ravel(), (at[g : g + step, None] + y).ravel())
             both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -295,7 +295,8 @@ class Join:
         hubs = self.centres(nodes)
         pairs = self.t.write(nodes.join(hubs, "path").filter("rep <> hub").select("hub", "rep").distinct(), f"star-pairs{level}")
         hub_sets = self.t.write(self.sets.join(pairs.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hset")), f"hub-sets{level}")
-        rows = pairs.join(self.sets, "rep").join(hub_sets, "hub").select("hub", "rep", "set", "hset")
+        # members spread evenly: they lie as unevenly in the sets' files as near copies in the documents'
+        rows = pairs.join(self.sets, "rep").repartition("rep").join(hub_sets, "hub").select("hub", "rep", "set", "hset")
         stars = self.t.write(rows.mapInArrow(_stars(self.cfg), "hub long, rep long, near boolean, token long"), f"stars{level}")
         self.t.drop(pairs, hub_sets)
         self.t.tidy()
@@ -356,7 +357,14 @@ def near_duplicates(docs: DataFrame, cfg: Near | None = None, text_col: str = "t
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: Near | None = None) -> DataFrame:
-    """The rows of docs, all columns as they are, that name their component; one of those that repeat a doc_id."""
+    """The rows of docs, all columns as they are, that name their component; of rows that repeat a doc_id one
+    stays.  Rows without a doc_id stay, as nothing can name them."""
+    tables = Tables(docs.sparkSession, "near")
     out = near_duplicates(docs, cfg)
-    gone = Tables(docs.sparkSession, "near").write(out.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = tables.write(out.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    stay = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    again = tables.write(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "again")
+    if again.isEmpty():
+        return stay
+    same = F.col("doc_id") == F.col("again")
+    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

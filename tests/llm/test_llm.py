@@ -500,7 +500,7 @@ def test_pipeline(spark, docs, rows):
     assert all(slow[i][0] >= 10 and 100 * slow[i][4] <= 20 * slow[i][0] for i in kept)
     after = [tuple(r)[:2] for r in seen["quality_rules"].select("doc_id", "text").collect()]
     want = brute_components(after, 5, 80, 100)
-    assert Counter(r.doc_id for r in seen["near_dedup"].collect()) == Counter(i for i, _ in after if want[i][1] == i or i is None)
+    assert Counter(r.doc_id for r in seen["near_dedup"].collect()) == Counter({i for i, _ in after if want[i][1] == i or i is None})
     scan = secret_scan.EntropyScan(secret_scan.Entropy())
     assert all(not secret_scan.base_spans(r.text or "") for r in seen["secret_scan"].collect()) and scan
     words = seen["mixing"].agg(F.sum(mixing.tokens_of(F.col("text")))).first()[0] or 0
