@@ -11,8 +11,8 @@ A shard is a file:
 all little-endian.  The last block of a shard is filled up with zeros.  A group of at most 1024 blocks is
 held in memory, no more; a damaged block fails its checksum and spoils no other.
 
-Null and empty texts are one end id.  Rows that repeat a doc_id are ordered by text, null ids come
-first; very long texts run through as many blocks as they need.  An empty table gives no file, and an
+Null and empty texts are one end id.  Rows that repeat a doc_id are ordered by a hash of their
+texts, null ids come first; very long texts run through as many blocks as they need.  An empty table gives no file, and an
 empty table when read.  Other columns of any name are not read.
 """
 
@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, vocabulary: str
             writer.close()
             yield pd.DataFrame({"part": [part], "file": [file], "docs": [len(writer.ids)], "ids": [writer.total]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.hash("text")).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.hash("text")).sortWithinPartitions("doc_id", F.hash("text"), "text")
     out, start = [], 0
     for r in sorted(rows.mapInPandas(write, "part int, file string, docs long, ids long").collect()):
         out.append(Shard(r["file"], start, r["docs"], r["ids"]))
