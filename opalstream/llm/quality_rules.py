@@ -102,7 +102,7 @@ def statistics(text: Column) -> Column:
         for s in batches:
             yield pd.DataFrame([text_stats(t) for t in s], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "x"])
 
-    return stats(text)
+    return stats.asNondeterministic()(text)  # else the optimizer copies it to each place where its result is used
 
 
 def group_key(lang: Column, source: Column) -> Column:
