@@ -169,16 +169,24 @@ def unquantise(c: np.ndarray) -> np.ndarray:
     return np.where(c == 65535, 0.0, np.exp2(c.astype(np.float64) / -CODE))
 
 
+def _bits(parent: np.ndarray, word: np.ndarray, log2: int) -> np.ndarray:
+    """A child's place in its level's bit table."""
+    h = (parent.astype(U) * U(0x9E3779B97F4A7C15) ^ word.astype(U)) * U(0xC2B2AE3D27D4EB4F)
+    return (h >> U(64 - log2)).astype(np.int64)
+
+
 class Level:
     """A shard of a trie level: the children of a range of nodes.
 
     parents: the nodes' numbers; pointers: where each one's children start; ids: the children's word
-    ids, each node's raised above those of the node before, so that all three are monotone.
+    ids, each node's raised above those of the node before, so that all three are monotone.  A table of
+    some 16 bits a child turns away most of those that aren't there before the search.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.parents, self.pointers, self.ids = (EliasFano(arrays, k) for k in ("parents", "pointers", "ids"))
-        self.share, self.backoff = arrays["share"], arrays["backoff"]
+        self.share, self.backoff, self.table = arrays["share"], arrays["backoff"], arrays["table"]
+        self.log2 = (len(self.table) * 8).bit_length() - 1
 
     @staticmethod
     def build(parent: np.ndarray, word: np.ndarray, share: np.ndarray, backoff: np.ndarray) -> dict[str, np.ndarray]:
@@ -187,20 +195,30 @@ class Level:
         ends = np.concatenate([start[1:], [len(parent)]]) if len(parent) else start
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)[:-1]]) if len(parent) else start
         ids = word + np.repeat(base, ends - start)
+        log2 = max(6, (16 * len(parent)).bit_length())
+        table, at = np.zeros(1 << (log2 - 3), np.uint8), _bits(parent, word, log2)
+        np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         out = EliasFano.build(parent[start], "parents") | EliasFano.build(np.concatenate([start, [len(parent)]]), "pointers") | EliasFano.build(ids, "ids")
-        return out | {"share": quantise(share), "backoff": quantise(backoff[start])}
+        return out | {"share": quantise(share), "backoff": quantise(backoff[start]), "table": table}
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of each child, -1 where there is none: a successor search relative to its context."""
+        """Index of each child, -1 where there is none: a successor search relative to its context.  Sorted by parent."""
         out = np.full(len(parent), -1, np.int64)
-        k = self.parents.find(parent)
-        ok = np.flatnonzero(k >= 0)
-        if not len(ok):
+        bit = _bits(parent, word, self.log2)
+        may = np.flatnonzero(self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        if not len(may):
             return out
-        begin, end = self.pointers.access(k[ok]), self.pointers.access(k[ok] + 1)
+        parent, word = parent[may], word[may]
+        first = np.concatenate([[True], parent[1:] != parent[:-1]])
+        of = np.cumsum(first) - 1
+        k = self.parents.find(parent[first])
+        there = np.maximum(k, 0)
+        begin, end = self.pointers.access(there), self.pointers.access(there + 1)
         base = np.where(begin > 0, self.ids.access(np.maximum(begin - 1, 0)) + 1, 0)
-        i = self.ids.find(base + word[ok])
-        out[ok] = np.where((i >= begin) & (i < end), i, -1)
+        ok = np.flatnonzero(k[of] >= 0)
+        of = of[ok]
+        i = self.ids.find(base[of] + word[ok])
+        out[may[ok]] = np.where((i >= begin[of]) & (i < end[of]), i, -1)
         return out
 
 

@@ -28,42 +28,78 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalstream.llm.common import Tables, WordHash, lower_words, make_dir, new_path
+from opalstream.llm.common import Tables, make_dir, mix, new_path
 from opalstream.llm.elias_fano import EliasFano, Level, Sharded, dump, unquantise, write_file
 
-END = b"\n"  # no word holds it
-
 
 @dataclass(frozen=True)
 class Settings:
     min_count: int = 3
     discount: float = 0.75
     add: float = 0.1
-    words_at_once: int = 2_000_000
+    words_at_once: int = 1_000_000
     shard_rows: int = 1_500_000
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Random 64-bit numbers for each byte at each of 64 places in a word; a word's hash is their sum.
+_PLACES = mix(np.arange(64 * 256, dtype=np.uint64) + np.uint64(12345))
+_END_BYTE = b"\xff"  # not in any UTF-8 text: stands for a document's end
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of a text's words and which of them are ends; by bytes, with no object made per word."""
+    a = np.frombuffer(text, np.uint8)
+    word = ~_SPACE[a]
+    at = np.flatnonzero(word)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    new = np.concatenate([[True], np.diff(at) > 1])
+    first = np.flatnonzero(new)
+    sizes = np.diff(first, append=len(at))
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    values = _PLACES[(place & 63) * 256 + a[at]]
+    if sizes.max() > 64:
+        values = values * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    h = mix(np.add.reduceat(values, first) ^ (sizes.astype(np.uint64) << np.uint64(40)))
+    return (h >> np.uint64(1)).astype(np.int64), a[at[first]] == 0xFF
+
+
 def _chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids of documents, 63-bit hashes of their tokens end to end, where each document ends)."""
-    words = WordHash()
-    end = np.array([words[END]], np.uint64)
+    """(ids of documents, hashes of their tokens end to end, where each document ends), about `most` tokens at a time."""
     ids, parts, size = [], [], 0
 
     def out():
-        return ids, (np.concatenate(parts) >> np.uint64(1)).astype(np.int64), np.cumsum([len(p) for p in parts])
+        h, end = hash_words(b" ".join(parts))
+        return ids, h, np.flatnonzero(end) + 1
 
     for pdf in batches:
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
             ids.append(None if pd.isna(doc) else int(doc))
-            parts.append(np.concatenate([words.of(lower_words(text)), end]))
-            size += len(parts[-1])
-            if size >= most:
+            parts += [(text or "").encode("utf-8", "surrogatepass").lower(), _END_BYTE]
+            size += len(parts[-2]) + 6
+            if size >= 6 * most:
                 yield out()
                 ids, parts, size = [], [], 0
     if ids:
         yield out()
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each one's place among them; by hashing, as most values recur."""
+    codes, u = pd.factorize(x)
+    order = np.argsort(u)
+    place = np.empty(len(u), np.int64)
+    place[order] = np.arange(len(u))
+    return u[order], place[codes]
+
+
+def counted(x: np.ndarray) -> pd.DataFrame:
+    codes, u = pd.factorize(x)
+    return pd.DataFrame({"k": u, "c": np.bincount(codes, minlength=len(u))})
+
+
 class Words:
     """A shard of the vocabulary: words seen min_count times or more have ids, in order of hash."""
 
@@ -95,21 +131,23 @@ class Trie:
         self.vocabulary = Sharded(files.vocabulary, Words)
         self.levels = [Sharded(s or [], Level) for s in (files.pairs, files.triples)]
 
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's number among the distinct ones (sorted), their counts and ids (-1: rare or unknown)."""
-        u, back = np.unique(h, return_inverse=True)
+    def words(self, h: np.ndarray, rare: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's number among the distinct ones (sorted), their counts (0 for rare ones
+        unless asked for) and ids (-1: rare or unknown)."""
+        u, back = distinct(h)
         count, ids = np.zeros(len(u), np.int64), np.full(len(u), -1, np.int64)
         for w, base, at in self.vocabulary.each(u):
             i = w.often.find(u[at])
             hit = i >= 0
             ids[at[hit]], count[at[hit]] = base + i[hit], w.often_counts[i[hit]]
-            j = w.rare.find(u[at[~hit]])
-            count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
+            if rare:
+                j = w.rare.find(u[at[~hit]])
+                count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
         return back, count, ids
 
     def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: none) and shares of children, for keys in any order."""
-        key, back = np.unique(parent * self.width + word, return_inverse=True)
+        key, back = distinct(parent * self.width + word)
         found, share = np.full(len(key), -1, np.int64), np.zeros(len(key))
         for s, base, at in self.levels[level].each(key):
             i = s.find(key[at] // self.width, key[at] % self.width)
@@ -119,7 +157,7 @@ class Trie:
 
     def backoff(self, level: int, parent: np.ndarray) -> np.ndarray:
         """What a context leaves to the lower order; 1 without children."""
-        u, back = np.unique(parent, return_inverse=True)
+        u, back = distinct(parent)
         out = np.ones(len(u))
         for s, _, at in self.levels[level].each(u * self.width + self.width - 1):
             k = s.parents.find(u[at])
@@ -130,8 +168,7 @@ class Trie:
 def _count_words(s: Settings):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, h, _ in _chunks(batches, s.words_at_once):
-            u, c = np.unique(h, return_counts=True)
-            yield pd.DataFrame({"k": u, "c": c})
+            yield counted(h)
 
     return count
 
@@ -147,11 +184,10 @@ def _count_pairs(s: Settings, files: Files):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(files)
         for _, h, ends in _chunks(batches, s.words_at_once):
-            back, _, ids = trie.words(h)
+            back, _, ids = trie.words(h, False)
             ids = ids[back]
             at = _pairs_of(ids, ends)
-            u, c = np.unique(ids[at] * trie.width + ids[at + 1], return_counts=True)
-            yield pd.DataFrame({"k": u, "c": c})
+            yield counted(ids[at] * trie.width + ids[at + 1])
 
     return count
 
@@ -160,14 +196,13 @@ def _count_triples(s: Settings, files: Files):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(files)
         for _, h, ends in _chunks(batches, s.words_at_once):
-            back, _, ids = trie.words(h)
+            back, _, ids = trie.words(h, False)
             ids = ids[back]
             at = _pairs_of(ids, ends)
             pair = np.full(len(ids), -1, np.int64)
             pair[at] = trie.children(0, ids[at], ids[at + 1])[0]
             at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-            u, c = np.unique(pair[at] * trie.width + ids[at + 2], return_counts=True)
-            yield pd.DataFrame({"k": u, "c": c})
+            yield counted(pair[at] * trie.width + ids[at + 2])
 
     return count
 
