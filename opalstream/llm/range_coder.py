@@ -30,7 +30,7 @@ class Mixer:
         self.t2, self.t1 = np.zeros(lanes << BITS2, np.int32), np.zeros(lanes << BITS1, np.int32)  # id * 4 + how sure
         self.t0 = np.full(lanes << SLOT_BITS, -1, np.int32)
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before, the one before that
-        self.p = [np.full(lanes * 32, x, np.int32) for x in (16384, 16384, 40000)]
+        self.p = np.full(lanes * 32, 16384 | 16384 << 16 | 40000 << 32, np.int64)  # three chances of 16 bits
         self.base2, self.base1, self.base0, self.base_p = lane << BITS2, lane << BITS1, lane << SLOT_BITS, lane * 32
 
     def predict(self) -> None:
@@ -42,8 +42,8 @@ class Mixer:
         self.g2, self.g1 = self.c2 >> 2, self.c1 >> 2
         same = self.g2 == self.g1
         self.at = self.base_p + ((self.c2 & 3) * 4 + (self.c1 & 3) + same * 16)
-        self.q = [p[self.at] for p in self.p]
-        q2, q1, q0 = (x.astype(np.int64) for x in self.q)
+        q = self.p[self.at]
+        self.q = q2, q1, q0 = q & 0xFFFF, (q >> 16) & 0xFFFF, q >> 32
         self.u2 = u2 = (q2 * (65536 - 4 * FLOOR) >> 16) + FLOOR
         self.u1 = u1 = u2 + ((q1 * (65536 - 3 * FLOOR - u2) >> 16) + FLOOR) * ~same  # order 1 has no share where it repeats order 2
         self.u0 = u1 + (q0 * (65536 - 2 * FLOOR - u1) >> 16) + FLOOR
@@ -52,8 +52,12 @@ class Mixer:
         return self.base0 + ((ids * 0x9E37 >> 5) & ((1 << SLOT_BITS) - 1))
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> None:
-        for k, (p, q) in enumerate(zip(self.p, self.q)):
-            p[self.at] = np.where(kind == k, q + ((65535 - q) >> RATE), np.where(kind > k, q - (q >> RATE), q))
+        # an outcome's chance moves towards 1 if it was met, towards 0 if a later one was, else stays
+        q2, q1, q0 = self.q
+        q2 = q2 + (((kind == 0) * 65535 - q2) >> RATE)
+        q1 = q1 + ((((kind == 1) * 65535 - q1) >> RATE) & -(kind > 0).astype(np.int64))
+        q0 = q0 + ((((kind == 2) * 65535 - q0) >> RATE) & -(kind > 1).astype(np.int64))
+        self.p[self.at] = np.maximum(q2, 0) | np.maximum(q1, 0) << 16 | np.maximum(q0, 0) << 32
         new = ids * 4
         for t, i, c, g in ((self.t2, self.i2, self.c2, self.g2), (self.t1, self.i1, self.c1, self.g1)):
             sure = c & 3
