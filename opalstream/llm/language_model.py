@@ -11,6 +11,9 @@ sequences with 16-bit quantised shares and backoffs; shards are files in the sha
 workers map into memory, opened when first asked, so neither the model nor a shard is sent through
 the driver, which gets one row per shard.  Word hashes are 63 bits wide.
 
+Texts are read twice, to count words and to number them; the numbers (32 bits a token, rare words with their
+counts) are written, and n-grams are counted and texts scored from them.
+
 Null and empty texts are one end.  A repeated row counts as often as it occurs.  A null doc_id is not
 held out.  With an empty table, or no training row, N and V are 0 and an empty one comes back, or base
 scores of no counts.  Other columns of any name are not read.
@@ -19,7 +22,7 @@ scores of no counts.  Other columns of any name are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,20 +134,27 @@ class Trie:
         self.vocabulary = Sharded(files.vocabulary, Words)
         self.levels = [Sharded(s or [], Level) for s in (files.pairs, files.triples)]
 
-    def words(self, h: np.ndarray, rare: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's number among the distinct ones (sorted), their counts (0 for rare ones
-        unless asked for) and ids (-1: rare or unknown)."""
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's number among the distinct ones (sorted), their counts and ids (-1: rare or unknown)."""
         u, back = distinct(h)
         count, ids = np.zeros(len(u), np.int64), np.full(len(u), -1, np.int64)
         for w, base, at in self.vocabulary.each(u):
             i = w.often.find(u[at])
             hit = i >= 0
             ids[at[hit]], count[at[hit]] = base + i[hit], w.often_counts[i[hit]]
-            if rare:
-                j = w.rare.find(u[at[~hit]])
-                count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
+            j = w.rare.find(u[at[~hit]])
+            count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
         return back, count, ids
 
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by id."""
+        v, out = self.vocabulary, np.zeros(len(ids), np.int64)
+        where = np.searchsorted(v.bases, ids, side="right") - 1
+        for i in np.unique(where):
+            at = np.flatnonzero(where == i)
+            out[at] = v.shard(i).often_counts[ids[at] - v.bases[i]]
+        return out
+
     def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: none) and shares of children, for keys in any order."""
         key, back = distinct(parent * self.width + word)
@@ -180,14 +190,47 @@ def _pairs_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _count_pairs(s: Settings, files: Files):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+NUMBERED = "doc_id long, ids binary"
+
+
+def _number_words(s: Settings, files: Files):
+    """Documents to their tokens' ids; a token without one is -1 - its count."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(files)
-        for _, h, ends in _chunks(batches, s.words_at_once):
-            back, _, ids = trie.words(h, False)
-            ids = ids[back]
+        for docs, h, ends in _chunks(batches, s.words_at_once):
+            back, count, ids = trie.words(h)
+            coded = np.where(ids >= 0, ids, -1 - count)[back].astype(np.int32)
+            first = np.concatenate([[0], ends[:-1]])
+            yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": [coded[a:b].tobytes() for a, b in zip(first, ends)]})
+
+    return number
+
+
+def _stored(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """As _chunks, from stored ids."""
+    docs, parts, size = [], [], 0
+
+    def out():
+        return docs, np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.cumsum([len(p) // 4 for p in parts])
+
+    for pdf in batches:
+        for doc, ids in zip(pdf["doc_id"], pdf["ids"]):
+            docs.append(None if pd.isna(doc) else int(doc))
+            parts.append(ids)
+            size += len(ids) // 4
+            if size >= most:
+                yield out()
+                docs, parts, size = [], [], 0
+    if docs:
+        yield out()
+
+
+def _count_pairs(s: Settings, width: int):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, ids, ends in _stored(batches, s.words_at_once):
             at = _pairs_of(ids, ends)
-            yield counted(ids[at] * trie.width + ids[at + 1])
+            yield counted(ids[at] * width + ids[at + 1])
 
     return count
 
@@ -195,9 +238,7 @@ def _count_pairs(s: Settings, files: Files):
 def _count_triples(s: Settings, files: Files):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(files)
-        for _, h, ends in _chunks(batches, s.words_at_once):
-            back, _, ids = trie.words(h, False)
-            ids = ids[back]
+        for _, ids, ends in _stored(batches, s.words_at_once):
             at = _pairs_of(ids, ends)
             pair = np.full(len(ids), -1, np.int64)
             pair[at] = trie.children(0, ids[at], ids[at + 1])[0]
@@ -235,13 +276,15 @@ def _write_level(folder: str, name: str, width: int):
 
 
 class Training:
-    def __init__(self, docs: DataFrame, s: Settings):
-        self.docs, self.s, self.t = docs, s, Tables(docs.sparkSession, "lm")
+    """Learns from the rows of docs (doc_id, text) for whose doc_id `learn` holds; numbers the words of all rows."""
+
+    def __init__(self, docs: DataFrame, s: Settings, learn: Callable[[Column], Column]):
+        self.docs, self.s, self.learn, self.t = docs, s, learn, Tables(docs.sparkSession, "lm")
         self.folder = new_path(docs.sparkSession, "lm-files")
         make_dir(docs.sparkSession, self.folder)
 
-    def counted(self, count, name: str, least: int) -> DataFrame:
-        rows = self.docs.mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    def counted(self, rows: DataFrame, count, name: str, least: int) -> DataFrame:
+        rows = rows.mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
         out = self.t.write(rows.filter(F.col("c") >= least), name)
         self.t.tidy()
         return out
@@ -276,55 +319,52 @@ class Training:
         self.t.drop(mass, contexts)
         return placed, nodes_c
 
-    def run(self) -> Files:
-        s = self.s
-        counts = self.counted(_count_words(s), "words", 1)
+    def run(self) -> tuple[Files, DataFrame]:
+        s, chosen = self.s, self.learn(F.col("doc_id"))
+        counts = self.counted(self.docs.filter(chosen), _count_words(s), "words", 1)
         n = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
         shards = self.ranged(counts, n["v"]).mapInPandas(_write_words(s, self.folder), "first long, n long, file string").collect()
         vocabulary, width = self.placed([tuple(r) for r in shards])
         files = Files(vocabulary, width, tokens=n["n"], distinct=n["v"])
+        if width >= 1 << 31 or width**2 >= 1 << 63:
+            raise ValueError("too many words for 31-bit ids: raise min_count")
+        # from here on ids are read, not texts
+        ids = self.t.write(self.docs.mapInPandas(_number_words(s, files), NUMBERED), "ids")
+        self.t.drop(counts)
         if not width:
-            return files
-        if width**2 >= 1 << 63:
-            raise ValueError("too many words for 63-bit keys: raise min_count")
-        pairs = self.counted(_count_pairs(s, files), "pairs", s.min_count)
+            return files, ids
+        train = ids.filter(chosen)
+        pairs = self.counted(train, _count_pairs(s, width), "pairs", s.min_count)
 
         def of_words(mass: DataFrame) -> DataFrame:
             """Every occurrence of a word but the end is a context."""
-            trie_files = files
-
             def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                v = Sharded(trie_files.vocabulary, Words)
+                trie = Trie(files)
                 for pdf in batches:
-                    p = pdf["p"].to_numpy()
-                    where = np.searchsorted(v.bases, p, side="right") - 1
-                    total = np.zeros(len(p), np.int64)
-                    for i in np.unique(where):
-                        at = np.flatnonzero(where == i)
-                        total[at] = v.shard(i).often_counts[p[at] - v.bases[i]]
-                    yield pdf.assign(total=total)
+                    yield pdf.assign(total=trie.counts_of(pdf["p"].to_numpy()))
 
             return mass.mapInPandas(totals, "p long, mass double, total long")
 
-        files.pairs, nodes = self.level(pairs, of_words, "pairs", max(width, 1))
-        self.t.drop(pairs, counts)
-        triples = self.counted(_count_triples(s, files), "triples", s.min_count)
-        files.triples, _ = self.level(triples, lambda mass: mass.join(nodes, "p"), "triples", max(width, 1))
+        files.pairs, nodes = self.level(pairs, of_words, "pairs", width)
+        self.t.drop(pairs)
+        triples = self.counted(train, _count_triples(s, files), "triples", s.min_count)
+        files.triples, _ = self.level(triples, lambda mass: mass.join(nodes, "p"), "triples", width)
         self.t.drop(triples)
         self.t.tidy()
-        return files
+        return files, ids
 
 
 def _score(s: Settings, files: Files):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(files)
         below = files.tokens + s.add * (files.distinct + 1)
-        for docs, h, ends in _chunks(batches, s.words_at_once):
-            back, count, ids = trie.words(h)
-            base = ((count + s.add) / below)[back]
-            known, ids = (count > 0)[back], ids[back]
+        for docs, ids, ends in _stored(batches, s.words_at_once):
+            count = -1 - ids
+            often = ids >= 0
+            count[often] = trie.counts_of(ids[often])
+            base, known = (count + s.add) / below, count > 0
             p, first = base.copy(), np.concatenate([[0], ends[:-1]])
-            inner = np.ones(len(h), bool)  # has a word before it in its document
+            inner = np.ones(len(ids), bool)  # has a word before it in its document
             inner[first] = False
             left = np.flatnonzero(inner & (np.roll(ids, 1) >= 0)) - 1
             p[left + 1] *= trie.backoff(0, ids[left])
@@ -347,18 +387,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_texts(docs: DataFrame, files: Files, s: Settings | None = None) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, base_score and score (log10 probabilities)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(_score(s or Settings(), files), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def train(docs: DataFrame, s: Settings | None = None) -> Files:
-    return Training(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), s or Settings()).run()
+    """Learns from all rows."""
+    return Training(_rows(docs), s or Settings(), lambda _: F.lit(True)).run()[0]
+
+
+def _scored(ids: DataFrame, files: Files, s: Settings) -> DataFrame:
+    return ids.mapInPandas(_score(s, files), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score_texts(docs: DataFrame, files: Files, s: Settings | None = None) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, base_score and score (log10 probabilities)."""
+    s = s or Settings()
+    return _scored(_rows(docs).mapInPandas(_number_words(s, files), NUMBERED), files, s)
 
 
 def language_scores(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """The contract's columns of op8; learns from the rows that aren't held out."""
-    files = train(docs.filter(~held_out(F.col("doc_id"))), s)
-    out = score_texts(docs, files, s)
+    s = s or Settings()
+    files, ids = Training(_rows(docs), s, lambda doc_id: ~held_out(doc_id)).run()
+    out = _scored(ids, files, s)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(files.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
