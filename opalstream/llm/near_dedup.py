@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.llm.common import Tables, WordHash, lower_words, mix, shingle_hashes
@@ -56,12 +56,14 @@ class Near:
     depth: int = 3
     leaf: int = 128
     levels: int = 3
+    deviations: float = 5
+    once: bool = False  # emit a pair only in the first small tree node that its members share; more to ship, fewer pairs
     bits: int = 23  # log2 of the bit table's bits: 1 MB
 
     @property
     def likely(self) -> float:
         p = self.num / self.den
-        return p - 5 * (p * (1 - p) / self.coordinates) ** 0.5
+        return p - self.deviations * (p * (1 - p) / self.coordinates) ** 0.5
 
 
 def _family(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +79,14 @@ def minwise(hashes: np.ndarray, xor: np.ndarray, mul: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The low bits of a node's path are its tree's number, all ones for children of large nodes.
+_TREE = np.uint64(31)
+
+
+def _child_path(*cols) -> Column:
+    return F.xxhash64(*cols).bitwiseOR(int(_TREE))
+
+
 def _sketch(cfg: Near):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, (xor, mul) = WordHash(), _family(cfg.coordinates)
@@ -93,6 +103,7 @@ def _sketch(cfg: Near):
                 for d in range(cfg.depth):
                     path = mix(path ^ low[d * cfg.trees : (d + 1) * cfg.trees].astype(np.uint64))
                 sig = (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+                path = path & ~_TREE | np.arange(cfg.trees, dtype=np.uint64)
                 rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), sig, path.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sig", "paths"]).astype({"doc_id": "Int64"})
 
@@ -142,6 +153,10 @@ def _candidates(cfg: Near, star: bool):
             rep, label = (m.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "label"))
             sigs = _signatures(m.field("sig"), cfg.coordinates)
             sizes, found = np.diff(starts), []
+            once = cfg.once and not star
+            if once:
+                tree = (_column(batch, "path") & int(_TREE)).astype(np.int64)
+                home = m.field("home").flatten().to_numpy(zero_copy_only=False).reshape(-1, cfg.trees)
 
             def keep(i: np.ndarray, j: np.ndarray) -> None:
                 differ = label[i] != label[j]
@@ -149,7 +164,13 @@ def _candidates(cfg: Near, star: bool):
                 for at in range(0, len(i), 20_000):
                     a, b = i[at : at + 20_000], j[at : at + 20_000]
                     ok = (sigs[a] == sigs[b]).mean(axis=1) >= cfg.likely
-                    found.append(np.stack([rep[a[ok]], rep[b[ok]]]))
+                    a, b = a[ok], b[ok]
+                    if once:
+                        shared = (home[a] == home[b]) & (home[a] != 0)
+                        first = np.where(shared.any(axis=1), shared.argmax(axis=1), int(_TREE))
+                        here = first == tree[np.searchsorted(starts, a, side="right") - 1]
+                        a, b = a[here], b[here]
+                    found.append(np.stack([rep[a], rep[b]]))
 
             for s in np.unique(sizes[sizes >= 2]):
                 at = starts[:-1][sizes == s]
@@ -246,12 +267,13 @@ class Join:
 
     def grouped(self, nodes: DataFrame, label: DataFrame | None) -> DataFrame:
         """Small nodes with their members' labels and signatures; a list has at most cfg.leaf members."""
-        rows = nodes.select("path", "rep").join(self.classes.select("rep", "sig"), "rep")
+        rows = nodes.select("path", "rep").join(self.members, "rep")
+        extra = [c for c in self.members.columns if c != "rep"]
         if label is not None:
-            rows = rows.join(label.select(F.col("v").alias("rep"), "root"), "rep", "left").select("path", "rep", "sig", F.coalesce("root", "rep").alias("label"))
+            rows = rows.join(label.select(F.col("v").alias("rep"), "root"), "rep", "left").select("path", "rep", *extra, F.coalesce("root", "rep").alias("label"))
         else:
-            rows = rows.select("path", "rep", "sig", F.col("rep").alias("label"))
-        rows = rows.groupBy("path").agg(F.collect_list(F.struct("rep", "label", "sig")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            rows = rows.select("path", "rep", *extra, F.col("rep").alias("label"))
+        rows = rows.groupBy("path").agg(F.collect_list(F.struct("rep", "label", *extra)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         return rows.filter("lo <> hi").select("path", "m")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -302,16 +324,24 @@ class Join:
         self.t.tidy()
         links = stars.filter("near and token is null").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         # nodes whose members are all near the centre need no children, which the sizes' filter on u sees to
-        child = stars.filter("token is not null").select(F.xxhash64("hub", "token", F.lit(level)).alias("path"), "rep", (~F.col("near")).alias("u"))
+        child = stars.filter("token is not null").select(_child_path("hub", "token", F.lit(level)).alias("path"), "rep", (~F.col("near")).alias("u"))
         return links, self.sized(child, f"children{level}")
 
+    def with_homes(self, nodes: DataFrame) -> DataFrame:
+        """Members with `home`: the path of their small node in each tree, 0 for none."""
+        small = nodes.filter(f"size <= {self.cfg.leaf}").groupBy("rep").agg(F.collect_list("path").alias("p"))
+        of = lambda t: F.coalesce(F.try_element_at(F.filter("p", lambda p: p.bitwiseAND(int(_TREE)) == t), F.lit(1)), F.lit(0))
+        none = F.array_repeat(F.lit(0).cast("long"), self.cfg.trees)
+        home = F.coalesce(F.transform(F.sequence(F.lit(0), F.lit(self.cfg.trees - 1)), of), none)
+        return self.t.write(self.classes.select("rep", "sig").join(small, "rep", "left").select("rep", "sig", home.alias("home")), "members")
+
     def blocks(self, nodes: DataFrame) -> DataFrame:
         """What is still large after the last level: every pair of blocks of half a leaf is a small node."""
         half = self.cfg.leaf // 4
         n = F.expr(f"cast(ceil(size / {half}) as int)")
         mine = nodes.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("rep", "path"), F.col("n")).cast("int"))
         other = mine.select("path", "rep", "k", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
-        return other.select(F.xxhash64("path", F.least("k", "o"), F.greatest("k", "o")).alias("path"), "rep")
+        return other.select(_child_path("path", F.least("k", "o"), F.greatest("k", "o")).alias("path"), "rep")
 
     def run(self) -> DataFrame:
         cfg, t = self.cfg, self.t
@@ -323,6 +353,7 @@ class Join:
         nodes = self.sized(nodes, "nodes")
         self.sets = self.full_sets(nodes.select("rep").distinct())
         t.tidy()
+        self.members = self.with_homes(nodes) if cfg.once else self.classes.select("rep", "sig")
         leaves, links = nodes.filter(f"size <= {cfg.leaf}").select("path", "rep"), None
         large = nodes.filter(f"size > {cfg.leaf}")
         for level in range(cfg.levels):
