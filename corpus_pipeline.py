@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; five words and a similarity of 0.8."""
-    return near_dedup.drop_near_duplicates(docs, near_dedup.Near(shingle=5, num=80, trees=16, coordinates=256, once=True))
+    return near_dedup.drop_near_duplicates(docs, near_dedup.Near(shingle=5, num=80, trees=16, coordinates=256, once=True, leaf=256))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
