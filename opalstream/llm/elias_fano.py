@@ -180,12 +180,13 @@ class Level:
 
     parents: the nodes' numbers; pointers: where each one's children start; ids: the children's word
     ids, each node's raised above those of the node before, so that all three are monotone.  A table of
-    some 16 bits a child turns away most of those that aren't there before the search.
+    8 to 16 bits a child turns away most of those that aren't there before the search.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.parents, self.pointers, self.ids = (EliasFano(arrays, k) for k in ("parents", "pointers", "ids"))
         self.share, self.backoff, self.table = arrays["share"], arrays["backoff"], arrays["table"]
+        self.counts = arrays.get("counts")
         self.log2 = (len(self.table) * 8).bit_length() - 1
 
     @staticmethod
@@ -195,7 +196,7 @@ class Level:
         ends = np.concatenate([start[1:], [len(parent)]]) if len(parent) else start
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)[:-1]]) if len(parent) else start
         ids = word + np.repeat(base, ends - start)
-        log2 = max(6, (16 * len(parent)).bit_length())
+        log2 = max(6, (8 * len(parent)).bit_length())
         table, at = np.zeros(1 << (log2 - 3), np.uint8), _bits(parent, word, log2)
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         out = EliasFano.build(parent[start], "parents") | EliasFano.build(np.concatenate([start, [len(parent)]]), "pointers") | EliasFano.build(ids, "ids")

@@ -1,9 +1,9 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 Training tokens are lower-cased words and one end per document.  Every word's count is exact, for all
-words of the training documents; they are kept in sorted shards.  N-grams of two and three words are
-counted over all training documents and kept if seen min_count times or more; one that is kept
-consists of shorter ones that are, so only such candidates are counted, which changes nothing.
+words of the training documents; they are kept in sorted shards, and every word has an id.  N-grams of
+two and three words are counted over all training documents and all are kept, those seen once too.  A
+caller may set min_count to keep fewer; an n-gram that is kept then consists of shorter ones that are.
 Shares are discounted, (c - discount) / c(context), and what a context's kept children leave goes to the
 next lower order: P(w|uv) = share(uvw) + backoff(uv) * (share(vw) + backoff(v) * P(w)), and
 P(w) = (c + 0.1) / (N + 0.1 * (V + 1)), the base.  A level's shard holds its nodes as Elias-Fano
@@ -12,7 +12,9 @@ workers map into memory, opened when first asked, so neither the model nor a sha
 the driver, which gets one row per shard.  Word hashes are 63 bits wide.
 
 Texts are read twice, to count words and to number them; the numbers (32 bits a token, rare words with their
-counts) are written, and n-grams are counted and texts scored from them.
+counts) are written, and n-grams are counted and texts scored from them.  N-grams go once through a shuffle,
+as sorted blocks of keys and counts, straight to the task that adds them up and writes their shard.  A
+sample of keys says only where shards are cut; scores don't depend on it.
 
 Null and empty texts are one end.  A repeated row counts as often as it occurs.  A null doc_id is not
 held out.  With an empty table, or no training row, N and V are 0 and an empty one comes back, or base
@@ -32,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.llm.common import Tables, make_dir, mix, new_path
-from opalstream.llm.elias_fano import EliasFano, Level, Sharded, dump, unquantise, write_file
+from opalstream.llm.elias_fano import EliasFano, Level, Sharded, dump, quantise, unquantise, write_file
 
 
 @dataclass(frozen=True)
 class Settings:
-    min_count: int = 3
+    min_count: int = 1  # more drops rarer n-grams and the ids of rarer words
     discount: float = 0.75
     add: float = 0.1
     words_at_once: int = 1_000_000
@@ -108,7 +110,7 @@ class Words:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.often, self.rare = EliasFano(arrays, "often"), EliasFano(arrays, "rare")
-        self.often_counts, self.rare_counts = arrays["often_counts"], arrays["rare_counts"]
+        self.counts, self.rare_counts = arrays["often_counts"], arrays["rare_counts"]
 
     @staticmethod
     def build(h: np.ndarray, c: np.ndarray, least: int) -> dict[str, np.ndarray]:
@@ -124,6 +126,7 @@ class Files:
     width: int  # number of words with ids
     pairs: list[tuple[int, int, str]] | None = None
     triples: list[tuple[int, int, str]] | None = None
+    across: tuple[dict[int, float], ...] = ({}, {})  # by level, backoffs of contexts with children in several shards
     tokens: int = 0
     distinct: int = 0
 
@@ -133,6 +136,7 @@ class Trie:
         self.width = max(files.width, 1)
         self.vocabulary = Sharded(files.vocabulary, Words)
         self.levels = [Sharded(s or [], Level) for s in (files.pairs, files.triples)]
+        self.across = [(np.array(sorted(b), np.int64), np.array([b[p] for p in sorted(b)], float)) for b in files.across]
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's number among the distinct ones (sorted), their counts and ids (-1: rare or unknown)."""
@@ -141,18 +145,18 @@ class Trie:
         for w, base, at in self.vocabulary.each(u):
             i = w.often.find(u[at])
             hit = i >= 0
-            ids[at[hit]], count[at[hit]] = base + i[hit], w.often_counts[i[hit]]
+            ids[at[hit]], count[at[hit]] = base + i[hit], w.counts[i[hit]]
             j = w.rare.find(u[at[~hit]])
             count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
         return back, count, ids
 
-    def counts_of(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of words by id."""
-        v, out = self.vocabulary, np.zeros(len(ids), np.int64)
-        where = np.searchsorted(v.bases, ids, side="right") - 1
+    def counts_of(self, order: int, nodes: np.ndarray) -> np.ndarray:
+        """Counts of words by id (order 0) or of pairs by number (order 1)."""
+        v, out = (self.vocabulary, self.levels[0])[order], np.zeros(len(nodes), np.int64)
+        where = np.searchsorted(v.bases, nodes, side="right") - 1
         for i in np.unique(where):
             at = np.flatnonzero(where == i)
-            out[at] = v.shard(i).often_counts[ids[at] - v.bases[i]]
+            out[at] = v.shard(i).counts[nodes[at] - v.bases[i]]
         return out
 
     def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +176,9 @@ class Trie:
         for s, _, at in self.levels[level].each(u * self.width + self.width - 1):
             k = s.parents.find(u[at])
             out[at[k >= 0]] = unquantise(s.backoff[k[k >= 0]])
+        contexts, values = self.across[level]
+        at = np.flatnonzero(np.isin(u, contexts))
+        out[at] = values[np.searchsorted(contexts, u[at])]
         return out[back]
 
 
@@ -190,6 +197,15 @@ def _pairs_of(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones: most of the upper ones are 0, which codecs take away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 NUMBERED = "doc_id long, ids binary"
 
 
@@ -202,7 +218,7 @@ def _number_words(s: Settings, files: Files):
             back, count, ids = trie.words(h)
             coded = np.where(ids >= 0, ids, -1 - count)[back].astype(np.int32)
             first = np.concatenate([[0], ends[:-1]])
-            yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": [coded[a:b].tobytes() for a, b in zip(first, ends)]})
+            yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "ids": [_planes(coded[a:b]) for a, b in zip(first, ends)]})
 
     return number
 
@@ -212,13 +228,13 @@ def _stored(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list,
     docs, parts, size = [], [], 0
 
     def out():
-        return docs, np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.cumsum([len(p) // 4 for p in parts])
+        return docs, np.concatenate(parts).astype(np.int64), np.cumsum([len(p) for p in parts])
 
     for pdf in batches:
         for doc, ids in zip(pdf["doc_id"], pdf["ids"]):
             docs.append(None if pd.isna(doc) else int(doc))
-            parts.append(ids)
-            size += len(ids) // 4
+            parts.append(_from_planes(ids, np.int32))
+            size += len(parts[-1])
             if size >= most:
                 yield out()
                 docs, parts, size = [], [], 0
@@ -226,26 +242,53 @@ def _stored(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list,
         yield out()
 
 
-def _count_pairs(s: Settings, width: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pair_keys(s: Settings, files: Files):
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for _, ids, ends in _stored(batches, s.words_at_once):
             at = _pairs_of(ids, ends)
-            yield counted(ids[at] * width + ids[at + 1])
+            yield ids[at] * files.width + ids[at + 1]
 
-    return count
+    return keys
 
 
-def _count_triples(s: Settings, files: Files):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _triple_keys(s: Settings, files: Files):
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         trie = Trie(files)
         for _, ids, ends in _stored(batches, s.words_at_once):
             at = _pairs_of(ids, ends)
             pair = np.full(len(ids), -1, np.int64)
             pair[at] = trie.children(0, ids[at], ids[at + 1])[0]
             at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-            yield counted(pair[at] * trie.width + ids[at + 2])
+            yield pair[at] * trie.width + ids[at + 2]
 
-    return count
+    return keys
+
+
+BLOCKS = "part int, k binary, c binary"
+
+
+def _deal(keys: Callable, cuts: np.ndarray):
+    """Keys to blocks of distinct ones with counts, one for each shard; cuts: the first key of each shard but the first."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in keys(batches):
+            x = np.sort(x)
+            at = np.flatnonzero(np.diff(x, prepend=-1))
+            k, c = x[at], np.diff(at, append=len(x)).astype(np.uint32)
+            edges = [0, *np.searchsorted(k, cuts), len(k)]
+            rows = [(i, _planes(np.diff(k[a:b], prepend=0)), _planes(c[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            yield pd.DataFrame(rows, columns=["part", "k", "c"])
+
+    return deal
+
+
+def _some_keys(keys: Callable, every: int):
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in keys(batches):
+            x = np.unique(x)
+            yield pd.DataFrame({"k": x[mix(x.astype(np.uint64)) % np.uint64(every) == 0]})
+
+    return some
 
 
 def _gather(batches: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
@@ -264,13 +307,40 @@ def _write_words(s: Settings, folder: str):
     return write
 
 
-def _write_level(folder: str, name: str, width: int):
+SHARD = "first long, n long, file string, p array<long>, mass array<double>, total array<long>"
+
+
+def _write_level(s: Settings, files: Files, folder: str, level: int):
+    """Blocks to a shard, and to a row with its first and last context, of which other shards may have children."""
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, c, share, backoff = _gather(batches, ["k", "c", "share", "backoff"])
-        if len(k):
-            part = TaskContext.get().partitionId()
-            write_file(f"{folder}/{name}-{part:05d}", dump(Level.build(k // width, k % width, share, backoff)))
-            yield pd.DataFrame({"part": part, "pos": np.arange(len(k)), "k": k, "c": c})
+        blocks: dict[int, list] = {}
+        for pdf in batches:
+            for part, k, c in zip(pdf["part"], pdf["k"], pdf["c"]):
+                blocks.setdefault(part, []).append((np.cumsum(_from_planes(k, np.int64)), _from_planes(c, np.uint32)))
+        trie = Trie(files)
+        for part, x in blocks.items():
+            k, c = (np.concatenate(y) for y in zip(*x))
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order].astype(np.int64)
+            start = np.flatnonzero(np.diff(k, prepend=-1))
+            k, c = k[start], np.add.reduceat(c, start)
+            if s.min_count > 1:
+                k, c = k[c >= s.min_count], c[c >= s.min_count]
+            if not len(k):
+                continue
+            parent, word = k // trie.width, k % trie.width
+            start = np.flatnonzero(np.diff(parent, prepend=-1))
+            sizes = np.diff(start, append=len(k))
+            # every occurrence of a context is followed by a word or an end
+            total, mass = trie.counts_of(level, parent[start]), np.add.reduceat(c, start) - s.discount * sizes
+            arrays = Level.build(parent, word, (c - s.discount) / np.repeat(total, sizes), np.repeat(1 - mass / total, sizes))
+            if not level:
+                arrays["counts"] = c.astype(np.min_scalar_type(c.max()))
+            file = f"{folder}/level{level}-{part:05d}"
+            write_file(file, dump(arrays))
+            at = np.unique([0, len(start) - 1])
+            yield pd.DataFrame({"first": k[:1], "n": [len(k)], "file": [file], "p": [parent[start[at]]], "mass": [mass[at]], "total": [total[at]]})
 
     return write
 
@@ -283,9 +353,8 @@ class Training:
         self.folder = new_path(docs.sparkSession, "lm-files")
         make_dir(docs.sparkSession, self.folder)
 
-    def counted(self, rows: DataFrame, count, name: str, least: int) -> DataFrame:
-        rows = rows.mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-        out = self.t.write(rows.filter(F.col("c") >= least), name)
+    def counted(self, rows: DataFrame, count, name: str) -> DataFrame:
+        out = self.t.write(rows.mapInPandas(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), name)
         self.t.tidy()
         return out
 
@@ -301,27 +370,35 @@ class Training:
             base += n
         return out, base
 
-    def level(self, kept: DataFrame, totals, name: str, width: int) -> tuple[list[tuple[int, int, str]], DataFrame]:
-        """kept (k, c) to shards and a table (node, c); totals: a function from contexts (p) to (p, total)."""
-        parent = F.expr(f"k div {width}")
-        d = self.s.discount
-        mass = self.t.write(kept.groupBy(parent.alias("p")).agg(F.sum(F.col("c") - d).alias("mass")), f"{name}-mass")
-        contexts = self.t.write(totals(mass), f"{name}-contexts")
-        rows = kept.withColumn("p", parent).join(contexts, "p")
-        rows = rows.select("k", "c", ((F.col("c") - d) / F.col("total")).alias("share"), (1 - F.col("mass") / F.col("total")).alias("backoff"))
-        rows = self.ranged(rows, kept.count()).mapInPandas(_write_level(self.folder, name, width), "part int, pos long, k long, c long")
-        nodes = self.t.write(rows, f"{name}-nodes")
-        shards = [(r["first"], r["n"], f"{self.folder}/{name}-{r['part']:05d}") for r in nodes.groupBy("part").agg(F.min("k").alias("first"), F.count("*").alias("n")).collect()]
-        placed, _ = self.placed(shards)
-        bases = {int(file[-5:]): base for _, base, file in placed}
-        numbers = self.t.spark.createDataFrame(list(bases.items()) or [(-1, 0)], "part int, base long")
-        nodes_c = nodes.join(F.broadcast(numbers), "part").select((F.col("base") + F.col("pos")).alias("p"), F.col("c").alias("total"))  # a row per shard
-        self.t.drop(mass, contexts)
-        return placed, nodes_c
+    def cuts(self, train: DataFrame, keys: Callable, tokens: int) -> np.ndarray:
+        """Where shards of about shard_rows rows start, by some keys of a fiftieth of the documents (all, if few)."""
+        n = math.ceil(tokens / self.s.shard_rows)
+        if n < 2:
+            return np.zeros(0, np.int64)
+        share = 0.02 if tokens > 10_000_000 else 1.0
+        every = max(1, int(share * tokens / (200 * n)))
+        rows = train.sample(share, seed=8) if share < 1 else train
+        k = np.sort(rows.mapInPandas(_some_keys(keys, every), "k long").toPandas()["k"].to_numpy(np.int64))
+        return np.unique(k[np.arange(1, n) * len(k) // n]) if len(k) else k
+
+    def level(self, train: DataFrame, keys: Callable, files: Files, level: int) -> tuple[list[tuple[int, int, str]], int, dict[int, float]]:
+        """A level's shards, their number of nodes and the backoffs of contexts in several shards."""
+        cuts = self.cuts(train, keys, files.tokens)
+        blocks = train.mapInPandas(_deal(keys, cuts), BLOCKS).repartitionById(len(cuts) + 1, F.col("part"))
+        shards = blocks.mapInPandas(_write_level(self.s, files, self.folder, level), SHARD).collect()
+        parts: dict[int, list[tuple[float, int]]] = {}
+        for r in shards:
+            for p, mass, total in zip(r["p"], r["mass"], r["total"]):
+                parts.setdefault(p, []).append((mass, total))
+        placed, nodes = self.placed([(r["first"], r["n"], r["file"]) for r in shards])
+        del blocks  # tidy keeps what a name refers to
+        self.t.tidy()
+        across = {p: 1 - sum(m for m, _ in x) / x[0][1] for p, x in parts.items() if len(x) > 1}
+        return placed, nodes, dict(zip(across, unquantise(quantise(np.array(list(across.values()), float))).tolist()))
 
     def run(self) -> tuple[Files, DataFrame]:
         s, chosen = self.s, self.learn(F.col("doc_id"))
-        counts = self.counted(self.docs.filter(chosen), _count_words(s), "words", 1)
+        counts = self.counted(self.docs.filter(chosen), _count_words(s), "words")
         n = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
         shards = self.ranged(counts, n["v"]).mapInPandas(_write_words(s, self.folder), "first long, n long, file string").collect()
         vocabulary, width = self.placed([tuple(r) for r in shards])
@@ -331,26 +408,16 @@ class Training:
         # from here on ids are read, not texts
         ids = self.t.write(self.docs.mapInPandas(_number_words(s, files), NUMBERED), "ids")
         self.t.drop(counts)
+        self.t.tidy()
         if not width:
             return files, ids
         train = ids.filter(chosen)
-        pairs = self.counted(train, _count_pairs(s, width), "pairs", s.min_count)
-
-        def of_words(mass: DataFrame) -> DataFrame:
-            """Every occurrence of a word but the end is a context."""
-            def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                trie = Trie(files)
-                for pdf in batches:
-                    yield pdf.assign(total=trie.counts_of(pdf["p"].to_numpy()))
-
-            return mass.mapInPandas(totals, "p long, mass double, total long")
-
-        files.pairs, nodes = self.level(pairs, of_words, "pairs", width)
-        self.t.drop(pairs)
-        triples = self.counted(train, _count_triples(s, files), "triples", s.min_count)
-        files.triples, _ = self.level(triples, lambda mass: mass.join(nodes, "p"), "triples", width)
-        self.t.drop(triples)
-        self.t.tidy()
+        files.pairs, nodes, across = self.level(train, _pair_keys(s, files), files, 0)
+        files.across = (across, {})
+        if nodes * width >= 1 << 63:
+            raise ValueError("too many pairs for 63-bit keys: raise min_count")
+        files.triples, _, more = self.level(train, _triple_keys(s, files), files, 1)
+        files.across = (across, more)
         return files, ids
 
 
@@ -361,7 +428,7 @@ def _score(s: Settings, files: Files):
         for docs, ids, ends in _stored(batches, s.words_at_once):
             count = -1 - ids
             often = ids >= 0
-            count[often] = trie.counts_of(ids[often])
+            count[often] = trie.counts_of(0, ids[often])
             base, known = (count + s.add) / below, count > 0
             p, first = base.copy(), np.concatenate([[0], ends[:-1]])
             inner = np.ones(len(ids), bool)  # has a word before it in its document

@@ -383,6 +383,25 @@ def test_language_model(docs, rows):
         assert any((r.n_tokens, r.n_known) == w[:2] and abs(r.base_score - w[2]) < 1e-6 * abs(w[2]) and abs(r.score - w[3]) < 2e-3 * abs(w[3]) for w in want[r.doc_id])
 
 
+def test_language_model_keeps_every_ngram(spark):
+    """A passage seen once or twice is known by its word sequences, at any size; children of one context in many shards too."""
+    rng = random.Random(8)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    learnt = [i for i in range(400) if not held(i)]
+    once, twice = (" ".join(f"{t}{rng.randrange(10**9)}" for _ in range(30)) for t in "xy")
+    texts = {learnt[0]: once, learnt[1]: twice, learnt[2]: twice} | {i: " ".join(f"the w{rng.randrange(300)}" for _ in range(20)) for i in learnt[3:]}
+    asked = [i for i in range(400) if held(i)][:3]
+    shuffled = once.split()[::2] + once.split()[1::2]
+    texts |= dict(zip(asked, (once, twice, " ".join(shuffled))))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.language_scores(docs).collect()}
+    for i in asked[:2]:
+        assert got[i].held_out and got[i].n_known == 31 and got[i].score > 0.4 * got[i].base_score
+    assert got[asked[2]].score < 1.5 * got[asked[0]].score and abs(got[asked[2]].base_score - got[asked[0]].base_score) < 1e-6
+    few = {r.doc_id: r.score for r in language_model.language_scores(docs, language_model.Settings(shard_rows=400)).collect()}
+    assert all(abs(few[i] - r.score) < 1e-9 * abs(r.score) for i, r in got.items())
+
+
 # --- quality rules
 
 
