@@ -5,7 +5,8 @@ assign, access and hex: leftmost non-overlapping matches of one pattern each, th
 too short dropped after matching.  The method adds entropy spans: in each maximal run of a
 character class, a window slides over the run while its symbol counts and the sum of
 c*log2(c) are kept up to date in constant time; windows whose entropy reaches the class's
-threshold are merged into a span.  Runs on the allow-list give no entropy span.
+threshold are merged into a span.  Runs on the allow-list from end to end give no entropy span;
+an alphabet inside a run suppresses only the windows that overlap it.
 
 Null and empty texts have no spans.  Rows are independent: repeated rows and ties give equal
 results, an empty table gives an empty one, and other columns of any name pass through
@@ -35,6 +36,14 @@ HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
+def ascending(chars: str, least: int) -> str:
+    """A pattern of the first characters of chars in their order, `least` or more, as many as there are."""
+    tail = ""
+    for ch in reversed(chars[least:]):
+        tail = f"(?:{ch}{tail})?"
+    return chars[:least] + tail
+
+
 @dataclass(frozen=True)
 class CharClass:
     kind: str
@@ -46,7 +55,7 @@ class CharClass:
 
 @dataclass(frozen=True)
 class Entropy:
-    """Thresholds of the entropy search and the allow-list (patterns for a whole run)."""
+    """Thresholds of the entropy search, the allow-list (patterns for a whole run) and alphabets (for parts of a run)."""
 
     classes: tuple[CharClass, ...] = (
         CharClass("entropy_hex", r"[0-9a-fA-F]{24,}", 24, 3.0, "[0-9] [a-fA-F]"),
@@ -56,8 +65,8 @@ class Entropy:
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # a UUID
         r"[A-Za-z]+([-_/][A-Za-z]+)+",  # words joined by marks
         r"[0-9+/_=-]+",  # numbers, dates, rules of a table
-        r".*(0123456789|ABCDEFGHIJKLMNOP|abcdefghijklmnop).*",  # an alphabet
     )
+    alphabets: tuple[str, ...] = ("0123456789", ascending("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), ascending("abcdefghijklmnopqrstuvwxyz", 16))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -76,6 +85,7 @@ class EntropyScan:
     def __init__(self, cfg: Entropy):
         self.classes = [(KINDS.index(c.kind), re.compile(c.run), c, [re.compile(p) for p in c.needs.split()]) for c in cfg.classes]
         self.allow = re.compile("|".join(f"(?:{p})" for p in cfg.allow)) if cfg.allow else None
+        self.alphabets = re.compile("|".join(f"(?:{p})" for p in cfg.alphabets)) if cfg.alphabets else None
         top = max((c.window for c in cfg.classes), default=1)
         self.clog = [0.0] + [c * math.log2(c) for c in range(1, top + 2)]  # a window holds one more before its oldest goes
 
@@ -99,6 +109,14 @@ class EntropyScan:
                     out.append((i - w + 1, i + 1))
         return out
 
+    def pieces(self, run: str) -> Iterator[tuple[int, str]]:
+        """What lies between a run's alphabets, with where it starts."""
+        at = 0
+        for m in self.alphabets.finditer(run) if self.alphabets else ():
+            yield at, run[at : m.start()]
+            at = m.end()
+        yield at, run[at:]
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         out = []
         for kind, pattern, c, needs in self.classes:
@@ -106,9 +124,10 @@ class EntropyScan:
                 run = m.group()
                 if not all(p.search(run) for p in needs) or self.allow and self.allow.fullmatch(run):
                     continue
-                for a, b in self.windows(run, c.window, c.threshold):
-                    if all(p.search(run, a, b) for p in needs):
-                        out.append((m.start() + a, kind, m.start() + b))
+                for at, piece in self.pieces(run):
+                    for a, b in self.windows(piece, c.window, c.threshold):
+                        if all(p.search(piece, a, b) for p in needs):
+                            out.append((m.start() + at + a, kind, m.start() + at + b))
         return out
 
 

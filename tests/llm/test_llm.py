@@ -242,6 +242,17 @@ def test_secret_edges():
     assert secret_scan.redact_text("a password=abcdefghijklmn b", spans, "*") == "a * b"
 
 
+def test_an_alphabet_hides_no_secret():
+    scan = secret_scan.EntropyScan(secret_scan.Entropy())
+    key, letters = "Zq3vB8kL0mN5tR7yW2pX9cD4fG6hJ1sA", "abcdefghijklmnopqrstuvwxyz"
+    for before, after in (("path/0123456789/", ""), ("", f"/{letters}"), (f"{letters.upper()}/", "/0123456789")):
+        text = f"x {before}{key}{after} y"
+        spans = secret_scan.find_secrets(text, scan)
+        assert spans and key not in (left := secret_scan.redact_text(text, spans, "*")) and before.strip("/") in left and after.strip("/") in left
+    for run in (letters + "0123456789", letters.upper() + letters + "0123456789+/", "0123456789abcdef" * 3):
+        assert scan.spans(run) == []
+
+
 # --- fingerprints
 
 
