@@ -1,18 +1,18 @@
 """Packing documents into fixed windows with minimum bin slack.
 
 A document's ids are followed by one end id and cut every `window` ids; whole windows are sequences
-of their own.  The remainders of a block of documents are packed by minimum bin slack: a bitset of
+of their own.  The remainders are packed, a block of them at a time, by minimum bin slack: a bitset of
 reachable sums, grown over the multiset of remaining lengths (counts split into powers of two),
 gives the fullest window; the multiset that fills it is found by backtracking and used as often as
-the counts allow.  When the best window of a block isn't full, its leftovers wait for the next block;
-the leftovers of a task's last block are laid end to end and cut at the windows' ends, and what is
-left at last is cut into powers of two, which need no padding.
+the counts allow.  Windows without slack are taken at once.  The others come in the same order, the
+fullest first, but no more of them than it takes to leave half a block waiting for what is still to come;
+at the end of a task all are taken.  No remainder is cut.
 
 Null and empty texts are one piece, the end id.  Very long texts are cut as others are.  Repeated
 rows are packed each on their own, ties are broken by arrival.  An empty table gives an empty one.
 Other columns of any name are not read.  sequence_id is the task's number times 2^32 plus a running
 number, so rows must come in the same order when a task is run again: read them from storage.  A
-task holds one block of documents' remainders, no more.
+task holds one block of remainders and one batch of texts, no more.
 """
 
 from __future__ import annotations
@@ -57,15 +57,21 @@ def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
     return used
 
 
-def plan_windows(counts: dict[int, int], window: int, only_full: bool) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Fills and how often each is used, and the counts left; only_full stops at the first window with slack."""
+def plan_windows(counts: dict[int, int], window: int, leave: int = 0) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Fills, the fullest first, with how often each is used, and the counts left.
+
+    Full windows are all planned, those with slack until no more than `leave` remainders are left."""
     counts, plan = {k: v for k, v in counts.items() if v}, []
-    while counts:
+    left = sum(counts.values())
+    while left:
         used = best_fill(counts, window)
-        if only_full and sum(k * v for k, v in used.items()) < window:
-            break
-        times = min(counts[k] // v for k, v in used.items())
+        times, each = min(counts[k] // v for k, v in used.items()), sum(used.values())
+        if sum(k * v for k, v in used.items()) < window:
+            times = min(times, -(-(left - leave) // each))
+            if times <= 0:
+                break
         plan.append((used, times))
+        left -= times * each
         for k, v in used.items():
             counts[k] -= v * times
             if not counts[k]:
@@ -73,21 +79,19 @@ def plan_windows(counts: dict[int, int], window: int, only_full: bool) -> tuple[
     return plan, counts
 
 
-def powers_of_two(n: int) -> list[int]:
-    return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
-
-
 class Packer:
-    def __init__(self, window: int, first_sequence: int):
-        self.window, self.sequence = window, first_sequence
+    def __init__(self, window: int, first_sequence: int, block: int):
+        self.window, self.sequence, self.block = window, first_sequence, block
         self.waiting: dict[int, deque] = {}
+        self.held = self.size = 0  # remainders that wait; bytes of rows that are ready
         self.rows: list[tuple] = []
 
     def put(self, piece: tuple, offset: int) -> None:
         doc, start, ids, total = piece
         self.rows.append((doc, start, len(ids) // 4, ids, total, self.sequence, offset))
+        self.size += len(ids)
 
-    def add(self, doc, ids: bytes) -> None:
+    def add(self, doc: int | None, ids: bytes) -> None:
         total, w = len(ids) // 4, self.window
         for start in range(0, total - w + 1, w):
             self.put((doc, start, ids[4 * start : 4 * (start + w)], total), 0)
@@ -95,9 +99,12 @@ class Packer:
         start = total // w * w
         if start < total:
             self.waiting.setdefault(total - start, deque()).append((doc, start, ids[4 * start :], total))
+            self.held += 1
+            if self.held >= self.block:
+                self.pack(self.block // 2)
 
-    def pack(self) -> None:
-        plan, _ = plan_windows({k: len(v) for k, v in self.waiting.items()}, self.window, True)
+    def pack(self, leave: int = 0) -> None:
+        plan, _ = plan_windows({k: len(v) for k, v in self.waiting.items()}, self.window, leave)
         for used, times in plan:
             for _ in range(times):
                 offset = 0
@@ -105,26 +112,12 @@ class Packer:
                     for _ in range(used[length]):
                         self.put(self.waiting[length].popleft(), offset)
                         offset += length
+                self.held -= sum(used.values())
                 self.sequence += 1
         self.waiting = {k: v for k, v in self.waiting.items() if v}
 
-    def finish(self) -> None:
-        left = [p for k in sorted(self.waiting, reverse=True) for p in self.waiting[k]]
-        total = sum(len(p[2]) // 4 for p in left)
-        ends = [self.window] * (total // self.window) + powers_of_two(total % self.window)
-        room, offset = (ends.pop(0) if ends else 0), 0
-        for doc, start, ids, whole in left:
-            while ids:
-                take = min(room - offset, len(ids) // 4)
-                self.put((doc, start, ids[: 4 * take], whole), offset)
-                start, ids, offset = start + take, ids[4 * take :], offset + take
-                if offset == room:
-                    self.sequence += 1
-                    room, offset = (ends.pop(0) if ends else 0), 0
-        self.waiting = {}
-
     def take(self) -> pd.DataFrame:
-        out, self.rows = self.rows, []
+        out, self.rows, self.size = self.rows, [], 0
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
 
 
@@ -134,22 +127,15 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
     path, end = vocabulary or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer, held = Encoder(path), Packer(window, TaskContext.get().partitionId() << 32), 0
+        encoder, packer = Encoder(path), Packer(window, TaskContext.get().partitionId() << 32, block)
         for pdf in batches:
-            size = 0
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                packer.add(None if pd.isna(doc) else int(doc), packed := encoder.packed(text) + end)
-                held, size = held + 1, size + len(packed)
-                if held >= block:
-                    packer.pack()
-                    held = 0
-                if size > 16_000_000 and packer.rows:
+            for doc, ids in zip(pdf["doc_id"], encoder.batch(pdf["text"].tolist())):
+                packer.add(None if pd.isna(doc) else int(doc), ids.astype("<u4").tobytes() + end)
+                if packer.size > 16_000_000:
                     yield packer.take()
-                    size = 0
             if packer.rows:
                 yield packer.take()
         packer.pack()
-        packer.finish()
         if packer.rows:
             yield packer.take()
 
