@@ -1,159 +1,276 @@
-"""An adaptive context-mixing range coder for 16-bit ids, many independent blocks at a time.
-
-Three predictions drive the coder: the id last seen after the two ids before (order 2), after the id
-before (order 1), and the ids seen of late at all (order 0, a table of slots by hash).  They are mixed
-by adaptive weights: how sure the order-2 and order-1 predictions have been and whether they agree
-select chances, learnt from hits and misses, which share the coding range among "as order 2", "as order
-1", "in an order-0 slot" and "none of these"; then follow the slot's number or the id itself.  After
-each id all models learn.
-
-Every block starts from a reset model, so a group of blocks is coded in step with NumPy, a lane for
-each.  Low and range have 48 bits, words of 16 bits go out, and carries run back through a block's
-words at its end.
+"""An adaptive context-mixing range coder for ids of up to 32 bits, many independent blocks at a time.
+
+An id's probability is a mixture: w2 [id is the one last seen after the two before it] + w1 [... after the
+one before it] + w0 p0(id).  p0, order 0, shares its part among the block's distinct ids by their counts so
+far, brought up to date after 16, 32, 64 ... and then every REFRESH ids.  How often in a row orders 2 and 1
+have been right and whether they agree choose the weights, which move towards the orders that are right.
+The mixture's interval of an id is one piece: those of the two predicted ids come first, then the others' in
+ascending order, which are order 0's without these two.
+
+Every block starts from a reset model and stands alone: it begins with its distinct ids, sorted, as
+Elias-Fano bits, and the models work on their places in that list.  A group of blocks is coded in step with
+NumPy, a lane for each, in whole numbers.  The encoder knows all ids, so it finds what orders 2 and 1 predict
+by sorting a block by context; the decoder follows them id by id.  Low and range have 48 bits, words of 16
+bits go out, and carries run back through a block's words at its end.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
-SLOT_BITS, BITS2, BITS1 = 10, 11, 10
-RATE = 5
-FLOOR = 64  # of 65536, the least share of each outcome
+TOTAL, CONTEXTS, REFRESH, RATE = 22, 11, 512, 5  # log2 of the mixture's unit shares and of order 2's table; ids; a weight's step
 LOW_MASK, SMALL = (1 << 48) - 1, 1 << 32
+#: First weights by sureness (0: context not seen, 1: seen, 2 and 3: right once, or more often, since), of 65536: order 2 of all, order 1 of the rest.
+FIRST2, FIRST1 = (1000, 20000, 33000, 46000), (1000, 10000, 20000, 33000)
+HEAD = struct.Struct("<II")
+
+
+# --- a block's distinct ids
+
+
+def pack_sorted(u: np.ndarray) -> bytes:
+    """Distinct ids in ascending order: how many, bits of the low parts, low parts, gaps of the high parts in unary."""
+    n = len(u)
+    low = max(0, int((int(u[-1]) // n)).bit_length() - 1)
+    x = u.astype(np.int64)
+    lows = (x[:, None] >> np.arange(low - 1, -1, -1) & 1).astype(np.uint8).ravel()
+    high = x >> low
+    unary = np.zeros(int(high[-1]) + n, np.uint8)
+    unary[high + np.arange(n)] = 1
+    bits = np.packbits(np.concatenate([lows, unary])).tobytes()
+    return HEAD.pack(n << 6 | low, len(bits)) + bits
+
+
+def unpack_sorted(code: bytes) -> tuple[np.ndarray, int]:
+    """The ids and where they end."""
+    head, size = HEAD.unpack_from(code)
+    n, low = head >> 6, head & 63
+    bits = np.unpackbits(np.frombuffer(code, np.uint8, size, HEAD.size))
+    lows = bits[: n * low].reshape(n, low).astype(np.int64) @ (1 << np.arange(low - 1, -1, -1, dtype=np.int64)) if low else np.zeros(n, np.int64)
+    return ((np.flatnonzero(bits[n * low :])[:n] - np.arange(n)) << low) + lows, HEAD.size + size
+
+
+# --- models
+
+
+def context(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order 2's: the id before and the one before that."""
+    return a + b * 0x9E5 & (1 << CONTEXTS) - 1
 
 
 class Mixer:
-    """The models of a group of blocks."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.t2, self.t1 = np.zeros(lanes << BITS2, np.int32), np.zeros(lanes << BITS1, np.int32)  # id * 4 + how sure
-        self.t0 = np.full(lanes << SLOT_BITS, -1, np.int32)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before, the one before that
-        self.p = np.full(lanes * 32, 16384 | 16384 << 16 | 40000 << 32, np.int64)  # three chances of 16 bits
-        self.base2, self.base1, self.base0, self.base_p = lane << BITS2, lane << BITS1, lane << SLOT_BITS, lane * 32
-
-    def predict(self) -> None:
-        """Sets the ids that are predicted and the upper bounds of the outcomes."""
-        h = self.a * 0x9E35
-        self.i2 = self.base2 + (((h + self.b * 0x85EB) >> 3) & ((1 << BITS2) - 1))
-        self.i1 = self.base1 + ((h >> 4) & ((1 << BITS1) - 1))
-        self.c2, self.c1 = self.t2[self.i2], self.t1[self.i1]
-        self.g2, self.g1 = self.c2 >> 2, self.c1 >> 2
-        same = self.g2 == self.g1
-        self.at = self.base_p + ((self.c2 & 3) * 4 + (self.c1 & 3) + same * 16)
-        q = self.p[self.at]
-        self.q = q2, q1, q0 = q & 0xFFFF, (q >> 16) & 0xFFFF, q >> 32
-        self.u2 = u2 = (q2 * (65536 - 4 * FLOOR) >> 16) + FLOOR
-        self.u1 = u1 = u2 + ((q1 * (65536 - 3 * FLOOR - u2) >> 16) + FLOOR) * ~same  # order 1 has no share where it repeats order 2
-        self.u0 = u1 + (q0 * (65536 - 2 * FLOOR - u1) >> 16) + FLOOR
-
-    def slots(self, ids: np.ndarray) -> np.ndarray:
-        return self.base0 + ((ids * 0x9E37 >> 5) & ((1 << SLOT_BITS) - 1))
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> None:
-        # an outcome's chance moves towards 1 if it was met, towards 0 if a later one was, else stays
-        q2, q1, q0 = self.q
-        q2 = q2 + (((kind == 0) * 65535 - q2) >> RATE)
-        q1 = q1 + ((((kind == 1) * 65535 - q1) >> RATE) & -(kind > 0).astype(np.int64))
-        q0 = q0 + ((((kind == 2) * 65535 - q0) >> RATE) & -(kind > 1).astype(np.int64))
-        self.p[self.at] = np.maximum(q2, 0) | np.maximum(q1, 0) << 16 | np.maximum(q0, 0) << 32
-        new = ids * 4
-        for t, i, c, g in ((self.t2, self.i2, self.c2, self.g2), (self.t1, self.i1, self.c1, self.g1)):
-            sure = c & 3
-            t[i] = np.where(g == ids, c + (sure < 3), np.where(sure > 0, c - 1, new))
-        self.t0[slot] = ids
-        self.a, self.b = ids.astype(np.int64), self.a
+    """What coder and decoder share for a group of blocks; distinct: how many ids each has, which are 0 to distinct - 1 here."""
+
+    def __init__(self, distinct: np.ndarray):
+        lanes, self.most = len(distinct), int(distinct.max())
+        self.bits = self.most.bit_length() + (2 if self.most < 2048 else 1)  # log2 of order 0's slots
+        self.distinct, lane = distinct.astype(np.int64), np.arange(lanes)
+        self.base, self.base_w = lane * (self.most + 1), lane * 32
+        self.free = (1 << TOTAL) - (1 << self.bits)
+        self.gain = (self.free >> RATE) - 4  # so that weights, rounded, never share out more than is free
+        state = np.arange(32)
+        w2 = np.array(FIRST2, np.int64)[state >> 2 & 3] * self.free >> 16
+        w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free - w2) >> 16) * (state < 16)  # from 16 on both predict the same
+        self.w2, self.w1 = np.tile(w2, lanes), np.tile(w1, lanes)
+        self.counts = np.zeros((lanes, self.most + 1), np.int64)
+
+    def refresh(self, columns: np.ndarray) -> np.ndarray:
+        """Adds ids (steps x blocks) to the counts and sets order 0 by them: the first slot << 16 | slots of each id."""
+        if len(columns):
+            self.counts += np.bincount((columns + self.base).ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+        n, place = self.distinct[:, None], np.minimum(np.arange(self.most + 1), self.distinct[:, None])
+        before = np.cumsum(self.counts, axis=1)
+        seen = before[:, -1:].copy()
+        before -= self.counts
+        if seen[0, 0]:
+            # one slot each, the others by counts: products of doubles, rounded alike everywhere, and exact at the end
+            start = (before * (((1 << self.bits) - n) / seen) + 2**-10).astype(np.int64)
+            start += place
+        else:
+            start = (place << self.bits) // n
+        self.slots = np.zeros_like(start)
+        np.subtract(start[:, 1:], start[:, :-1], out=self.slots[:, :-1])
+        start <<= 16
+        start |= self.slots
+        self.span = start.ravel()
+        return self.span
+
+
+def refreshed(steps: int) -> list[int]:
+    """Where order 0 is brought up to date, and the end."""
+    return sorted({0, *(1 << k for k in range(4, REFRESH.bit_length())), *range(REFRESH, steps, REFRESH)} & set(range(steps))) + [steps]
+
+
+# --- coder
+
+
+def _places(ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each block's sorted distinct ids, and all ids as places in their block's."""
+    lists, out, top = [], np.empty(ids.shape, np.uint16 if ids.shape[1] <= 1 << 16 else np.uint32), int(ids.max(initial=0)) + 1
+    if top > 1 << 18:
+        for row, o in zip(ids, out):
+            u, o[:] = np.unique(row, return_inverse=True)
+            lists.append(u)
+        return lists, out
+    place = np.zeros(top, out.dtype)
+    for row, o in zip(ids, out):
+        there = np.zeros(top, bool)
+        there[row] = True
+        lists.append(u := np.flatnonzero(there))
+        place[u] = np.arange(len(u))
+        place.take(row, out=o)
+    return lists, out
+
+
+def _followers(x: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Per place of each block: what followed last after the same context << 2 | sureness; blocks x steps."""
+    order = np.argsort(ctx, axis=1, kind="stable")
+    ctx, x = np.take_along_axis(ctx, order, 1), np.take_along_axis(x, order, 1)
+    known = np.zeros(x.shape, bool)
+    known[:, 1:] = ctx[:, 1:] == ctx[:, :-1]
+    hit = known.copy()
+    hit[:, 1:] &= x[:, 1:] == x[:, :-1]
+    k = np.arange(x.shape[1], dtype=np.int32)
+    run = k - np.maximum.accumulate(np.where(hit, 0, k), axis=1)  # right in a row, up to here
+    out = np.zeros(x.shape, np.int32)
+    out[:, 1:] = np.where(known[:, 1:], x[:, :-1].astype(np.int32) << 2 | np.minimum(run[:, :-1] + 1, 3), 0)
+    back = np.empty_like(out)
+    np.put_along_axis(back, order, out, 1)
+    return back
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
-    """ids: blocks x length, whole numbers below 65536; each block's code."""
+    """ids: blocks x length, whole numbers below 2^32; each block's code."""
     lanes, steps = ids.shape
-    m, lane = Mixer(lanes), np.arange(lanes)
-    columns = np.ascontiguousarray(ids.T, dtype=np.int32)
+    lists, x = _places(ids)
+    m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
+    c2, c1, columns = (np.empty((steps, lanes), np.int32) for _ in range(3))
+    for at in range(0, lanes, 32):  # some blocks at a time stay in the cache
+        y = x[at : at + 32]
+        a = np.concatenate([np.full((len(y), 1), m.most, y.dtype), y[:, :-1]], axis=1)
+        b = np.concatenate([np.full((len(y), 1), m.most, y.dtype), a[:, :-1]], axis=1).astype(np.int64)
+        c2[:, at : at + 32], c1[:, at : at + 32] = _followers(y, context(a, b).astype(np.uint16)).T, _followers(y, a).T
+        columns[:, at : at + 32] = y.T
     out = np.zeros((2 * steps + 4, lanes), np.int32)
     flat, low, rng, at = out.reshape(-1), np.zeros(lanes, np.int64), np.full(lanes, LOW_MASK, np.int64), lane.copy()
-
-    def put(lo, width, bits) -> None:
-        nonlocal low, rng, at
-        r = rng >> bits
-        low = low + r * lo
-        carry = low > LOW_MASK
-        if carry.any():
-            flat[at[carry] - lanes] += 1
-            low &= LOW_MASK
-        rng = r * width
-        short = np.flatnonzero(rng < SMALL)
-        flat[at[short]] = low[short] >> 32
-        at[short] += lanes
-        low[short] = (low[short] & (SMALL - 1)) << 16
-        rng[short] <<= 16
-
-    zero = np.zeros(lanes, np.int64)
-    for x in columns:
-        m.predict()
-        slot = m.slots(x)
-        hit2, hit1 = m.g2 == x, m.g1 == x
-        hit0 = m.t0[slot] == x
-        kind = np.where(hit2, 0, np.where(hit1, 1, 3 - hit0))
-        lo = np.where(hit2, zero, np.where(hit1, m.u2, np.where(hit0, m.u1, m.u0)))
-        hi = np.where(hit2, m.u2, np.where(hit1, m.u1, np.where(hit0, m.u0, 65536)))
-        put(lo, hi - lo, 16)
-        open_ = kind > 1
-        if open_.any():
-            put(np.where(open_, np.where(hit0, slot - m.base0, x), 0), 1, np.where(open_, np.where(hit0, SLOT_BITS, 16), 0))
-        m.learn(x, kind, slot)
+    ends, done = refreshed(steps), 0
+    for first, last in zip(ends, ends[1:]):
+        span, done = m.refresh(columns[done:first]), first
+        for t in range(first, last, 64):
+            rows = slice(t, min(t + 64, last))
+            k2, k1, y = c2[rows].astype(np.int64), c1[rows].astype(np.int64), columns[rows].astype(np.int64)
+            g2, g1 = k2 >> 2, k1 >> 2
+            differ = g2 != g1
+            hit2, hit1 = g2 == y, (g1 == y) & differ
+            state = m.base_w + ((k2 & 3) << 2 | k1 & 3) + ~differ * 16
+            p2, p1 = np.empty_like(y), np.empty_like(y)
+            for i in range(len(y)):
+                s = state[i]
+                p2[i] = q2 = m.w2.take(s)
+                p1[i] = q1 = m.w1.take(s)
+                m.w2[s] = q2 - (q2 >> RATE) + hit2[i] * m.gain
+                m.w1[s] = q1 - (q1 >> RATE) + hit1[i] * m.gain
+            unit = (m.free - p2 - p1 >> m.bits) + 1
+            e2, e1, e = span.take(m.base + g2), span.take(m.base + g1), span.take(m.base + y)
+            n2, n1, s = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e >> 16
+            end2 = (1 << TOTAL) - p1 - (unit << m.bits) + unit * n2  # what whole slots leave over goes to order 2
+            end1 = end2 + p1 + unit * n1
+            lo = np.where(hit1, end2, end1 + unit * (s - n2 * (s > e2 >> 16) - n1 * (s > e1 >> 16)))
+            width = np.where(hit1, end1 - end2, unit * (e & 0xFFFF))
+            lo, width = np.where(hit2, 0, lo), np.where(hit2, end2, width)
+            for i in range(len(y)):
+                r = rng >> TOTAL
+                low += r * lo[i]
+                carry = low > LOW_MASK
+                if carry.any():
+                    flat[at[carry] - lanes] += 1
+                    low &= LOW_MASK
+                rng = r * width[i]
+                short = np.flatnonzero(rng < SMALL)
+                while len(short):
+                    x_low, place = low[short], at[short]
+                    flat[place] = x_low >> 32
+                    at[short] = place + lanes
+                    low[short] = (x_low & SMALL - 1) << 16
+                    rng[short] = x_rng = rng[short] << 16
+                    short = short[x_rng < SMALL]
     for shift in (32, 16, 0):  # the whole of low
         flat[at] = (low >> shift) & 0xFFFF
         at = at + lanes
-    carry = np.zeros(lanes, np.int32)
+    ends = (at - lane) // lanes
+    out, carry = out[: ends.max()], np.zeros(lanes, np.int32)
     for row in out[::-1]:
         row += carry
         carry = row >> 16
         row &= 0xFFFF
-    ends = (at - lane) // lanes
     code = np.ascontiguousarray(out.T).astype("<u2")
-    return [code[k, : ends[k]].tobytes() for k in range(lanes)]
+    return [pack_sorted(u) + code[k, : ends[k]].tobytes() for k, u in enumerate(lists)]
+
+
+# --- decoder
 
 
 def decode(codes: list[bytes], steps: int) -> np.ndarray:
-    """The blocks' ids, blocks x steps."""
+    """The blocks' ids (uint32), blocks x steps."""
     lanes = len(codes)
-    most = max(map(len, codes), default=0) // 2 + 4
-    words = np.zeros((lanes, most), np.int64)
-    for k, c in enumerate(codes):
-        words[k, : len(c) // 2] = np.frombuffer(c, "<u2")
+    if not lanes or not steps:
+        return np.zeros((lanes, steps), np.uint32)
+    lists, starts = zip(*map(unpack_sorted, codes))
+    words = np.zeros((lanes, max(len(c) - e for c, e in zip(codes, starts)) // 2 + 4), np.int64)
+    for k, (c, e) in enumerate(zip(codes, starts)):
+        words[k, : (len(c) - e) // 2] = np.frombuffer(c, "<u2", (len(c) - e) // 2, e)
     flat = np.ascontiguousarray(words.T).reshape(-1)
-    m, lane = Mixer(lanes), np.arange(lanes)
+    m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
+    base, base_w, base2, base_s, bits, top = m.base, m.base_w, lane << CONTEXTS, lane << m.bits, m.bits, (1 << m.bits) - 1
+    t2, t1 = np.zeros(lanes << CONTEXTS, np.int32), np.zeros(lanes * (m.most + 1), np.int32)  # id << 4 | sureness, order 2's << 2
+    a, b = np.full(lanes, m.most, np.int64), np.full(lanes, m.most, np.int64)
     code = (flat[lane] << 32) | (flat[lane + lanes] << 16) | flat[lane + 2 * lanes]
-    rng, at, out = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32)
-    last = len(flat) - 1
-    zero = np.zeros(lanes, np.int64)
-
-    def take(r, lo, width) -> None:
-        nonlocal code, rng, at
-        code = code - r * lo
-        rng = r * width
-        short = np.flatnonzero(rng < SMALL)
-        code[short] = (code[short] << 16) | flat[np.minimum(at[short], last)]
-        at[short] += lanes
-        rng[short] <<= 16
-
-    for t in range(steps):
-        m.predict()
-        r = rng >> 16
-        in2, in1, in0 = code < r * m.u2, code < r * m.u1, code < r * m.u0
-        kind = np.where(in2, 0, np.where(in1, 1, 3 - in0))
-        lo = np.where(in2, zero, np.where(in1, m.u2, np.where(in0, m.u1, m.u0)))
-        hi = np.where(in2, m.u2, np.where(in1, m.u1, np.where(in0, m.u0, 65536)))
-        take(r, lo, hi - lo)
-        x = np.where(in2, m.g2, m.g1)
-        open_ = kind > 1
-        if open_.any():
-            r = rng >> np.where(open_, np.where(in0, SLOT_BITS, 16), 0)
-            v = np.where(open_, code / r, 0).astype(np.int64)  # below 2^16 of a 48-bit number: the quotient's floor is exact
-            take(r, v, 1)
-            x = np.where(open_, np.where(in0, m.t0[np.where(open_ & in0, m.base0 + v, 0)], v), x).astype(np.int32)
-        out[t] = x
-        m.learn(out[t], kind, m.slots(out[t]))
-    return np.ascontiguousarray(out.T)
+    rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32), len(flat) - 1
+    ends, done = refreshed(steps), 0
+    for first, last in zip(ends, ends[1:]):
+        span, done = m.refresh(out[done:first]), first
+        slot = np.repeat(np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes), m.slots.ravel())
+        for t in range(first, last):
+            i2, i1 = base2 + context(a, b), base + a
+            c2, c1 = t2.take(i2), t1.take(i1)
+            g2, g1 = c2 >> 4, c1 >> 4
+            differ = g2 != g1
+            state = base_w + (c2 & 12 | c1 & 3 | ~differ * np.int32(16))
+            q2, q1 = m.w2.take(state), m.w1.take(state)
+            unit = (m.free - q2 - q1 >> bits) + 1
+            e2, e1 = span.take(base + g2), span.take(base + g1)
+            n2, n1, s2, s1 = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e2 >> 16, e1 >> 16
+            end2 = (1 << TOTAL) - q1 - (unit << bits) + unit * n2
+            end1 = end2 + q1 + unit * n1
+            r = rng >> TOTAL
+            top1 = r * end1
+            in2, in1 = code < r * end2, code < top1
+            # the place among the slots without the two predicted ids', then among all
+            q = (np.maximum(code - top1, 0) / (r * unit)).astype(np.int64)  # below 2^48: the quotient's floor is exact
+            w = q + n1 * (q >= s1 - n2 * (s2 < s1))
+            w += n2 * (w >= s2)
+            x = slot.take(base_s + np.minimum(w, top)).astype(np.int32)
+            e = span.take(base + x)
+            lo, width = end1 + unit * (q + (e >> 16) - w), unit * (e & 0xFFFF)
+            np.copyto(x, g1, where=in1)
+            np.copyto(x, g2, where=in2)
+            lo, width = np.where(in1, end2, lo), np.where(in1, end1 - end2, width)
+            code -= r * np.where(in2, 0, lo)
+            rng = r * np.where(in2, end2, width)
+            short = np.flatnonzero(rng < SMALL)
+            while len(short):
+                place = at[short]
+                code[short] = code[short] << 16 | flat[np.minimum(place, end)]
+                at[short] = place + lanes
+                rng[short] = x_rng = rng[short] << 16
+                short = short[(x_rng < SMALL) & (x_rng > 0)]
+            out[t] = x
+            m.w2[state] = q2 - (q2 >> RATE) + in2 * m.gain
+            m.w1[state] = q1 - (q1 >> RATE) + (in1 & ~in2) * m.gain
+            x16 = x << 4
+            t2[i2] = np.where(in2, np.minimum(c2 + 4, c2 | 12), x16 + 4)
+            t1[i1] = np.where(g1 == x, np.minimum(c1 + 1, c1 | 3), x16 + 1)
+            b, a = a, x.astype(np.int64)
+    return np.stack([u[out[:, k]] for k, u in enumerate(lists)]).astype(np.uint32)

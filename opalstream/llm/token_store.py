@@ -4,12 +4,12 @@ A shard is a file:
 
     OPALTOK1
     groups: number of blocks, ids per block (uint32 each); per block: bytes of code, crc32 of its ids
-            as little-endian uint16 (uint32 each); then the blocks' codes (range_coder)
+            as little-endian uint32 (uint32 each); then the blocks' codes (range_coder)
     document ids (int64; -2^63 for null), their numbers of ids (int64)
     footer: documents, ids, where the lists start (int64 each), crc32 of the lists (uint32), OPALTOK1
 
-all little-endian.  The last block of a shard is filled up with zeros.  A group of at most 1024 blocks is
-held in memory, no more; a damaged block fails its checksum and spoils no other.
+all little-endian.  Ids have up to 32 bits.  The last block of a shard is filled up with its last id.  A group of
+at most LANES blocks is held in memory, no more; a damaged block fails its checksum and spoils no other.
 
 Null and empty texts are one end id.  Rows that repeat a doc_id are ordered by a hash of their
 texts, null ids come first; very long texts run through as many blocks as they need.  An empty table gives no file, and an
@@ -36,7 +36,7 @@ from opalstream.llm.tokens import Encoder, vocabulary_path
 
 MAGIC = b"OPALTOK1"
 NO_ID = -(1 << 63)
-LANES, BLOCK, LEAST_BLOCK = 1024, 8192, 1024
+LANES, BLOCK, LEAST_BLOCK = 2048, 4096, 1024
 FOOTER = struct.Struct("<qqqI8s")
 
 
@@ -70,12 +70,12 @@ class Writer:
                 self._flush(LANES * BLOCK)
 
     def _flush(self, n: int) -> None:
-        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint16)
+        ids = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint32)
         now, self.parts = ids[:n], [ids[n:]]
         self.held = len(self.parts[0])
         # short blocks where there are few ids, so that many lanes go in step
         size = int(min(BLOCK, max(LEAST_BLOCK, -(-len(now) // 256))))
-        blocks = np.zeros((-(-len(now) // size), size), "<u2")
+        blocks = np.full((-(-len(now) // size), size), now[-1], "<u4")
         blocks.reshape(-1)[: len(now)] = now
         codes = encode(blocks)
         self.out.write(struct.pack("<II", len(blocks), size))
@@ -93,6 +93,13 @@ class Writer:
         self.fs.move(self.beside, self.path)
 
 
+def _decoded(codes: list[bytes], length: int, uri: str) -> np.ndarray:
+    try:
+        return decode(codes, length).astype("<u4")
+    except (ValueError, IndexError, struct.error) as e:
+        raise Damaged(f"a block's list of ids in {uri} is damaged") from e
+
+
 def read_file(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids before it in the file, ids) of each document, a group of blocks at a time."""
     from pyarrow import fs
@@ -125,7 +132,7 @@ def read_file(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                 return
             blocks, length = struct.unpack("<II", f.read(8))
             heads = np.frombuffer(f.read(8 * blocks), "<u4").reshape(-1, 2)
-            got = decode([f.read(int(n)) for n in heads[:, 0]], length).astype("<u2")
+            got = _decoded([f.read(int(n)) for n in heads[:, 0]], length, uri)
             for k, row in enumerate(got):
                 if zlib.crc32(row.tobytes()) != heads[k, 1]:
                     raise Damaged(f"block {k} of {uri} is damaged")
@@ -144,18 +151,15 @@ class Shard:
 def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, vocabulary: str | None = None) -> list[Shard]:
     """Writes the files, by ranges of doc_id; the driver gets a row per file."""
     light_batches(docs.sparkSession)
-    path = vocabulary or vocabulary_path()
+    path, end = vocabulary or vocabulary_path(), np.uint32(end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, writer, part = Encoder(path), None, TaskContext.get().partitionId()
         file = f"{folder}/tokens-{part:06d}.opt"
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.frombuffer(encoder.packed(text), "<u4")
-                if len(ids) and ids.max() > 65535:
-                    raise ValueError("ids of 16 bits are asked for")
+            for doc, ids in zip(pdf["doc_id"], encoder.batch(pdf["text"].tolist())):
                 writer = writer or Writer(file)
-                writer.add(None if pd.isna(doc) else int(doc), np.append(ids, end_id).astype("<u2"))
+                writer.add(None if pd.isna(doc) else int(doc), np.append(ids, end))
         if writer:
             writer.close()
             yield pd.DataFrame({"part": [part], "file": [file], "docs": [len(writer.ids)], "ids": [writer.total]})
