@@ -242,9 +242,9 @@ def test_range_coder_against_order_0_alone():
     lists = sum(len(range_coder.pack_sorted(np.unique(row))) for row in zipf)
     assert 8 * (sum(map(len, range_coder.encode(zipf))) - lists) < 1.1 * plain  # ids without any context to learn
     phrases = rng.integers(0, 50_000, (40, 7))
-    text = phrases[rng.integers(0, 40, (16, 200))].reshape(16, -1)  # each id follows from the two before, at phrases' ends from none
+    text = phrases[rng.integers(0, 40, (16, 600))].reshape(16, -1)  # each id follows from the two before, at phrases' ends from none
     coded = range_coder.encode(text)
-    assert (range_coder.decode(coded, text.shape[1]) == text).all() and 8 * sum(map(len, coded)) < 5 * text.size  # order 0 alone: 8 bits
+    assert (range_coder.decode(coded, text.shape[1]) == text).all() and 8 * sum(map(len, coded)) < 4 * text.size  # order 0 alone: 8 bits
 
 
 def test_blocks_stand_alone():
