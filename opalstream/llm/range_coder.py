@@ -65,31 +65,31 @@ class Mixer:
 
     def __init__(self, distinct: np.ndarray):
         lanes, self.most = len(distinct), int(distinct.max())
-        self.bits = self.most.bit_length() + (2 if self.most < 2048 else 1)  # log2 of order 0's slots
         self.distinct, lane = distinct.astype(np.int64), np.arange(lanes)
+        self.bits = np.frexp(distinct)[1].astype(np.int64) + np.where(distinct < 2048, 2, 1)  # log2 of a block's slots in order 0
         self.base, self.base_w = lane * (self.most + 1), lane * 32
         self.free = (1 << TOTAL) - (1 << self.bits)
         self.gain = (self.free >> RATE) - 4  # so that weights, rounded, never share out more than is free
         state = np.arange(32)
-        w2 = np.array(FIRST2, np.int64)[state >> 2 & 3] * self.free >> 16
-        w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free - w2) >> 16) * (state < 16)  # from 16 on both predict the same
-        self.w2, self.w1 = np.tile(w2, lanes), np.tile(w1, lanes)
+        w2 = np.array(FIRST2, np.int64)[state >> 2 & 3] * self.free[:, None] >> 16
+        w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free[:, None] - w2) >> 16) * (state < 16)  # from 16 on both predict the same
+        self.w2, self.w1 = w2.ravel(), w1.ravel()
         self.counts = np.zeros((lanes, self.most + 1), np.int64)
 
     def refresh(self, columns: np.ndarray) -> np.ndarray:
         """Adds ids (steps x blocks) to the counts and sets order 0 by them: the first slot << 16 | slots of each id."""
         if len(columns):
             self.counts += np.bincount((columns + self.base).ravel(), minlength=self.counts.size).reshape(self.counts.shape)
-        n, place = self.distinct[:, None], np.minimum(np.arange(self.most + 1), self.distinct[:, None])
+        n, all_, place = self.distinct[:, None], (1 << self.bits)[:, None], np.minimum(np.arange(self.most + 1), self.distinct[:, None])
         before = np.cumsum(self.counts, axis=1)
         seen = before[:, -1:].copy()
         before -= self.counts
         if seen[0, 0]:
             # one slot each, the others by counts: products of doubles, rounded alike everywhere, and exact at the end
-            start = (before * (((1 << self.bits) - n) / seen) + 2**-10).astype(np.int64)
+            start = (before * ((all_ - n) / seen) + 2**-10).astype(np.int64)
             start += place
         else:
-            start = (place << self.bits) // n
+            start = place * all_ // n
         self.slots = np.zeros_like(start)
         np.subtract(start[:, 1:], start[:, :-1], out=self.slots[:, :-1])
         start <<= 16
@@ -149,8 +149,8 @@ def encode(ids: np.ndarray) -> list[bytes]:
     c2, c1, columns = (np.empty((steps, lanes), np.int32) for _ in range(3))
     for at in range(0, lanes, 32):  # some blocks at a time stay in the cache
         y = x[at : at + 32]
-        a = np.concatenate([np.full((len(y), 1), m.most, y.dtype), y[:, :-1]], axis=1)
-        b = np.concatenate([np.full((len(y), 1), m.most, y.dtype), a[:, :-1]], axis=1).astype(np.int64)
+        a = np.concatenate([np.zeros((len(y), 1), y.dtype), y[:, :-1]], axis=1)
+        b = np.concatenate([np.zeros((len(y), 1), y.dtype), a[:, :-1]], axis=1).astype(np.int64)
         c2[:, at : at + 32], c1[:, at : at + 32] = _followers(y, context(a, b).astype(np.uint16)).T, _followers(y, a).T
         columns[:, at : at + 32] = y.T
     out = np.zeros((2 * steps + 4, lanes), np.int32)
@@ -223,9 +223,10 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
         words[k, : (len(c) - e) // 2] = np.frombuffer(c, "<u2", (len(c) - e) // 2, e)
     flat = np.ascontiguousarray(words.T).reshape(-1)
     m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
-    base, base_w, base2, base_s, bits, top = m.base, m.base_w, lane << CONTEXTS, lane << m.bits, m.bits, (1 << m.bits) - 1
+    base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits, (1 << m.bits) - 1
     t2, t1 = np.zeros(lanes << CONTEXTS, np.int32), np.zeros(lanes * (m.most + 1), np.int32)  # id << 4 | sureness, order 2's << 2
-    a, b = np.full(lanes, m.most, np.int64), np.full(lanes, m.most, np.int64)
+    base_s = np.cumsum(top + 1) - top - 1
+    a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     code = (flat[lane] << 32) | (flat[lane + lanes] << 16) | flat[lane + 2 * lanes]
     rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32), len(flat) - 1
     ends, done = refreshed(steps), 0
