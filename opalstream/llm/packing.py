@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.llm.common import light_batches
-from opalstream.llm.tokens import Encoder, vocabulary_path
+from opalstream.llm.tokens import encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -127,9 +127,9 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
     path, end = vocabulary or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer = Encoder(path), Packer(window, TaskContext.get().partitionId() << 32, block)
+        own, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 32, block)
         for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"], encoder.batch(pdf["text"].tolist())):
+            for doc, ids in zip(pdf["doc_id"], own.batch(pdf["text"].tolist())):
                 packer.add(None if pd.isna(doc) else int(doc), ids.astype("<u4").tobytes() + end)
                 if packer.size > 16_000_000:
                     yield packer.take()

@@ -124,21 +124,25 @@ def _places(ids: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return lists, out
 
 
-def _followers(x: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+def _followers(x: np.ndarray, ctx: np.ndarray, kind: type) -> np.ndarray:
     """Per place of each block: what followed last after the same context << 2 | sureness; blocks x steps."""
+    n = x.shape[1]
     order = np.argsort(ctx, axis=1, kind="stable")
-    ctx, x = np.take_along_axis(ctx, order, 1), np.take_along_axis(x, order, 1)
-    known = np.zeros(x.shape, bool)
-    known[:, 1:] = ctx[:, 1:] == ctx[:, :-1]
+    order += np.arange(0, x.size, n)[:, None]
+    order = order.ravel()
+    ctx, x = ctx.ravel().take(order), x.ravel().take(order)
+    known = np.zeros(len(x), bool)
+    np.equal(ctx[1:], ctx[:-1], out=known[1:])
+    known[::n] = False
     hit = known.copy()
-    hit[:, 1:] &= x[:, 1:] == x[:, :-1]
-    k = np.arange(x.shape[1], dtype=np.int32)
-    run = k - np.maximum.accumulate(np.where(hit, 0, k), axis=1)  # right in a row, up to here
-    out = np.zeros(x.shape, np.int32)
-    out[:, 1:] = np.where(known[:, 1:], x[:, :-1].astype(np.int32) << 2 | np.minimum(run[:, :-1] + 1, 3), 0)
+    hit[1:] &= x[1:] == x[:-1]
+    k = np.arange(len(x), dtype=np.int32)
+    run = k - np.maximum.accumulate(np.where(hit, 0, k))  # right in a row, up to here
+    out = np.zeros(len(x), kind)
+    out[1:] = np.where(known[1:], x[:-1].astype(kind) << 2 | np.minimum(run[:-1] + 1, 3).astype(kind), 0)
     back = np.empty_like(out)
-    np.put_along_axis(back, order, out, 1)
-    return back
+    back[order] = out
+    return back.reshape(-1, n)
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -146,12 +150,13 @@ def encode(ids: np.ndarray) -> list[bytes]:
     lanes, steps = ids.shape
     lists, x = _places(ids)
     m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
-    c2, c1, columns = (np.empty((steps, lanes), np.int32) for _ in range(3))
+    kind = np.uint16 if m.most < 1 << 14 else np.uint32
+    c2, c1, columns = (np.empty((steps, lanes), kind) for _ in range(3))
     for at in range(0, lanes, 32):  # some blocks at a time stay in the cache
         y = x[at : at + 32]
         a = np.concatenate([np.zeros((len(y), 1), y.dtype), y[:, :-1]], axis=1)
         b = np.concatenate([np.zeros((len(y), 1), y.dtype), a[:, :-1]], axis=1).astype(np.int64)
-        c2[:, at : at + 32], c1[:, at : at + 32] = _followers(y, context(a, b).astype(np.uint16)).T, _followers(y, a).T
+        c2[:, at : at + 32], c1[:, at : at + 32] = _followers(y, context(a, b).astype(np.uint16), kind).T, _followers(y, a, kind).T
         columns[:, at : at + 32] = y.T
     out = np.zeros((2 * steps + 4, lanes), np.int32)
     flat, low, rng, at = out.reshape(-1), np.zeros(lanes, np.int64), np.full(lanes, LOW_MASK, np.int64), lane.copy()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from opalstream.llm.common import light_batches, make_dir, new_path
 from opalstream.llm.range_coder import decode, encode
-from opalstream.llm.tokens import Encoder, vocabulary_path
+from opalstream.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"OPALTOK1"
 NO_ID = -(1 << 63)
@@ -154,10 +154,10 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = 2, vocabulary: str
     path, end = vocabulary or vocabulary_path(), np.uint32(end_id)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, writer, part = Encoder(path), None, TaskContext.get().partitionId()
+        own, writer, part = encoder(path), None, TaskContext.get().partitionId()
         file = f"{folder}/tokens-{part:06d}.opt"
         for pdf in batches:
-            for doc, ids in zip(pdf["doc_id"], encoder.batch(pdf["text"].tolist())):
+            for doc, ids in zip(pdf["doc_id"], own.batch(pdf["text"].tolist())):
                 writer = writer or Writer(file)
                 writer.add(None if pd.isna(doc) else int(doc), np.append(ids, end))
         if writer:

@@ -12,6 +12,7 @@ library.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Sequence
@@ -90,8 +91,6 @@ class Powers:
 
 
 class Encoder:
-    """One to a Python worker."""
-
     BITS, LIMIT, MOST_IDS, PORTION = 21, 1_000_000, 16_000_000, 1 << 20
 
     def __init__(self, path: str):
@@ -147,11 +146,12 @@ class Encoder:
 
     def _of_chunk(self, chunk: bytes) -> list[int]:
         word = chunk[1:] if chunk[0] == 32 else chunk
-        if word.isalpha() or word.isdigit():  # ASCII, one pre-token; its bytes are their own letters
-            return [t.id for t in self.model.tokenize((self.letters[32] if chunk[0] == 32 else "") + word.decode())]
+        text = word.decode()
+        if text.isalpha() or word.isdigit():  # one pre-token
+            return [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
         out = []
-        for piece in PRETOKEN.findall(chunk.decode("utf-8")):
-            out += [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
+        for piece in PRETOKEN.findall(chunk.decode()):
+            out += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         return out
 
     def _portion(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
@@ -221,3 +221,9 @@ class Encoder:
     def packed(self, text: str | None) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers."""
         return self.batch([text])[0].astype("<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The Python worker's, with what it remembers of tasks before."""
+    return Encoder(path)
