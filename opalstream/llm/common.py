@@ -11,18 +11,27 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
+    """This application's folder in spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset a temporary folder does for a driver that runs all tasks itself; on a cluster, executors
+    would not find each other's files, so it must be set there."""
     app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="opalstream-")
-    return _OWN_DIR[app]
+    if app not in _DIRS:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="opalstream-")
+        path = f"{where.rstrip('/')}/opalstream-{app}"
+        make_dir(spark, path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+        _DIRS[app] = path
+    return _DIRS[app]
+
+
+_DIRS: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -41,19 +50,20 @@ def make_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
 
-def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+def light_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Whole texts go to Python: batches of Spark's default of 10,000 rows would hold tens of MB several
-    times over, on both sides.  A value that the user has set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    times over, on both sides, and with very long texts far more.  Values that the user has set stay."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 class Tables:
     """Tables written to the shared folder to cut lineage; drop() deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.tag = spark, tag
+        self.spark, self.tag, self.written = spark, tag, []
         light_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +71,7 @@ class Tables:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._opal_path = path
+        self.written.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -68,6 +79,11 @@ class Tables:
             if t is not None and getattr(t, "_opal_path", None):
                 remove(self.spark, t._opal_path)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all tables written but these."""
+        self.drop(*(t for t in self.written if not any(t is k for k in tables)))
+        self.written = list(tables)
+
     def tidy(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to."""
         gc.collect()
