@@ -33,5 +33,7 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
             tables.drop(label, jump)
         tables.drop(edges, near)
         label, edges = new, fewer
+    else:
+        raise RuntimeError("links are left after 64 rounds, of which each halves the vertices at least")
     tables.drop(edges)
     return label if label is not None else spark.createDataFrame([], "v long, root long")

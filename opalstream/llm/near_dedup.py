@@ -6,27 +6,29 @@ and linked with nothing.  Documents with intersection * den >= num * union are l
 confirmed on full sets; a component is named by its smallest doc_id.
 
 How it is found.  Equal sets form a class; only a class's smallest doc_id goes on.
-1. `trees` independent trees branch the classes by `depth` selected minwise tokens each.  A linked
-   pair stays together in a tree with probability at least (num/den)^depth, and is missed by all of
-   them with (1 - (num/den)^depth)^trees: 1e-5 for 12 trees of depth 3 at 0.85, less for closer pairs.
-2. Nodes of at most `leaf` members are compared exhaustively by signature; pairs whose share of
-   equal minwise bytes is within 5 standard deviations of the threshold or above are confirmed.  A
-   first round confirms a star around each node's centre; pairs that are then in one component
-   need no more work; a second round confirms all others.
-3. A larger node, of groups of near copies, isn't compared pair by pair.  Its centre is the member
-   closest to the coordinate-wise mode of its signatures.  Each member's set is compared with the
-   centre's in full.  Members linked to it are connected.  A pair with at least one other member is
-   linked only if the members' differences from the centre share tokens: for |Du| + |Dy| - 2|Du & Dy|
-   is their distance.  So the node branches by the tokens of each difference's prefix, those that
-   aren't in the centre first; by the prefix filter's argument no linked pair is lost.  Children are
-   nodes in their turn, up to `levels` levels; what is then still large is compared block by block.
+1. `trees` independent trees branch the classes: a tree's root branches by its first minwise token, a
+   node of more than `leaf` members by the next one, down to `depth` tokens; nodes of fewer members are
+   leaves where they are, singles are done with.  A linked pair stays together in a tree with probability
+   (num/den) a branching, so it is missed by all of them with (1 - (num/den)^depth)^trees at most: 1e-5
+   for 12 trees of depth 3 at 0.85, less for closer pairs and smaller nodes.
+2. Leaves are compared exhaustively by signature; pairs whose share of equal minwise bytes is within 5
+   standard deviations of the threshold or above are confirmed.  A first round confirms a star around
+   each node's centre; pairs that are then in one component need no more work; a second round confirms
+   all others.
+3. A node that is still larger at the last branching holds groups of near copies, which minwise tokens
+   hardly part.  Its centre is the member closest to the coordinate-wise mode of its signatures.  Each
+   member's set is compared with the centre's in full.  Members linked to it are connected.  A pair with at
+   least one other member is linked only if the members' differences from the centre share tokens: for
+   |Du| + |Dy| - 2|Du & Dy| is their distance.  So the node branches on by the tokens of each difference's
+   prefix, those that aren't in the centre first; by the prefix filter's argument no linked pair is lost.
+   Children are nodes in their turn, without the centre, until all are leaves.
 
 Tables in between are small rows: ids, 128-byte signatures, and full sets only of members of nodes
 (found in the second pass over the texts by a bit table of fixed size; false hits cost nothing but
 work).  No list of pairs of a large group is made, and nothing but that bit table is broadcast.
 
 Null texts are as empty ones.  Rows that repeat a doc_id are one document's: whatever one of them is
-linked with, all are.  A null doc_id never names a component.  An empty table gives an empty one.
+linked with, all are.  A null doc_id never names a component; ids are below 2^62.  An empty table gives an empty one.
 Other columns of any name are not read.
 """
 
@@ -55,7 +57,6 @@ class Near:
     trees: int = 12
     depth: int = 3
     leaf: int = 128
-    levels: int = 3
     deviations: float = 5
     once: bool = False  # emit a pair only in the first small tree node that its members share; more to ship, fewer pairs
     bits: int = 23  # log2 of the bit table's bits: 1 MB
@@ -87,25 +88,36 @@ def _child_path(*cols) -> Column:
     return F.xxhash64(*cols).bitwiseOR(int(_TREE))
 
 
+def _tree_path(tree: Column, *cols) -> Column:
+    return F.xxhash64(tree, *cols).bitwiseAND(~int(_TREE)).bitwiseOR(tree.cast("long"))
+
+
+def _nameless(digest: bytes) -> int:
+    """Stands for the class of a set of which all doc_ids are null: a number beyond all ids."""
+    return NAMELESS + int.from_bytes(digest[:7], "little")
+
+
+NAMELESS = 1 << 62
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def _sketch(cfg: Near):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, (xor, mul) = WordHash(), _family(cfg.coordinates)
-        salt = mix(np.arange(100, 100 + cfg.trees, dtype=np.uint64))
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 h = shingle_hashes(words.of(lower_words(text)), cfg.shingle)
                 if not len(h):
-                    rows.append((doc, 0, None, None, None))
+                    rows.append((doc, 0, None, None, None, None))
                     continue
-                low = minwise(h, xor, mul)
-                path = salt.copy()
-                for d in range(cfg.depth):
-                    path = mix(path ^ low[d * cfg.trees : (d + 1) * cfg.trees].astype(np.uint64))
+                low, digest = minwise(h, xor, mul), _digest(h)
                 sig = (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
-                path = path & ~_TREE | np.arange(cfg.trees, dtype=np.uint64)
-                rows.append((doc, len(h), xxhash.xxh3_128_digest(h.tobytes()), sig, path.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "sig", "paths"]).astype({"doc_id": "Int64"})
+                rows.append((doc, len(h), digest, _nameless(digest), sig, low[: cfg.depth * cfg.trees].view(np.int32)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "alt", "sig", "tokens"]).astype({"doc_id": "Int64", "alt": "Int64"})
 
     return sketch
 
@@ -194,9 +206,12 @@ def _sets(cfg: Near, table):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, bits = WordHash(), table.value
         for pdf in batches:
-            bit = pdf["bit"].to_numpy()
-            hit = pdf[(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
-            rows = [(doc, shingle_hashes(words.of(lower_words(text)), cfg.shingle).tobytes()) for doc, text in zip(hit["doc_id"], hit["text"])]
+            named = pdf["doc_id"].notna().to_numpy()
+            bit = pdf["bit"].fillna(0).to_numpy(np.int64)
+            rows, hit = [], ~named | (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            for doc, text in zip(pdf["doc_id"].to_numpy()[hit], pdf["text"].to_numpy()[hit]):
+                h = shingle_hashes(words.of(lower_words(text)), cfg.shingle)
+                rows.append((_nameless(_digest(h)) if pd.isna(doc) else int(doc), h.tobytes()))
             yield pd.DataFrame(rows, columns=["rep", "set"]).astype({"rep": "int64"})
 
     return sets
@@ -260,7 +275,7 @@ class Join:
         self.spark, self.cfg, self.t = docs.sparkSession, cfg, Tables(docs.sparkSession, "near")
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def sized(self, nodes: DataFrame, name: str, extra: str = "true") -> DataFrame:
+    def sized(self, nodes: DataFrame, name: str) -> DataFrame:
         """nodes (path, rep, u) with their size, those of one member and those without a u left out."""
         size = self.t.write(nodes.groupBy("path").agg(F.count("*").alias("size"), F.max("u").alias("any_u")).filter("size > 1 and any_u").select("path", "size"), f"{name}-sizes")
         return self.t.write(nodes.join(size, "path").select("path", "rep", "size"), name)
@@ -291,7 +306,7 @@ class Join:
         table = np.zeros(1 << self.cfg.bits - 5, np.uint32)
         table[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
         sent = self.spark.sparkContext.broadcast(table.view(np.uint8))
-        rows = self.docs.filter("doc_id is not null").select("doc_id", "text", bit(F.col("doc_id")).alias("bit"))
+        rows = self.docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), bit(F.col("doc_id"))).alias("bit"))
         return self.t.write(rows.mapInPandas(_sets(self.cfg, sent), "rep long, set binary"), "sets")
 
     def centres(self, big: DataFrame) -> DataFrame:
@@ -335,36 +350,42 @@ class Join:
         home = F.coalesce(F.transform(F.sequence(F.lit(0), F.lit(self.cfg.trees - 1)), of), none)
         return self.t.write(self.classes.select("rep", "sig").join(small, "rep", "left").select("rep", "sig", home.alias("home")), "members")
 
-    def blocks(self, nodes: DataFrame) -> DataFrame:
-        """What is still large after the last level: every pair of blocks of half a leaf is a small node."""
-        half = self.cfg.leaf // 4
-        n = F.expr(f"cast(ceil(size / {half}) as int)")
-        mine = nodes.withColumn("n", n).withColumn("k", F.pmod(F.xxhash64("rep", "path"), F.col("n")).cast("int"))
-        other = mine.select("path", "rep", "k", F.explode(F.expr("sequence(0, n - 1)")).alias("o"))
-        return other.select(_child_path("path", F.least("k", "o"), F.greatest("k", "o")).alias("path"), "rep")
+    def trees(self) -> list[DataFrame]:
+        """Nodes (path, rep, size) of two members or more, a table for each branching; those of more than a leaf's
+        members are branched again in the next."""
+        cfg, out = self.cfg, []
+        rows = self.classes.select("rep", F.posexplode(F.slice("tokens", 1, cfg.trees)).alias("tree", "token"))
+        rows = rows.select(_tree_path(F.col("tree"), F.col("token")).alias("path"), "rep", F.lit(True).alias("u"))
+        for level in range(1, cfg.depth + 1):
+            out.append(self.sized(rows, f"nodes{level}"))
+            large = out[-1].filter(f"size > {cfg.leaf}")
+            if level == cfg.depth or large.isEmpty():
+                break
+            tree = F.col("path").bitwiseAND(int(_TREE))
+            token = F.element_at("tokens", (tree + level * cfg.trees + 1).cast("int"))
+            rows = large.join(self.classes.select("rep", "tokens"), "rep").select(_tree_path(tree, F.col("path"), token).alias("path"), "rep", F.lit(True).alias("u"))
+        return out
 
     def run(self) -> DataFrame:
         cfg, t = self.cfg, self.t
-        sketches = t.write(self.docs.mapInPandas(_sketch(cfg), "doc_id long, n long, digest binary, sig binary, paths array<long>"), "sketches")
-        named = sketches.filter("digest is not null").select("digest", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "sig", "paths").alias("x"))
-        classes = named.groupBy("digest").agg(F.min("x").alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.sig", "x.paths")
+        sketches = t.write(self.docs.mapInPandas(_sketch(cfg), "doc_id long, n long, digest binary, alt long, sig binary, tokens array<int>"), "sketches")
+        named = sketches.filter("digest is not null").select("digest", F.struct(F.coalesce("doc_id", "alt").alias("doc_id"), "sig", "tokens").alias("x"))
+        classes = named.groupBy("digest").agg(F.min("x").alias("x")).select("digest", F.col("x.doc_id").alias("rep"), "x.sig", "x.tokens")
         self.classes = t.write(classes, "classes")
-        nodes = self.classes.select(F.explode("paths").alias("path"), "rep", F.lit(True).alias("u"))
-        nodes = self.sized(nodes, "nodes")
-        self.sets = self.full_sets(nodes.select("rep").distinct())
+        levels = self.trees()
+        last = levels[-1].filter(f"size > {cfg.leaf}") if len(levels) == cfg.depth else levels[-1].filter("false")
+        leaves, links = levels[0].filter(f"size <= {cfg.leaf}"), None
+        for nodes in levels[1:]:
+            leaves = leaves.union(nodes.filter(f"size <= {cfg.leaf}"))
+        self.sets = self.full_sets(leaves.union(last).select("rep").distinct())
         t.tidy()
-        self.members = self.with_homes(nodes) if cfg.once else self.classes.select("rep", "sig")
-        leaves, links = nodes.filter(f"size <= {cfg.leaf}").select("path", "rep"), None
-        large = nodes.filter(f"size > {cfg.leaf}")
-        for level in range(cfg.levels):
-            if large.isEmpty():
-                break
+        self.members = self.with_homes(leaves) if cfg.once else self.classes.select("rep", "sig")
+        leaves, large, level = leaves.select("path", "rep"), last, 0
+        while not large.isEmpty():
             more, children = self.branch(large, level)
             links = more if links is None else links.union(more)
             leaves = leaves.union(children.filter(f"size <= {cfg.leaf}").select("path", "rep"))
-            large = children.filter(f"size > {cfg.leaf}")
-        if not large.isEmpty():
-            leaves = leaves.union(self.blocks(large))
+            large, level = children.filter(f"size > {cfg.leaf}"), level + 1
         label = components(links, t) if links is not None else None
         first = self.confirmed(self.grouped(leaves, label).mapInArrow(_candidates(cfg, True), "a long, b long"), "first")
         links = first if links is None else links.union(first)
@@ -372,13 +393,12 @@ class Join:
         rest = self.confirmed(self.grouped(leaves, label).mapInArrow(_candidates(cfg, False), "a long, b long"), "rest")
         if not rest.isEmpty():
             label = components(links.union(rest), t)
-        t.drop(self.sets)
         root = self.classes.select("digest", "rep").join(label.select(F.col("v").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
         root = t.write(root, "roots")
+        t.keep(sketches, root)
         out = sketches.select("doc_id", "n", "digest").join(root, "digest", "left")
         out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-        last = F.lit((1 << 63) - 1)  # the name of a class of which all doc_ids are null
-        out = out.withColumn("component_id", F.when(F.col("component_id") < last, F.col("component_id")))
+        out = out.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
         return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
@@ -391,11 +411,12 @@ def drop_near_duplicates(docs: DataFrame, cfg: Near | None = None) -> DataFrame:
     """The rows of docs, all columns as they are, that name their component; of rows that repeat a doc_id one
     stays.  Rows without a doc_id stay, as nothing can name them."""
     tables = Tables(docs.sparkSession, "near")
-    out = near_duplicates(docs, cfg)
-    gone = tables.write(out.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    stay = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    again = tables.write(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("rows")).filter("rows > 1").select("again"), "again")
+    # a row goes along as one struct, so that no name of its columns meets one used here
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.doc_id").alias("id"))
+    gone = tables.write(near_duplicates(docs, cfg).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    stay = rows.join(gone, "id", "left_anti")
+    again = tables.write(rows.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "again")
     if again.isEmpty():
-        return stay
-    same = F.col("doc_id") == F.col("again")
-    return stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+        return stay.select("doc.*")
+    once = stay.join(again, "id", "left_semi").groupBy("id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return stay.join(again, "id", "left_anti").select("doc.*").unionByName(once.select("doc.*"))

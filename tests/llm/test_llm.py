@@ -190,7 +190,7 @@ def brute_components(rows, k, num, den):
     return {rows[i][0]: (len(sets[i]), min((x for x in groups[find(i)] if x is not None), default=None)) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("cfg", [near_dedup.Near(), near_dedup.Near(leaf=4, levels=1), near_dedup.Near(shingle=5, num=80, leaf=8), near_dedup.Near(leaf=6, levels=2, trees=16, coordinates=256, once=True)])
+@pytest.mark.parametrize("cfg", [near_dedup.Near(), near_dedup.Near(leaf=4, depth=1), near_dedup.Near(shingle=5, num=80, leaf=8), near_dedup.Near(leaf=6, depth=2, trees=16, coordinates=256, once=True)])
 def test_near_dedup(docs, rows, cfg):
     want = brute_components(rows, cfg.shingle, cfg.num, cfg.den)
     got = near_dedup.near_duplicates(docs, cfg).collect()
