@@ -11,9 +11,10 @@ open a turn; in roles backslashes and line ends are escaped.
 
 Turns are ordered by turn, then role and text, nulls first; repeated rows are turns of their own.
 Null roles and texts are empty; a null conv_id is a conversation of its own.  Conversations are
-rendered in blocks of `block` turn numbers, each on its own, and a block of more than `most` characters
-in parts of whole turns, so that one of any length is shared among tasks; tokens never cross the
-marks at a part's ends.  An empty table gives an empty one.  Other columns of any name are not read.
+rendered in blocks of `block` turn numbers, and a block of more than `most` characters in parts of whole
+turns, so that one of any length is shared among tasks.  Parts end after a turn's line end, which is a
+pre-token of its own, so their ids, spans and masks laid end to end are those of the whole conversation
+encoded once.  An empty table gives an empty one.  Other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalstream.llm.common import light_batches
 from opalstream.llm.tokens import vocabulary_path
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -77,24 +79,31 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def read_loss(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
-    """The texts under the mask: the masked tokens' spans, cut to the turn they meet, joined and unescaped."""
-    s, e, out = starts[mask], ends[mask], []
-    for role, _, a, b in read_turns(formatted):
-        i, j = np.searchsorted(e, a, side="right"), np.searchsorted(s, b, side="left")
-        if role != "assistant" or i >= j:
-            continue
-        piece, at = [], a
-        for x, y in zip(np.maximum(s[i:j], a), np.minimum(e[i:j], b)):
-            if y > at:
-                piece.append(formatted[max(x, at) : y])
-                at = y
-        out.append(unescape("".join(piece)))
-    return out
+    """What is under the mask, by the mask alone: of each masked token's span the part within a turn's text, of
+    whatever role, joined by turn and unescaped; all of a token that lies outside of any text."""
+    s, e = starts[mask], ends[mask]
+    texts = np.array([(a, b) for _, _, a, b in read_turns(formatted) if a < b], np.int64).reshape(-1, 2)
+    k = np.searchsorted(texts[:, 1], s, side="right")
+    inside = k < len(texts)
+    inside[inside] = texts[k[inside], 0] < e[inside]
+    out, last, at = [], None, 0
+    for x, y, k, within in zip(s.tolist(), e.tolist(), k.tolist(), inside.tolist()):
+        turn = k if within else None
+        if within:
+            x, y = max(x, int(texts[k, 0])), min(y, int(texts[k, 1]))
+        if not within or turn != last or not out:
+            out.append([])
+        if y > (x := max(x, at)):
+            out[-1].append(formatted[x:y])
+            at = y
+        last = turn
+    return [unescape("".join(p)) for p in out]
 
 
 def format_chats(chats: DataFrame, block: int = 256, most: int = 1_000_000, vocabulary: str | None = None) -> DataFrame:
     """One row per part: conv_id, block, part, formatted, ids, starts, ends (characters), mask."""
     path = vocabulary or vocabulary_path()
+    light_batches(chats.sparkSession)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
@@ -109,12 +118,16 @@ def format_chats(chats: DataFrame, block: int = 256, most: int = 1_000_000, voca
             return (*key, part, text, e.ids, at[:, 0], at[:, 1], loss_mask(at[:, 0], at[:, 1], spans))
 
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for conv, b, role, text in zip(pdf["conv_id"], pdf["block"], pdf["role"], pdf["text"]):
                 k = (None if pd.isna(conv) else int(conv), None if pd.isna(b) else int(b))
                 if k != key or size > most:
                     if key is not None:
                         rows.append(done())
+                        held += size
+                    if held > 4_000_000:
+                        yield pd.DataFrame(rows, columns=_NAMES).astype({"conv_id": "Int64", "block": "Int64"})
+                        rows, held = [], 0
                     part = part + 1 if k == key else 0
                     key, turns, size = k, [], 0
                 turns.append((role, text))
