@@ -1,12 +1,14 @@
 """Quality rules: document statistics, fixed base rules and robust multivariate outliers.
 
 Each text gives counts and a vector of transformed statistics.  For every (language, source)
-group the minimum-covariance-determinant estimate of the vectors' location and scatter is
-found by concentration steps: from medians and median absolute deviations, keep the share
-SUPPORT of the rows with the smallest Mahalanobis distances, estimate anew, repeat.  A row is
-rejected if its squared distance exceeds the cutoff.  Groups with fewer than min_rows rows are
-pooled by language, what is then still small into one pool; a pool that is small gives no verdict
-(its rows are kept unless a base rule fails).
+group the minimum-covariance-determinant estimate of the vectors' location and scatter is found by
+concentration steps: keep the share SUPPORT of the rows with the smallest Mahalanobis distances, estimate
+anew, repeat.  Three deterministic starts (median absolute deviations alone, with the correlations of
+tanh scores, with those of spatial signs) take two steps each; the one of smallest determinant goes on until
+its determinant falls no further, and the smallest met is kept.  A row is rejected if its squared distance
+exceeds the cutoff.  Rows of groups of fewer than min_rows rows are judged by the estimate over all rows of
+their language, or of all languages where that has fewer too; `judged_by` says which ("group", "language",
+"all", or "none" in a table of fewer than min_rows rows, whose rows are kept unless a base rule fails).
 
 All rows count in every step; a step moves one row of sums per group and task, so a group that
 holds a third of all rows costs no more than others.  Estimates are joined by key, broadcast only
@@ -34,7 +36,10 @@ SPACES = " \t\n\r\x0b\f"
 FEATURES = ("word_length", "symbols", "capitals", "marks", "repeats", "same_lines")
 #: Least standard deviation of each feature, so that one which is constant in most rows stays regular.
 LEAST_SD = (0.06, 0.03, 0.06, 0.025, 0.06, 0.12)
-SUPPORT, STEPS, MIN_ROWS, BROADCAST_GROUPS = 0.75, 3, 40, 20_000
+SUPPORT, MIN_ROWS, BROADCAST_GROUPS = 0.75, 40, 20_000
+STARTS, FIRST_STEPS, MOST_STEPS = 3, 2, 40
+#: A log determinant that falls by less than this has settled: quantiles are found to a thousandth.
+SETTLED = 1e-3
 #: Share of clean rows beyond the cutoff if they were normal; far out, as real ones have longer tails.
 TAIL = 1e-9
 STATS = "n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,x:array<double>"
@@ -124,24 +129,53 @@ def _distance(d: int) -> Column:
     return total
 
 
+def _matrix(upper: np.ndarray, d: int) -> np.ndarray:
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = upper
+    return np.triu(out) + np.triu(out, 1).T
+
+
+def regular(sd: np.ndarray, cor: np.ndarray, least_sd: np.ndarray) -> tuple[list[float], float]:
+    """Precision (row by row) and log determinant of a scatter, kept away from singular."""
+    wide = np.maximum(sd, least_sd)
+    cov = (cor * 0.95 + 0.05 * np.eye(len(sd))) * np.outer(wide, wide)
+    return np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+ESTIMATE = "k string, start int, n long, mean array<double>, precision array<double>, logdet double"
+
+
+def _first(least_sd: tuple[float, ...]):
+    """Medians, deviations and sums of products of scores to the starts."""
+    d = len(least_sd)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                sd, (tanh, sign) = np.array(r.sd, float), (_matrix(np.array(x, float), d) for x in (r.tanh, r.sign))
+                for i, c in enumerate((np.eye(d), tanh, sign)):
+                    own = np.sqrt(np.maximum(np.diag(c), 1e-300))
+                    rows.append((r.k, i, int(r.n), list(r.mean), regular(sd, c / np.outer(own, own), np.array(least_sd))[0], math.inf))
+            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet"])
+
+    return first
+
+
 def _solve(least_sd: tuple[float, ...]):
     """Rows of sums to rows of estimates."""
     d = len(least_sd)
-    ridge = np.square(least_sd)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 n, s = r.n, np.array(r.s, float)
-                mean, cov = s[:d] / n, np.zeros((d, d))
-                cov[np.triu_indices(d)] = s[d:] / n
-                cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+                mean = s[:d] / n
+                cov = _matrix(s[d:] / n, d) - np.outer(mean, mean)
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-                cor = cov / np.outer(sd, sd)
-                wide = np.sqrt(np.maximum(sd**2, ridge))
-                rows.append((r.k, int(n), mean.tolist(), np.linalg.inv((cor * 0.95 + 0.05 * np.eye(d)) * np.outer(wide, wide)).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["k", "n", "mean", "precision"])
+                rows.append((r.k, r.start, int(n), mean.tolist(), *regular(sd, cov / np.outer(sd, sd), np.array(least_sd))))
+            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet"])
 
     return solve
 
@@ -150,40 +184,91 @@ def _with(rows: DataFrame, table: DataFrame, on: str, how: str, groups: int) ->
     return rows.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, on, how)
 
 
-def fit(spark: SparkSession, rows: DataFrame, tables: Tables, least_sd=LEAST_SD, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """rows (g, lang, x) to estimates (k, mean, precision, scale), keys (g, k) and the number of groups."""
-    d = len(least_sd)
+def _quantile(c: Column, p: float) -> Column:
+    return F.percentile_approx(c, F.lit(p), F.lit(1000))
+
+
+def _keys(rows: DataFrame, tables: Tables, min_rows: int) -> DataFrame:
+    """g, k (the estimate that judges the group), judged_by, and ks: all estimates its rows go into."""
     counts = tables.write(rows.groupBy("g").agg(F.count("*").alias("n"), F.first("l").alias("l")), "counts")
-    small = counts.filter(F.col("n") < min_rows).groupBy("l").agg(F.sum("n").alias("pool"))
-    keys = counts.join(small, "l", "left").select(
-        "g", F.when(F.col("n") >= min_rows, F.col("g")).when(F.col("pool") >= min_rows, F.concat("l", F.lit("\x02"))).otherwise(F.lit("\x02")).alias("k")
-    )
-    keys = tables.write(keys, "keys")
-    groups = keys.count()
-    of = tables.write(_with(rows, keys, "g", "inner", groups).select("k", "x"), "vectors")
-    pct = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
-    mid = tables.write(of.groupBy("k").agg(F.count("*").alias("n"), F.array(*[pct(F.col("x")[i], 0.5) for i in range(d)]).alias("mean")).filter(F.col("n") >= min_rows), "medians")
-    mad = [F.greatest(F.lit(least_sd[i]), 1.4826 * pct(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5)) for i in range(d)]
-    flat = [F.pow(F.col(f"s{i}"), -2) if i == j else F.lit(0.0) for i in range(d) for j in range(d)]
-    est = tables.write(
-        _with(of, mid, "k", "inner", groups).groupBy("k").agg(F.first("mean").alias("mean"), *[mad[i].alias(f"s{i}") for i in range(d)]).select("k", "mean", F.array(*flat).alias("precision")), "start"
-    )
+    n, small = F.col("n"), F.col("n") < min_rows
+    langs = counts.groupBy("l").agg(F.sum("n").alias("ln"), F.max(small).alias("some_small"))
+    all_ = langs.agg(F.coalesce(F.sum("ln"), F.lit(0)).alias("total"), F.coalesce(F.max(F.col("some_small") & (F.col("ln") < min_rows)), F.lit(False)).alias("any_small"))
+    out = counts.join(langs, "l").crossJoin(F.broadcast(all_))  # one row
+    lang, whole = F.concat("l", F.lit("\x02")), F.lit("\x02")
+    by = F.when(n >= min_rows, "group").when(F.col("ln") >= min_rows, "language").when(F.col("total") >= min_rows, "all").otherwise("none")
+    k = F.when(by == "group", F.col("g")).when(by == "language", lang).when(by == "all", whole)
+    into = F.array(F.when(~small, F.col("g")), F.when(F.col("some_small") & (F.col("ln") >= min_rows), lang), F.when(F.col("any_small") & (F.col("total") >= min_rows), whole))
+    out = tables.write(out.select("g", k.alias("k"), by.alias("judged_by"), F.array_compact(into).alias("ks")), "keys")
+    tables.drop(counts)
+    return out
+
+
+def _starts(of: DataFrame, tables: Tables, groups: int, least_sd: tuple[float, ...]) -> DataFrame:
+    d = len(least_sd)
+    mid = tables.write(of.groupBy("k").agg(F.count("*").alias("n"), F.array(*[_quantile(F.col("x")[i], 0.5) for i in range(d)]).alias("mean")), "medians")
+    with_mid = _with(of, mid, "k", "inner", groups)
+    mad = [F.greatest(F.lit(least_sd[i]), 1.4826 * _quantile(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5)) for i in range(d)]
+    spread = tables.write(with_mid.groupBy("k").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.array(*mad).alias("sd")), "deviations")
+    z = [(F.col("x")[i] - F.col("mean")[i]) / F.col("sd")[i] for i in range(d)]
+    size = F.greatest(F.lit(1e-9), F.sqrt(sum((v * v for v in z), F.lit(0.0))))
+    scored = _with(of, spread, "k", "inner", groups).select("k", "n", "mean", "sd", F.array(*[F.tanh(v) for v in z]).alias("t"), F.array(*[v / size for v in z]).alias("u"))
+    products = lambda c: F.array(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(d) for j in range(i, d)])
+    sums = scored.groupBy("k").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), products("t").alias("tanh"), products("u").alias("sign"))
+    est = tables.write(sums.mapInPandas(_first(least_sd), ESTIMATE), "start")
+    tables.drop(mid, spread)
+    return est
+
+
+def concentrate(of: DataFrame, est: DataFrame, tables: Tables, groups: int, least_sd: tuple[float, ...], name: str) -> DataFrame:
+    """One step of each estimate: from its nearest rows."""
+    d, by = len(least_sd), ["k", "start"]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    for step in range(STEPS):
-        near = _with(of, est, "k", "inner", groups).select("k", "x", _distance(d).alias("dist"))
-        cut = tables.write(near.groupBy("k").agg(pct(F.col("dist"), SUPPORT).alias("cut")), f"cut{step}")
-        sums = _with(near, cut, "k", "inner", groups).filter(F.col("dist") <= F.col("cut")).groupBy("k")
-        sums = sums.agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"a{i}") for i in range(d)], *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"b{i}_{j}") for i, j in pairs])
-        sums = sums.select("k", "n", F.array(*[f"a{i}" for i in range(d)], *[f"b{i}_{j}" for i, j in pairs]).alias("s"))
-        est = tables.write(sums.mapInPandas(_solve(least_sd), "k string, n long, mean array<double>, precision array<double>"), f"step{step}")
+    near = _with(of, est.select(*by, "mean", "precision"), "k", "inner", groups).select(*by, "x", _distance(d).alias("dist"))
+    cut = tables.write(near.groupBy(*by).agg(_quantile(F.col("dist"), SUPPORT).alias("cut")), f"cut{name}")
+    sums = _with(near, cut, by, "inner", groups).filter(F.col("dist") <= F.col("cut")).groupBy(*by)
+    sums = sums.agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(d)], *[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).alias("s"))
+    out = tables.write(sums.mapInPandas(_solve(least_sd), ESTIMATE), f"step{name}")
+    tables.drop(cut)
+    return out
+
+
+def fit(spark: SparkSession, rows: DataFrame, tables: Tables, least_sd=LEAST_SD, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """rows (g, l, x) to estimates (k, mean, precision, logdet, scale), keys (g, k, judged_by) and the number of groups."""
+    keys = _keys(rows, tables, min_rows)
+    groups = keys.count()
+    of = tables.write(_with(rows, keys, "g", "inner", groups).select(F.explode("ks").alias("k"), "x"), "vectors")
+    est = _starts(of, tables, groups, least_sd)
+    for i in range(FIRST_STEPS):
+        est, old = concentrate(of, est, tables, groups, least_sd, f"first{i}"), est
+        tables.drop(old)
+    order = F.struct("logdet", "start")
+    lowest = tables.write(est.groupBy("k").agg(F.min_by(F.struct(*est.columns), order).alias("e")).select("e.*"), "lowest")
+    tables.drop(est)
+    done, open_ = [], lowest  # estimates that have settled, and those that may still fall
+    for i in range(MOST_STEPS):
+        new = concentrate(_with(of, open_.select("k"), "k", "left_semi", groups), open_, tables, groups, least_sd, str(i))
+        both = _with(open_, new.select("k", F.struct(*new.columns).alias("new")), "k", "inner", groups)
+        falls = F.col("new.logdet") < F.col("logdet") - SETTLED
+        done.append(both.filter(~falls).select(*open_.columns))
+        open_ = both.filter(falls).select("new.*")
+        if open_.isEmpty():
+            break
+        open_ = tables.write(open_, f"open{i}")
+    for x in done[1:]:
+        done[0] = done[0].unionByName(x)
+    est = tables.write(done[0] if open_.isEmpty() else done[0].unionByName(open_), "settled")
     # the scale that makes the median distance that of a chi-squared one, never below 1
+    d = len(least_sd)
     near = _with(of, est, "k", "inner", groups).select("k", _distance(d).alias("dist"))
-    scale = tables.write(near.groupBy("k").agg(F.greatest(F.lit(1.0), pct(F.col("dist"), 0.5) / chi2_quantile(0.5, d)).alias("scale")), "scale")
-    return tables.write(_with(est, scale, "k", "inner", groups), "estimates"), keys, groups
+    scale = tables.write(near.groupBy("k").agg(F.greatest(F.lit(1.0), _quantile(F.col("dist"), 0.5) / chi2_quantile(0.5, d)).alias("scale")), "scale")
+    out = tables.write(_with(est, scale, "k", "inner", groups), "estimates")
+    tables.drop(of, est, scale)
+    return out, keys.select("g", "k", "judged_by"), groups
 
 
 def judge(rows: DataFrame, est: DataFrame, keys: DataFrame, groups: int, tail: float = TAIL) -> DataFrame:
-    """rows (g, x, ...) with k, distance2 (null without an estimate) and outlier."""
+    """rows (g, x, ...) with k, judged_by, distance2 (null without an estimate) and outlier."""
     d = len(FEATURES)
     rows = _with(_with(rows, keys, "g", "left", groups), est.select("k", "mean", "precision", "scale"), "k", "left", groups)
     rows = rows.withColumn("distance2", _distance(d) / F.col("scale"))
@@ -196,13 +281,13 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the base counts, base_failed, distance2, kept."""
+    """Per row of docs: doc_id, the base counts, base_failed, kept, distance2, judged_by."""
     tables = Tables(docs.sparkSession, "quality")
     rows = tables.write(_vectors(docs).select("doc_id", "g", "l", "s.*"), "stats")
     est, keys, groups = fit(docs.sparkSession, rows, tables)
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = judge(rows, est, keys, groups).withColumn("base_failed", bad)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"), "distance2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"), "distance2", "judged_by")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
