@@ -11,8 +11,9 @@ How it is found.  Equal sets form a class; only a class's smallest doc_id goes o
    leaves where they are, singles are done with.  A linked pair stays together in a tree with probability
    (num/den) a branching, so it is missed by all of them with (1 - (num/den)^depth)^trees at most: 1e-5
    for 12 trees of depth 3 at 0.85, less for closer pairs and smaller nodes.
-2. Leaves are compared exhaustively by signature; pairs whose share of equal minwise bytes is within 5
-   standard deviations of the threshold or above are confirmed.  A first round confirms a star around
+2. Leaves are compared exhaustively by signature; a pair is likely if its share of equal minwise bytes is
+   within 5 standard deviations of the threshold or above.  Members without a likely partner are done with;
+   the other pairs are confirmed.  A first round confirms a star around
    each node's centre; pairs that are then in one component need no more work; a second round confirms
    all others.
 3. A node that is still larger at the last branching holds groups of near copies, which minwise tokens
@@ -202,6 +203,30 @@ def _candidates(cfg: Near, star: bool):
     return pairs
 
 
+def _likely(cfg: Near):
+    """Nodes (m: rep, sig) to their members that have a likely partner there."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, m = _lists(batch, "m")
+            if not len(m):
+                continue
+            sigs, has = _signatures(m.field("sig"), cfg.coordinates), np.zeros(len(m), bool)
+            sizes = np.diff(starts)
+            for s in np.unique(sizes[sizes >= 2]):
+                at = starts[:-1][sizes == s]
+                x, y = np.triu_indices(s, 1)
+                step = max(1, 20_000 // len(x))
+                for g in range(0, len(at), step):
+                    i, j = (at[g : g + step, None] + x).ravel(), (at[g : g + step, None] + y).ravel()
+                    ok = (sigs[i] == sigs[j]).mean(axis=1) >= cfg.likely
+                    has[i[ok]] = has[j[ok]] = True
+            paths = np.repeat(_column(batch, "path"), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(paths[has], pa.int64()), m.field("rep").filter(pa.array(has))], ["path", "rep"])
+
+    return likely
+
+
 def _sets(cfg: Near, table):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, bits = WordHash(), table.value
@@ -344,7 +369,7 @@ class Join:
 
     def with_homes(self, nodes: DataFrame) -> DataFrame:
         """Members with `home`: the path of their small node in each tree, 0 for none."""
-        small = nodes.filter(f"size <= {self.cfg.leaf}").groupBy("rep").agg(F.collect_list("path").alias("p"))
+        small = nodes.groupBy("rep").agg(F.collect_list("path").alias("p"))
         of = lambda t: F.coalesce(F.try_element_at(F.filter("p", lambda p: p.bitwiseAND(int(_TREE)) == t), F.lit(1)), F.lit(0))
         none = F.array_repeat(F.lit(0).cast("long"), self.cfg.trees)
         home = F.coalesce(F.transform(F.sequence(F.lit(0), F.lit(self.cfg.trees - 1)), of), none)
@@ -374,13 +399,16 @@ class Join:
         self.classes = t.write(classes, "classes")
         levels = self.trees()
         last = levels[-1].filter(f"size > {cfg.leaf}") if len(levels) == cfg.depth else levels[-1].filter("false")
-        leaves, links = levels[0].filter(f"size <= {cfg.leaf}"), None
+        leaves = levels[0].filter(f"size <= {cfg.leaf}")
         for nodes in levels[1:]:
             leaves = leaves.union(nodes.filter(f"size <= {cfg.leaf}"))
-        self.sets = self.full_sets(leaves.union(last).select("rep").distinct())
+        members = leaves.select("path", "rep").join(self.classes.select("rep", "sig"), "rep").groupBy("path").agg(F.collect_list(F.struct("rep", "sig")).alias("m"))
+        leaves = t.write(members.mapInArrow(_likely(cfg), "path long, rep long"), "leaves")
+        t.tidy()
+        self.sets = self.full_sets(leaves.select("rep").union(last.select("rep")).distinct())
         t.tidy()
         self.members = self.with_homes(leaves) if cfg.once else self.classes.select("rep", "sig")
-        leaves, large, level = leaves.select("path", "rep"), last, 0
+        links, large, level = None, last, 0
         while not large.isEmpty():
             more, children = self.branch(large, level)
             links = more if links is None else links.union(more)
