@@ -4,50 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir, deleted when the application ends.
-
-    Where that is unset a temporary folder does for a driver that runs all tasks itself; on a cluster, executors
-    would not find each other's files, so it must be set there."""
-    app = spark.sparkContext.applicationId
-    if app not in _DIRS:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            where = "file://" + tempfile.mkdtemp(prefix="opalstream-")
-        path = f"{where.rstrip('/')}/opalstream-{app}"
-        make_dir(spark, path)
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-        _DIRS[app] = path
-    return _DIRS[app]
-
-
-_DIRS: dict[str, str] = {}
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/opal-{tag}-{uuid.uuid4().hex[:12]}"
-
+from opalstream.shared import hadoop_path, new_path
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p, fs = hadoop_path(spark, path)
     with contextlib.suppress(Exception):
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs.delete(p, True)
 
 
 def make_dir(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    p, fs = hadoop_path(spark, path)
+    fs.mkdirs(p)
 
 
 def light_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
@@ -66,9 +38,9 @@ class Tables:
         self.spark, self.tag, self.written = spark, tag, []
         light_batches(spark)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = new_path(self.spark, f"{self.tag}-{name}")
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._opal_path = path
         self.written.append(out)
