@@ -12,19 +12,22 @@ from urllib.parse import urlparse
 import numpy as np
 
 U = np.uint64
-_HALVES = [(U(s), U((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+_ONE, _ALL = U(1), U(0xFFFFFFFFFFFFFFFF)
+_B1, _B7, _L1 = U(0x0101010101010101), U(0x8080808080808080), U(0x5555555555555555)
+_L2, _L4 = U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
+#: Position of the r-th one of a byte, at byte * 8 + r.
+_IN_BYTE = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[r] for x in range(256) for r in range(8)], np.uint8)
 
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th (from 0) one of each word."""
-    at, r = np.zeros(len(word), np.int64), r.astype(np.int64)
-    for s, mask in _HALVES:
-        ones = np.bitwise_count(word & mask).astype(np.int64)
-        right = r >= ones
-        r = np.where(right, r - ones, r)
-        at += np.where(right, int(s), 0)
-        word = np.where(right, word >> s, word)
-    return at
+    """Position of the r-th (from 0) one of each word: by its bytes' running counts, then within a byte."""
+    c = word - (word >> _ONE & _L1)
+    c = (c & _L2) + (c >> U(2) & _L2)
+    c = (c + (c >> U(4)) & _L4) * _B1  # byte i: ones in bytes 0 to i
+    rank = r.astype(U)
+    byte = np.bitwise_count(((rank * _B1 | _B7) - c) & _B7).astype(U) << U(3)  # eight times the bytes with no more ones than r
+    before = (c << U(8)) >> byte & U(0xFF)
+    return (byte + _IN_BYTE[((word >> byte & U(0xFF)) << U(3) | rank - before).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -70,28 +73,65 @@ class EliasFano:
         w = np.searchsorted(self.zeros, k, side="right") - 1
         return w * 64 + _select_in_word(~self.up[w], k - self.zeros[w])
 
-    def access(self, i: np.ndarray) -> np.ndarray:
+    def _next(self, at: np.ndarray, ones: bool) -> np.ndarray:
+        """The first one (zero) after each place."""
+        out, w = np.empty(len(at), np.int64), at >> 6
+        word = self.up[w] if ones else ~self.up[w]
+        word &= (_ALL << (at & 63).astype(U)) << _ONE
+        open_ = np.flatnonzero(word == 0)
+        while len(open_):  # mostly none: places are two apart
+            w[open_] += 1
+            word[open_] = self.up[w[open_]] if ones else ~self.up[w[open_]]
+            open_ = open_[word[open_] == 0]
+        low = word & (~word + _ONE)
+        np.add(w << 6, np.bitwise_count(low - _ONE), out=out)
+        return out
+
+    def _value(self, at: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return (((at - i).astype(U) << U(self.l)) | self._low(i)).astype(np.int64) + self.first
+
+    def _place(self, i: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.ranks, i, side="right") - 1
-        high = w * 64 + _select_in_word(self.up[w], i - self.ranks[w]) - i
-        return ((high.astype(U) << U(self.l)) | self._low(i)).astype(np.int64) + self.first
+        return w * 64 + _select_in_word(self.up[w], i - self.ranks[w])
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        return self._value(self._place(i), i)
+
+    def access_both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at i and at i + 1."""
+        at = self._place(i)
+        return self._value(at, i), self._value(self._next(at, True), i + 1)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each x, -1 where it isn't there: the successor within the bucket of x's high bits."""
         out = np.full(len(x), -1, np.int64)
-        ok = (x >= self.first) & (x <= self.last) if self.n else np.zeros(len(x), bool)
-        if not ok.any():
+        ok = np.flatnonzero((x >= self.first) & (x <= self.last)) if self.n else np.zeros(0, np.int64)
+        if not len(ok):
             return out
         y = (x[ok] - self.first).astype(U)
         h, key = (y >> U(self.l)).astype(np.int64), y & self.mask
-        lo = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1 - h, 0)
-        hi = end = self._zero(h) - h
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self._low(np.where(open_, mid, 0)) < key)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        here = lo < end
-        here[here] = self._low(lo[here]) == key[here]
-        out[ok] = np.where(here, lo, -1)
+        at = np.full(len(h), -1, np.int64)  # of the zero before the bucket
+        later = np.flatnonzero(h > 0)
+        at[later] = self._zero(h[later] - 1)
+        end = np.empty(len(h), np.int64)
+        end[later] = self._next(at[later], False)
+        if len(later) < len(h):
+            end[h == 0] = self._zero(np.zeros(1, np.int64))[0]
+        lo, end = at + 1 - h, end - h
+        hi, open_ = end.copy(), np.flatnonzero(lo < end)
+        found = np.full(len(h), -1, np.int64)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            low, want = self._low(mid), key[open_]
+            hit = low == want
+            found[open_[hit]] = mid[hit]
+            less = low < want
+            lo[open_[less]] = mid[less] + 1
+            more = ~less
+            hi[open_[more]] = mid[more]
+            open_ = open_[~hit]
+            open_ = open_[lo[open_] < hi[open_]]
+        out[ok] = found
         return out
 
 
@@ -214,7 +254,7 @@ class Level:
         of = np.cumsum(first) - 1
         k = self.parents.find(parent[first])
         there = np.maximum(k, 0)
-        begin, end = self.pointers.access(there), self.pointers.access(there + 1)
+        begin, end = self.pointers.access_both(there)
         base = np.where(begin > 0, self.ids.access(np.maximum(begin - 1, 0)) + 1, 0)
         ok = np.flatnonzero(k[of] >= 0)
         of = of[ok]

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +92,15 @@ def _chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list,
         yield out()
 
 
-def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and each one's place among them; by hashing, as most values recur."""
+def distinct(x: np.ndarray, many: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each one's place among them; by hashing, unless many of them differ."""
+    if many and len(x):
+        order = np.argsort(x)
+        x = x[order]
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        back = np.empty(len(x), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return x[new], back
     codes, u = pd.factorize(x)
     order = np.argsort(u)
     place = np.empty(len(u), np.int64)
@@ -161,7 +169,7 @@ class Trie:
 
     def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: none) and shares of children, for keys in any order."""
-        key, back = distinct(parent * self.width + word)
+        key, back = distinct(parent * self.width + word, level > 0)
         found, share = np.full(len(key), -1, np.int64), np.zeros(len(key))
         for s, base, at in self.levels[level].each(key):
             i = s.find(key[at] // self.width, key[at] % self.width)
@@ -267,6 +275,14 @@ def _triple_keys(s: Settings, files: Files):
 BLOCKS = "part int, k binary, c binary"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(x))
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    return _from_planes(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
 def _deal(keys: Callable, cuts: np.ndarray):
     """Keys to blocks of distinct ones with counts, one for each shard; cuts: the first key of each shard but the first."""
 
@@ -276,7 +292,7 @@ def _deal(keys: Callable, cuts: np.ndarray):
             at = np.flatnonzero(np.diff(x, prepend=-1))
             k, c = x[at], np.diff(at, append=len(x)).astype(np.uint32)
             edges = [0, *np.searchsorted(k, cuts), len(k)]
-            rows = [(i, _planes(np.diff(k[a:b], prepend=0)), _planes(c[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            rows = [(i, _packed(np.diff(k[a:b], prepend=0)), _packed(c[a:b])) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             yield pd.DataFrame(rows, columns=["part", "k", "c"])
 
     return deal
@@ -317,7 +333,7 @@ def _write_level(s: Settings, files: Files, folder: str, level: int):
         blocks: dict[int, list] = {}
         for pdf in batches:
             for part, k, c in zip(pdf["part"], pdf["k"], pdf["c"]):
-                blocks.setdefault(part, []).append((np.cumsum(_from_planes(k, np.int64)), _from_planes(c, np.uint32)))
+                blocks.setdefault(part, []).append((np.cumsum(_unpacked(k, np.int64)), _unpacked(c, np.uint32)))
         trie = Trie(files)
         for part, x in blocks.items():
             k, c = (np.concatenate(y) for y in zip(*x))
@@ -406,7 +422,7 @@ class Training:
         if width >= 1 << 31 or width**2 >= 1 << 63:
             raise ValueError("too many words for 31-bit ids: raise min_count")
         # from here on ids are read, not texts
-        ids = self.t.write(self.docs.mapInPandas(_number_words(s, files), NUMBERED), "ids")
+        ids = self.t.write(self.docs.mapInPandas(_number_words(s, files), NUMBERED), "ids", "zstd")
         self.t.drop(counts)
         self.t.tidy()
         if not width:
