@@ -209,10 +209,28 @@ def unquantise(c: np.ndarray) -> np.ndarray:
     return np.where(c == 65535, 0.0, np.exp2(c.astype(np.float64) / -CODE))
 
 
-def _bits(parent: np.ndarray, word: np.ndarray, log2: int) -> np.ndarray:
-    """A child's place in its level's bit table."""
+class Counts:
+    """Whole numbers, most of them small: a byte each, those from 255 on in a list of their own."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], name: str):
+        self.bytes, self.at, self.large = (arrays[f"{name}.{k}"] for k in ("bytes", "at", "large"))
+
+    @staticmethod
+    def build(c: np.ndarray, name: str) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(c >= 255)
+        return {f"{name}.bytes": np.minimum(c, 255).astype(np.uint8), f"{name}.at": at.astype(np.int64), f"{name}.large": c[at].astype(np.int64)}
+
+    def of(self, i: np.ndarray) -> np.ndarray:
+        out = self.bytes[i].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        out[large] = self.large[np.searchsorted(self.at, i[large])]
+        return out
+
+
+def _bits(parent: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """A child's place in its level's table of so many bits."""
     h = (parent.astype(U) * U(0x9E3779B97F4A7C15) ^ word.astype(U)) * U(0xC2B2AE3D27D4EB4F)
-    return (h >> U(64 - log2)).astype(np.int64)
+    return ((h >> U(32)) * U(size) >> U(32)).astype(np.int64)
 
 
 class Level:
@@ -220,14 +238,13 @@ class Level:
 
     parents: the nodes' numbers; pointers: where each one's children start; ids: the children's word
     ids, each node's raised above those of the node before, so that all three are monotone.  A table of
-    8 to 16 bits a child turns away most of those that aren't there before the search.
+    eight bits a child turns away most of those that aren't there before the search.
     """
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.parents, self.pointers, self.ids = (EliasFano(arrays, k) for k in ("parents", "pointers", "ids"))
         self.share, self.backoff, self.table = arrays["share"], arrays["backoff"], arrays["table"]
-        self.counts = arrays.get("counts")
-        self.log2 = (len(self.table) * 8).bit_length() - 1
+        self.counts = Counts(arrays, "counts") if "counts.bytes" in arrays else None
 
     @staticmethod
     def build(parent: np.ndarray, word: np.ndarray, share: np.ndarray, backoff: np.ndarray) -> dict[str, np.ndarray]:
@@ -236,8 +253,8 @@ class Level:
         ends = np.concatenate([start[1:], [len(parent)]]) if len(parent) else start
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)[:-1]]) if len(parent) else start
         ids = word + np.repeat(base, ends - start)
-        log2 = max(6, (8 * len(parent)).bit_length())
-        table, at = np.zeros(1 << (log2 - 3), np.uint8), _bits(parent, word, log2)
+        table = np.zeros(max(8, len(parent)), np.uint8)  # at most 2^29 children in a shard
+        at = _bits(parent, word, 8 * len(table))
         np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         out = EliasFano.build(parent[start], "parents") | EliasFano.build(np.concatenate([start, [len(parent)]]), "pointers") | EliasFano.build(ids, "ids")
         return out | {"share": quantise(share), "backoff": quantise(backoff[start]), "table": table}
@@ -245,7 +262,7 @@ class Level:
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of each child, -1 where there is none: a successor search relative to its context.  Sorted by parent."""
         out = np.full(len(parent), -1, np.int64)
-        bit = _bits(parent, word, self.log2)
+        bit = _bits(parent, word, 8 * len(self.table))
         may = np.flatnonzero(self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
         if not len(may):
             return out

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.llm.common import Tables, make_dir, mix, new_path
-from opalstream.llm.elias_fano import EliasFano, Level, Sharded, dump, quantise, unquantise, write_file
+from opalstream.llm.elias_fano import Counts, EliasFano, Level, Sharded, dump, quantise, unquantise, write_file
 
 
 @dataclass(frozen=True)
@@ -118,12 +118,12 @@ class Words:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.often, self.rare = EliasFano(arrays, "often"), EliasFano(arrays, "rare")
-        self.counts, self.rare_counts = arrays["often_counts"], arrays["rare_counts"]
+        self.counts, self.rare_counts = Counts(arrays, "often_counts"), Counts(arrays, "rare_counts")
 
     @staticmethod
     def build(h: np.ndarray, c: np.ndarray, least: int) -> dict[str, np.ndarray]:
         often = c >= least
-        return EliasFano.build(h[often], "often") | EliasFano.build(h[~often], "rare") | {"often_counts": c[often], "rare_counts": c[~often].astype(np.uint8 if least < 256 else np.int64)}
+        return EliasFano.build(h[often], "often") | EliasFano.build(h[~often], "rare") | Counts.build(c[often], "often_counts") | Counts.build(c[~often], "rare_counts")
 
 
 @dataclass
@@ -153,9 +153,9 @@ class Trie:
         for w, base, at in self.vocabulary.each(u):
             i = w.often.find(u[at])
             hit = i >= 0
-            ids[at[hit]], count[at[hit]] = base + i[hit], w.counts[i[hit]]
+            ids[at[hit]], count[at[hit]] = base + i[hit], w.counts.of(i[hit])
             j = w.rare.find(u[at[~hit]])
-            count[at[~hit][j >= 0]] = w.rare_counts[j[j >= 0]]
+            count[at[~hit][j >= 0]] = w.rare_counts.of(j[j >= 0])
         return back, count, ids
 
     def counts_of(self, order: int, nodes: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ class Trie:
         where = np.searchsorted(v.bases, nodes, side="right") - 1
         for i in np.unique(where):
             at = np.flatnonzero(where == i)
-            out[at] = v.shard(i).counts[nodes[at] - v.bases[i]]
+            out[at] = v.shard(i).counts.of(nodes[at] - v.bases[i])
         return out
 
     def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +352,7 @@ def _write_level(s: Settings, files: Files, folder: str, level: int):
             total, mass = trie.counts_of(level, parent[start]), np.add.reduceat(c, start) - s.discount * sizes
             arrays = Level.build(parent, word, (c - s.discount) / np.repeat(total, sizes), np.repeat(1 - mass / total, sizes))
             if not level:
-                arrays["counts"] = c.astype(np.min_scalar_type(c.max()))
+                arrays |= Counts.build(c, "counts")
             file = f"{folder}/level{level}-{part:05d}"
             write_file(file, dump(arrays))
             at = np.unique([0, len(start) - 1])
