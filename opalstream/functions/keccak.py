@@ -114,3 +114,9 @@ def parse_u256(text: str | None) -> bytes | None:
 def u256_bytes(x: pd.Series) -> pd.Series:
     """32 bytes of decimal text; null for other text and above 2^256 - 1."""
     return x.map(parse_u256)
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def u256_list(x: pd.Series) -> pd.Series:
+    """As u256_bytes for each entry of a list."""
+    return x.map(lambda v: None if v is None else [parse_u256(t) for t in v])

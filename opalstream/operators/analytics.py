@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalstream.shared import materialised
 from opalstream.functions.columns import game, normal_name, ratio, safe_int, truthy
 
 
@@ -86,8 +88,11 @@ def prequential_bf(rows: DataFrame, stream: list[str], order: list[str], parent:
 
 
 def decayed_edge(rows: DataFrame, stream: list[str], order: list[str], parent: str, child: str, half_life: float, alpha: float = 2.0, base_alpha: float = 1.0, vocabulary: int = 2000) -> DataFrame:
-    """As prequential_bf with counts halved every half_life rows: a row's counts decay only when it is updated."""
-    lam = 0.5 ** (1 / half_life)
+    """As prequential_bf with counts halved every half_life rows: a row's counts decay only when it is updated.
+
+    Counts are kept in units that shrink by one row's decay with each update, so an update touches one count; a
+    table whose unit has become small is brought back to 1."""
+    lam, smallest = 0.5 ** (1 / half_life), 1e-200
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, out = None, []
@@ -97,16 +102,17 @@ def decayed_edge(rows: DataFrame, stream: list[str], order: list[str], parent: s
                 if k != mine:
                     if mine is not None:
                         out.append((*mine, t, bf))
-                    mine, t, bf, whole, table = k, 0, 0.0, [{}, 0.0, 0], {}
-                row = table.setdefault(a, [{}, 0.0, 0])
-                base = (whole[0].get(b, 0.0) + base_alpha / vocabulary) / (whole[1] + base_alpha)
-                bf += math.log10((row[0].get(b, 0.0) + alpha * base) / (row[1] + alpha) / base)
+                    mine, t, bf, whole, table = k, 0, 0.0, [{}, 0.0, 0, 1.0], {}
+                row = table.setdefault(a, [{}, 0.0, 0, 1.0])
+                base = (whole[0].get(b, 0.0) * whole[3] + base_alpha / vocabulary) / (whole[1] + base_alpha)
+                bf += math.log10((row[0].get(b, 0.0) * row[3] + alpha * base) / (row[1] + alpha) / base)
                 t += 1
                 for r in (row, whole):
                     f = lam ** (t - r[2])
-                    r[0] = {x: c * f for x, c in r[0].items()}
-                    r[0][b] = r[0].get(b, 0.0) + 1
-                    r[1], r[2] = r[1] * f + 1, t
+                    r[1], r[2], r[3] = r[1] * f + 1, t, r[3] * f
+                    if r[3] < smallest:
+                        r[0], r[3] = {x: c * r[3] for x, c in r[0].items()}, 1.0
+                    r[0][b] = r[0].get(b, 0.0) + 1 / r[3]
             if out:
                 yield pd.DataFrame(out, columns=names)
                 out = []
@@ -145,21 +151,65 @@ def quarter_rtt(rows: DataFrame, observer: str, peer: str, rtt: str) -> DataFram
     return ranked.filter((F.col("_n") >= 2) & (F.col("_i") == F.expr("_n div 4"))).select(observer, (F.col("_r") / 2).alias("half_rtt"))
 
 
-def region_posterior(arrivals: DataFrame, calibration: DataFrame, block: str, observer: str, region: str, sigma: float = 12.0, nu: float = 3.0, temper: float = 4.0) -> DataFrame:
+def region_posterior(arrivals: DataFrame, calibration: DataFrame, block: str, observer: str, region: str, sigma: float = 12.0, nu: float = 3.0, temper: float = 4.0, weight: Column | None = None) -> DataFrame:
     """region, logw, p: Student-t log likelihoods of arrival offsets (ms, from the first) less the calibrated delay,
-    each block's centred on its mean, tempered and summed, as a share."""
+    each block's centred on its mean, tempered, weighted and summed, as a share."""
     const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - math.log(sigma)
     rows = arrivals.join(calibration, observer)
     rows = rows.withColumn("_d", F.col("offset_ms") - F.col("delay_ms"))
     mean = rows.groupBy(block, region).agg(F.avg("_d").alias("_mean"))
     x = (F.col("_d") - F.col("_mean")) / sigma
-    ll = rows.join(mean, [block, region]).groupBy(region).agg(F.sum((const - (nu + 1) / 2 * F.log1p(x * x / nu)) / temper).alias("logw"))
+    ll = rows.join(mean, [block, region]).groupBy(region).agg(F.sum((F.lit(1.0) if weight is None else weight) * (const - (nu + 1) / 2 * F.log1p(x * x / nu)) / temper).alias("logw"))
     top = ll.agg(F.max("logw").alias("_m"))
     w = F.exp(F.col("logw") - F.col("_m"))
     out = ll.crossJoin(F.broadcast(top)).withColumn("_w", w)
     return out.crossJoin(F.broadcast(out.agg(F.sum("_w").alias("_z")))).select(region, "logw", (F.col("_w") / F.col("_z")).alias("p"))
 
 
+def region_posterior_recent(arrivals: DataFrame, calibration: DataFrame, block: str, order: str, observer: str, region: str, half_life: float = 2000, keep: int = 3000, **kind) -> DataFrame:
+    """As region_posterior over the last `keep` blocks by order, a block's evidence halved with every half_life blocks
+    that came after it.  All kept blocks are scored by the calibration given, so a new one rescores them.  Observers
+    that lack a region's delay and blocks seen by fewer than two observers count for nothing."""
+    regions = calibration.select(region).distinct().agg(F.count("*").alias("_regions"))
+    known = calibration.groupBy(observer).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(regions)).filter("_n = _regions").select(observer)
+    rows = arrivals.join(known, observer, "left_semi")
+    seen = rows.groupBy(block).agg(F.min(order).alias("_order"), F.count("*").alias("_n")).filter("_n >= 2")
+    last = seen.orderBy(F.col("_order").desc(), F.col(block).desc()).limit(keep)  # the window below holds no more
+    age = F.row_number().over(Window.orderBy(F.col("_order").desc(), F.col(block).desc())) - 1
+    weight = last.select(block, F.pow(F.lit(0.5), age / half_life).alias("_weight"))
+    return region_posterior(rows.join(weight, block), calibration, block, observer, region, weight=F.col("_weight"), **kind)
+
+
+# --- stitching
+
+
+def stitched(public: DataFrame, included: DataFrame, status: DataFrame, events: DataFrame, authors: DataFrame, now: Column) -> DataFrame:
+    """One row for each transaction whose fate is settled: hash, outcome, visible, sender, match, tip, peer, author,
+    category, lead_ms.
+
+    public (hash, sender, match, tip, peer, first_us), included (hash, sender, match, tip, number, in_pool, at_us),
+    status (hash, status), events (hash, category, recv_us), unique by hash; authors (number, author).  Times in
+    microseconds; a transaction's age counts from what came first.  An included one is settled once its status is
+    known, with its author or after 300 s, and with its event, a failure, or after 90 s; one that isn't is given up
+    after 600 s: `not_included` if it was public, else it is left out.
+    """
+    name = lambda df, tag, keep=(): df.select("hash", *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != "hash"], F.lit(True).alias(tag))
+    t = name(public, "p").join(name(included, "i"), "hash", "full_outer").join(name(events, "e"), "hash", "full_outer")
+    t = t.join(status, "hash", "left").join(authors.select(F.col("number").alias("i_number"), "author"), "i_number", "left")
+    age = (now - F.least("p_first_us", "i_at_us", "e_recv_us")) / 1e6
+    good = F.col("status") == "success"
+    known = F.col("status").isNotNull() & (F.col("author").isNotNull() | (age > 300)) & (F.col("e").isNotNull() | ~good | (age > 90))
+    visible = F.col("p").isNotNull() & F.coalesce("i_in_pool", F.lit(True))
+    outcome = F.when(F.col("i").isNotNull(), F.when(known, F.col("status"))).when((age > 600) & visible, "not_included")
+    out = t.withColumn("visible", visible).withColumn("outcome", outcome).filter("outcome is not null")
+    lead = F.when(F.col("visible"), (F.col("e_recv_us") - F.col("p_first_us")) / 1000.0)
+    category = F.coalesce("e_category", F.when(F.col("outcome") == "success", "unenriched"))
+    return out.select(
+        "hash", "outcome", "visible", F.coalesce("p_sender", "i_sender").alias("sender"), F.coalesce("p_match", "i_match").alias("match"), F.coalesce("p_tip", "i_tip").alias("tip"),
+        F.when(F.col("visible"), F.col("p_peer")).alias("peer"), "author", category.alias("category"), lead.alias("lead_ms"),
+    )
+
+
 # --- peer seats
 
 
@@ -178,48 +228,146 @@ def elimination(rows: DataFrame, trial: str, peer: str, share: str, keep: int) -
     return out.withColumn("out", F.col("place") <= F.col("_n") - keep).drop("_n")
 
 
-# Seat rules.
-PROMOTE, DEMOTE, ROUNDS, CORE_MAX = 0.01, 0.007, 2, 30
-COOLDOWN_HOURS = (24, 72, 168)
-
-
-def seats(rows: DataFrame, peer: str, epoch: str) -> DataFrame:
-    """peer, epoch, state, cooldowns of each evaluation.  rows: peer, epoch (hours), share, observed (enough of it),
-    online_h (hours since last seen).
-
-    candidate -> trial at first sight; trial -> core when observed and share >= PROMOTE, else cooldown when observed;
-    core -> cooldown after ROUNDS evaluations below DEMOTE; 24 h out of sight -> lost; a cooldown lasts 24, 72, then
-    168 hours, and ends as candidate.
+@dataclass(frozen=True)
+class SeatRules:
+    # Seat rules, in hours and shares.
+    promote: float = 0.01
+    demote: float = 0.007
+    demote_rounds: int = 2
+    core_max: int = 30
+    trial_seats: int = 5
+    least_seen: int = 20
+    lost_hours: int = 24
+    cooldown_hours: tuple[int, ...] = (24, 72, 168)
+    silent_hours: int = 72
+    stable_hours: int = 168
+    home_floor: int = 2
+
+
+def seats(rows: DataFrame, network: list[str], peer: str, epoch: str, rules: SeatRules | None = None) -> DataFrame:
+    """network, epoch, peer, state, reason, cooldowns at each evaluation.
+
+    rows, one for each peer that is known at an evaluation: epoch (hours), share (the best of its shares), online,
+    silent (online, forwarded nothing), observed (its trial is long enough), seen (what there was to see), home
+    (counts towards home_floor).  A peer without a row is offline.
+
+    At an evaluation, in this order: a core that is offline is lost, a trial candidate again; who comes online and
+    was lost is core again, others fill free trial seats in order of name; who is silent and not core cools down;
+    cooldowns end as candidate; a core below `demote` for `demote_rounds` evaluations goes back to trial, observed,
+    unless the home floor needs it, and one stable for `stable_hours` forgets its cooldowns; a core lost for more
+    than `lost_hours` is a candidate; observed trials at `promote` or above become core; beyond `core_max` the
+    lowest shares go to trial; of the observed trials that are left the one with the lowest share cools down, 24
+    hours the first time, 72 the second, 168 from then on.
+
+    Caps bind all peers of a network, so a network is folded evaluation by evaluation, one after the other; its
+    peers, a few thousand, are what is held.
     """
-    names = [peer, epoch, "state", "cooldowns"]
+    r = rules or SeatRules()
+    columns = [*network, epoch, peer, "share", "online", "silent", "observed", "seen", "home"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = None
+        mine, now, peers, here = None, None, {}, {}
+
+        def evaluate() -> list[tuple]:
+            out = _evaluate(peers, here, now, r)
+            return [(*mine, now, k, p.state, p.reason, p.cooldowns) for k, p in sorted(out.items())]
+
         for pdf in batches:
             out = []
-            for k, t, share, observed, unseen in pdf[[peer, epoch, "share", "observed", "unseen_h"]].itertuples(index=False):
-                if k != mine:
-                    mine, state, low, times, until = k, "candidate", 0, 0, None
-                if unseen >= 24:
-                    state, low = "lost", 0
-                elif state in ("candidate", "lost"):
-                    state = "trial"
-                elif state == "cooldown":
-                    state = "candidate" if t >= until else state
-                elif state == "trial" and observed:
-                    state, low = ("core", 0) if share >= PROMOTE else ("cooldown", 0)
-                elif state == "core":
-                    low = low + 1 if share < DEMOTE else 0
-                    state = "cooldown" if low >= ROUNDS else state
-                if state == "cooldown" and (until is None or t >= until):
-                    until = t + COOLDOWN_HOURS[min(times, len(COOLDOWN_HOURS) - 1)]
-                    times, low = times + 1, 0
-                out.append((k, t, state, times))
+            for row in pdf[columns].itertuples(index=False, name=None):
+                net, at = row[: len(network)], row[len(network)]
+                if (net, at) != (mine, now):
+                    if mine is not None:
+                        out += evaluate()
+                    if net != mine:
+                        peers = {}
+                    mine, now, here = net, at, {}
+                here[row[len(network) + 1]] = row[len(network) + 2 :]
             yield pd.DataFrame(out, columns=names)
+        if mine is not None:
+            yield pd.DataFrame(evaluate(), columns=names)
 
+    names = [*network, epoch, peer, "state", "reason", "cooldowns"]
     types = dict(rows.dtypes)
-    flat = rows.repartition(peer).sortWithinPartitions(peer, epoch)
-    return flat.mapInPandas(fold, f"`{peer}` {types[peer]}, `{epoch}` {types[epoch]}, state string, cooldowns long")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in names[:-3]) + ", state string, reason string, cooldowns long"
+    return rows.select(*columns).repartition(*network).sortWithinPartitions(*network, epoch, peer).mapInPandas(fold, schema)
+
+
+@dataclass
+class _Seat:
+    state: str = "candidate"
+    reason: str = ""
+    cooldowns: int = 0
+    until: float = 0
+    below: int = 0
+    since: float | None = None  # core since
+    lost: float = 0
+    observed: bool = False
+
+
+def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) -> dict[str, _Seat]:
+    for k in here:
+        peers.setdefault(k, _Seat())
+    share = {k: v[0] for k, v in here.items()}
+    online = {k for k, v in here.items() if v[1]}
+    in_state = lambda s: [k for k in sorted(peers) if peers[k].state == s and (k in online or s == "lost")]
+    lowest = lambda ks: min(ks, key=lambda k: (share[k], k))
+
+    def go(k: str, state: str, reason: str, **also) -> None:
+        p = peers[k]
+        p.state, p.reason, p.below = state, reason, 0
+        for name, v in also.items():
+            setattr(p, name, v)
+
+    def cool(k: str, reason: str, silent: bool) -> None:
+        n = peers[k].cooldowns + 1
+        hours = r.cooldown_hours[min(n, len(r.cooldown_hours)) - 1]
+        go(k, "cooldown", reason, cooldowns=n, until=now + (max(hours, r.silent_hours) if silent else hours))
+
+    for k, p in sorted(peers.items()):
+        if k not in online and p.state == "core":
+            go(k, "lost", "offline", lost=now)
+        elif k not in online and p.state == "trial":
+            go(k, "candidate", "offline")
+        elif k in online and p.state == "lost":
+            go(k, "core", "back", since=now if p.since is None else p.since)
+    for k in sorted(online):
+        if peers[k].state == "candidate" and len(in_state("trial")) < r.trial_seats:
+            go(k, "trial", "admitted", observed=False)
+    for k in sorted(online):
+        if here[k][2] and peers[k].state not in ("core", "cooldown"):
+            cool(k, "silent", True)
+    for k, p in sorted(peers.items()):
+        if p.state == "cooldown" and now >= p.until:
+            go(k, "candidate", "cooled")
+    homes = sum(here[k][5] for k in in_state("core"))
+    for k in in_state("core"):
+        p, home = peers[k], here[k][5]
+        if here[k][4] < r.least_seen:
+            continue
+        p.below = p.below + 1 if share[k] < r.demote else 0
+        if p.below >= r.demote_rounds and not (home and homes <= r.home_floor):
+            homes -= home
+            go(k, "trial", "demoted", observed=True)
+        if p.since is not None and now - p.since > r.stable_hours:
+            p.cooldowns = 0
+    for k in in_state("lost"):
+        if now - peers[k].lost > r.lost_hours:
+            go(k, "candidate", "lost")
+    for k in in_state("trial"):
+        peers[k].observed = peers[k].observed or here[k][3]
+        if peers[k].observed and share[k] >= r.promote:
+            go(k, "core", "promoted", since=now)
+    while len(cores := in_state("core")) > r.core_max:
+        go(lowest(cores), "trial", "over the cap", observed=True)
+    if last := [k for k in in_state("trial") if peers[k].observed]:
+        cool(lowest(last), "lowest", False)
+    return peers
+
+
+def seat_counts(seats: DataFrame, by: list[str]) -> DataFrame:
+    """by, state, n."""
+    return seats.groupBy(*by, "state").agg(F.count("*").alias("n"))
 
 
 def exploration_report(rows: DataFrame, window: str, hit: Column, bar: float = 0.01) -> DataFrame:
@@ -265,25 +413,51 @@ def grown(rows: DataFrame, old: str, new: str) -> DataFrame:
     return rows.filter(F.size(F.array_except(new, old)) > 0)
 
 
-def fuzzy_match(wanted: DataFrame, titles: DataFrame) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters."""
+    some = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    return F.when(F.length(text) >= n, some).otherwise(F.array().cast("array<string>"))
+
+
+def fuzzy_match(wanted: DataFrame, titles: DataFrame, spread: int = 16, hot: int = 10_000) -> DataFrame:
     """wanted (wanted_id, name_a, name_b, date_hint) to the best of titles (position, title, slug): both names must occur,
     a date in the slug is worth more, the first wins on ties.
 
-    Candidates come from an equi-join on trigrams of the first name that all its places share: the title's letters
-    are cut into all trigrams, the name's first trigram is looked up, and containment is tested on what is left.
-    Names of fewer than three letters are compared with every title, in blocks (a broadcast of bounded lists isn't
-    assumed)."""
+    A title that holds a name holds all runs of three characters (of two or one, for shorter names) of it, so titles
+    and names meet at one run of the longer name, the one that the fewest titles hold.  Distinct titles and distinct
+    pairs of names are matched, each once; runs that more than `hot` titles hold are spread over `spread` tasks.
+    """
     a, b = normal_name(F.col("name_a")), normal_name(F.col("name_b"))
     want = wanted.withColumn("_a", a).withColumn("_b", b).filter("_a <> '' and _b <> ''")
-    long = want.withColumn("_g", F.substring(F.when(F.length("_a") >= F.length("_b"), F.col("_a")).otherwise(F.col("_b")), 1, 3))
-    grams = titles.withColumn("_t", normal_name(F.col("title")))
-    every = grams.filter("length(_t) >= 1").withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t") - 2, F.lit(1))), lambda i: F.substring(F.col("_t"), i, F.lit(3))))))
-    shorter = every.withColumn("_g", F.explode(F.array_distinct(F.array(F.substring("_g", 1, 1), F.substring("_g", 1, 2), F.col("_g"), F.substring("_g", 2, 1), F.substring("_g", 3, 1), F.substring("_g", 2, 2))))).distinct()
-    pairs = long.join(shorter, "_g").filter(F.expr("contains(_t, _a) and contains(_t, _b)"))
-    dated = F.coalesce((F.col("date_hint") != "") & F.col("slug").contains(F.col("date_hint")), F.lit(False))
-    scored = pairs.withColumn("score", F.when(dated, 7).otherwise(4))
-    best = scored.groupBy("wanted_id").agg(F.max(F.struct("score", (-F.col("position")).alias("p"))).alias("x"))
-    return best.select("wanted_id", (-F.col("x.p")).alias("position"), F.col("x.score").alias("score"))
+    pairs = want.select("_a", "_b").distinct().withColumn("_l", F.when(F.length("_a") >= F.length("_b"), F.col("_a")).otherwise(F.col("_b")))
+    pairs = pairs.withColumn("_k", F.least(F.length("_l"), F.lit(3)))
+    texts = titles.withColumn("_t", normal_name(F.col("title")))
+    kinds = sorted(r[0] for r in pairs.select("_k").distinct().collect())  # 1, 2 and 3 at most
+    if not kinds:
+        return want.select("wanted_id", F.lit(None).cast(dict(titles.dtypes)["position"]).alias("position"), F.lit(None).cast("int").alias("score")).limit(0)
+    runs = F.flatten(F.array(*[_grams(F.col("_t"), n) for n in kinds]))
+    held = materialised(texts.select("_t").distinct().select("_t", F.explode(runs).alias("_g")), "runs")
+    counts = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    asked = F.when(F.col("_k") == 3, _grams(F.col("_l"), 3)).otherwise(F.array("_l"))
+    rare = pairs.select("_a", "_b", F.explode(asked).alias("_g")).join(counts, "_g").groupBy("_a", "_b").agg(F.min(F.struct("_n", "_g")).alias("_x"))
+    rare = rare.select("_a", "_b", F.col("_x._g").alias("_g"), F.when(F.col("_x._n") > hot, spread).otherwise(1).alias("_s"))
+    rare = rare.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    held = held.join(rare.select("_g", "_s").distinct(), "_g").withColumn("_part", F.pmod(F.xxhash64("_t"), F.col("_s")).cast("int"))
+    found = held.select("_g", "_part", "_t").join(rare, ["_g", "_part"]).filter(F.expr("contains(_t, _a) and contains(_t, _b)")).select("_a", "_b", "_t")
+    # of rows with the same title, the first without a date, and by date the first whose slug holds it
+    first = texts.groupBy("_t").agg(F.min("position").alias("position"))
+    plain = found.join(first, "_t").groupBy("_a", "_b").agg(F.min("position").alias("position"))
+    dated = want.filter("date_hint <> ''").select("_a", "_b", "date_hint").distinct().join(found, ["_a", "_b"])
+    slugs = texts.groupBy("_t", "slug").agg(F.min("position").alias("position"))
+    dated = dated.join(slugs, "_t").filter(F.col("slug").contains(F.col("date_hint"))).groupBy("_a", "_b", "date_hint").agg(F.min("position").alias("_dated"))
+    out = want.join(plain, ["_a", "_b"]).join(dated, ["_a", "_b", "date_hint"], "left")
+    return out.select("wanted_id", F.coalesce("_dated", "position").alias("position"), F.when(F.col("_dated").isNotNull(), 7).otherwise(4).alias("score"))
+
+
+def forfeit_view(markets: DataFrame, match: str) -> DataFrame:
+    """match, markets: each match's blocked markets in order of game number, then kind of market."""
+    rest = [c for c in markets.columns if c not in (match, "game_number", "market_type")]
+    return markets.groupBy(match).agg(F.array_sort(F.collect_list(F.struct("game_number", "market_type", *rest))).alias("markets"))
 
 
 def market_games(markets: DataFrame) -> DataFrame:

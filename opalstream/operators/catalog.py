@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.functions.columns import U64, hex_bytes, lenient_list
-from opalstream.functions.keccak import u256_bytes
+from opalstream.functions.keccak import u256_list
 from opalstream.operators import rules
 
 RAW_SCHEMA = "id string, updatedAt string, conditionId string, clobTokenIds string, tags array<struct<id:string>>, events array<struct<tags:array<struct<id:string>>>>, negRisk boolean, sportsMarketType string, question string"
@@ -19,18 +19,14 @@ def tag_union(tags: Column, events: Column) -> Column:
 
 
 def compact(raw: DataFrame) -> DataFrame:
-    """Raw rows to market rows; a bad id, condition or token drops the row.  Both forms of the token list are read."""
+    """Raw rows to market rows, each on its own (pages overlap, so rows repeat); a bad id, condition or token drops
+    the row.  Both forms of the token list are read."""
     tokens = lenient_list(F.col("clobTokenIds")) if dict(raw.dtypes)["clobTokenIds"] == "string" else F.coalesce("clobTokenIds", F.expr("cast(array() as array<string>)"))
     rows = raw.select(
         F.col("id").try_cast(U64).alias("market_id"), hex_bytes(F.col("conditionId"), 32).alias("condition_id"), tokens.alias("tokens"), tag_union(F.col("tags"), F.col("events")).alias("tag_ids"),
         F.coalesce("negRisk", F.lit(False)).alias("neg_risk"), "sportsMarketType", "question", F.col("updatedAt").alias("updated_at"),
     ).filter("market_id is not null and condition_id is not null and tokens is not null")
-    # the pair of tokens of a market: a list of known, small size
-    pos = F.posexplode_outer("tokens").alias("_i", "_t")
-    flat = rows.select("*", pos).withColumn("_b", u256_bytes(F.col("_t")))
-    keep = [c for c in rows.columns if c not in ("market_id", "tokens")]
-    back = flat.groupBy("market_id", "updated_at").agg(*[F.first(c).alias(c) for c in keep if c != "updated_at"], F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_i", "_b")))).alias("_p"))
-    back = back.filter(~F.exists("_p", lambda p: p["_b"].isNull())).withColumn("token_ids", F.transform("_p", lambda p: p["_b"]))
+    back = rows.withColumn("token_ids", u256_list(F.col("tokens"))).filter(~F.exists("token_ids", lambda b: b.isNull()))
     kind = rules.category(F.col("tag_ids"), F.col("question"))
     back = back.withColumn("category", kind)
     return back.withColumn("bet_type", rules.bet_type(F.col("category"), F.col("tag_ids"), F.col("sportsMarketType"), F.col("question"))).select("market_id", "condition_id", "token_ids", "tag_ids", "category", "bet_type", "neg_risk", "updated_at")
@@ -47,6 +43,20 @@ def upsert(catalog: DataFrame, incoming: DataFrame, key: str, content: list[str]
     return both.select(key, row.alias("_r"), seen.alias("seen_day")).select(key, *[F.col(f"_r.{c}").alias(c) for c in content], "seen_day")
 
 
+def reconcile(catalog: DataFrame, listed: DataFrame, key: str, content: list[str], walk_day: int, retention: int, last_fresh: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The catalog after a full walk of all markets, and one row of what it did: fresh (rows the walk listed), gaps
+    (markets the incremental passes had missed), changed, evicted.  Cursors aren't touched."""
+    new = listed.select(key, F.struct(*content).alias("_n"))
+    old = catalog.select(key, F.struct(*content).alias("_o"))
+    both = new.join(old, key, "left").select((F.col("_o").isNull()).alias("_gap"), (F.col("_o").isNotNull() & ~F.col("_o").eqNullSafe(F.col("_n"))).alias("_changed"))
+    did = both.agg(F.count("*").alias("fresh"), F.count_if("_gap").alias("gaps"), F.count_if("_changed").alias("changed"))
+    fresh = did.first()["fresh"]
+    merged = upsert(catalog, listed, key, content, F.lit(walk_day))
+    kept = evict(merged, walk_day, retention, fresh, last_fresh)
+    gone = merged.agg(F.count("*").alias("_all")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("_kept"))))  # a row each
+    return kept, did.crossJoin(F.broadcast(gone)).select("fresh", "gaps", "changed", (F.col("_all") - F.col("_kept")).alias("evicted"))
+
+
 def evict(catalog: DataFrame, today: int, retention: int, fresh: int | None = None, last_fresh: int = 0) -> DataFrame:
     """Rows seen since today - retention.  Rows without a day count as seen retention - 2 days ago, future ones as today;
     nothing goes if retention is 0 or the last pass saw fewer rows than half of the one before."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
-    """The first row of each key in order of arrival: one aggregate, combined before the shuffle."""
-    rest = [c for c in df.columns if c not in {*key, *arrival}]
-    best = df.groupBy(*key).agg(F.min(F.struct(*arrival, *rest)).alias("_x"))
+    """The first row of each key in order of arrival, which should be total: one aggregate, combined before the
+    shuffle.  Other columns may be of any type, maps too, as only arrivals are compared."""
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*arrival)).alias("_x"))
     return best.select(*[F.col(c) if c in key else F.col(f"_x.{c}").alias(c) for c in df.columns])
 
 
@@ -40,16 +40,48 @@ def id_aliases(upserts: DataFrame, market_id: str, condition: str, order: list[s
 
 def allowed(df: DataFrame, emitters: DataFrame, col: str, empty_accepts_all: bool = True) -> DataFrame:
     """Rows of listed emitters; all of them if the list is empty."""
-    out = df.join(emitters.select(col).distinct(), col, "left_semi")
-    if not empty_accepts_all:
-        return out
-    return out.unionByName(df.join(emitters.agg(F.count("*").alias("_n")).filter("_n = 0").select("_n"), how="left_semi"))
+    if empty_accepts_all and emitters.isEmpty():
+        return df
+    return df.join(emitters.select(col).distinct(), col, "left_semi")
 
 
 def off_list(df: DataFrame, emitters: DataFrame, col: str) -> DataFrame:
     return df.join(emitters.select(col).distinct(), col, "left_anti")
 
 
+def delivery_counters(df: DataFrame, source: str, key: list[str], arrival: list[str], error: str, foreign: Column, hit: Column) -> DataFrame:
+    """Per source: logs received, decoded, decode_errors, foreign (decoded, but not for this service), duplicates
+    (keys that came before, from any source), accepted, hits and misses.
+
+    A delivery with an error text stops there, a foreign one next; of the others the first of a key is accepted."""
+    rows = df.withColumn("_error", F.col(error).isNotNull()).withColumn("_foreign", ~F.col("_error") & F.coalesce(foreign, F.lit(False))).withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    rows = rows.withColumn("_event", ~F.col("_error") & ~F.col("_foreign"))
+    won = first_wins(rows.filter("_event").select(*dict.fromkeys([*key, *arrival, source]), "_hit"), key, arrival)
+    won = won.groupBy(source).agg(F.count("*").alias("accepted"), F.count_if("_hit").alias("hits"))
+    out = rows.groupBy(source).agg(F.count("*").alias("received"), F.count_if(~F.col("_error")).alias("decoded"), F.count_if("_error").alias("decode_errors"), F.count_if("_foreign").alias("foreign"), F.count_if("_event").alias("_events"))
+    out = out.join(won, source, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("accepted", "hits")})
+    return out.select(source, "received", "decoded", "decode_errors", "foreign", (F.col("_events") - F.col("accepted")).alias("duplicates"), "accepted", "hits", (F.col("accepted") - F.col("hits")).alias("misses"))
+
+
+def first_leads(a: DataFrame, b: DataFrame, key: list[str], at_a: str, at_b: str) -> DataFrame:
+    """key, lead: how long after a's first row b's first one came, either order; null where one has none."""
+    x, y = a.groupBy(*key).agg(F.min(at_a).alias("_a")), b.groupBy(*key).agg(F.min(at_b).alias("_b"))
+    return x.join(y, key, "full_outer").select(*key, (F.col("_b") - F.col("_a")).alias("lead"))
+
+
+def look_up_chain(rows: DataFrame, tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """rows with columns of one dimension after the other: (table, its key, the column that names it); misses are null."""
+    for table, key, name in tables:
+        rows = rows.join(table, rows[name] == table[key], "left")
+    return rows
+
+
+def set_union(rows: DataFrame, key: list[str], sets: Column, name: str) -> DataFrame:
+    """key, name: the sorted distinct entries of all its rows' arrays, combined before the shuffle."""
+    each = rows.select(*key, F.explode(sets).alias("_x")).groupBy(*key).agg(F.collect_set("_x").alias("_s"))
+    return each.select(*key, F.array_sort("_s").alias(name))
+
+
 def off_list_tally(df: DataFrame, emitter: str, hit: Column, arrival: list[str], requester: str, most: int = 64) -> DataFrame:
     """Per emitter, the first `most` to appear: events, hits, first and last arrival, last requester, last hit's requester."""
     at = F.struct(*arrival)

@@ -1,25 +1,39 @@
 """The pending gate: which unconfirmed calls are passed on early.
 
-State is kept per market (requester and question), shared state (trust of senders, tips of confirmed calls) per
-gate.  `Gate` is the state machine; run_gate folds ordered rows through one gate per stream, and
-opalstream.streaming.gate runs the same machine on a live stream.
+Every rule is a window or a join, so verdicts depend on the rows alone, not on what shares a task:
+
+* a call is stale if its market (requester, question) has seen a later timestamp;
+* calls of one request (market and timestamp) form sessions, which end where nothing touches the request
+  for `state_ttl_us`; stale calls touch nothing;
+* a sender's trust at a call is the count of its earlier proposals that agreed or not with the first
+  confirmed one of their session, up to MOST_PENDING of a session, once that is confirmed;
+* the tip floor at a call is a quantile of the tips of proposals confirmed within `tip_window_us` before
+  whose transaction was seen pending, found hour by hour (window by window) in parallel;
+* within a session, the first call that is trusted and not below the floor is passed on.
+
+Rows: stream, arrival (microseconds), seq, kind ('propose' or 'dispute'), requester, question, timestamp,
+price, sender, tip_gwei, tx, confirmed.  (arrival, seq) orders the rows of a stream, without ties.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter, deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from opalstream.functions.columns import lower_bound_trust
 
 MOST_PENDING = 32
+MARKET = ["requester", "question"]
+ORDER = ["arrival", "seq"]
+#: Stands for the verdict of a confirmed row in `was`.
+CONFIRMED = "confirmed"
 
 
 @dataclass(frozen=True)
 class GateSettings:
+    # The service's defaults.
     trust_min_n: int = 50
     trust_min_rate: float = 0.98
     tip_quantile: float = 0.05
@@ -28,125 +42,124 @@ class GateSettings:
     state_ttl_us: int = 7 * 86_400_000_000
 
 
-@dataclass
-class Request:
-    touched: int = 0
-    pending: list = field(default_factory=list)
-    proposed: object = None
-    disputed: bool = False
-    emitted: object = None
-    emitted_dispute: bool = False
-
-
-class Gate:
-    def __init__(self, settings: GateSettings | None = None):
-        self.s = settings or GateSettings()
-        self.rounds: dict = {}
-        self.requests: dict = {}
-        self.agree, self.disagree, self.dropped = Counter(), Counter(), Counter()
-        self.tips: deque = deque()
-        self.tip_of: dict = {}
-
-    def trusted(self, sender) -> bool:
-        a, d = self.agree[sender], self.disagree[sender]
-        n = a + d
-        p = (a + 1) / (n + 2)
-        return n >= self.s.trust_min_n and p - 1.645 * math.sqrt(p * (1 - p) / (n + 3)) >= self.s.trust_min_rate
-
-    def tip_floor(self, now: int):
-        while self.tips and now - self.tips[0][0] > self.s.tip_window_us:
-            self.tips.popleft()
-        if len(self.tips) < max(1, self.s.tip_min_samples):
-            return None
-        ordered = sorted(t for _, t in self.tips)
-        return ordered[min(len(ordered) - 1, math.floor((len(ordered) - 1) * self.s.tip_quantile + 0.5))]
-
-    def _request(self, market, timestamp, now: int) -> Request:
-        r = self.requests.setdefault((market, timestamp), Request())
-        r.touched = now
-        return r
-
-    def pending(self, kind: str, market, timestamp: int, price, sender, tip: int, tx, now: int) -> str:
-        """The verdict on a pending call: Emit, or why it is dropped."""
-        self.tip_of[tx] = (now, tip)
-        if timestamp < self.rounds.setdefault(market, timestamp):
-            verdict = "StaleRound"
-        else:
-            self.rounds[market] = timestamp
-            floor = self.tip_floor(now)
-            low = floor is not None and tip < floor
-            r = self._request(market, timestamp, now)
-            verdict = self._propose(r, price, sender, low) if kind == "propose" else self._dispute(r, low)
-        if verdict != "Emit":
-            self.dropped[verdict] += 1
-        return verdict
-
-    def _propose(self, r: Request, price, sender, low: bool) -> str:
-        if len(r.pending) < MOST_PENDING:
-            r.pending.append((sender, price))
-        if r.disputed:
-            return "AlreadyDisputed"
-        if r.proposed is not None:
-            return "AlreadyProposed"
-        if r.emitted is not None:
-            return "Duplicate" if r.emitted == price else "Conflict"
-        if not self.trusted(sender):
-            return "Untrusted"
-        if low:
-            return "LowTip"
-        r.emitted = price
-        return "Emit"
-
-    def _dispute(self, r: Request, low: bool) -> str:
-        if r.disputed:
-            return "AlreadyDisputed"
-        if r.emitted_dispute:
-            return "Duplicate"
-        if low:
-            return "LowTip"
-        r.emitted_dispute = True
-        return "Emit"
-
-    def confirmed(self, kind: str, market, timestamp: int, price, tx, now: int) -> None:
-        self.rounds[market] = max(self.rounds.get(market, timestamp), timestamp)
-        if kind == "propose" and tx in self.tip_of:
-            self.tips.append((now, self.tip_of[tx][1]))
-        r = self._request(market, timestamp, now)
-        if kind == "dispute":
-            r.disputed = True
-        elif r.proposed is None:
-            r.proposed = price
-            for sender, p in r.pending:
-                (self.agree if p == price else self.disagree)[sender] += 1
-            r.pending = []
-
-    def prune(self, now: int) -> None:
-        self.requests = {k: r for k, r in self.requests.items() if now - r.touched < self.s.state_ttl_us}
-        self.tip_of = {k: v for k, v in self.tip_of.items() if now - v[0] < self.s.tip_window_us}
-
-    def row(self, r) -> str | None:
-        if r.confirmed:
-            return self.confirmed(r.kind, (r.requester, r.question), r.timestamp, r.price, r.tx, r.arrival)
-        return self.pending(r.kind, (r.requester, r.question), r.timestamp, r.price, r.sender, r.tip_gwei, r.tx, r.arrival)
-
-
-def run_gate(rows: DataFrame, stream: str, settings: GateSettings | None = None, prune_every: int = 10_000) -> DataFrame:
-    """rows (stream, arrival, seq, kind, requester, question, timestamp, price, sender, tip_gwei, tx, confirmed)
-    with `verdict`, null for confirmed ones.  A stream is one gate, whose rows are taken one by one in order."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, gate, n = None, None, 0
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                k = getattr(r, stream)
-                if gate is None or k != mine:
-                    mine, gate = k, Gate(settings)
-                out.append(gate.row(r))
-                n += 1
-                if n % prune_every == 0:
-                    gate.prune(r.arrival)
-            yield pdf.assign(verdict=out)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", verdict string"
-    return rows.repartition(stream).sortWithinPartitions(stream, "arrival", "seq").mapInPandas(fold, schema)
+def _before(*by: str):
+    return Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _some(c: Column, w) -> Column:
+    return F.coalesce(F.max(c).over(w), F.lit(False))
+
+
+def sessions(rows: DataFrame, stream: str, s: GateSettings, rounds: DataFrame | None = None) -> DataFrame:
+    """Adds _stale, _session (null for stale calls), and what the session has seen before the row.
+
+    rounds (stream, requester, question, timestamp): latest rounds known before the first row."""
+    market, request = [stream, *MARKET], [stream, *MARKET, "timestamp", "_stale"]
+    seen = F.max("timestamp").over(_before(*market))
+    if rounds is not None:
+        rows = rows.join(rounds.select(*market, F.col("timestamp").alias("_known")), market, "left")
+        seen = F.greatest(seen, F.col("_known"))
+    rows = rows.withColumn("_stale", ~F.col("confirmed") & F.coalesce(F.col("timestamp") < seen, F.lit(False)))
+    tip = F.last(F.when(~F.col("confirmed"), F.struct("arrival", "tip_gwei")), ignorenulls=True).over(_before(stream, "tx"))
+    rows = rows.drop("_known").withColumn("_seen", tip)
+    gap = F.col("arrival") - F.lag("arrival").over(Window.partitionBy(*request).orderBy(*ORDER))
+    rows = rows.withColumn("_gap", F.coalesce(gap >= s.state_ttl_us, F.lit(False)).cast("int"))
+    rows = rows.withColumn("_session", F.when(~F.col("_stale"), F.sum("_gap").over(Window.partitionBy(*request).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))))
+    propose, confirmed = F.col("kind") == "propose", F.col("confirmed")
+    w, whole = _before(*request, "_session"), Window.partitionBy(*request, "_session")
+    first = F.min(F.when(confirmed & propose, F.struct(*ORDER, "price"))).over(whole)
+    return rows.drop("_gap").withColumns({
+        "_disputed": _some(confirmed & ~propose, w), "_proposed": _some(confirmed & propose, w),
+        "_earlier": F.coalesce(F.count_if(~confirmed & propose).over(w), F.lit(0)), "_truth": first,
+    })
+
+
+def _scores(rows: DataFrame, stream: str) -> DataFrame:
+    """Of sessions' rows: stream, sender, arrival, seq (of the confirmation that scores) and agree."""
+    pending = ~F.col("confirmed") & ~F.col("_stale") & (F.col("kind") == "propose") & ~F.col("_proposed") & (F.col("_earlier") < MOST_PENDING)
+    scored = rows.filter(pending & F.col("_truth").isNotNull())
+    return scored.select(stream, "sender", F.col("_truth.arrival").alias("arrival"), F.col("_truth.seq").alias("seq"), F.col("price").eqNullSafe(F.col("_truth.price")).alias("agree"))
+
+
+def sender_scores(rows: DataFrame, stream: str, settings: GateSettings | None = None) -> DataFrame:
+    """stream, sender, agree, disagree over all rows."""
+    scores = _scores(sessions(rows, stream, settings or GateSettings()), stream)
+    return scores.groupBy(stream, "sender").agg(F.count_if("agree").alias("agree"), F.count_if(~F.col("agree")).alias("disagree"))
+
+
+def _trust(asked: DataFrame, scores: DataFrame, stream: str, s: GateSettings, known: DataFrame | None) -> DataFrame:
+    """asked (stream, sender, arrival, seq) with trusted: by the scores before."""
+    by = [stream, "sender"]
+    both = asked.withColumn("agree", F.lit(None).cast("boolean")).unionByName(scores)
+    w = Window.partitionBy(*by).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({"_a": F.count_if("agree").over(w), "_d": F.count_if(~F.col("agree")).over(w)}).filter("agree is null")
+    if known is not None:
+        out = out.join(known.select(*by, F.col("agree").alias("_ka"), F.col("disagree").alias("_kd")), by, "left")
+        out = out.withColumns({"_a": F.col("_a") + F.coalesce("_ka", F.lit(0)), "_d": F.col("_d") + F.coalesce("_kd", F.lit(0))})
+    return out.select(stream, *ORDER, ((F.col("_a") + F.col("_d") >= s.trust_min_n) & (lower_bound_trust(F.col("_a"), F.col("_d")) >= s.trust_min_rate)).alias("_trusted"))
+
+
+def tip_floors(asked: DataFrame, tips: DataFrame, stream: str, s: GateSettings) -> DataFrame:
+    """asked (stream, arrival, seq) with _floor, null below the least number of samples; tips (stream, arrival, seq, tip)."""
+    bucket = F.floor(F.col("arrival") / s.tip_window_us)
+    a = asked.select(stream, *ORDER, bucket.alias("_b"), F.lit(None).cast("long").alias("tip"))
+    # a tip serves its own stretch of time and the next
+    t = tips.select(stream, *ORDER, F.explode(F.array(bucket, bucket + 1)).alias("_b"), F.col("tip").cast("long").alias("tip"))
+    w = Window.partitionBy(stream, "_b").orderBy("arrival").rangeBetween(-s.tip_window_us, 0)
+    near = F.collect_list(F.when(F.col("tip").isNotNull(), F.struct("arrival", "seq", "tip"))).over(w)
+    out = a.unionByName(t).withColumn("_near", near).filter("tip is null")
+    own = (F.col("arrival"), F.col("seq"))
+    before = F.filter("_near", lambda x: (x["arrival"] < own[0]) | (x["seq"] < own[1]))
+    out = out.withColumn("_tips", F.array_sort(F.transform(before, lambda x: x["tip"])))
+    n = F.size("_tips")
+    place = F.floor((n - 1) * s.tip_quantile + 0.5).cast("int")
+    return out.select(stream, *ORDER, F.when(n >= max(1, s.tip_min_samples), F.get("_tips", F.least(place, n - 1))).alias("_floor"))
+
+
+def gate(rows: DataFrame, stream: str, settings: GateSettings | None = None, rounds: DataFrame | None = None, trust: DataFrame | None = None) -> DataFrame:
+    """rows with `verdict`, null for confirmed ones: Emit, or why a call is dropped.
+
+    rounds and trust (stream, sender, agree, disagree): what is known from before the first row.  A column `was`
+    holds the verdicts of rows that have been judged before; they stand."""
+    s = settings or GateSettings()
+    seen = sessions(rows, stream, s, rounds)
+    key = [stream, *ORDER]
+    tips = seen.filter("confirmed and kind = 'propose' and _seen is not null").filter(F.col("arrival") - F.col("_seen.arrival") < s.tip_window_us)
+    tips = tips.select(*key, F.col("_seen.tip_gwei").alias("tip"))
+    asked = seen.filter("not confirmed and not _stale and not _disputed")
+    trusted = _trust(asked.filter("kind = 'propose' and not _proposed").select(stream, "sender", *ORDER), _scores(seen, stream), stream, s, trust)
+    out = seen.join(tip_floors(asked.select(*key), tips, stream, s), key, "left").join(trusted, key, "left")
+    propose = F.col("kind") == "propose"
+    low = F.coalesce(F.col("tip_gwei") < F.col("_floor"), F.lit(False))
+    open_ = ~F.col("confirmed") & ~F.col("_stale") & ~F.col("_disputed")
+    fit = open_ & ~low & F.when(propose, ~F.col("_proposed") & F.coalesce("_trusted", F.lit(False))).otherwise(True)
+    if "was" in rows.columns:
+        fit = F.coalesce(F.col("was") == "Emit", fit)
+    w = _before(stream, *MARKET, "timestamp", "_stale", "_session", "kind")
+    passed = F.first(F.when(fit, F.struct("price")), ignorenulls=True).over(w)
+    out = out.withColumns({"_passed": passed, "_low": low})
+    verdict = (
+        F.when(F.col("confirmed"), F.lit(None).cast("string")).when(F.col("_stale"), "StaleRound").when(F.col("_disputed"), "AlreadyDisputed").when(propose & F.col("_proposed"), "AlreadyProposed")
+        .when(F.col("_passed").isNotNull(), F.when(~propose | F.col("_passed.price").eqNullSafe(F.col("price")), "Duplicate").otherwise("Conflict"))
+        .when(propose & ~F.coalesce("_trusted", F.lit(False)), "Untrusted").when(F.col("_low"), "LowTip").otherwise("Emit")
+    )
+    return out.withColumn("verdict", verdict).select(*rows.columns, "verdict")
+
+
+def carried(rows: DataFrame, stream: str, settings: GateSettings, now: int, rounds: DataFrame, trust: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the next rows need of rows up to `now`: the rows of sessions and transactions that aren't over, and
+    rounds and trust brought up to date with those that are."""
+    s = sessions(rows, stream, settings, rounds)
+    request = [stream, *MARKET, "timestamp", "_stale", "_session"]
+    s = s.withColumn("_last", F.max("arrival").over(Window.partitionBy(*request)))
+    live = F.when(F.col("_stale"), F.lit(now) - F.col("arrival") < settings.tip_window_us).otherwise(F.lit(now) - F.col("_last") < settings.state_ttl_us)
+    # a session's tip may still count, and a transaction may still be confirmed, for the length of the tip window
+    live = live | (F.lit(now) - F.col("arrival") <= 2 * settings.tip_window_us)
+    whole = F.max(live).over(Window.partitionBy(*request))
+    s = s.withColumn("_live", F.when(F.col("_stale"), live).otherwise(whole))
+    over = s.filter(~F.col("_live"))
+    done = _scores(over, stream).groupBy(stream, "sender").agg(F.count_if("agree").alias("agree"), F.count_if(~F.col("agree")).alias("disagree"))
+    trust = trust.unionByName(done).groupBy(stream, "sender").agg(F.sum("agree").alias("agree"), F.sum("disagree").alias("disagree"))
+    market = [stream, *MARKET]
+    rounds = rounds.unionByName(over.select(*market, "timestamp")).groupBy(*market).agg(F.max("timestamp").alias("timestamp"))
+    return s.filter("_live").select(*rows.columns), rounds, trust

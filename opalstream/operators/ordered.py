@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalstream.shared import materialised
+
 
 def global_sequence(df: DataFrame, order: list[str], name: str = "seq", start: int = 1) -> DataFrame:
     """Numbers rows by `order` (which should be total): a range shuffle, then each part's number of rows before it.
 
-    The parts' sizes (a row each, as many as shuffle partitions) are all that meets in one place.
+    The sorted rows are written to the shared folder once: numbers and sizes must be of the same parts, and
+    another evaluation of the range shuffle may draw other bounds.  The parts' sizes (a row each, as many as
+    shuffle partitions) are all that meets in one place.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialised(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "sequence")
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,3 +163,79 @@ def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, ot
     a = left.withColumn("_b", F.explode(F.array(F.floor(F.col(at) / longest), F.floor(F.col(at) / longest) + 1)))
     b = right.withColumn("_b", F.floor(F.col(other) / longest))
     return a.join(b, [*key, "_b"]).filter((F.col(other) >= F.col(at)) & (F.col(other) - F.col(at) <= longest)).drop("_b")
+
+
+def newest_per_key(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key by order; Spark keeps n a key before the shuffle, too."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def top_per_group(df: DataFrame, group: str, name: str, n: int) -> DataFrame:
+    """group, name, n: the n most frequent names of each group, ties by name."""
+    counts = df.groupBy(group, name).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group).orderBy(F.col("n").desc(), name)
+    return counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def top_groups(df: DataFrame, group: Column | str, value: str, n: int) -> DataFrame:
+    """group, total: the n groups with the largest sums of value."""
+    return df.groupBy(group).agg(F.sum(value).alias("total")).orderBy(F.col("total").desc()).limit(n)
+
+
+def newest_matching(df: DataFrame, order: list[str], scan: int, match: Column, n: int) -> DataFrame:
+    """The last n matching rows among the last `scan` rows."""
+    return last_rows(last_rows(df, order, scan).filter(match), order, n)
+
+
+def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, value: the element number n // 2, from 0, of each group in order."""
+    seq = global_sequence(df.filter(F.col(value).isNotNull()).select(*group, value), [*group, value], "_seq", 0)
+    at = seq.groupBy(*group).agg((F.min("_seq") + F.expr("count(*) div 2")).alias("_seq"))
+    return at.select("_seq").join(seq, "_seq").select(*group, value)
+
+
+def latest_so_far(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the largest value of the key up to and with this row."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.max(value).over(w))
+
+
+def lag_in_group(df: DataFrame, key: list[str], order: list[str], at: str, name: str) -> DataFrame:
+    """Adds how long after the row before it in its group a row comes."""
+    return df.withColumn(name, F.col(at) - F.lag(at).over(Window.partitionBy(*key).orderBy(*order)))
+
+
+def condition_runs(df: DataFrame, key: list[str], at: str, on: str) -> DataFrame:
+    """key, a, b: first and last time of each unbroken run of a condition."""
+    w = Window.partitionBy(*key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_isl", F.sum((~F.col(on)).cast("int")).over(w))
+    return rows.filter(F.col(on)).groupBy(*key, "_isl").agg(F.min(at).alias("a"), F.max(at).alias("b")).drop("_isl")
+
+
+def lead_summary(df: DataFrame, lead_us: str) -> DataFrame:
+    """One row: p10, p50, p90, least and most lead in milliseconds, by nearest rank; null without rows."""
+    names = {0.1: "lead_ms_p10", 0.5: "lead_ms_p50", 0.9: "lead_ms_p90", 0.0: "lead_ms_min", 1.0: "lead_ms_max"}
+    got = nearest_rank(df.select(lead_us), [], lead_us, list(names))
+    return got.agg(*[F.max(F.when(F.col("q") == q, F.col(lead_us) / 1000.0)).alias(n) for q, n in names.items()])
+
+
+def ring_dedup(df: DataFrame, by: list[str], key: list[str], order: list[str], size: int = 4096) -> DataFrame:
+    """First arrivals: rows whose key isn't among the last `size` accepted keys of their `by`."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, ring = None, OrderedDict()
+        for pdf in batches:
+            keep = []
+            for b, k in zip(pdf[by].itertuples(index=False, name=None), pdf[key].itertuples(index=False, name=None)):
+                if b != mine:
+                    mine, ring = b, OrderedDict()
+                keep.append(k not in ring)
+                if keep[-1]:
+                    ring[k] = None
+                    if len(ring) > size:
+                        ring.popitem(last=False)
+            yield pdf[keep]
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, schema)

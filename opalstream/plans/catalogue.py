@@ -2,7 +2,7 @@
 
 Roles: events is the log stream (event_type its source, (user_id, day) the event key, (at, event_id) the order of
 arrival), customers of the BUILDING segment and suppliers are the market dimension, orders are rounds of a request
-(o_custkey), suppliers not divisible by 4 are the allow-list.
+(o_custkey), suppliers with a balance above 0 are the allow-list.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalstream.functions import columns as C
-from opalstream.operators import analytics, catalog, console, events, ordered, rules
+from opalstream.operators import analytics, catalog, console, events, gate, ordered, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ class Data:
 
     @property
     def emitters(self) -> DataFrame:
-        return self.supplier.filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
+        return self.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
 
     @property
     def nodes(self) -> DataFrame:
@@ -135,18 +135,18 @@ def output_projection(d):
     return events.with_defaults(rows, {"category": "UNSPECIFIED", "balance": 0.0})
 
 
-@query("select l_returnflag, count(*) as n, sum(l_quantity) as quantity from lineitem where l_suppkey in (select s_suppkey from supplier where s_suppkey % 4 <> 0) group by 1")
+@query("select l_returnflag, count(*) as n, sum(l_quantity) as quantity from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 0) group by 1")
 def allowlist_semi(d):
     return events.allowed(d.lineitem, d.emitters, "l_suppkey", False).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("select l_returnflag, count(*) as n, sum(l_quantity) as quantity from lineitem where l_suppkey not in (select s_suppkey from supplier where s_suppkey % 4 <> 0) group by 1")
+@query("select l_returnflag, count(*) as n, sum(l_quantity) as quantity from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal > 0) group by 1")
 def offlist_anti(d):
     return events.off_list(d.lineitem, d.emitters, "l_suppkey").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 @query("""select l_suppkey, count(*) as events, count(*) filter (p_size > 40) as hits, arg_max(l_partkey, (l_orderkey, l_linenumber)) as last_requester, arg_max(l_partkey, (l_orderkey, l_linenumber)) filter (p_size > 40) as last_hit
- from lineitem join part on p_partkey = l_partkey where l_suppkey % 4 = 0 group by 1 order by min((l_orderkey, l_linenumber)), l_suppkey limit 64""")
+ from lineitem join part on p_partkey = l_partkey where l_suppkey not in (select s_suppkey from supplier where s_acctbal > 0) group by 1 order by min((l_orderkey, l_linenumber)), l_suppkey limit 64""")
 def offlist_tally(d):
     rows = events.off_list(d.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), d.emitters, "l_suppkey").join(d.part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
     return events.off_list_tally(rows, "l_suppkey", F.col("p_size") > 40, ["l_orderkey", "l_linenumber"], "l_partkey").drop("first_seen", "last_seen")
@@ -191,9 +191,7 @@ def nearest_rank_quantile(d):
 
 @query("select l_shipmode_stand_in as l_linestatus, list_extract(v, len(v) // 2 + 1) as upper_median from (select l_linestatus as l_shipmode_stand_in, list_sort(list(l_quantity)) as v from lineitem group by 1)")
 def upper_median(d):
-    seq = ordered.global_sequence(d.lineitem.select("l_linestatus", "l_quantity"), ["l_linestatus", "l_quantity"], "s", 0)
-    at = seq.groupBy("l_linestatus").agg((F.min("s") + F.expr("count(*) div 2")).alias("s"))
-    return at.select("s").join(seq, "s").select("l_linestatus", F.col("l_quantity").alias("upper_median"))
+    return ordered.upper_median(d.lineitem, ["l_linestatus"], "l_quantity").withColumnRenamed("l_quantity", "upper_median")
 
 
 @query(f"""select user_id, coalesce(sum(case when at >= m - 864000000000 and prev is not null then case when v >= prev then v - prev else v end end), 0)::bigint as increase from (
@@ -210,15 +208,20 @@ runs as (select user_id, isl, min(at) filter (on_) as a, max(at) filter (on_) as
 select user_id, count(*) as runs, max(b - a) as longest from runs group by 1""")
 def condition_runs(d):
     """Gaps and islands of a condition, the batch core of hold and resolve."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = d.log.select("user_id", "at", (F.col("value") > 40).alias("on_")).withColumn("isl", F.sum((~F.col("on_")).cast("int")).over(w))
-    runs = rows.filter("on_").groupBy("user_id", "isl").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    runs = ordered.condition_runs(d.log.select("user_id", "at", (F.col("value") > 40).alias("on_")), ["user_id"], "at", "on_")
     return runs.groupBy("user_id").agg(F.count("*").alias("runs"), F.max(F.col("b") - F.col("a")).alias("longest"))
 
 
-@query()
+@query(f"""with recursive e as (select user_id, at, value > 40 as on_, row_number() over (partition by user_id order by at, event_id) as rn from {LOG}),
+f as (select user_id, rn, at, case when on_ then at end as since, null::bigint as fired, null::bigint as absent, null::bigint as done_since, null::bigint as done_fired, null::bigint as done_at from e where rn = 1
+ union all select user_id, rn, at, case when ends then null else since2 end, case when ends then null else fired2 end, case when ends then null else absent2 end,
+  case when ends then since2 end, case when ends then fired2 end, case when ends then at end from (
+  select *, not on_ and fired2 is not null and at - absent2 >= 7200000000 as ends from (
+   select e.user_id, e.rn, e.at, e.on_, case when e.on_ then coalesce(f.since, e.at) when f.fired is null then null else f.since end as since2,
+    case when e.on_ and f.fired is null and e.at - coalesce(f.since, e.at) >= 3600000000 then e.at else f.fired end as fired2,
+    case when e.on_ or f.fired is null then null else coalesce(f.absent, e.at) end as absent2 from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)))
+select user_id, done_since as pending_since, done_fired as fired_at, done_at as resolved_at from f where done_at is not null
+union all select user_id, since, fired, null from (select *, row_number() over (partition by user_id order by rn desc) as last from f) where last = 1 and fired is not null""")
 def hold_resolve_islands(d):
     rows = d.log.select("user_id", "at", (F.col("value") > 40).alias("on_"))
     return ordered.islands(rows, ["user_id"], "at", "on_", 3_600_000_000, 7_200_000_000)
@@ -234,9 +237,9 @@ def greedy_batches(d):
     return ordered.greedy_batches(rows, ["day"], ["at", "event_id"], "size").select("event_id", "day", "batch")
 
 
-@query("select event_id, seq from (select event_id, row_number() over (order by ts, event_id) - 1 as seq, count(*) over () as n from events) where seq % greatest(1, n // 150) = 0 or seq = n - 1")
+@query("select event_id, seq from (select event_id, row_number() over (order by ts, event_id) - 1 as seq, count(*) over () as n from events) where seq % greatest(1, n // 1500) = 0 or seq = n - 1")
 def history_thinning(d):
-    return ordered.thinned(d.log, ["at", "event_id"], 150).select("event_id", "seq")
+    return ordered.thinned(d.log, ["at", "event_id"], 1500).select("event_id", "seq")
 
 
 @query("select doc_id from (select unnest(generate_series(min(doc_id), max(doc_id))) as doc_id from labels) where doc_id not in (select doc_id from labels)")
@@ -253,10 +256,8 @@ def interval_lead(d):
 
 @query(f"select o_orderkey, round_at, at < round_at as stale from (select *, max(at) over (partition by o_custkey order by o_orderkey rows unbounded preceding) as round_at from {ROUNDS})")
 def latest_round(d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return d.rounds.withColumn("round_at", F.max("at").over(w)).select("o_orderkey", "round_at", (F.col("at") < F.col("round_at")).alias("stale"))
+    rows = ordered.latest_so_far(d.rounds, ["o_custkey"], ["o_orderkey"], "at", "round_at")
+    return rows.select("o_orderkey", "round_at", (F.col("at") < F.col("round_at")).alias("stale"))
 
 
 @query("select event_id from events order by ts desc, event_id desc limit 200")
@@ -273,10 +274,7 @@ def recent_since(d):
 
 @query(f"select user_id, event_id from (select *, row_number() over (partition by user_id order by at desc, event_id desc) as rn from {LOG}) where rn <= 5")
 def keep_recent(d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.col("at").desc(), F.col("event_id").desc())
-    return d.log.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("user_id", "event_id")
+    return ordered.newest_per_key(d.log, ["user_id"], ["at", "event_id"], 5).select("user_id", "event_id")
 
 
 @query("with b as (select event_id // 64 as frame, min(event_id) as first_sequence, max(event_id) as last_sequence, count(*) as n from events group by 1) select *, 500 > 0 and 500 < (select min(first_sequence) + 200 from b) as lagged from b where last_sequence > 500")
@@ -289,7 +287,7 @@ def frame_replay_after(d):
 
 # --- rules and scalars
 
-CASES = "(select doc_id, [1, 64, 84, 2, 21, 596, 100343, 104596, 144, 7][1 + doc_id % 10 : 1 + doc_id % 10 + doc_id % 3 - 1] as tags, case when doc_id % 4 = 0 then ['child_moneyline', 'Totals', 'spreads', 'other'][1 + (doc_id // 4) % 4] end as market_type, case when doc_id % 5 <> 0 then ['Will ' || left(text, 12) || ' win the cup?', 'X vs. Y', 'Will it say \"mog\" 5+ times?', 'Map 2 Winner', 'highest temperature in Z', 'Will Y be the best?', 'Fed moves interest rates', left(text, 60)][1 + doc_id % 8] end as question from documents)"
+CASES = "(select doc_id, [1, 64, 84, 2, 21, 596, 100343, 104596, 144, 7][1 + doc_id % 10 : 1 + doc_id % 10 + doc_id % 3 - 1] as tags, case when doc_id % 4 = 0 then ['child_moneyline', 'Totals', 'spreads', 'other'][1 + (doc_id // 4) % 4] end as market_type, case when doc_id % 5 <> 0 then ['Will ' || text || ' win the cup?', 'X vs. Y', 'Will it say \"mog\" 5+ times?', 'Map 2 Winner', 'highest temperature in Z', 'Will Y be the best?', 'Fed moves interest rates', text][1 + doc_id % 8] end as question from documents)"
 
 
 @query(rules.oracle(CASES, "doc_id"))
@@ -298,8 +296,7 @@ def classify_rules(d):
     tags = F.slice(F.array(*map(F.lit, [1, 64, 84, 2, 21, 596, 100343, 104596, 144, 7])), (F.col("doc_id") % 10 + 1).cast("int"), (F.col("doc_id") % 3).cast("int"))
     pick = lambda names, i: F.element_at(F.array(*names), (i + 1).cast("int"))
     kinds = [F.lit(x) for x in ("child_moneyline", "Totals", "spreads", "other")]
-    head = lambda n: F.substring("text", 1, n)
-    texts = [F.concat(F.lit("Will "), head(12), F.lit(" win the cup?")), *map(F.lit, ("X vs. Y", 'Will it say "mog" 5+ times?', "Map 2 Winner", "highest temperature in Z", "Will Y be the best?", "Fed moves interest rates")), head(60)]
+    texts = [F.concat(F.lit("Will "), F.col("text"), F.lit(" win the cup?")), *map(F.lit, ("X vs. Y", 'Will it say "mog" 5+ times?', "Map 2 Winner", "highest temperature in Z", "Will Y be the best?", "Fed moves interest rates")), F.col("text")]
     rows = docs.select(
         "doc_id", tags.alias("tags"), F.when(F.col("doc_id") % 4 == 0, pick(kinds, F.expr("(doc_id div 4) % 4"))).alias("market_type"), F.when(F.col("doc_id") % 5 != 0, pick(texts, F.col("doc_id") % 8)).alias("question")
     )
@@ -390,18 +387,39 @@ def ttl_eviction(d):
     return catalog.evict(rows, (today or 0) - 3, 140)
 
 
-@query("""with o as (select c_custkey, c_mktsegment as seg, c_acctbal as bal, 10 as seen from customer where c_custkey % 3 <> 0), n as (select c_custkey, c_mktsegment as seg, case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end as bal from customer where c_custkey % 2 = 0)
+@query("""with o as (select c_custkey, c_mktsegment as seg, c_acctbal as bal, 10 as seen from customer where c_mktsegment <> 'BUILDING'), n as (select c_custkey, c_mktsegment as seg, case when c_nationkey < 5 then c_acctbal + 1 else c_acctbal end as bal from customer where c_mktsegment <> 'MACHINERY')
 select coalesce(n.c_custkey, o.c_custkey) as c_custkey, coalesce(n.bal, o.bal) as bal, case when n.c_custkey is null then o.seen when o.c_custkey is null or o.bal <> n.bal then 9 else greatest(o.seen, 9) end as seen_day from o full join n on o.c_custkey = n.c_custkey""")
 def catalog_upsert(d):
-    c = d.customer.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
-    old = c.filter("c_custkey % 3 <> 0").withColumn("seen_day", F.lit(10))
-    new = c.filter("c_custkey % 2 = 0").withColumn("bal", F.when(F.col("c_custkey") % 5 == 0, F.col("bal") + 1).otherwise(F.col("bal")))
+    c = d.customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
+    old = c.filter("seg <> 'BUILDING'").withColumn("seen_day", F.lit(10))
+    new = c.filter("seg <> 'MACHINERY'").withColumn("bal", F.when(F.col("c_nationkey") < 5, F.col("bal") + 1).otherwise(F.col("bal")))
     return catalog.upsert(old, new, "c_custkey", ["seg", "bal"], F.lit(9)).select("c_custkey", "bal", "seen_day")
 
 
-@query("select p_partkey from part where p_partkey > 100 order by 1 desc limit 50")
+RECONCILED = """(with o as (select c_custkey, c_acctbal as bal, 90 - c_nationkey as seen from customer where c_mktsegment <> 'BUILDING'), n as (select c_custkey, case when c_nationkey < 5 then c_acctbal + 1 else c_acctbal end as bal from customer where c_mktsegment in ('BUILDING', 'MACHINERY'))
+ select coalesce(n.c_custkey, o.c_custkey) as c_custkey, coalesce(n.bal, o.bal) as bal, case when n.c_custkey is null then o.seen when o.c_custkey is null or o.bal <> n.bal then 100 else greatest(o.seen, 100) end as seen_day, n.c_custkey is not null as fresh, n.c_custkey is not null and o.c_custkey is null as gap, n.bal <> o.bal as changed from o full join n on o.c_custkey = n.c_custkey)"""
+
+
+def reconciled(d):
+    c = d.customer.select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("bal"))
+    old = c.filter("c_mktsegment <> 'BUILDING'").withColumn("seen_day", 90 - F.col("c_nationkey"))
+    new = c.filter("c_mktsegment in ('BUILDING', 'MACHINERY')").withColumn("bal", F.when(F.col("c_nationkey") < 5, F.col("bal") + 1).otherwise(F.col("bal")))
+    return catalog.reconcile(old, new, "c_custkey", ["bal"], 100, 20)
+
+
+@query(f"select c_custkey, bal, seen_day from {RECONCILED} where seen_day >= 80")
+def catalog_reconcile(d):
+    return reconciled(d)[0].select("c_custkey", "bal", "seen_day")
+
+
+@query(f"select count(*) filter (fresh) as fresh, count(*) filter (gap) as gaps, count(*) filter (coalesce(changed, false)) as changed, count(*) filter (seen_day < 80) as evicted from {RECONCILED}")
+def reconcile_counts(d):
+    return reconciled(d)[1]
+
+
+@query("select p_partkey from part where p_partkey > (select max(c_custkey) from customer) order by 1 desc limit 500")
 def newest_ids(d):
-    return catalog.newest_ids(d.part, "p_partkey", 100, 10).select("p_partkey")
+    return catalog.newest_ids(d.part, "p_partkey", d.customer.agg(F.max("c_custkey")).first()[0] or 0).select("p_partkey")
 
 
 @query(f"select min(o_orderkey) as start from {ROUNDS}, (select max(at // 1000000) as h from {ROUNDS}) where at // 1000000 >= h - 604800")
@@ -414,9 +432,10 @@ def block_lower_bound(d):
     return catalog.first_block_since(d.rounds.select(F.col("o_orderkey").alias("number"), F.expr("at div 1000000").alias("at")), 820_454_400)
 
 
-@query("select count(*) as missed, case when count(*) > 0 then 'Missed' else 'Quiet' end as verdict from labels where doc_id > 100 and doc_id <= 395")
+@query("select count(*) as missed, case when count(*) > 0 then 'Missed' else 'Quiet' end as verdict from labels, (select min(doc_id) as verified, max(doc_id) as head from labels) where doc_id > verified and doc_id <= head - 5")
 def stall_check(d):
-    return catalog.stall_verdict(d.labels, "doc_id", 100, 400)
+    ends = d.labels.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return catalog.stall_verdict(d.labels, "doc_id", ends[0] or 0, ends[1] or 0)
 
 
 # --- console
@@ -514,12 +533,12 @@ def race_outcome_rates(d):
 
 
 @query("""with a as (select l_orderkey, min(l_quantity) as pending from lineitem where l_returnflag = 'A' group by 1), b as (select l_orderkey, max(l_quantity) as confirmed from lineitem where l_returnflag = 'N' group by 1), s as (select l_orderkey, sum(l_quantity) as signal from lineitem where l_returnflag = 'R' group by 1),
-t as (select l_orderkey, arg_min(l_extendedprice, (l_suppkey, l_linenumber, l_extendedprice)) as truth, min(l_suppkey) as truth_block from lineitem where l_orderkey % 2 = 0 group by 1)
+t as (select l_orderkey, arg_min(l_extendedprice, (l_suppkey, l_linenumber, l_extendedprice)) as truth, min(l_suppkey) as truth_block from lineitem where l_linestatus = 'F' group by 1)
 select * from a full join b using (l_orderkey) full join s using (l_orderkey) full join t using (l_orderkey)""")
 def three_way_race(d):
     li = d.lineitem
     part = lambda flag, f, name: li.filter(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(f("l_quantity").alias(name))
-    truth = analytics.first_truth(li.filter("l_orderkey % 2 = 0"), ["l_orderkey"], "l_extendedprice", "l_suppkey", "l_linenumber")
+    truth = analytics.first_truth(li.filter("l_linestatus = 'F'"), ["l_orderkey"], "l_extendedprice", "l_suppkey", "l_linenumber")
     return analytics.race(part("A", F.min, "pending"), part("N", F.max, "confirmed"), part("R", F.sum, "signal"), truth, ["l_orderkey"])
 
 
@@ -548,9 +567,15 @@ def prequential_bf(d):
     return analytics.prequential_bf(d.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag", "l_linestatus").withColumn("log10_bf", F.round("log10_bf", 6))
 
 
-@query()
+@query("""with r as (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as t from lineitem), w as (select *, pow(2, t / 500.0) as w from r),
+x as (select l_suppkey, t, pow(2, -(t - 1) / 500.0) as whole, pow(2, -coalesce(max(t) over w2, 0) / 500.0) as own, coalesce(sum(w) over w0, 0) as st, coalesce(sum(w) over w1, 0) as sm, coalesce(sum(w) over w2, 0) as sn, coalesce(sum(w) over w3, 0) as sc from w window
+ w0 as (partition by l_suppkey order by t rows between unbounded preceding and 1 preceding), w1 as (partition by l_suppkey, l_linestatus order by t rows between unbounded preceding and 1 preceding),
+ w2 as (partition by l_suppkey, l_returnflag order by t rows between unbounded preceding and 1 preceding), w3 as (partition by l_suppkey, l_returnflag, l_linestatus order by t rows between unbounded preceding and 1 preceding)),
+y as (select l_suppkey, count(*) as n, sum(log10((sc * own + 2.0 * ((sm * whole + 1.0 / 2000) / (st * whole + 1.0))) / (sn * own + 2.0) / ((sm * whole + 1.0 / 2000) / (st * whole + 1.0)))) as bf from x group by 1)
+select l_suppkey, n, round(bf, 6) as log10_bf, case when bf > 2 then 'strong' when bf > 0.5 then 'some' when bf < -1 then 'against' else 'insufficient' end as verdict from y""")
 def decayed_edges(d):
-    return analytics.decayed_edge(d.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag", "l_linestatus", 500).withColumn("verdict", analytics.verdict(F.col("log10_bf")))
+    out = analytics.decayed_edge(d.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag", "l_linestatus", 500)
+    return out.withColumn("verdict", analytics.verdict(F.col("log10_bf"))).withColumn("log10_bf", F.round("log10_bf", 6))
 
 
 @query("select l_returnflag, r / 2 as half_rtt from (select l_returnflag, r, row_number() over (partition by l_returnflag order by r, l_suppkey) - 1 as i, count(*) over (partition by l_returnflag) as n from (select l_returnflag, l_suppkey, min(l_quantity) as r from lineitem group by 1, 2)) where n >= 2 and i = n // 4")
@@ -587,10 +612,22 @@ def elimination_rank(d):
     return analytics.elimination(rows, "day", "user_id", "share", 5).select("day", "user_id", "place", "out")
 
 
+def seat_rows(d) -> DataFrame:
+    """Users as peers of one network, six-hourly; those seen on a day are online on it."""
+    rows = d.log.groupBy((F.lit("net")).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
+    return rows.agg(
+        (F.avg("value") / 5000).alias("share"), F.lit(True).alias("online"), (F.max("value") < 2).alias("silent"), (F.count("*") >= 1).alias("observed"), F.lit(50).alias("seen"), (F.min("value") > 40).alias("home")
+    )
+
+
 @query()
 def seat_states(d):
-    rows = d.log.groupBy("user_id", F.expr("day * 24").alias("epoch")).agg((F.avg("value") / 5000).alias("share"), (F.count("*") >= 2).alias("observed"), (F.min("value") % 30).alias("unseen_h"))
-    return analytics.seats(rows, "user_id", "epoch")
+    return analytics.seats(seat_rows(d), ["network"], "user_id", "epoch")
+
+
+@query()
+def seat_counts(d):
+    return analytics.seat_counts(seat_states(d), ["epoch"])
 
 
 @query(f"select day, count(*) as seen, count(*) filter (value <= 5) as missed, count(*) filter (value <= 5) / count(*) as miss_ratio, count(*) filter (value <= 5) / count(*) > 0.01 as alert from {LOG} group by 1")
@@ -643,45 +680,39 @@ def repush_grown(d):
     return analytics.grown(rows, "old", "new").select("event_id")
 
 
-@query("select distinct user_id, event_type from events where user_id not in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("select distinct user_id, event_type from events where user_id not in (select c_custkey from customer where c_acctbal > 0)")
 def unseen_keys(d):
     rows = d.events.select("user_id", "event_type")
-    old = d.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id")).join(rows, "user_id")
+    old = d.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id")).join(rows, "user_id")
     return analytics.new_rows(rows, old, ["user_id", "event_type"])
 
 
 @query("select coalesce(e.user_id, o.o_custkey) as user_id, o.first_round - e.first_event as lead from (select user_id, min(ts) as f, epoch_us(min(ts)) as first_event from events group by 1) e full join (select o_custkey, epoch_us(min(o_orderdate)) as first_round from orders group by 1) o on o_custkey = user_id")
 def either_order_lead(d):
-    a = d.log.groupBy("user_id").agg(F.min("at").alias("first_event"))
-    b = d.rounds.groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("at").alias("first_round"))
-    return a.join(b, "user_id", "full_outer").select("user_id", (F.col("first_round") - F.col("first_event")).alias("lead"))
+    rounds = d.rounds.select(F.col("o_custkey").alias("user_id"), F.col("at").alias("round"))
+    return events.first_leads(d.log, rounds, ["user_id"], "at", "round")
 
 
 @query("select user_id, c_name, n_name, r_name from (select distinct user_id from events) left join customer on c_custkey = user_id left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey")
 def geo_chain(d):
-    users = d.events.select("user_id").distinct()
-    out = users.join(d.customer, F.col("c_custkey") == F.col("user_id"), "left").join(d.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(d.region, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return out.select("user_id", "c_name", "n_name", "r_name")
+    chain = [(d.customer, "c_custkey", "user_id"), (d.nation, "n_nationkey", "c_nationkey"), (d.region, "r_regionkey", "n_regionkey")]
+    return events.look_up_chain(d.events.select("user_id").distinct(), chain).select("user_id", "c_name", "n_name", "r_name")
 
 
 @query("select left(n_name, 3) as prefix, round(sum(c_acctbal), 2) as total from customer join nation on n_nationkey = c_nationkey group by 1 order by sum(c_acctbal) desc limit 8")
 def country_top8(d):
-    rows = d.customer.join(d.nation, F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.substring("n_name", 1, 3).alias("prefix")).agg(F.sum("c_acctbal").alias("t"))
-    return rows.orderBy(F.col("t").desc()).limit(8).select("prefix", F.round("t", 2).alias("total"))
+    rows = d.customer.join(d.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    return ordered.top_groups(rows, F.substring("n_name", 1, 3).alias("prefix"), "c_acctbal", 8).withColumn("total", F.round("total", 2))
 
 
 @query("select event_type, user_id, n from (select *, row_number() over (partition by event_type order by n desc, user_id) as rn from (select event_type, user_id, count(*) as n from events group by 1, 2)) where rn <= 3")
 def top_shares(d):
-    from pyspark.sql import Window
-
-    n = d.events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return n.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("n").desc(), "user_id"))).filter("rn <= 3").drop("rn")
+    return ordered.top_per_group(d.events, "event_type", "user_id", 3)
 
 
 @query("select event_id from (select * from events order by ts desc, event_id desc limit 5000) where value > 60 order by ts desc, event_id desc limit 30")
 def newest_bad(d):
-    rows = ordered.last_rows(d.log, ["at", "event_id"], 5000).filter("value > 60")
-    return ordered.last_rows(rows, ["at", "event_id"], 30).select("event_id")
+    return ordered.newest_matching(d.log, ["at", "event_id"], 5000, F.col("value") > 60, 30).select("event_id")
 
 
 @query("select event_type, count(*) as n from (select event_type from events union all select o_orderstatus from orders union all select c_mktsegment from customer) group by 1")
@@ -692,34 +723,100 @@ def multi_source_union(d):
 
 @query("select o_custkey, list_sort(list_distinct(flatten(list([o_orderkey % 5, o_orderkey % 7])))) as conditions from orders group by 1")
 def condition_union(d):
-    return d.orders.groupBy("o_custkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.expr("o_orderkey % 5"), F.expr("o_orderkey % 7")))))).alias("conditions"))
+    return events.set_union(d.orders, ["o_custkey"], F.array(F.expr("o_orderkey % 5"), F.expr("o_orderkey % 7")), "conditions")
 
 
 @query(f"select event_type, max(event_id) - min(event_id) as sequence_lag, count(*) filter (lag <= 10000000) as close from (select *, at - lag(at) over (partition by event_type order by at, event_id) as lag from {LOG}) group by 1")
 def sequence_lag(d):
-    from pyspark.sql import Window
-
-    rows = d.log.withColumn("lag", F.col("at") - F.lag("at").over(Window.partitionBy("event_type").orderBy("at", "event_id")))
+    rows = ordered.lag_in_group(d.log, ["event_type"], ["at", "event_id"], "at", "lag")
     return rows.groupBy("event_type").agg((F.max("event_id") - F.min("event_id")).alias("sequence_lag"), F.count_if(F.col("lag") <= 10_000_000).alias("close"))
 
 
+#: Line items as deliveries of a log by a source (l_returnflag): some can't be decoded, some aren't ours.
+DELIVERIES = "(select l_returnflag as source, l_orderkey, l_linenumber, l_partkey, l_extendedprice, case when l_tax > 0.07 then 'data' end as error, l_quantity > 48 as is_foreign, l_discount > 0.02 as hit from lineitem)"
+
+
+@query(f"""select source, count(*) as received, count(*) filter (error is null) as decoded, count(error) as decode_errors, count(*) filter (error is null and is_foreign) as "foreign",
+ count(*) filter (error is null and not is_foreign) - count(*) filter (rn = 1) as duplicates, count(*) filter (rn = 1) as accepted, count(*) filter (rn = 1 and hit) as hits, count(*) filter (rn = 1 and not hit) as misses from (
+ select *, case when error is null and not is_foreign then row_number() over (partition by l_orderkey, l_linenumber, error is null and not is_foreign order by l_partkey, l_extendedprice) end as rn from {DELIVERIES}) group by 1""")
+def delivery_counters(d):
+    rows = d.lineitem.select(F.col("l_returnflag").alias("source"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.when(F.col("l_tax") > 0.07, "data").alias("error"), "l_quantity", "l_discount")
+    return events.delivery_counters(rows, "source", ["l_orderkey", "l_linenumber"], ["l_partkey", "l_extendedprice"], "error", F.col("l_quantity") > 48, F.col("l_discount") > 0.02)
+
+
+@query("""select list_extract(v, 1 + floor((n - 1) * 0.1 + 0.5)::bigint) / 1000.0 as lead_ms_p10, list_extract(v, 1 + floor((n - 1) * 0.5 + 0.5)::bigint) / 1000.0 as lead_ms_p50, list_extract(v, 1 + floor((n - 1) * 0.9 + 0.5)::bigint) / 1000.0 as lead_ms_p90, v[1] / 1000.0 as lead_ms_min, v[-1] / 1000.0 as lead_ms_max
+ from (select list_sort(list(l)) as v, count(*) as n from (select epoch_us(l_shipdate) - epoch_us(o_orderdate) as l from orders join lineitem on l_orderkey = o_orderkey))""")
+def lead_summary(d):
+    rows = d.lineitem.join(d.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return ordered.lead_summary(rows.select((C.micros(F.col("l_shipdate")) - C.micros(F.col("o_orderdate"))).alias("lead")), "lead")
+
+
+@query("""with m as (select max(o_orderkey) * 1000000 as now from orders), p as (select o_orderkey as hash, o_custkey as sender, o_orderkey * 1000000 as first_us, o_totalprice as tip from orders where o_orderstatus <> 'P'),
+i as (select l_orderkey as hash, min(l_suppkey) as number, max(l_suppkey) as sender, min(l_quantity) > 5 as in_pool, l_orderkey * 1000000 + 5000000 as at_us, min(l_tax) as tip from lineitem where l_returnflag = 'N' group by 1),
+s as (select o_orderkey as hash, case when o_orderpriority like '1%' then 'reverted' else 'success' end as status from orders where o_totalprice > 50000), e as (select l_orderkey as hash, min(l_linestatus) as category, l_orderkey * 1000000 + 7000000 as recv_us from lineitem where l_discount > 0.05 group by 1),
+a as (select s_suppkey as number, s_nationkey as author from supplier where s_acctbal > 0),
+t as (select coalesce(p.hash, i.hash, e.hash) as hash, p.hash as ph, i.hash as ih, e.hash as eh, p.sender as ps, i.sender as si, p.tip as pt, i.tip as it, status, author, in_pool, category, first_us, recv_us, (now - least(first_us, at_us, recv_us)) / 1e6 as age
+ from p full join i on p.hash = i.hash full join e on e.hash = coalesce(p.hash, i.hash) left join s on s.hash = coalesce(p.hash, i.hash, e.hash) left join a on a.number = i.number, m),
+o as (select *, ph is not null and coalesce(in_pool, true) as visible, case when ih is not null then case when status is not null and (author is not null or age > 300) and (eh is not null or status <> 'success' or age > 90) then status end
+ when age > 600 and ph is not null then 'not_included' end as outcome from t)
+select hash, outcome, visible, coalesce(ps, si) as sender, coalesce(pt, it) as tip, author, coalesce(category, case when outcome = 'success' then 'unenriched' end) as category, case when visible then (recv_us - first_us) / 1000.0 end as lead_ms from o where outcome is not null""")
+def stitched_transactions(d):
+    li = d.lineitem.withColumn("hash", F.col("l_orderkey"))
+    public = d.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("hash"), F.col("o_custkey").alias("sender"), F.lit("m").alias("match"), F.col("o_totalprice").alias("tip"), F.lit("k").alias("peer"), (F.col("o_orderkey") * 1_000_000).alias("first_us"))
+    included = li.filter("l_returnflag = 'N'").groupBy("hash").agg(F.max("l_suppkey").alias("sender"), F.lit("m").alias("match"), F.min("l_tax").alias("tip"), F.min("l_suppkey").alias("number"), (F.min("l_quantity") > 5).alias("in_pool")).withColumn("at_us", F.col("hash") * 1_000_000 + 5_000_000)
+    status = d.orders.filter("o_totalprice > 50000").select(F.col("o_orderkey").alias("hash"), F.when(F.col("o_orderpriority").startswith("1"), "reverted").otherwise("success").alias("status"))
+    seen = li.filter("l_discount > 0.05").groupBy("hash").agg(F.min("l_linestatus").alias("category")).withColumn("recv_us", F.col("hash") * 1_000_000 + 7_000_000)
+    authors = d.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("number"), F.col("s_nationkey").alias("author"))
+    now = d.orders.agg(F.max("o_orderkey")).first()[0] or 0
+    return analytics.stitched(public, included, status, seen, authors, F.lit(now * 1_000_000)).drop("match", "peer")
+
+
+@query("select p_brand, list(struct_pack(game_number := p_size, market_type := p_type, market_id := p_partkey) order by p_size, p_type, p_partkey) as markets from part group by 1")
+def forfeit_view(d):
+    return analytics.forfeit_view(d.part.select("p_brand", F.col("p_size").alias("game_number"), F.col("p_type").alias("market_type"), F.col("p_partkey").alias("market_id")), "p_brand")
+
+
+#: Line items, one for each (order, line), as calls: the last line of an order confirms.
+CALLS = """(select stream, l_orderkey * 1000000 as arrival, l_linenumber as seq, case when flag = 'R' then 'dispute' else 'propose' end as kind, supp as requester, part % 3 as question, l_orderkey // 500 as timestamp,
+ (qty % 5 = 0)::bigint as price, part % 40 as sender, qty as tip_gwei, l_orderkey::varchar as tx, l_linenumber = 7 as confirmed from (
+ select l_orderkey, l_linenumber, max(l_linestatus) as stream, max(l_returnflag) as flag, max(l_suppkey) // 10 as supp, max(l_partkey) as part, max(l_quantity)::bigint as qty from lineitem group by 1, 2))"""
+GATE = {"trust_min_n": 3, "trust_min_rate": 0.4, "tip_window_us": 300_000_000, "state_ttl_us": 60_000_000}
+VERDICTS = f"""(with a as (select *, max(timestamp) over (partition by stream, requester, question order by arrival, seq rows between unbounded preceding and 1 preceding) as mx from {CALLS}),
+b as (select *, not confirmed and coalesce(timestamp < mx, false) as stale from a),
+c as (select *, arrival - lag(arrival) over (partition by stream, requester, question, timestamp order by arrival, seq) as gap from b where not stale),
+r as (select *, sum((coalesce(gap, 0) >= {GATE["state_ttl_us"]})::int) over (partition by stream, requester, question, timestamp order by arrival, seq) as sess from c),
+k as (select stream, requester, question, timestamp, sess, min((arrival, seq)) filter (confirmed and kind = 'propose') as p_at, arg_min(price, (arrival, seq)) filter (confirmed and kind = 'propose') as p_price,
+ min((arrival, seq)) filter (confirmed and kind = 'dispute') as d_at from r group by all),
+p as (select r.*, p_at, p_price, d_at, (arrival, seq) as own, row_number() over (partition by stream, requester, question, timestamp, sess, confirmed, kind order by arrival, seq) as nth from r join k using (stream, requester, question, timestamp, sess)),
+score as (select stream, sender, p_at as score_at, price = p_price as agree from p where not confirmed and kind = 'propose' and nth <= 32 and own < p_at),
+trust as (select p.stream, p.own, count(*) filter (agree) as x, count(*) filter (not agree) as y from p left join score c on c.stream = p.stream and c.sender = p.sender and c.score_at < p.own where not confirmed group by 1, 2),
+pend as (select q.stream, q.own, max((o.arrival, o.seq, o.tip_gwei)) as last from (select *, (arrival, seq) as own from {CALLS} where confirmed and kind = 'propose') q join {CALLS} o on o.stream = q.stream and o.tx = q.tx and not o.confirmed and (o.arrival, o.seq) < q.own group by 1, 2),
+tip as (select stream, own, own[1] as tip_arrival, last[3] as tip from pend where own[1] - last[1] < {GATE["tip_window_us"]}),
+floors as (select p.stream, p.own, case when count(tip) >= 20 then list_extract(list_sort(list(tip)), 1 + floor((count(tip) - 1) * 0.05 + 0.5)::bigint) end as lowest from p join tip t on t.stream = p.stream and t.own < p.own and p.arrival - tip_arrival <= {GATE["tip_window_us"]} where not confirmed group by 1, 2),
+j as (select p.*, coalesce(d_at < p.own, false) as disputed, coalesce(p_at < p.own, false) as proposed, coalesce(tip_gwei < lowest, false) as low, kind = 'dispute' as dispute,
+ x + y >= {GATE["trust_min_n"]} and (x + 1) / (x + y + 2) - 1.645 * sqrt((x + 1) / (x + y + 2) * (1 - (x + 1) / (x + y + 2)) / (x + y + 3)) >= {GATE["trust_min_rate"]} as trusted
+ from p left join trust on trust.stream = p.stream and trust.own = p.own left join floors on floors.stream = p.stream and floors.own = p.own),
+f as (select *, not confirmed and not disputed and not low and (dispute or (not proposed and trusted)) as fit from j),
+g as (select *, min(own) filter (fit) over w as f_at, arg_min(price, own) filter (fit) over w as f_price from f window w as (partition by stream, requester, question, timestamp, sess, kind))
+select stream, arrival, seq, case when confirmed then null when disputed then 'AlreadyDisputed' when not dispute and proposed then 'AlreadyProposed' when f_at < own then case when dispute or f_price = price then 'Duplicate' else 'Conflict' end
+ when not dispute and not trusted then 'Untrusted' when low then 'LowTip' else 'Emit' end as verdict from g
+union all select stream, arrival, seq, 'StaleRound' from b where stale)"""
+
+
 def gate_rows(d) -> DataFrame:
-    """Line items as calls: pending ones and, for the last line of an order, the confirmation."""
-    li = d.lineitem.join(d.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    li = d.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_linestatus").alias("stream"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supp"), F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("qty"))
     return li.select(
-        (F.col("l_suppkey") % 8).alias("stream"), (F.col("l_orderkey") * 1000).alias("arrival"), F.col("l_linenumber").alias("seq"), F.when(F.col("l_returnflag") == "R", "dispute").otherwise("propose").alias("kind"), F.col("o_custkey").alias("requester"),
-        (F.col("l_partkey") % 3).alias("question"), F.col("l_orderkey").alias("timestamp"), (F.col("l_quantity") % 2).cast("long").alias("price"), (F.col("l_suppkey") % 40).alias("sender"), F.col("l_quantity").cast("long").alias("tip_gwei"), F.col("l_orderkey").cast("string").alias("tx"), (F.col("l_linenumber") == 2).alias("confirmed"),
+        "stream", (F.col("l_orderkey") * 1_000_000).alias("arrival"), F.col("l_linenumber").alias("seq"), F.when(F.col("flag") == "R", "dispute").otherwise("propose").alias("kind"), F.expr("supp div 10").alias("requester"),
+        (F.col("part") % 3).alias("question"), F.expr("l_orderkey div 500").alias("timestamp"), (F.col("qty") % 5 == 0).cast("long").alias("price"), (F.col("part") % 40).alias("sender"), F.col("qty").alias("tip_gwei"), F.col("l_orderkey").cast("string").alias("tx"), (F.col("l_linenumber") == 7).alias("confirmed"),
     )
 
 
-@query()
+@query(f"select * from {VERDICTS}")
 def gate_verdicts(d):
-    from opalstream.operators.gate import GateSettings, run_gate
-
-    return run_gate(gate_rows(d), "stream", GateSettings(trust_min_n=3, trust_min_rate=0.1))
+    return gate.gate(gate_rows(d), "stream", gate.GateSettings(**GATE)).select("stream", "arrival", "seq", "verdict")
 
 
-@query()
+@query(f"select verdict, count(*) as n from {VERDICTS} where verdict <> 'Emit' group by 1")
 def dropped_by_reason(d):
     return gate_verdicts(d).filter("verdict <> 'Emit'").groupBy("verdict").agg(F.count("*").alias("n"))
 

@@ -109,6 +109,31 @@ def forfeit_store(spark: SparkSession, path: str) -> DataFrame:
     return first_wins(ndjson(spark, path, FORFEIT), ["match_id", "game_num", "src_end_at"], ["seq"])
 
 
+def forfeit_frames(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Landed frames of the forfeit feed, a JSON line each: {"hello": {...}} or {"event": {...}}, to their kind, the
+    server's last sequence as far as the frame tells, and the event; lines that are neither are left out."""
+    schema = f"hello struct<last_sequence:long>, event struct<sequence:long,backfill:boolean,condition_ids:array<string>,{_fields(FORFEIT)}>"
+    rows = ndjson(spark, path, schema, stream).filter("hello is not null or event is not null")
+    kind = F.when(F.col("hello").isNotNull(), "hello").otherwise("event")
+    return rows.select(kind.alias("kind"), F.coalesce("hello.last_sequence", "event.sequence").alias("sequence"), "event")
+
+
+def _fields(schema: str) -> str:
+    return ",".join(f"{n}:{t}" for n, t in (x.strip().rsplit(" ", 1) for x in schema.split(",")))
+
+
+def feed_state(frames: DataFrame) -> DataFrame:
+    """One row: frames, server_last_sequence, last_event, in_sync (the last event is the server's last)."""
+    event = F.col("kind") == "event"
+    out = frames.agg(F.count("*").alias("frames"), F.max("sequence").alias("server_last_sequence"), F.max(F.when(event, F.col("sequence"))).alias("last_event"))
+    return out.withColumn("in_sync", F.coalesce(F.col("last_event") >= F.col("server_last_sequence"), F.lit(False)))
+
+
+def polled(matches: DataFrame, now: str, page: int = 100) -> DataFrame:
+    """Matches in the order the past round asks for them: the last modified first, a page of them."""
+    return matches.filter(F.col("modified_at") <= now).orderBy(F.col("modified_at").desc(), F.col("id").desc()).limit(page)
+
+
 def match_games(matches: DataFrame) -> DataFrame:
     """One row for each finished game of a match, with its forfeit flag and the winner's name."""
     g = matches.select("id", "name", "opponents", F.explode("games").alias("g")).filter("g.finished")

@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalstream.shared import hadoop_path
+
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
+def numbered(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that have a folder."""
+    p, fs = hadoop_path(spark, folder)
+    if not fs.exists(p):
+        return []
+    return sorted(int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch="))
 
 
 def move_into_place(spark: SparkSession, beside: str, path: str) -> None:
@@ -91,9 +106,51 @@ def recent(df: DataFrame, order: str, limit: int, since: str | None = None, sinc
     return rows.orderBy(F.col(order).desc()).limit(max(limit, 0)).orderBy(order)
 
 
-def health(events: DataFrame, duplicates: Column, hits: Column, at: str) -> DataFrame:
-    """One row of counters."""
-    return events.agg(F.count("*").alias("logs"), F.count_if(duplicates).alias("duplicates"), F.count_if(hits).alias("hits"), F.max(at).alias("last_event")).withColumn("hit_percent", F.try_divide(F.col("hits") * 100.0, F.col("logs") - F.col("duplicates")))
+def health(counters: DataFrame, sources: DataFrame, catalog: DataFrame, off_list: DataFrame, ring: DataFrame, forfeits: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row, the service's snapshot.
+
+    counters: events.delivery_counters; sources (source, connected, reconnects, stalls, last_us, latest_block); catalog
+    (market_id, ...); off_list: events.off_list_tally; ring (sequence); forfeits (condition, blocked: events held back).
+    extra: what only the host knows (subscribers, dropped clients, ...), as columns of literals."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    one = counters.agg(
+        total("received", "logs_received_total"), total("decoded", "events_decoded_total"), total("decode_errors", "decode_errors_total"), total("foreign", "foreign_requests_skipped_total"),
+        total("duplicates", "duplicates_total"), total("accepted", "events_accepted_total"), total("hits", "enrichment_hits_total"), total("misses", "enrichment_misses_total"),
+    )
+    parts = [
+        sources.agg(
+            F.count("*").alias("sources_configured"), F.count_if("connected").alias("sources_connected"), total("reconnects", "reconnects_total"), total("stalls", "stall_reconnects_total"),
+            F.max("last_us").alias("last_upstream_received_at_us"), F.max("latest_block").alias("latest_block"),
+        ),
+        catalog.agg(F.count("*").alias("catalog_markets")),
+        off_list.agg(F.count("*").alias("off_list_emitters"), total("events", "off_list_events_total"), total("hits", "off_list_catalog_hits_total")),
+        ring.agg(F.min("sequence").alias("event_ring_oldest_sequence"), F.max("sequence").alias("event_ring_latest_sequence")),
+        forfeits.agg(F.countDistinct("condition").alias("forfeit_blocked_condition_ids"), total("blocked", "forfeit_blocked_events_total")),
+    ]
+    for p in parts:
+        one = one.crossJoin(F.broadcast(p))  # a row each
+    one = one.withColumn("status", F.when(F.col("sources_connected") > 0, "ok").otherwise("degraded")).withColumn("hit_percent", F.try_divide(F.col("enrichment_hits_total") * 100.0, F.col("events_accepted_total")))
+    return one.withColumns(extra or {})
+
+
+def metrics_text(health: DataFrame, prefix: str = "opal_") -> DataFrame:
+    """One row: the snapshot's numbers as lines of name and value."""
+    numbers = [n for n, t in health.dtypes if t in ("bigint", "int", "double")]
+    lines = [F.concat(F.lit(f"{prefix}{n} "), F.coalesce(F.col(n).cast("string"), F.lit("0"))) for n in numbers]
+    return health.select(F.array_join(F.array(*lines), "\n").alias("text"))
+
+
+def scores_json(scores: DataFrame, sender: str = "sender") -> DataFrame:
+    """One row: {"sender": [agree, disagree], ...} without blanks, in order of sender; senders are a bounded list of
+    addresses."""
+    entry = F.struct(F.col(sender).cast("string").alias("k"), F.concat(F.lit('":['), F.col("agree").cast("string"), F.lit(","), F.col("disagree").cast("string"), F.lit("]")).alias("v"))
+    return scores.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat(F.lit('"'), x["k"], x["v"])), ","), F.lit("}")).alias("text"))
+
+
+def load_scores(text: DataFrame) -> DataFrame:
+    """sender, agree, disagree of such a text."""
+    each = text.select(F.explode(F.from_json("text", "map<string,array<long>>")).alias("sender", "n"))
+    return each.select("sender", F.col("n")[0].alias("agree"), F.col("n")[1].alias("disagree"))
 
 
 def alert_text(sections: DataFrame) -> DataFrame:

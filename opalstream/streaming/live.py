@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from opalstream.operators.gate import Gate, GateSettings
+from opalstream.operators import gate as gates
+from opalstream.operators.gate import GateSettings
+from opalstream.sources import sinks
 
 STATE = StructType([StructField("state", BinaryType())])
 
@@ -60,16 +62,40 @@ def dedup_ring(stream: DataFrame, by: list[str], key: list[str], arrival: list[s
     return folded(stream, by, arrival, lambda: Ring(size), step, schema)
 
 
-def gate(stream: DataFrame, by: str, settings: GateSettings | None = None) -> DataFrame:
-    """Verdicts as run_gate gives; the gate's state goes on from batch to batch and is pruned after each."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + ", verdict string"
+def gate_feed(stream: DataFrame, by: str, state: str, out: str, checkpoint: str, settings: GateSettings | None = None, trigger: dict | None = None):
+    """Verdicts as operators.gate gives over all rows, batch by batch: new rows are judged together with those that
+    may still matter (rows of open sessions, with the verdicts they got), and rounds and trust of all others.
 
-    def step(g: Gate, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.assign(verdict=[g.row(r) for r in pdf.itertuples(index=False)])
-        g.prune(int(pdf["arrival"].max()))
-        return out
+    state and out are folders on shared storage, written by batch number, so a batch run again overwrites its own."""
+    s = settings or GateSettings()
 
-    return folded(stream, [by], ["arrival", "seq"], lambda: Gate(settings), step, schema)
+    def write(df: DataFrame, batch: int) -> None:
+        spark, at = df.sparkSession, lambda b, name: f"{state}/batch={b:012d}/{name}"
+        now = df.agg(F.max("arrival")).first()[0]
+        if now is None:
+            return
+        rounds = df.limit(0).select(by, *gates.MARKET, "timestamp")
+        trust = df.limit(0).select(by, "sender", F.lit(0).cast("long").alias("agree"), F.lit(0).cast("long").alias("disagree"))
+        rows = df.withColumn("was", F.lit(None).cast("string"))
+        before = [b for b in sinks.numbered(spark, state) if b < batch]
+        if before:
+            last = max(before)
+            rows = spark.read.schema(rows.schema).parquet(at(last, "rows")).unionByName(rows)
+            rounds, trust = (spark.read.schema(x.schema).parquet(at(last, name)) for x, name in ((rounds, "rounds"), (trust, "trust")))
+        judged = gates.gate(rows, by, s, rounds, trust)
+        verdicts = at(batch, "verdicts")
+        judged.write.mode("overwrite").parquet(verdicts)
+        judged = spark.read.schema(judged.schema).parquet(verdicts)
+        judged.filter("was is null").drop("was").write.mode("overwrite").parquet(f"{out}/batch={batch:012d}")
+        known = judged.withColumn("was", F.coalesce("was", "verdict", F.lit(gates.CONFIRMED))).drop("verdict")
+        for x, name in zip(gates.carried(known, by, s, now, rounds, trust), ("rows", "rounds", "trust")):
+            x.write.mode("overwrite").parquet(at(batch, name))
+        for b in before:
+            if b < batch - 1:
+                sinks.remove(spark, f"{state}/batch={b:012d}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return q.trigger(**(trigger or {"availableNow": True})).start()
 
 
 class Alert:

@@ -7,3 +7,14 @@ def client(options):
             return [{"address": "0xaa", "topics": [], "data": "0x", "blockNumber": hex(b), "logIndex": hex(i), "transactionHash": f"0x{b:x}{i}"} for b in range(first, last + 1) for i in (1, 0)]
 
     return Client()
+
+
+def down(options):
+    class Client:
+        def head(self):
+            raise ConnectionError("no answer")
+
+        def logs(self, first, last):
+            raise ConnectionError("no answer")
+
+    return Client()

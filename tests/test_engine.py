@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from opalstream.functions import abi, columns as C, keccak
 from opalstream.operators import analytics, catalog, console, events, ordered, rules
-from opalstream.operators.gate import Gate, GateSettings, run_gate
+from opalstream.operators import gate as gates
+from opalstream.operators.gate import GateSettings
 from opalstream.sources import feeds, frames, sinks
 from opalstream.streaming import live
 
@@ -90,44 +91,116 @@ def test_rules(spark):
     assert got == {i: c[3:] for i, c in enumerate(cases)}
 
 
-def test_gate_scenarios():
-    g = Gate(GateSettings(trust_min_n=2, trust_min_rate=0.0, tip_min_samples=1))
-    p = lambda ts, price, who, tip=5, now=0, tx="t", kind="propose": g.pending(kind, "m", ts, price, who, tip, tx, now)
-    assert p(10, 1, "a") == "Untrusted"
-    g.agree["a"] = g.agree["b"] = 50
-    assert (p(10, 1, "a"), p(10, 1, "a"), p(10, 2, "b")) == ("Emit", "Duplicate", "Conflict")
-    g.confirmed("propose", "m", 10, 1, "t", 100)
-    assert (g.agree["a"], g.disagree["b"]) == (53, 1) and p(10, 1, "a") == "AlreadyProposed"
-    assert p(9, 1, "a") == "StaleRound" and p(11, 1, "a", tip=1, now=200) == "LowTip" and p(11, 1, "a", now=4_000_000_000, tip=1) == "Emit"
-    assert (p(11, 0, "z", kind="dispute"), p(11, 0, "z", kind="dispute")) == ("Emit", "Duplicate")
-    g.confirmed("dispute", "m", 11, 0, "t", 300)
-    assert p(11, 1, "a") == "AlreadyDisputed" and sum(g.dropped.values()) == 8
-    g.prune(10**15)
-    assert not g.requests and not g.tip_of
-
-
 GATE = "stream long, arrival long, seq int, kind string, requester long, question long, timestamp long, price long, sender long, tip_gwei long, tx string, confirmed boolean"
 
 
-def test_gate_batch_is_stream(spark, tmp_path):
+def slow_gate(rows, s):
+    """Verdicts row by row, from plain lists of what came before."""
+    out = []
+    for i, r in enumerate(rows):
+        stream, arrival, _, kind, *market, ts, price, sender, tip, tx, confirmed = r
+        past = [(p, v) for p, v in zip(rows[:i], out) if p[0] == stream]
+        if confirmed:
+            out.append(None)
+            continue
+        if any(p[4:6] == tuple(market) and p[6] > ts for p, _ in past):
+            out.append("StaleRound")
+            continue
+        request, last = [], None
+        for p, v in past:
+            if p[4:7] == (*market, ts) and v != "StaleRound":
+                request = [] if last is not None and p[1] - last >= s.state_ttl_us else request
+                request.append((p, v))
+                last = p[1]
+        if last is not None and arrival - last >= s.state_ttl_us:
+            request = []
+        agree = disagree = 0
+        spans = {}
+        for p, v in past:
+            if v != "StaleRound":
+                x = spans.setdefault(p[4:7], [])
+                if x and p[1] - x[-1][-1][0][1] >= s.state_ttl_us:
+                    x.append([])
+                if not x:
+                    x.append([])
+                x[-1].append((p, v))
+        for x in spans.values():
+            for span in x:
+                truth = next((k for k, (p, _) in enumerate(span) if p[11] and p[3] == "propose"), None)
+                if truth is not None:
+                    for p, _ in [y for y in span[:truth] if not y[0][11] and y[0][3] == "propose"][: gates.MOST_PENDING]:
+                        if p[8] == sender:
+                            agree, disagree = agree + (p[7] == span[truth][0][7]), disagree + (p[7] != span[truth][0][7])
+        tips = []
+        for k, (p, _) in enumerate(past):
+            if p[11] and p[3] == "propose" and arrival - p[1] <= s.tip_window_us:
+                seen = [q for q, _ in past[:k] if q[10] == p[10] and not q[11]]
+                if seen and p[1] - seen[-1][1] < s.tip_window_us:
+                    tips.append(seen[-1][9])
+        floor = sorted(tips)[math.floor((len(tips) - 1) * s.tip_quantile + 0.5)] if len(tips) >= max(1, s.tip_min_samples) else None
+        low, n = floor is not None and tip < floor, agree + disagree
+        share = (agree + 1) / (n + 2)
+        trusted = n >= s.trust_min_n and share - 1.645 * math.sqrt(share * (1 - share) / (n + 3)) >= s.trust_min_rate
+        emitted = [p for p, v in request if v == "Emit" and p[3] == kind]
+        if any(p[11] and p[3] == "dispute" for p, _ in request):
+            v = "AlreadyDisputed"
+        elif kind == "propose" and any(p[11] and p[3] == "propose" for p, _ in request):
+            v = "AlreadyProposed"
+        elif emitted:
+            v = "Duplicate" if kind == "dispute" or emitted[0][7] == price else "Conflict"
+        else:
+            v = "Untrusted" if kind == "propose" and not trusted else "LowTip" if low else "Emit"
+        out.append(v)
+    return out
+
+
+def gate_rows(seed, n=500):
     import random
 
-    rng = random.Random(1)
-    rows = [(i % 2, i, 0, rng.choice(["propose", "propose", "dispute"]), rng.randrange(3), 0, rng.randrange(4), rng.randrange(2), rng.randrange(4), rng.randrange(9), f"t{rng.randrange(30)}", rng.random() < 0.3) for i in range(300)]
-    s = GateSettings(trust_min_n=1, trust_min_rate=0.05, tip_min_samples=3)
-    want = sorted(map(tuple, run_gate(spark.createDataFrame(rows, GATE), "stream", s).collect()), key=lambda r: r[1])
-    for k in range(3):
-        spark.createDataFrame(rows[100 * k : 100 * k + 100], GATE).coalesce(1).write.mode("append").json(str(tmp_path / f"in/{k}"))
-        os.utime(tmp_path / f"in/{k}", (k, k))
-    got = []
+    rng = random.Random(seed)
+    at, rows = 0, []
+    for i in range(n):
+        at += rng.choice([0, 1, 1, 2, 40])
+        rows.append((rng.randrange(2), at, i, rng.choice(["propose", "propose", "propose", "dispute"]), rng.randrange(6), 0, at // 400 + rng.randrange(2), rng.randrange(8) // 7, rng.randrange(4), rng.randrange(9), f"t{rng.randrange(60)}", rng.random() < 0.2))
+    return rows
+
+
+SMALL = GateSettings(trust_min_n=2, trust_min_rate=0.3, tip_min_samples=3, tip_quantile=0.3, tip_window_us=300, state_ttl_us=90)
+
+
+def test_gate_is_the_slow_one(spark):
+    for seed, parts in ((1, 1), (2, 7)):
+        rows = gate_rows(seed)
+        df = spark.createDataFrame(rows, GATE).repartition(parts)
+        got = {r.seq: r.verdict for r in gates.gate(df, "stream", SMALL).collect()}
+        assert [got[i] for i in range(len(rows))] == slow_gate(rows, SMALL)
+    assert len(set(got.values())) >= 7
+    alone = gates.gate(df.filter("stream = 1"), "stream", SMALL)  # another stream's rows make no difference
+    assert {r.seq: r.verdict for r in alone.collect()} == {r[2]: got[r[2]] for r in rows if r[0] == 1}
+    assert gates.gate(df.limit(0), "stream").count() == 0
+
+
+def test_gate_feed_is_batch(spark, tmp_path):
+    rows = gate_rows(3, 300)
+    want = dict(enumerate(slow_gate(rows, SMALL)))
     for k in range(3):  # a batch each, in order
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], GATE).coalesce(1).write.json(str(tmp_path / f"in/{k}"))
         os.makedirs(tmp_path / "feed", exist_ok=True)
         for f in (tmp_path / f"in/{k}").glob("*.json"):
             os.rename(f, tmp_path / "feed" / f"{k}-{f.name}")
-        q = live.gate(spark.readStream.schema(GATE).json(str(tmp_path / "feed")), "stream", s).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = live.gate_feed(spark.readStream.schema(GATE).json(str(tmp_path / "feed")), "stream", str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "cp"), SMALL)
         assert q.awaitTermination(120)
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*[c.split()[0] for c in GATE.split(", ")], "verdict").collect()), key=lambda r: r[1])
-    assert got == want and len({r[-1] for r in got}) > 3
+    got = {r.seq: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == want
+
+
+def test_sender_scores(spark):
+    rows = [(0, 1, 0, "propose", 1, 0, 5, 7, 1, 0, "a", False), (0, 2, 1, "propose", 1, 0, 5, 8, 2, 0, "b", False), (0, 3, 2, "propose", 1, 0, 5, 7, 9, 0, "a", True), (0, 4, 3, "propose", 1, 0, 5, 7, 2, 0, "c", False)]
+    scores = gates.sender_scores(spark.createDataFrame(rows, GATE), "stream")
+    assert {(r.sender, r.agree, r.disagree) for r in scores.collect()} == {(1, 1, 0), (2, 0, 1)}
+    text = sinks.scores_json(scores)
+    assert text.first().text == '{"1":[1,0],"2":[0,1]}'
+    assert sorted(tuple(r) for r in sinks.load_scores(text).collect()) == [("1", 1, 0), ("2", 0, 1)]
 
 
 def test_ring_and_alert_streams(spark, tmp_path):
@@ -163,6 +236,25 @@ def test_block_source(spark, tmp_path):
     assert q.awaitTermination(60) and spark.read.parquet(str(tmp_path / "o")).count() == 12
 
 
+def test_block_stream_restarts(spark, tmp_path):
+    """Each restart takes the next blocks, none twice, though an endpoint's head falls back; one endpoint is down."""
+    from opalstream.sources.ranges import BlockLogs, HeadReader
+
+    spark.dataSource.register(BlockLogs)
+    options = {"client": "fake_client:down,fake_client:client", "from": "0", "blocks_per_trigger": "10", "progress": f"file://{tmp_path}/next"}
+    for head in (25, 25, 12, 40, 40):
+        feed = spark.readStream.format("block_logs").options(**options, head=str(head)).load()
+        q = feed.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(once=True).start()
+        assert q.awaitTermination(60)
+    blocks = [int(r.blockNumber, 16) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert sorted(blocks) == sorted([*range(max(blocks) + 1)] * 2) and max(blocks) >= 35
+    assert HeadReader({"client": "fake_client:client", "head": "1000000"}).latestOffset() == {"next": 1_000_001}
+    lost = spark.read.format("block_logs").options(client="fake_client:down", to="9", attempts="1")
+    assert lost.option("skip_failed", "true").load().count() == 0
+    with pytest.raises(Exception, match="no answer"):
+        lost.option("skip_failed", "false").load().count()
+
+
 def test_frames():
     small, large = b"abc", b"x" * 10_000
     assert frames.decode_frame(frames.encode_frame(small)) == small and frames.decode_frame(frames.encode_frame(large)) == large
@@ -192,6 +284,38 @@ def test_ordered(spark):
     assert [r.batch for r in b] == [1, 1, 2, 2, 3, 4]
 
 
+def test_sequence_of_many_rows(spark):
+    """Numbers are exact however the rows are dealt, with wide rows that keep Spark from sharing shuffles."""
+    n = 2_000_000
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), "id", F.md5(F.col("id").cast("string")).alias("wide"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("4", "32"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seq = ordered.global_sequence(df, ["k", "id"])
+            got = seq.agg(F.count("*").alias("n"), F.countDistinct("seq").alias("d"), F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+            assert tuple(got) == (n, n, 1, n)
+            later = seq.select((F.col("seq") + 1).alias("seq"), F.col("k").alias("before"))
+            assert seq.join(later, "seq").filter("before > k").count() == 0
+        some = df.limit(300_000)
+        hits = ordered.trailing_count(some, ["k", "id"], F.col("id") % 3 == 0, 1000).select("k", "id", "seq", "hits", "seen").toPandas().sort_values(["k", "id"])
+        rolling = (hits.id % 3 == 0).astype(int).rolling(1000, min_periods=1).sum().astype(int)
+        assert len(hits) == 300_000 and (hits.hits.to_numpy() == rolling.to_numpy()).all() and hits.seq.is_monotonic_increasing and (hits.seen == hits.seq.clip(upper=1000)).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_first_wins_with_a_map(spark):
+    df = spark.createDataFrame([(1, 5, {"a": 1}), (1, 3, {"b": 2}), (2, 1, None)], "k int, at int, m map<string,int>")
+    assert sorted((r.k, r.at, r.m) for r in events.first_wins(df, ["k"], ["at"]).collect()) == [(1, 3, {"b": 2}), (2, 1, None)]
+
+
+def test_ring_dedup(spark):
+    rows = [("s", i, k) for i, k in enumerate("abacab")]
+    got = ordered.ring_dedup(spark.createDataFrame(rows, "s string, i int, k string"), ["s"], ["k"], ["i"], 2).orderBy("i").collect()
+    assert [r.i for r in got] == [0, 1, 3, 4, 5]
+
+
 def test_enrichment_takes_one_struct(spark):
     e = spark.createDataFrame([(1, "c1"), (2, "c2"), (3, "c3"), (4, None)], "id int, cond string")
     by_id = spark.createDataFrame([(1, "a", None)], "id int, x string, y string")
@@ -209,6 +333,8 @@ def test_catalog(spark):
     raw = [json.dumps(x) for x in ({"id": "5", "conditionId": "0x" + "ab" * 32, "clobTokenIds": '["1","2"]', "tags": [{"id": "3"}, {"id": "x"}], "events": [{"tags": [{"id": "1"}, {"id": "3"}]}], "updatedAt": "b"}, {"id": "x", "conditionId": "0x" + "ab" * 32}, {"id": "6", "conditionId": "0x12"}, {"id": "7", "conditionId": "0x" + "ab" * 32, "clobTokenIds": '["zz"]'}, {"id": "8", "conditionId": "0x" + "cd" * 32, "clobTokenIds": " "})]
     df = spark.createDataFrame([(r,) for r in raw], "v string").select(F.from_json("v", catalog.RAW_SCHEMA).alias("r")).select("r.*")
     got = {int(r.market_id): r for r in catalog.compact(df).collect()}
+    again = sorted((int(r.market_id), len(r.token_ids)) for r in catalog.compact(df.unionByName(df)).collect())
+    assert again == [(5, 2), (5, 2), (8, 0), (8, 0)]
     assert set(got) == {5, 8} and got[5].tag_ids == [1, 3] and [int.from_bytes(t, "big") for t in got[5].token_ids] == [1, 2] and got[8].token_ids == [] and got[5].category == "SPORTS"
     days = spark.createDataFrame([(1, 90), (2, 80), (3, None), (4, 200)], "market_id int, seen_day int")
     assert sorted((r.market_id, r.seen_day) for r in catalog.evict(days, 100, 14).collect()) == [(1, 90), (3, 88), (4, 100)]
@@ -253,9 +379,61 @@ def test_decay_without_forgetting_is_exact(spark):
 
 
 def test_seats(spark):
-    rows = [("p", t, s, o, u) for t, s, o, u in [(0, 0.0, False, 0.0), (1, 0.02, True, 0.0), (2, 0.005, True, 0.0), (3, 0.005, True, 0.0), (4, 0.5, True, 0.0), (27, 0.5, True, 0.0), (28, 0.5, True, 0.0), (29, 0.0, True, 0.0), (30, 0.0, True, 30.0)]]
-    got = [(r.epoch, r.state) for r in analytics.seats(spark.createDataFrame(rows, "peer string, epoch long, share double, observed boolean, unseen_h double"), "peer", "epoch").orderBy("epoch").collect()]
-    assert got == [(0, "trial"), (1, "core"), (2, "core"), (3, "cooldown"), (4, "cooldown"), (27, "candidate"), (28, "trial"), (29, "cooldown"), (30, "lost")]
+    schema = "network string, epoch long, peer string, share double, online boolean, silent boolean, observed boolean, seen long, home boolean"
+
+    def run(rows, rules=None):
+        df = spark.createDataFrame([("n", *r) for r in rows], schema).repartition(3)
+        return {(r.peer, r.epoch): (r.state, r.cooldowns) for r in analytics.seats(df, ["network"], "peer", "epoch", rules).collect()}
+
+    peer = lambda t, share, online=True, silent=False, observed=True, seen=50, home=False, name="p": (t, name, share, online, silent, observed, seen, home)
+    got = run([peer(0, 0.0, observed=False), peer(1, 0.02), peer(2, 0.005), peer(3, 0.02), peer(4, 0.005), peer(5, 0.005), peer(6, 0.001), peer(29, 0.0, observed=False), peer(30, 0.0, silent=True, observed=False), peer(31, 0.0)])
+    assert [got["p", t] for t in (0, 1, 2, 3, 4)] == [("trial", 0), ("core", 0), ("core", 0), ("core", 0), ("core", 0)]
+    assert got["p", 5] == ("cooldown", 1)  # demoted to trial, and the lowest of the trials
+    assert got["p", 6] == ("cooldown", 1) and got["p", 29] == ("candidate", 1) and got["p", 30] == ("cooldown", 2) and got["p", 31] == ("cooldown", 2)
+    got = run([peer(0, 0.02), peer(1, 0.0, online=False), peer(2, 0.0), peer(3, 0.0, online=False), peer(28, 0.0, online=False)])
+    assert [got["p", t][0] for t in (0, 1, 2, 3, 28)] == ["core", "lost", "core", "lost", "candidate"]
+    rules = analytics.SeatRules(core_max=1, trial_seats=2, home_floor=1)
+    got = run([peer(0, s, name=n, observed=False) for n, s in (("a", 0.0), ("b", 0.0), ("c", 0.0))] + [peer(1, s, name=n) for n, s in (("a", 0.03), ("b", 0.02), ("c", 0.5))], rules)
+    assert [got[n, 0][0] for n in "abc"] == ["trial", "trial", "candidate"]  # seats are few
+    assert [got[n, 1] for n in "abc"] == [("core", 0), ("cooldown", 1), ("candidate", 0)]  # the core's cap, then the lowest trial
+    got = run([peer(0, 0.02, home=True), peer(1, 0.001, home=True), peer(2, 0.001, home=True), peer(200, 0.02, home=True)], rules)
+    assert got["p", 2] == ("core", 0) and got["p", 200] == ("core", 0)  # the floor keeps it
+
+
+def test_recent_posterior(spark):
+    cal = spark.createDataFrame([(o, r, d) for o, x in enumerate([(0.0, 40.0), (30.0, 0.0), (9.0, 9.0)]) for r, d in zip("ab", x)] + [(7, "a", 1.0)], "observer int, region string, delay_ms double")
+    rows = [(b, b, o, off) for b in range(30) for o, off in ((0, 0.0 if b < 20 else 40.0), (1, 30.0 if b < 20 else 0.0), (2, 9.0))] + [(99, 99, 0, 0.0), (5, 5, 7, 3.0)]
+    df = spark.createDataFrame(rows, "block int, at int, observer int, offset_ms double")
+    p = lambda **kind: {r.region: r.p for r in analytics.region_posterior_recent(df, cal, "block", "at", "observer", "region", **kind).collect()}
+    assert p()["a"] > 0.9 and p(keep=10)["b"] > 0.9 and p(half_life=3)["b"] > 0.9
+    usable = df.filter("observer < 3 and block <> 99")
+    flat = {r.region: r.p for r in analytics.region_posterior(usable, cal, "block", "observer", "region").collect()}
+    assert all(math.isclose(p(half_life=1e12)[k], flat[k], rel_tol=1e-9) for k in flat)
+
+
+def test_health_and_metrics(spark):
+    deliveries = spark.createDataFrame([("x", 1, 1, None, False, True), ("y", 1, 2, None, False, True), ("x", 2, 3, "data", False, False), ("y", 3, 4, None, True, False), ("y", 4, 5, None, False, False)], "source string, k int, at int, error string, f boolean, h boolean")
+    counters = events.delivery_counters(deliveries, "source", ["k"], ["at"], "error", F.col("f"), F.col("h"))
+    assert sorted(tuple(r) for r in counters.collect()) == [("x", 2, 1, 1, 0, 0, 1, 1, 0), ("y", 3, 3, 0, 1, 1, 1, 0, 1)]
+    sources = spark.createDataFrame([("x", True, 2, 1, 10, 7), ("y", False, 0, 0, 5, 9)], "source string, connected boolean, reconnects long, stalls long, last_us long, latest_block long")
+    small = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    h = sinks.health(counters, sources, small("market_id int", (1,), (2,)), small("events long, hits long", (5, 1)), small("sequence long", (3,), (8,)), small("condition string, blocked long", ("a", 2), ("a", 1)), {"subscribers": F.lit(4)})
+    r = h.first()
+    assert (r.status, r.logs_received_total, r.duplicates_total, r.decode_errors_total, r.foreign_requests_skipped_total, r.hit_percent) == ("ok", 5, 1, 1, 1, 50.0)
+    assert (r.sources_connected, r.latest_block, r.catalog_markets, r.off_list_events_total, r.event_ring_oldest_sequence, r.forfeit_blocked_condition_ids, r.forfeit_blocked_events_total) == (1, 9, 2, 5, 3, 1, 3)
+    assert "opal_subscribers 4" in sinks.metrics_text(h).first().text.split("\n")
+
+
+def test_matches_and_forfeit_frames(spark, tmp_path):
+    match = {"id": 3, "name": "A vs B", "modified_at": "2024-01-02", "games": [{"position": 1, "winner": {"id": 8}, "forfeit": True, "finished": True, "end_at": "e"}, {"position": 2, "finished": False}], "opponents": [{"opponent": {"id": 7, "name": "A"}}, {"opponent": {"id": 8, "name": "B"}}]}
+    (tmp_path / "m.json").write_text("\n".join(json.dumps(m) for m in (match, {"id": 4, "modified_at": "2024-01-03", "games": []}, {"id": 5, "modified_at": "2025-01-01"})))
+    matches = feeds.ndjson(spark, str(tmp_path / "m.json"), feeds.MATCHES)
+    assert [tuple(r) for r in feeds.match_games(matches).collect()] == [(3, "A vs B", 1, True, "e", "B")]
+    assert [r.id for r in feeds.polled(matches, "2024-06-01").collect()] == [4, 3]
+    (tmp_path / "f.json").write_text("\n".join([json.dumps({"hello": {"last_sequence": 9}}), json.dumps({"event": {"sequence": 8, "match_name": "x", "condition_ids": ["c"]}}), "{}", json.dumps({"event": {"sequence": 9}})]))
+    frames_ = feeds.forfeit_frames(spark, str(tmp_path / "f.json"))
+    assert [(r.kind, r.sequence) for r in frames_.collect()] == [("hello", 9), ("event", 8), ("event", 9)]
+    assert tuple(feeds.feed_state(frames_).first()) == (3, 9, 9, True) and not feeds.feed_state(frames_.filter("sequence < 9 or kind = 'hello'")).first().in_sync
 
 
 def test_feeds(spark, tmp_path):
