@@ -10,7 +10,8 @@ rest floor(weight * what is left / their weights).
 A leaf's documents are taken in the order of md5(seed:epoch:doc_id), epoch after epoch, as long as
 the tokens before a document are fewer than the leaf's budget: whole epochs first, then a prefix.
 The prefix is found without ordering a leaf: tokens are summed by the order key's first hex digits,
-running sums over these buckets find the one where the budget ends, and only its rows are ordered.
+running sums over these buckets find the one where the budget ends, and its rows are summed by their next
+digits, until no leaf's bucket holds more than `bucket_rows` rows; only these are ordered.
 
 Tokens of a document are its words [^\\x20\\x09-\\x0D]+ (null or empty: none).  Documents without tokens
 take no budget and are never chosen, as nothing of them could be used.  Null languages and sources are
@@ -40,7 +41,8 @@ class Mix:
     percent: int = 90
     max_epochs: int = 2
     seed: int = 20240501
-    bucket_digits: int = 3
+    bucket_digits: int = 2
+    bucket_rows: int = 1000
 
 
 DIGITS = 12  # of the md5 that order by: 48 bits; doc_id breaks ties
@@ -114,16 +116,25 @@ def choose(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     budgets = tables.write(leaf_budgets(slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), mix), "budgets")
     # where each leaf's last, partial epoch ends
     part = budgets.filter("part > 0").select(*leaf, "whole", "part")
-    keyed = slim.filter("tokens > 0").join(part, leaf).withColumn("key", order_key(F.col("doc_id"), F.col("whole"), mix)).withColumn("bucket", F.substring("key", 1, mix.bucket_digits))
-    sums = tables.write(keyed.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("t"), F.first("part").alias("part")), "buckets")
+    keyed = slim.filter("tokens > 0").join(part, leaf).withColumn("key", order_key(F.col("doc_id"), F.col("whole"), mix))
     run = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sums.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))).filter("before < part and before + t >= part").select(*leaf, F.col("bucket").alias("edge"), "before")
-    edge = tables.write(edge, "edges")
-    inside = keyed.join(edge, leaf).filter("bucket = edge").groupBy(*leaf, "key", "doc_id", "before", "part").agg(F.sum("tokens").alias("t"))
+    inside, edge, digits = keyed.withColumn("before", F.lit(0).cast("long")), None, 0
+    while digits < DIGITS:
+        digits += mix.bucket_digits
+        sums = inside.withColumn("bucket", F.substring("key", 1, digits)).groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.first("part").alias("part"), F.first("before").alias("start"))
+        at = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("t").over(run), F.lit(0)))
+        old = edge
+        edge = tables.write(at.filter("before < part and before + t >= part").select(*leaf, F.col("bucket").alias("edge"), "before", "n"), f"edges{digits}")
+        tables.drop(old)
+        inside = keyed.join(edge.drop("n"), leaf).filter(F.substring("key", 1, digits) == F.col("edge"))
+        if (edge.agg(F.max("n")).first()[0] or 0) <= mix.bucket_rows:
+            break
+    inside = inside.groupBy(*leaf, "key", "doc_id", "before", "part").agg(F.sum("tokens").alias("t"))
     within = Window.partitionBy(*leaf).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     last = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("t").over(within), F.lit(0))).filter("at < part")
     last = last.groupBy(*leaf).agg(F.max(F.struct("key", "doc_id")).alias("last"))
     plan = tables.write(budgets.select(*leaf, "whole", "part").join(last, leaf, "left"), "plan")
+    tables.drop(slim, budgets, edge)
     rows = rows.filter("tokens > 0").join(plan, leaf)
     mine = F.struct(order_key(F.col("doc.doc_id"), F.col("whole"), mix).alias("key"), F.col("doc.doc_id").alias("doc_id"))
     uses = F.col("whole") + F.when((F.col("part") > 0) & (mine <= F.col("last")), 1).otherwise(0)
