@@ -10,8 +10,8 @@ at the end of a task all are taken.  No remainder is cut.
 
 Null and empty texts are one piece, the end id.  Very long texts are cut as others are.  Repeated
 rows are packed each on their own, ties are broken by arrival.  An empty table gives an empty one.
-Other columns of any name are not read.  sequence_id is the task's number times 2^32 plus a running
-number, so rows must come in the same order when a task is run again: read them from storage.  A
+Other columns of any name are not read.  sequence_id and row, which tells the pieces of one row of the
+table from those of a row that repeats it, are the task's number times 2^32 plus a running number, so rows must come in the same order when a task is run again: read them from storage.  A
 task holds one block of remainders and one batch of texts, no more.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from opalstream.llm.common import light_batches
 from opalstream.llm.tokens import encoder, vocabulary_path
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, row long"
 
 
 def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -81,24 +81,25 @@ def plan_windows(counts: dict[int, int], window: int, leave: int = 0) -> tuple[l
 
 class Packer:
     def __init__(self, window: int, first_sequence: int, block: int):
-        self.window, self.sequence, self.block = window, first_sequence, block
+        self.window, self.sequence, self.row, self.block = window, first_sequence, first_sequence, block
         self.waiting: dict[int, deque] = {}
         self.held = self.size = 0  # remainders that wait; bytes of rows that are ready
         self.rows: list[tuple] = []
 
     def put(self, piece: tuple, offset: int) -> None:
-        doc, start, ids, total = piece
-        self.rows.append((doc, start, len(ids) // 4, ids, total, self.sequence, offset))
+        doc, start, ids, total, row = piece
+        self.rows.append((doc, start, len(ids) // 4, ids, total, self.sequence, offset, row))
         self.size += len(ids)
 
     def add(self, doc: int | None, ids: bytes) -> None:
-        total, w = len(ids) // 4, self.window
+        total, w, row = len(ids) // 4, self.window, self.row
+        self.row += 1
         for start in range(0, total - w + 1, w):
-            self.put((doc, start, ids[4 * start : 4 * (start + w)], total), 0)
+            self.put((doc, start, ids[4 * start : 4 * (start + w)], total, row), 0)
             self.sequence += 1
         start = total // w * w
         if start < total:
-            self.waiting.setdefault(total - start, deque()).append((doc, start, ids[4 * start :], total))
+            self.waiting.setdefault(total - start, deque()).append((doc, start, ids[4 * start :], total, row))
             self.held += 1
             if self.held >= self.block:
                 self.pack(self.block // 2)
@@ -118,11 +119,11 @@ class Packer:
 
     def take(self) -> pd.DataFrame:
         out, self.rows, self.size = self.rows, [], 0
-        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "row"]).astype({"doc_id": "Int64"})
 
 
 def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str | None = None, text_col: str = "text", id_col: str = "doc_id", block: int = 8192) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, row."""
     light_batches(docs.sparkSession)
     path, end = vocabulary or vocabulary_path(), np.array([end_id], "<u4").tobytes()
 

@@ -159,6 +159,9 @@ def test_packing(spark, docs, rows, tokenizer):
         assert b"".join(p[1] for p in parts) == ids.tobytes()
     for _, g in pieces.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
+    for _, g in pieces.groupby("row"):  # a row's pieces, also where another repeats it, are one document
+        assert g.doc_id.nunique(dropna=False) == g.doc_tokens.nunique() == 1 and g.length.sum() == g.doc_tokens.iloc[0]
+    assert pieces.row.nunique() == len(rows)
     assert all(n == 1024 or n == total % 1024 for n, total in zip(pieces.length, pieces.doc_tokens))  # no remainder is cut
     assert len(got) > 0
 
@@ -531,7 +534,7 @@ def slow_share(nodes, budget):
 
 
 def test_mixing(docs, rows):
-    mix = mixing.Mix(percent=60, bucket_digits=1)
+    mix = mixing.Mix(percent=60, bucket_digits=1, bucket_rows=1)
     got = Counter((r.doc_id, r.epoch) for r in mixing.mixing_digest(docs, mix).collect())
     leaves = defaultdict(list)
     for r in rows:
