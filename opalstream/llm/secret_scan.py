@@ -15,7 +15,6 @@ unread.  Texts are scanned whole.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -30,8 +29,7 @@ from opalstream.llm.common import light_batches
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-#: The same matches as HEX with 16 characters or more: a run is matched from its start either way.
+#: A run is matched from its start, so runs of 16 or more are the matches of [0-9a-f]+ that are long enough.
 HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -192,12 +190,3 @@ def secrets_digest(docs: DataFrame, cfg: Entropy | None = None) -> DataFrame:
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
     )
 
-
-def digest_by_brute_force(text: str | None) -> tuple[int, int, int, str]:
-    """For tests: the patterns of the contract, one after the other."""
-    text, out = text or "", []
-    for k, (p, group, least) in enumerate(((ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16))):
-        out += [(m.start(), k, m.end()) for m in p.finditer(text) if len(m.group(group)) >= least]
-    joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
-    n = [sum(k == x for _, k, _ in out) for x in range(3)]
-    return n[0], n[1], n[2], hashlib.sha256(joined.encode()).hexdigest()
