@@ -158,8 +158,19 @@ def missing_numbers(df: DataFrame, number: str, width: int = 1 << 16) -> DataFra
     return every.join(seen, number, "left_anti")
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, longest: int) -> DataFrame:
-    """Pairs with 0 <= other - at <= longest: an equi-join on the key and buckets of that width."""
+def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, longest: int, salt: int = 1, how: str = "inner") -> DataFrame:
+    """Pairs with 0 <= other - at <= longest: an equi-join on the key and buckets of that width.  With salt > 1 each
+    (key, bucket) is shared among so many tasks: right's rows are dealt out, left's go to all.  how may be "left": rows
+    of left that have no partner come once, with nulls."""
+    if how == "left":
+        rows = left.withColumn("_row", F.struct(*left.columns)).withColumn("_row", F.xxhash64("_row"))
+        pairs = interval_join(rows, right, key, at, other, longest, salt)
+        alone = rows.join(pairs.select("_row", *left.columns).distinct(), rows.columns, "left_anti")
+        return pairs.drop("_row").unionByName(alone.drop("_row"), allowMissingColumns=True)
+    if salt > 1:
+        left = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        right = right.withColumn("_s", F.pmod(F.xxhash64(*right.columns), F.lit(salt)).cast("int"))
+        return interval_join(left, right, [*key, "_s"], at, other, longest).drop("_s")
     a = left.withColumn("_b", F.explode(F.array(F.floor(F.col(at) / longest), F.floor(F.col(at) / longest) + 1)))
     b = right.withColumn("_b", F.floor(F.col(other) / longest))
     return a.join(b, [*key, "_b"]).filter((F.col(other) >= F.col(at)) & (F.col(other) - F.col(at) <= longest)).drop("_b")

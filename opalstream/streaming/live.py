@@ -19,17 +19,25 @@ from opalstream.sources import sinks
 STATE = StructType([StructField("state", BinaryType())])
 
 
-def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A stream whose state is a Python object per key: each micro-batch's rows, in order, go through step."""
+def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, idle_hours: float | None = None) -> DataFrame:
+    """A stream whose state is a Python object per key: each micro-batch's rows, in order, go through step.
+
+    With idle_hours, a key without rows for so long, by processing time, is forgotten; such a query runs on when there
+    is nothing new, so it needs a trigger by interval."""
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if idle_hours is not None and state.hasTimedOut:
+            state.remove()
+            return
         held = pickle.loads(state.get[0]) if state.exists else start()
         pdf = pd.concat(list(batches)).sort_values(order)
         out = step(held, pdf)
         state.update((pickle.dumps(held),))
+        if idle_hours is not None:
+            state.setTimeoutDuration(int(idle_hours * 3_600_000))
         yield out
 
-    return rows.groupBy(*key).applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*key).applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.NoTimeout if idle_hours is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def dedup_within(stream: DataFrame, key: list[str], at: str, delay: str) -> DataFrame:
@@ -52,14 +60,14 @@ class Ring:
         return True
 
 
-def dedup_ring(stream: DataFrame, by: list[str], key: list[str], arrival: list[str], size: int = 10_000) -> DataFrame:
+def dedup_ring(stream: DataFrame, by: list[str], key: list[str], arrival: list[str], size: int = 10_000, idle_hours: float | None = None) -> DataFrame:
     """First arrival of each key among the last `size` accepted, exactly, one ring for each `by`."""
     schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
 
     def step(ring: Ring, pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[[ring.add(k) for k in pdf[key].itertuples(index=False, name=None)]]
 
-    return folded(stream, by, arrival, lambda: Ring(size), step, schema)
+    return folded(stream, by, arrival, lambda: Ring(size), step, schema, idle_hours)
 
 
 def gate_feed(stream: DataFrame, by: str, state: str, out: str, checkpoint: str, settings: GateSettings | None = None, trigger: dict | None = None):
@@ -103,9 +111,9 @@ class Alert:
         self.since = self.fired = self.absent = None
 
 
-def alerts(stream: DataFrame, key: list[str], at: str, present: str, hold: int, resolve: int) -> DataFrame:
+def alerts(stream: DataFrame, key: list[str], at: str, present: str, hold: int, resolve: int, idle_hours: float | None = None) -> DataFrame:
     """key, at, change ('firing' or 'resolved') as conditions begin and end; rows are evaluations, so a rule
-    that isn't evaluated keeps its state."""
+    that isn't evaluated keeps its state, for idle_hours if given."""
     types = dict(stream.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "at long, change string"])
 
@@ -126,7 +134,7 @@ def alerts(stream: DataFrame, key: list[str], at: str, present: str, hold: int,
                     a.since = a.fired = a.absent = None
         return pd.DataFrame(out, columns=[*key, "at", "change"])
 
-    return folded(stream, key, [at], Alert, step, schema)
+    return folded(stream, key, [at], Alert, step, schema, idle_hours)
 
 
 def matched_within(pending: DataFrame, confirmed: DataFrame, key: str, at: str, other: str, wait: str) -> DataFrame:

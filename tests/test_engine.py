@@ -305,6 +305,20 @@ def test_sequence_of_many_rows(spark):
         spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
+def test_interval_join(spark):
+    import random
+
+    rng = random.Random(7)
+    left = [(i, rng.randrange(3), rng.randrange(100)) for i in range(60)]
+    right = [(rng.randrange(4) // 2, rng.randrange(120), j) for j in range(80)]
+    a, b = spark.createDataFrame(left, "i int, k int, at int"), spark.createDataFrame(right, "k int, t int, j int")
+    want = sorted((i, j) for i, k, at in left for kk, t, j in right if k == kk and 0 <= t - at <= 9)
+    for salt in (1, 4):
+        assert sorted((r.i, r.j) for r in ordered.interval_join(a, b, ["k"], "at", "t", 9, salt).collect()) == want
+        outer = ordered.interval_join(a, b, ["k"], "at", "t", 9, salt, "left").collect()
+        assert sorted((r.i, r.j) for r in outer if r.j is not None) == want and sorted(r.i for r in outer if r.j is None) == sorted({r[0] for r in left} - {i for i, _ in want})
+
+
 def test_first_wins_with_a_map(spark):
     df = spark.createDataFrame([(1, 5, {"a": 1}), (1, 3, {"b": 2}), (2, 1, None)], "k int, at int, m map<string,int>")
     assert sorted((r.k, r.at, r.m) for r in events.first_wins(df, ["k"], ["at"]).collect()) == [(1, 3, {"b": 2}), (2, 1, None)]
