@@ -73,7 +73,8 @@ class Mixer:
         state = np.arange(32)
         w2 = np.array(FIRST2, np.int64)[state >> 2 & 3] * self.free[:, None] >> 16
         w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free[:, None] - w2) >> 16) * (state < 16)  # from 16 on both predict the same
-        self.w2, self.w1 = w2.ravel(), w1.ravel()
+        self.w2, self.w1 = w2.ravel().astype(np.int32), w1.ravel().astype(np.int32)
+        self.kind = np.int32 if self.bits.max() < 15 else np.int64  # that holds a first slot << 16 | slots
         self.counts = np.zeros((lanes, self.most + 1), np.int64)
 
     def refresh(self, columns: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ class Mixer:
         np.subtract(start[:, 1:], start[:, :-1], out=self.slots[:, :-1])
         start <<= 16
         start |= self.slots
-        self.span = start.ravel()
+        self.span = start.ravel().astype(self.kind)
         return self.span
 
 
@@ -160,7 +161,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
         columns[:, at : at + 32] = y.T
     out = np.zeros((2 * steps + 4, lanes), np.int32)
     flat, low, rng, at = out.reshape(-1), np.zeros(lanes, np.int64), np.full(lanes, LOW_MASK, np.int64), lane.copy()
-    ends, done = refreshed(steps), 0
+    ends, done, gain = refreshed(steps), 0, m.gain.astype(np.int32)
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(columns[done:first]), first
         for t in range(first, last, 64):
@@ -170,14 +171,15 @@ def encode(ids: np.ndarray) -> list[bytes]:
             differ = g2 != g1
             hit2, hit1 = g2 == y, (g1 == y) & differ
             state = m.base_w + ((k2 & 3) << 2 | k1 & 3) + ~differ * 16
-            p2, p1 = np.empty_like(y), np.empty_like(y)
+            p2, p1 = np.empty(y.shape, np.int32), np.empty(y.shape, np.int32)
+            up2, up1 = hit2 * gain, hit1 * gain
             for i in range(len(y)):
                 s = state[i]
                 p2[i] = q2 = m.w2.take(s)
                 p1[i] = q1 = m.w1.take(s)
-                m.w2[s] = q2 - (q2 >> RATE) + hit2[i] * m.gain
-                m.w1[s] = q1 - (q1 >> RATE) + hit1[i] * m.gain
-            unit = (m.free - p2 - p1 >> m.bits) + 1
+                m.w2[s] = q2 - (q2 >> RATE) + up2[i]
+                m.w1[s] = q1 - (q1 >> RATE) + up1[i]
+            unit = (m.free - p2 - p1 >> m.bits) + 1  # of 64 bits from here on
             e2, e1, e = span.take(m.base + g2), span.take(m.base + g1), span.take(m.base + y)
             n2, n1, s = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e >> 16
             end2 = (1 << TOTAL) - p1 - (unit << m.bits) + unit * n2  # what whole slots leave over goes to order 2
@@ -228,13 +230,13 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
         words[k, : (len(c) - e) // 2] = np.frombuffer(c, "<u2", (len(c) - e) // 2, e)
     flat = np.ascontiguousarray(words.T).reshape(-1)
     m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
-    base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits, (1 << m.bits) - 1
+    base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits.astype(np.int32), (1 << m.bits) - 1
+    base_s, free, gain = np.cumsum(top + 1) - top - 1, m.free.astype(np.int32), m.gain.astype(np.int32)
     t2, t1 = np.zeros(lanes << CONTEXTS, np.int32), np.zeros(lanes * (m.most + 1), np.int32)  # id << 4 | sureness, order 2's << 2
-    base_s = np.cumsum(top + 1) - top - 1
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     code = (flat[lane] << 32) | (flat[lane + lanes] << 16) | flat[lane + 2 * lanes]
     rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32), len(flat) - 1
-    ends, done = refreshed(steps), 0
+    ends, done, whole = refreshed(steps), 0, np.int32(1 << TOTAL)
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(out[done:first]), first
         slot = np.repeat(np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes), m.slots.ravel())
@@ -243,28 +245,35 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
             c2, c1 = t2.take(i2), t1.take(i1)
             g2, g1 = c2 >> 4, c1 >> 4
             differ = g2 != g1
-            state = base_w + (c2 & 12 | c1 & 3 | ~differ * np.int32(16))
+            state = base_w + ((c2 & 12 | c1 & 3) + ~differ * np.int32(16))
             q2, q1 = m.w2.take(state), m.w1.take(state)
-            unit = (m.free - q2 - q1 >> bits) + 1
+            unit = (free - q2 - q1 >> bits) + 1
             e2, e1 = span.take(base + g2), span.take(base + g1)
             n2, n1, s2, s1 = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e2 >> 16, e1 >> 16
-            end2 = (1 << TOTAL) - q1 - (unit << bits) + unit * n2
+            end2 = whole - q1 - (unit << bits) + unit * n2
             end1 = end2 + q1 + unit * n1
             r = rng >> TOTAL
             top1 = r * end1
-            in2, in1 = code < r * end2, code < top1
+            in1 = code < top1
             # the place among the slots without the two predicted ids', then among all
-            q = (np.maximum(code - top1, 0) / (r * unit)).astype(np.int64)  # below 2^48: the quotient's floor is exact
+            q = (np.maximum(code - top1, 0) / (r * unit)).astype(m.kind)  # below 2^48: the quotient's floor is exact
             w = q + n1 * (q >= s1 - n2 * (s2 < s1))
             w += n2 * (w >= s2)
             x = slot.take(base_s + np.minimum(w, top)).astype(np.int32)
             e = span.take(base + x)
             lo, width = end1 + unit * (q + (e >> 16) - w), unit * (e & 0xFFFF)
-            np.copyto(x, g1, where=in1)
-            np.copyto(x, g2, where=in2)
-            lo, width = np.where(in1, end2, lo), np.where(in1, end1 - end2, width)
-            code -= r * np.where(in2, 0, lo)
-            rng = r * np.where(in2, end2, width)
+            q2 -= q2 >> RATE
+            q1 -= q1 >> RATE
+            hit = np.flatnonzero(in1)  # as order 2 or as order 1 says
+            h2 = end2[hit]
+            two = code[hit] < r[hit] * h2
+            as2, as1 = hit[two], hit[~two]
+            x[as2], lo[as2], width[as2] = g2[as2], 0, h2[two]
+            x[as1], lo[as1], width[as1] = g1[as1], end2[as1], end1[as1] - end2[as1]
+            q2[as2] += gain[as2]
+            q1[as1] += gain[as1]
+            code -= r * lo
+            rng = r * width
             short = np.flatnonzero(rng < SMALL)
             while len(short):
                 place = at[short]
@@ -273,10 +282,14 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
                 rng[short] = x_rng = rng[short] << 16
                 short = short[(x_rng < SMALL) & (x_rng > 0)]
             out[t] = x
-            m.w2[state] = q2 - (q2 >> RATE) + in2 * m.gain
-            m.w1[state] = q1 - (q1 >> RATE) + (in1 & ~in2) * m.gain
-            x16 = x << 4
-            t2[i2] = np.where(in2, np.minimum(c2 + 4, c2 | 12), x16 + 4)
-            t1[i1] = np.where(g1 == x, np.minimum(c1 + 1, c1 | 3), x16 + 1)
+            m.w2[state], m.w1[state] = q2, q1
+            new2 = (x << 4) + 4
+            new1 = new2 - 3
+            k = c2[as2]
+            new2[as2] = np.minimum(k + 4, k | 12)
+            as1 = np.flatnonzero(g1 == x)
+            k = c1[as1]
+            new1[as1] = np.minimum(k + 1, k | 3)
+            t2[i2], t1[i1] = new2, new1
             b, a = a, x.astype(np.int64)
     return np.stack([u[out[:, k]] for k, u in enumerate(lists)]).astype(np.uint32)
