@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
-import shutil
-import tempfile
 from urllib.parse import urlparse
 
 import numpy as np
@@ -149,10 +146,15 @@ def dump(arrays: dict[str, np.ndarray]) -> bytes:
     return b"".join([b"OPALTRIE", len(text).to_bytes(8, "little"), text, *body])
 
 
-def load(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+def mappable(uri: str) -> bool:
+    return urlparse(uri).scheme in ("", "file")
+
+
+def load(uri: str) -> dict[str, np.ndarray]:
+    """A file's arrays: mapped into memory, or read from a store that can't be mapped."""
+    raw = np.memmap(urlparse(uri).path, np.uint8, "r") if mappable(uri) else np.frombuffer(read_file(uri), np.uint8)
     if bytes(raw[:8]) != b"OPALTRIE":
-        raise ValueError(f"not a trie level: {path}")
+        raise ValueError(f"not a trie level: {uri}")
     n = int.from_bytes(bytes(raw[8:16]), "little")
     head = json.loads(bytes(raw[16 : 16 + n]))
     return {k: raw[16 + n + at : 16 + n + at + size * np.dtype(t).itemsize].view(t) for k, (t, size, at) in head.items()}
@@ -178,24 +180,6 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-_COPIES: dict[str, str] = {}
-
-
-def local_file(uri: str) -> str:
-    """The file itself if it can be mapped, else a copy for as long as this process runs."""
-    if urlparse(uri).scheme in ("", "file"):
-        return urlparse(uri).path
-    if uri not in _COPIES:
-        if not _COPIES:
-            _COPIES[""] = tempfile.mkdtemp()
-            atexit.register(shutil.rmtree, _COPIES[""], True)
-        to = os.path.join(_COPIES[""], str(len(_COPIES)))
-        with open(to, "wb") as f:
-            f.write(read_file(uri))
-        _COPIES[uri] = to
-    return _COPIES[uri]
-
-
 CODE = 2048  # steps of a quantised logarithm to a factor of 2
 
 
@@ -281,7 +265,9 @@ class Level:
 
 
 class Sharded:
-    """Shards by range of key; opened when first asked."""
+    """Shards by range of key; opened when first asked.  Of files that can't be mapped the last HELD are kept."""
+
+    HELD = 16
 
     def __init__(self, shards: list[tuple[int, int, str]], kind):
         """shards: first key, number of the first entry, file; in order."""
@@ -291,7 +277,9 @@ class Sharded:
 
     def shard(self, i: int):
         if i not in self.opened:
-            self.opened[i] = self.kind(load(local_file(self.files[i])))
+            if not mappable(self.files[i]) and len(self.opened) >= self.HELD:
+                del self.opened[next(iter(self.opened))]
+            self.opened[i] = self.kind(load(self.files[i]))
         return self.opened[i]
 
     def each(self, keys: np.ndarray):
