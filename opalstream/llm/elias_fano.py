@@ -245,15 +245,24 @@ class Level:
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index of each child, -1 where there is none: a successor search relative to its context.  Sorted by parent."""
+        return self._search(parent, word, np.arange(len(parent)), None)
+
+    def look(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As find, and each one's parent, -1 where it has no children here."""
+        first = np.concatenate([[True], parent[1:] != parent[:-1]])
+        k = self.parents.find(parent[first])[np.cumsum(first) - 1]
+        return self._search(parent, word, np.flatnonzero(k >= 0), k), k
+
+    def _search(self, parent: np.ndarray, word: np.ndarray, some: np.ndarray, k: np.ndarray | None) -> np.ndarray:
         out = np.full(len(parent), -1, np.int64)
-        bit = _bits(parent, word, 8 * len(self.table))
-        may = np.flatnonzero(self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        bit = _bits(parent[some], word[some], 8 * len(self.table))
+        may = some[np.flatnonzero(self.table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)]
         if not len(may):
             return out
         parent, word = parent[may], word[may]
         first = np.concatenate([[True], parent[1:] != parent[:-1]])
         of = np.cumsum(first) - 1
-        k = self.parents.find(parent[first])
+        k = self.parents.find(parent[first]) if k is None else k[may][first]
         there = np.maximum(k, 0)
         begin, end = self.pointers.access_both(there)
         base = np.where(begin > 0, self.ids.access(np.maximum(begin - 1, 0)) + 1, 0)
@@ -282,8 +291,12 @@ class Sharded:
             self.opened[i] = self.kind(load(self.files[i]))
         return self.opened[i]
 
+    def where(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's shard, -1 before the first."""
+        return np.searchsorted(self.firsts, keys, side="right") - 1
+
     def each(self, keys: np.ndarray):
         """(shard, its base, which of the keys) for sorted keys."""
-        where = np.searchsorted(self.firsts, keys, side="right") - 1
+        where = self.where(keys)
         for i in np.unique(where[where >= 0]):
             yield self.shard(i), int(self.bases[i]), np.flatnonzero(where == i)

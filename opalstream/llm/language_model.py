@@ -167,27 +167,39 @@ class Trie:
             out[at] = v.shard(i).counts.of(nodes[at] - v.bases[i])
         return out
 
-    def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: none) and shares of children, for keys in any order."""
+    def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers of children (-1: none), for keys in any order."""
         key, back = distinct(parent * self.width + word, level > 0)
-        found, share = np.full(len(key), -1, np.int64), np.zeros(len(key))
+        found = np.full(len(key), -1, np.int64)
         for s, base, at in self.levels[level].each(key):
             i = s.find(key[at] // self.width, key[at] % self.width)
+            found[at] = np.where(i >= 0, base + i, -1)
+        return found[back]
+
+    def follow(self, level: int, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers and shares of children (-1 and 0: none; so too for words below 0), and what the parent leaves to
+        the lower order (1 without children)."""
+        key, back = distinct(parent * self.width + np.where(word < 0, self.width - 1, word), level > 0)
+        above = key // self.width
+        found, share, rest = np.full(len(key), -1, np.int64), np.zeros(len(key)), np.ones(len(key))
+        shards = self.levels[level]
+        for s, base, at in shards.each(key):
+            i, k = s.look(above[at], key[at] - above[at] * self.width)
             hit = i >= 0
             found[at[hit]], share[at[hit]] = base + i[hit], unquantise(s.share[i[hit]])
-        return found[back], share[back]
-
-    def backoff(self, level: int, parent: np.ndarray) -> np.ndarray:
-        """What a context leaves to the lower order; 1 without children."""
-        u, back = distinct(parent)
-        out = np.ones(len(u))
-        for s, _, at in self.levels[level].each(u * self.width + self.width - 1):
-            k = s.parents.find(u[at])
-            out[at[k >= 0]] = unquantise(s.backoff[k[k >= 0]])
+            rest[at[k >= 0]] = unquantise(s.backoff[k[k >= 0]])
+        # a key beyond its parent's last child may lie in the next shard, where the parent isn't
+        end = above * self.width + self.width - 1
+        other = np.flatnonzero(shards.where(end) != shards.where(key))
+        for s, _, at in shards.each(end[other]):
+            k = s.parents.find(above[other[at]])
+            rest[other[at[k >= 0]]] = unquantise(s.backoff[k[k >= 0]])
         contexts, values = self.across[level]
-        at = np.flatnonzero(np.isin(u, contexts))
-        out[at] = values[np.searchsorted(contexts, u[at])]
-        return out[back]
+        at = np.flatnonzero(np.isin(above, contexts)) if len(contexts) else contexts
+        rest[at] = values[np.searchsorted(contexts, above[at])]
+        found, share = found[back], share[back]
+        found[word < 0], share[word < 0] = -1, 0
+        return found, share, rest[back]
 
 
 def _count_words(s: Settings):
@@ -265,7 +277,7 @@ def _triple_keys(s: Settings, files: Files):
         for _, ids, ends in _stored(batches, s.words_at_once):
             at = _pairs_of(ids, ends)
             pair = np.full(len(ids), -1, np.int64)
-            pair[at] = trie.children(0, ids[at], ids[at + 1])[0]
+            pair[at] = trie.children(0, ids[at], ids[at + 1])
             at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
             yield pair[at] * trie.width + ids[at + 2]
 
@@ -450,16 +462,14 @@ def _score(s: Settings, files: Files):
             inner = np.ones(len(ids), bool)  # has a word before it in its document
             inner[first] = False
             left = np.flatnonzero(inner & (np.roll(ids, 1) >= 0)) - 1
-            p[left + 1] *= trie.backoff(0, ids[left])
-            at = _pairs_of(ids, ends)
-            pair = np.full(len(ids), -1, np.int64)
-            pair[at], share = trie.children(0, ids[at], ids[at + 1])
-            p[at + 1] += share
-            ctx = np.flatnonzero(pair[:-1] >= 0)
-            ctx = ctx[~np.isin(ctx + 1, ends - 1)]  # a pair that ends with the end is no context
-            p[ctx + 2] *= trie.backoff(1, pair[ctx])
-            at = ctx[ids[ctx + 2] >= 0]
-            p[at + 2] += trie.children(1, pair[at], ids[at + 2])[1]
+            pair, share, rest = trie.follow(0, ids[left], ids[left + 1])
+            p[left + 1] = p[left + 1] * rest + share
+            last = np.zeros(len(ids), bool)
+            last[ends - 1] = True
+            ok = np.flatnonzero((pair >= 0) & ~last[left + 1])  # a pair that ends with the end is no context
+            ctx = left[ok]
+            _, share, rest = trie.follow(1, pair[ok], ids[ctx + 2])
+            p[ctx + 2] = p[ctx + 2] * rest + share
             sums = lambda x: np.add.reduceat(x, first)
             yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "n_tokens": ends - first, "n_known": sums(known.astype(np.int64)), "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
 
