@@ -454,6 +454,11 @@ def fuzzy_match(wanted: DataFrame, titles: DataFrame, spread: int = 16, hot: int
     return out.select("wanted_id", F.coalesce("_dated", "position").alias("position"), F.when(F.col("_dated").isNotNull(), 7).otherwise(4).alias("score"))
 
 
+def newest_forfeits(view: DataFrame, detected: str, limit: int) -> DataFrame:
+    """Matches by time of detection, the last first."""
+    return view.orderBy(F.col(detected).desc()).limit(limit)
+
+
 def forfeit_view(markets: DataFrame, match: str) -> DataFrame:
     """match, markets: each match's blocked markets in order of game number, then kind of market."""
     rest = [c for c in markets.columns if c not in (match, "game_number", "market_type")]

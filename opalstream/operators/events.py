@@ -49,6 +49,11 @@ def off_list(df: DataFrame, emitters: DataFrame, col: str) -> DataFrame:
     return df.join(emitters.select(col).distinct(), col, "left_anti")
 
 
+def resolved_condition(listed: Column, derived: Column) -> Column:
+    """A market's condition: the catalog's, else the one derived from the request."""
+    return F.coalesce(listed, derived)
+
+
 def delivery_counters(df: DataFrame, source: str, key: list[str], arrival: list[str], error: str, foreign: Column, hit: Column) -> DataFrame:
     """Per source: logs received, decoded, decode_errors, foreign (decoded, but not for this service), duplicates
     (keys that came before, from any source), accepted, hits and misses.

@@ -134,6 +134,15 @@ def polled(matches: DataFrame, now: str, page: int = 100) -> DataFrame:
     return matches.filter(F.col("modified_at") <= now).orderBy(F.col("modified_at").desc(), F.col("id").desc()).limit(page)
 
 
+def announced(rows: DataFrame, kinds: list[int], largest: int, ask_once: bool = True) -> DataFrame:
+    """Announcements (peer, hash, kind, size, at_us) worth fetching: of the kinds asked for, no larger than `largest`
+    bytes (sizes that aren't told are), each hash from the peer that announced it first."""
+    from opalstream.operators.events import first_wins
+
+    fit = rows.filter(F.coalesce(F.col("kind").isin(kinds), F.lit(True)) & F.coalesce(F.col("size") <= largest, F.lit(True)))
+    return first_wins(fit, ["hash"], ["at_us", "peer"]) if ask_once else fit
+
+
 def match_games(matches: DataFrame) -> DataFrame:
     """One row for each finished game of a match, with its forfeit flag and the winner's name."""
     g = matches.select("id", "name", "opponents", F.explode("games").alias("g")).filter("g.finished")

@@ -140,6 +140,17 @@ def metrics_text(health: DataFrame, prefix: str = "opal_") -> DataFrame:
     return health.select(F.array_join(F.array(*lines), "\n").alias("text"))
 
 
+def compact_json(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row: all rows as a JSON array without blanks, nulls left out; for lists of bounded size (peers, seats)."""
+    entry = F.struct(*order, F.to_json(F.struct(*rows.columns)).alias("_json"))
+    return rows.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["_json"]), ","), F.lit("]")).alias("text"))
+
+
+def worth_keeping(seats: DataFrame) -> DataFrame:
+    """Seats that tell something: no candidates that never had a share or a cooldown."""
+    return seats.filter("state <> 'candidate' or coalesce(share, 0) > 0 or cooldowns > 0")
+
+
 def scores_json(scores: DataFrame, sender: str = "sender") -> DataFrame:
     """One row: {"sender": [agree, disagree], ...} without blanks, in order of sender; senders are a bounded list of
     addresses."""

@@ -438,6 +438,17 @@ def test_health_and_metrics(spark):
     assert "opal_subscribers 4" in sinks.metrics_text(h).first().text.split("\n")
 
 
+def test_lists_and_announcements(spark):
+    seats = spark.createDataFrame([("b", "core", 0.5, 0), ("a", "candidate", None, 0), ("c", "candidate", 0.0, 2)], "peer string, state string, share double, cooldowns long")
+    assert sinks.compact_json(sinks.worth_keeping(seats), ["peer"]).first().text == '[{"peer":"b","state":"core","share":0.5,"cooldowns":0},{"peer":"c","state":"candidate","share":0.0,"cooldowns":2}]'
+    rows = spark.createDataFrame([("p", "h1", 2, 100, 5), ("q", "h1", 2, 100, 4), ("p", "h2", 3, 100, 1), ("p", "h3", 2, 10**6, 1), ("p", "h4", None, None, 1)], "peer string, hash string, kind int, size long, at_us long")
+    assert sorted((r.hash, r.peer) for r in feeds.announced(rows, [0, 2], 1000).collect()) == [("h1", "q"), ("h4", "p")]
+    markets = spark.createDataFrame([("m", 2, "b", 1), ("m", 1, "z", 2), ("m", 2, "a", 3), ("n", 0, "", 4)], "match string, game_number int, market_type string, id int")
+    view = analytics.forfeit_view(markets, "match").withColumn("at", F.ascii("match"))
+    assert [(r.match, [x.id for x in r.markets]) for r in analytics.newest_forfeits(view, "at", 5).collect()] == [("n", [4]), ("m", [2, 3, 1])]
+    assert one(spark, a=events.resolved_condition(F.lit(None).cast("string"), F.lit("d")), b=events.resolved_condition(F.lit("c"), F.lit("d"))).asDict() == {"a": "d", "b": "c"}
+
+
 def test_matches_and_forfeit_frames(spark, tmp_path):
     match = {"id": 3, "name": "A vs B", "modified_at": "2024-01-02", "games": [{"position": 1, "winner": {"id": 8}, "forfeit": True, "finished": True, "end_at": "e"}, {"position": 2, "finished": False}], "opponents": [{"opponent": {"id": 7, "name": "A"}}, {"opponent": {"id": 8, "name": "B"}}]}
     (tmp_path / "m.json").write_text("\n".join(json.dumps(m) for m in (match, {"id": 4, "modified_at": "2024-01-03", "games": []}, {"id": 5, "modified_at": "2025-01-01"})))
