@@ -20,7 +20,7 @@ import struct
 
 import numpy as np
 
-TOTAL, CONTEXTS, REFRESH, RATE = 22, 11, 512, 5  # log2 of the mixture's unit shares and of order 2's table; ids; a weight's step
+TOTAL, CONTEXTS, REFRESH, RATE = 22, 11, 1024, 5  # log2 of the mixture's unit shares and of order 2's table; ids; a weight's step
 LOW_MASK, SMALL = (1 << 48) - 1, 1 << 32
 #: First weights by sureness (0: context not seen, 1: seen, 2 and 3: right once, or more often, since), of 65536: order 2 of all, order 1 of the rest.
 FIRST2, FIRST1 = (1000, 20000, 33000, 46000), (1000, 10000, 20000, 33000)
@@ -161,7 +161,9 @@ def encode(ids: np.ndarray) -> list[bytes]:
         columns[:, at : at + 32] = y.T
     out = np.zeros((2 * steps + 4, lanes), np.int32)
     flat, low, rng, at = out.reshape(-1), np.zeros(lanes, np.int64), np.full(lanes, LOW_MASK, np.int64), lane.copy()
-    ends, done, gain = refreshed(steps), 0, m.gain.astype(np.int32)
+    ends, done, gain = refreshed(steps), 0, m.gain
+    # order 2's weight << 32 | order 1's; both lose a share of theirs in one subtraction
+    weights, both = m.w2.astype(np.int64) << 32 | m.w1, (1 << 27) - 1 << 32 | (1 << 27) - 1
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(columns[done:first]), first
         for t in range(first, last, 64):
@@ -171,15 +173,15 @@ def encode(ids: np.ndarray) -> list[bytes]:
             differ = g2 != g1
             hit2, hit1 = g2 == y, (g1 == y) & differ
             state = m.base_w + ((k2 & 3) << 2 | k1 & 3) + ~differ * 16
-            p2, p1 = np.empty(y.shape, np.int32), np.empty(y.shape, np.int32)
-            up2, up1 = hit2 * gain, hit1 * gain
+            p, up = np.empty_like(y), hit2 * (gain << 32) + hit1 * gain
             for i in range(len(y)):
                 s = state[i]
-                p2[i] = q2 = m.w2.take(s)
-                p1[i] = q1 = m.w1.take(s)
-                m.w2[s] = q2 - (q2 >> RATE) + up2[i]
-                m.w1[s] = q1 - (q1 >> RATE) + up1[i]
-            unit = (m.free - p2 - p1 >> m.bits) + 1  # of 64 bits from here on
+                p[i] = q = weights.take(s)
+                q -= q >> RATE & both
+                q += up[i]
+                weights[s] = q
+            p2, p1 = p >> 32, p & 0xFFFFFFFF
+            unit = (m.free - p2 - p1 >> m.bits) + 1
             e2, e1, e = span.take(m.base + g2), span.take(m.base + g1), span.take(m.base + y)
             n2, n1, s = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e >> 16
             end2 = (1 << TOTAL) - p1 - (unit << m.bits) + unit * n2  # what whole slots leave over goes to order 2
@@ -190,8 +192,8 @@ def encode(ids: np.ndarray) -> list[bytes]:
             for i in range(len(y)):
                 r = rng >> TOTAL
                 low += r * lo[i]
-                carry = low > LOW_MASK
-                if carry.any():
+                if low.max() > LOW_MASK:
+                    carry = low > LOW_MASK
                     flat[at[carry] - lanes] += 1
                     low &= LOW_MASK
                 rng = r * width[i]

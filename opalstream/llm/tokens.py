@@ -144,14 +144,17 @@ class Encoder:
             other = other[(self.keys[at[other]] != h[other]) & (out[other] >= 0)]
         return out
 
-    def _of_chunk(self, chunk: bytes) -> list[int]:
-        word = chunk[1:] if chunk[0] == 32 else chunk
-        text = word.decode()
-        if text.isalpha() or word.isdigit():  # one pre-token
-            return [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
-        out = []
-        for piece in PRETOKEN.findall(chunk.decode()):
-            out += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _of_chunks(self, chunks: list[bytes]) -> list[list[int]]:
+        out, tokenize, letters, space = [], self.model.tokenize, self.letters, self.letters[32]
+        for chunk in chunks:
+            word = chunk[1:] if chunk[0] == 32 else chunk
+            if word.isalpha() or word.isdigit():  # ASCII, one pre-token; its bytes are their own letters
+                out.append([t.id for t in tokenize(space + word.decode() if word is not chunk else word.decode())])
+            elif word.decode().isalpha():
+                out.append([t.id for t in tokenize(chunk.decode("latin-1").translate(letters))])
+            else:
+                pieces = PRETOKEN.findall(chunk.decode())
+                out.append([t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(letters))])
         return out
 
     def _portion(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
@@ -179,7 +182,7 @@ class Encoder:
                 self.BITS += 1  # one portion of more new chunks than the table holds
                 self._forget()
                 return self._portion(raw, ends)
-            runs = [self._of_chunk(raw[i:j]) for i, j in zip(start[some].tolist(), (start[some] + width[some]).tolist())]
+            runs = self._of_chunks([raw[i:j] for i, j in zip(start[some].tolist(), (start[some] + width[some]).tolist())])
             entry[missing] = self._keep(u, runs)[codes]
         size = self.size[entry]
         total = np.cumsum(size, dtype=np.int64)
