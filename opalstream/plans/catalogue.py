@@ -771,9 +771,10 @@ def stitched_transactions(d):
     return analytics.stitched(public, included, status, seen, authors, F.lit(now * 1_000_000)).drop("match", "peer")
 
 
-@query("select p_brand, list(struct_pack(game_number := p_size, market_type := p_type, market_id := p_partkey) order by p_size, p_type, p_partkey) as markets from part group by 1")
+@query("select p_brand, list(p_partkey order by p_size, p_type, p_partkey) as markets from part group by 1")
 def forfeit_view(d):
-    return analytics.forfeit_view(d.part.select("p_brand", F.col("p_size").alias("game_number"), F.col("p_type").alias("market_type"), F.col("p_partkey").alias("market_id")), "p_brand")
+    view = analytics.forfeit_view(d.part.select("p_brand", F.col("p_size").alias("game_number"), F.col("p_type").alias("market_type"), F.col("p_partkey").alias("market_id")), "p_brand")
+    return view.select("p_brand", F.transform("markets", lambda m: m["market_id"]).alias("markets"))
 
 
 #: Line items, one for each (order, line), as calls: the last line of an order confirms.
