@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opalstream.functions.columns import lower_bound_trust
+from opalstream.shared import materialised
 
 MOST_PENDING = 32
 MARKET = ["requester", "question"]
@@ -122,7 +123,7 @@ def gate(rows: DataFrame, stream: str, settings: GateSettings | None = None, rou
     rounds and trust (stream, sender, agree, disagree): what is known from before the first row.  A column `was`
     holds the verdicts of rows that have been judged before; they stand."""
     s = settings or GateSettings()
-    seen = sessions(rows, stream, s, rounds)
+    seen = materialised(sessions(rows, stream, s, rounds), "sessions")  # four uses below
     key = [stream, *ORDER]
     tips = seen.filter("confirmed and kind = 'propose' and _seen is not null").filter(F.col("arrival") - F.col("_seen.arrival") < s.tip_window_us)
     tips = tips.select(*key, F.col("_seen.tip_gwei").alias("tip"))
