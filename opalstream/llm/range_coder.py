@@ -22,6 +22,8 @@ import numpy as np
 
 TOTAL, CONTEXTS, REFRESH, RATE = 22, 11, 1024, 5  # log2 of the mixture's unit shares and of order 2's table; ids; a weight's step
 LOW_MASK, SMALL = (1 << 48) - 1, 1 << 32
+#: What both of two packed weights lose by a shift, without what falls from one into the other.
+BOTH = (1 << 32 - RATE) - 1 << 32 | (1 << 32 - RATE) - 1
 #: First weights by sureness (0: context not seen, 1: seen, 2 and 3: right once, or more often, since), of 65536: order 2 of all, order 1 of the rest.
 FIRST2, FIRST1 = (1000, 20000, 33000, 46000), (1000, 10000, 20000, 33000)
 HEAD = struct.Struct("<II")
@@ -72,8 +74,8 @@ class Mixer:
         self.gain = (self.free >> RATE) - 4  # so that weights, rounded, never share out more than is free
         state = np.arange(32)
         w2 = np.array(FIRST2, np.int64)[state >> 2 & 3] * self.free[:, None] >> 16
-        w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free[:, None] - w2) >> 16) * (state < 16)  # from 16 on both predict the same
-        self.w2, self.w1 = w2.ravel().astype(np.int32), w1.ravel().astype(np.int32)
+        w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free[:, None] - w2) >> 16) * (state >= 16)  # below 16 both predict the same
+        self.weights = (w2 << 32 | w1).ravel()  # order 2's and order 1's
         self.kind = np.int32 if self.bits.max() < 15 else np.int64  # that holds a first slot << 16 | slots
         self.counts = np.zeros((lanes, self.most + 1), np.int64)
 
@@ -162,8 +164,6 @@ def encode(ids: np.ndarray) -> list[bytes]:
     out = np.zeros((2 * steps + 4, lanes), np.int32)
     flat, low, rng, at = out.reshape(-1), np.zeros(lanes, np.int64), np.full(lanes, LOW_MASK, np.int64), lane.copy()
     ends, done, gain = refreshed(steps), 0, m.gain
-    # order 2's weight << 32 | order 1's; both lose a share of theirs in one subtraction
-    weights, both = m.w2.astype(np.int64) << 32 | m.w1, (1 << 27) - 1 << 32 | (1 << 27) - 1
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(columns[done:first]), first
         for t in range(first, last, 64):
@@ -172,14 +172,14 @@ def encode(ids: np.ndarray) -> list[bytes]:
             g2, g1 = k2 >> 2, k1 >> 2
             differ = g2 != g1
             hit2, hit1 = g2 == y, (g1 == y) & differ
-            state = m.base_w + ((k2 & 3) << 2 | k1 & 3) + ~differ * 16
+            state = m.base_w + ((k2 & 3) << 2 | k1 & 3) + differ * 16
             p, up = np.empty_like(y), hit2 * (gain << 32) + hit1 * gain
             for i in range(len(y)):
                 s = state[i]
-                p[i] = q = weights.take(s)
-                q -= q >> RATE & both
+                p[i] = q = m.weights.take(s)
+                q -= q >> RATE & BOTH
                 q += up[i]
-                weights[s] = q
+                m.weights[s] = q
             p2, p1 = p >> 32, p & 0xFFFFFFFF
             unit = (m.free - p2 - p1 >> m.bits) + 1
             e2, e1, e = span.take(m.base + g2), span.take(m.base + g1), span.take(m.base + y)
@@ -233,12 +233,13 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
     flat = np.ascontiguousarray(words.T).reshape(-1)
     m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
     base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits.astype(np.int32), (1 << m.bits) - 1
-    base_s, free, gain = np.cumsum(top + 1) - top - 1, m.free.astype(np.int32), m.gain.astype(np.int32)
+    base_s, free, slots = np.cumsum(top + 1) - top - 1, m.free.astype(np.int32), (top + 1).astype(np.int32)
+    gain2, gain1 = m.gain << 32, m.gain
     t2, t1 = np.zeros(lanes << CONTEXTS, np.int32), np.zeros(lanes * (m.most + 1), np.int32)  # id << 4 | sureness, order 2's << 2
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     code = (flat[lane] << 32) | (flat[lane + lanes] << 16) | flat[lane + 2 * lanes]
     rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32), len(flat) - 1
-    ends, done, whole = refreshed(steps), 0, np.int32(1 << TOTAL)
+    ends, done, whole, sixteen = refreshed(steps), 0, np.int32(1 << TOTAL), np.int32(16)
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(out[done:first]), first
         slot = np.repeat(np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes), m.slots.ravel())
@@ -247,33 +248,33 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
             c2, c1 = t2.take(i2), t1.take(i1)
             g2, g1 = c2 >> 4, c1 >> 4
             differ = g2 != g1
-            state = base_w + ((c2 & 12 | c1 & 3) + ~differ * np.int32(16))
-            q2, q1 = m.w2.take(state), m.w1.take(state)
-            unit = (free - q2 - q1 >> bits) + 1
+            state = base_w + ((c2 & 12 | c1 & 3) + differ * sixteen)
+            weight = m.weights.take(state)
+            q1 = weight.astype(np.int32)  # the lower half
+            unit = (free - (weight >> 32).astype(np.int32) - q1 >> bits) + 1
             e2, e1 = span.take(base + g2), span.take(base + g1)
             n2, n1, s2, s1 = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e2 >> 16, e1 >> 16
-            end2 = whole - q1 - (unit << bits) + unit * n2
+            end2 = whole - q1 - unit * (slots - n2)
             end1 = end2 + q1 + unit * n1
             r = rng >> TOTAL
             top1 = r * end1
             in1 = code < top1
-            # the place among the slots without the two predicted ids', then among all
-            q = (np.maximum(code - top1, 0) / (r * unit)).astype(m.kind)  # below 2^48: the quotient's floor is exact
+            # the place among the slots without the two predicted ids', then among all; what hits give here is put right below
+            q = ((code - top1) / (r * unit)).astype(m.kind)  # below 2^48: the quotient's floor is exact
             w = q + n1 * (q >= s1 - n2 * (s2 < s1))
             w += n2 * (w >= s2)
-            x = slot.take(base_s + np.minimum(w, top)).astype(np.int32)
+            x = slot.take(base_s + w, mode="clip").astype(np.int32)
             e = span.take(base + x)
             lo, width = end1 + unit * (q + (e >> 16) - w), unit * (e & 0xFFFF)
-            q2 -= q2 >> RATE
-            q1 -= q1 >> RATE
+            weight -= weight >> RATE & BOTH
             hit = np.flatnonzero(in1)  # as order 2 or as order 1 says
             h2 = end2[hit]
             two = code[hit] < r[hit] * h2
             as2, as1 = hit[two], hit[~two]
             x[as2], lo[as2], width[as2] = g2[as2], 0, h2[two]
             x[as1], lo[as1], width[as1] = g1[as1], end2[as1], end1[as1] - end2[as1]
-            q2[as2] += gain[as2]
-            q1[as1] += gain[as1]
+            weight[as2] += gain2[as2]
+            weight[as1] += gain1[as1]
             code -= r * lo
             rng = r * width
             short = np.flatnonzero(rng < SMALL)
@@ -284,7 +285,7 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
                 rng[short] = x_rng = rng[short] << 16
                 short = short[(x_rng < SMALL) & (x_rng > 0)]
             out[t] = x
-            m.w2[state], m.w1[state] = q2, q1
+            m.weights[state] = weight
             new2 = (x << 4) + 4
             new1 = new2 - 3
             k = c2[as2]

@@ -91,7 +91,7 @@ class Powers:
 
 
 class Encoder:
-    BITS, LIMIT, MOST_IDS, PORTION = 20, 600_000, 8_000_000, 1 << 20
+    BITS, LIMIT, MOST_IDS, PORTION = 21, 900_000, 8_000_000, 1 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
