@@ -296,7 +296,8 @@ class Sharded:
         return np.searchsorted(self.firsts, keys, side="right") - 1
 
     def each(self, keys: np.ndarray):
-        """(shard, its base, which of the keys) for sorted keys."""
-        where = self.where(keys)
-        for i in np.unique(where[where >= 0]):
-            yield self.shard(i), int(self.bases[i]), np.flatnonzero(where == i)
+        """(shard, its base, the slice of its keys) for sorted keys."""
+        edges = [*np.searchsorted(keys, self.firsts).tolist(), len(keys)]
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a < b:
+                yield self.shard(i), int(self.bases[i]), slice(a, b)

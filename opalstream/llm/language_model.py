@@ -153,9 +153,10 @@ class Trie:
         for w, base, at in self.vocabulary.each(u):
             i = w.often.find(u[at])
             hit = i >= 0
-            ids[at[hit]], count[at[hit]] = base + i[hit], w.counts.of(i[hit])
-            j = w.rare.find(u[at[~hit]])
-            count[at[~hit][j >= 0]] = w.rare_counts.of(j[j >= 0])
+            ids[at][hit], count[at][hit] = base + i[hit], w.counts.of(i[hit])
+            rest = at.start + np.flatnonzero(~hit)
+            j = w.rare.find(u[rest])
+            count[rest[j >= 0]] = w.rare_counts.of(j[j >= 0])
         return back, count, ids
 
     def counts_of(self, order: int, nodes: np.ndarray) -> np.ndarray:
@@ -185,18 +186,21 @@ class Trie:
         shards = self.levels[level]
         for s, base, at in shards.each(key):
             i, k = s.look(above[at], key[at] - above[at] * self.width)
-            hit = i >= 0
-            found[at[hit]], share[at[hit]] = base + i[hit], unquantise(s.share[i[hit]])
-            rest[at[k >= 0]] = unquantise(s.backoff[k[k >= 0]])
-        # a key beyond its parent's last child may lie in the next shard, where the parent isn't
-        end = above * self.width + self.width - 1
-        other = np.flatnonzero(shards.where(end) != shards.where(key))
-        for s, _, at in shards.each(end[other]):
-            k = s.parents.find(above[other[at]])
-            rest[other[at[k >= 0]]] = unquantise(s.backoff[k[k >= 0]])
+            hit, known = i >= 0, k >= 0
+            found[at][hit], share[at][hit] = base + i[hit], unquantise(s.share[i[hit]])
+            rest[at][known] = unquantise(s.backoff[k[known]])
+        # keys before a shard's first one, of the same parent: that parent's last child lies there or later
+        cut = shards.firsts // self.width
+        begin, end = np.searchsorted(key, cut * self.width), np.searchsorted(key, shards.firsts)
+        for j in np.flatnonzero(begin < end):
+            s = shards.shard(int(shards.where(cut[j] * self.width + self.width - 1)))
+            k = int(s.parents.find(cut[j : j + 1])[0])
+            if k >= 0:
+                rest[begin[j] : end[j]] = unquantise(s.backoff[k : k + 1])[0]
         contexts, values = self.across[level]
-        at = np.flatnonzero(np.isin(above, contexts)) if len(contexts) else contexts
-        rest[at] = values[np.searchsorted(contexts, above[at])]
+        begin, end = np.searchsorted(key, contexts * self.width), np.searchsorted(key, (contexts + 1) * self.width)
+        for j in np.flatnonzero(begin < end):
+            rest[begin[j] : end[j]] = values[j]
         found, share = found[back], share[back]
         found[word < 0], share[word < 0] = -1, 0
         return found, share, rest[back]
