@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalstream.llm import chat_format, fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
+from opalstream.llm import byte_bpe, chat_format, collocations, conversation_repair, fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(documents(spark, sf_dir))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_digest(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digest(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_dedup": op2_near_dedup,
@@ -63,5 +75,8 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_collocations": op12_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLES = {"op10_mixing": mixing.oracle()}
+ORACLES = {"op10_mixing": mixing.oracle(), "op12_collocations": collocations.oracle()}

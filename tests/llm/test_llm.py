@@ -999,4 +999,4 @@ def test_pipeline_of_an_empty_table(spark, empty):
 def test_llm_queries_are_named():
     from opalstream.llm.queries import QUERIES
 
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
