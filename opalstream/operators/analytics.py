@@ -87,44 +87,6 @@ def prequential_bf(rows: DataFrame, stream: list[str], order: list[str], parent:
     return rows.groupBy(*stream).agg(F.count("*").alias("n"), F.sum(F.log10(p / base)).alias("log10_bf"))
 
 
-def decayed_edge(rows: DataFrame, stream: list[str], order: list[str], parent: str, child: str, half_life: float, alpha: float = 2.0, base_alpha: float = 1.0, vocabulary: int = 2000) -> DataFrame:
-    """As prequential_bf with counts halved every half_life rows: a row's counts decay only when it is updated.
-
-    Counts are kept in units that shrink by one row's decay with each update, so an update touches one count; a
-    table whose unit has become small is brought back to 1."""
-    lam, smallest = 0.5 ** (1 / half_life), 1e-200
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, out = None, []
-        names = [*stream, "n", "log10_bf"]
-        for pdf in batches:
-            for *k, a, b in pdf[[*stream, parent, child]].itertuples(index=False):
-                if k != mine:
-                    if mine is not None:
-                        out.append((*mine, t, bf))
-                    mine, t, bf, whole, table = k, 0, 0.0, [{}, 0.0, 0, 1.0], {}
-                row = table.setdefault(a, [{}, 0.0, 0, 1.0])
-                base = (whole[0].get(b, 0.0) * whole[3] + base_alpha / vocabulary) / (whole[1] + base_alpha)
-                bf += math.log10((row[0].get(b, 0.0) * row[3] + alpha * base) / (row[1] + alpha) / base)
-                t += 1
-                for r in (row, whole):
-                    f = lam ** (t - r[2])
-                    r[1], r[2], r[3] = r[1] * f + 1, t, r[3] * f
-                    if r[3] < smallest:
-                        r[0], r[3] = {x: c * r[3] for x, c in r[0].items()}, 1.0
-                    r[0][b] = r[0].get(b, 0.0) + 1 / r[3]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if mine is not None:
-            yield pd.DataFrame([(*mine, t, bf)], columns=names)
-
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in stream) + ", n long, log10_bf double"
-    flat = rows.filter(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(*dict.fromkeys([*stream, *order, parent, child]))
-    return flat.repartition(*stream).sortWithinPartitions(*stream, *order).mapInPandas(fold, schema)
-
-
 def beta_interval(a: Column, b: Column, draws: int = 1500, seed: int = 7) -> Column:
     """struct(low, high): the 5 and 95 per cent points of seeded draws."""
 

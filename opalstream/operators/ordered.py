@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,71 +66,6 @@ def counter_increase(samples: DataFrame, key: list[str], at: str, value: str, no
     return rows.groupBy(*key).agg(F.coalesce(F.sum(F.when(inside, F.col("_step"))), F.lit(0)).alias("increase"))
 
 
-def islands(rows: DataFrame, key: list[str], at: str, present: str, hold: int, resolve: int) -> DataFrame:
-    """key, pending_since, fired_at, resolved_at of each alert that fired.
-
-    rows has a row per key and evaluation.  A condition that is present stays pending until it has lasted
-    `hold`; before that an absence drops it.  Once firing, it ends at the first evaluation that has been
-    absent for `resolve` since the absence began; a presence before that forgets the absence.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, state = None, None  # state: since, fired, absent
-        for pdf in batches:
-            out = []
-            for *k, t, on in pdf.itertuples(index=False):
-                if k != mine:
-                    if state and state[1] is not None:
-                        out.append((*mine, *state[:2], None))
-                    mine, state = k, None
-                if on:
-                    state = state or [t, None, None]
-                    state[2] = None
-                    if state[1] is None and t - state[0] >= hold:
-                        state[1] = t
-                elif state:
-                    if state[1] is None:
-                        state = None
-                    else:
-                        state[2] = t if state[2] is None else state[2]
-                        if t - state[2] >= resolve:
-                            out.append((*mine, state[0], state[1], t))
-                            state = None
-            yield pd.DataFrame(out, columns=names).astype({"pending_since": "Int64", "fired_at": "Int64", "resolved_at": "Int64"})
-        if state and state[1] is not None:
-            yield pd.DataFrame([(*mine, *state[:2], None)], columns=names).astype({"pending_since": "Int64", "fired_at": "Int64", "resolved_at": "Int64"})
-
-    names = [*key, "pending_since", "fired_at", "resolved_at"]
-    types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "pending_since long, fired_at long, resolved_at long"])
-    flat = rows.select(*key, F.col(at).cast("long").alias("_t"), F.col(present).alias("_on"))
-    return flat.repartition(*key).sortWithinPartitions(*key, "_t").mapInPandas(fold, schema)
-
-
-def greedy_batches(rows: DataFrame, stream: list[str], order: list[str], size: str, most_rows: int = 64, most_bytes: int = 32_768) -> DataFrame:
-    """Adds batch, from 1 in each stream: rows in order go to the open batch while it has room for them.
-
-    A row larger than most_bytes is a batch of its own; what doesn't fit opens the next batch.  A stream
-    is folded row by row, with two counters as its state.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, batch, n, used = None, 0, 0, 0
-        for pdf in batches:
-            out = []
-            for k, s in zip(pdf[stream].itertuples(index=False, name=None), pdf[size]):
-                if k != mine:
-                    mine, batch, n, used = k, 1, 0, 0
-                elif n >= most_rows or used + s > most_bytes:
-                    batch, n, used = batch + 1, 0, 0
-                n, used = n + 1, used + s
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", batch long"
-    return rows.repartition(*stream).sortWithinPartitions(*stream, *order).mapInPandas(fold, schema)
-
-
 def thinned(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """Every step-th row in order and the last, with step so that about `most` stay; adds seq."""
     rows = global_sequence(df, order, "seq", 0)
@@ -229,24 +160,3 @@ def lead_summary(df: DataFrame, lead_us: str) -> DataFrame:
     names = {0.1: "lead_ms_p10", 0.5: "lead_ms_p50", 0.9: "lead_ms_p90", 0.0: "lead_ms_min", 1.0: "lead_ms_max"}
     got = nearest_rank(df.select(lead_us), [], lead_us, list(names))
     return got.agg(*[F.max(F.when(F.col("q") == q, F.col(lead_us) / 1000.0)).alias(n) for q, n in names.items()])
-
-
-def ring_dedup(df: DataFrame, by: list[str], key: list[str], order: list[str], size: int = 4096) -> DataFrame:
-    """First arrivals: rows whose key isn't among the last `size` accepted keys of their `by`."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, ring = None, OrderedDict()
-        for pdf in batches:
-            keep = []
-            for b, k in zip(pdf[by].itertuples(index=False, name=None), pdf[key].itertuples(index=False, name=None)):
-                if b != mine:
-                    mine, ring = b, OrderedDict()
-                keep.append(k not in ring)
-                if keep[-1]:
-                    ring[k] = None
-                    if len(ring) > size:
-                        ring.popitem(last=False)
-            yield pdf[keep]
-
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, schema)

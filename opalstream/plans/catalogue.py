@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalstream.functions import columns as C
-from opalstream.operators import analytics, catalog, console, events, gate, ordered, rules
+from opalstream.operators import analytics, catalog, console, events, gate, ordered, rules, scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,7 +224,7 @@ select user_id, done_since as pending_since, done_fired as fired_at, done_at as
 union all select user_id, since, fired, null from (select *, row_number() over (partition by user_id order by rn desc) as last from f) where last = 1 and fired is not null""")
 def hold_resolve_islands(d):
     rows = d.log.select("user_id", "at", (F.col("value") > 40).alias("on_"))
-    return ordered.islands(rows, ["user_id"], "at", "on_", 3_600_000_000, 7_200_000_000)
+    return scans.islands(rows, ["user_id"], "at", "on_", 3_600_000_000, 7_200_000_000)
 
 
 @query(f"""with recursive r as (select event_id, day, at, (length(props) + 1500)::bigint as size, row_number() over (partition by day order by at, event_id) as rn from {LOG}),
@@ -234,7 +234,7 @@ f as (select day, rn, event_id, size, 1::bigint as batch, 1 as n, size as used f
 select event_id, day, batch from f""")
 def greedy_batches(d):
     rows = d.log.select("event_id", "day", "at", (F.length("props") + 1500).cast("long").alias("size"))
-    return ordered.greedy_batches(rows, ["day"], ["at", "event_id"], "size").select("event_id", "day", "batch")
+    return scans.greedy_batches(rows, ["day"], ["at", "event_id"], "size").select("event_id", "day", "batch")
 
 
 @query("select event_id, seq from (select event_id, row_number() over (order by ts, event_id) - 1 as seq, count(*) over () as n from events) where seq % greatest(1, n // 1500) = 0 or seq = n - 1")
@@ -574,7 +574,7 @@ x as (select l_suppkey, t, pow(2, -(t - 1) / 500.0) as whole, pow(2, -coalesce(m
 y as (select l_suppkey, count(*) as n, sum(log10((sc * own + 2.0 * ((sm * whole + 1.0 / 2000) / (st * whole + 1.0))) / (sn * own + 2.0) / ((sm * whole + 1.0 / 2000) / (st * whole + 1.0)))) as bf from x group by 1)
 select l_suppkey, n, round(bf, 6) as log10_bf, case when bf > 2 then 'strong' when bf > 0.5 then 'some' when bf < -1 then 'against' else 'insufficient' end as verdict from y""")
 def decayed_edges(d):
-    out = analytics.decayed_edge(d.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag", "l_linestatus", 500)
+    out = scans.decayed_edge(d.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag", "l_linestatus", 500)
     return out.withColumn("verdict", analytics.verdict(F.col("log10_bf"))).withColumn("log10_bf", F.round("log10_bf", 6))
 
 

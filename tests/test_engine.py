@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from opalstream.functions import abi, columns as C, keccak
-from opalstream.operators import analytics, catalog, console, events, ordered, rules
+from opalstream.operators import analytics, catalog, console, events, ordered, rules, scans
 from opalstream.operators import gate as gates
 from opalstream.operators.gate import GateSettings
 from opalstream.sources import feeds, frames, sinks
@@ -208,7 +208,7 @@ def test_ring_and_alert_streams(spark, tmp_path):
     assert [ring.add(k) for k in "abacab"] == [True, True, False, True, True, True]
     rows = [("a", t, on) for t, on in enumerate([0, 1, 1, 1, 1, 0, 1, 0, 0, 0, 1, 0])]
     df = spark.createDataFrame([(k, t, bool(o)) for k, t, o in rows], "k string, t long, on boolean")
-    got = [tuple(r) for r in ordered.islands(df, ["k"], "t", "on", 2, 2).collect()]
+    got = [tuple(r) for r in scans.islands(df, ["k"], "t", "on", 2, 2).collect()]
     assert got == [("a", 1, 3, 9)]
     df.coalesce(1).write.json(str(tmp_path / "in"))
     q = live.alerts(spark.readStream.schema(df.schema).json(str(tmp_path / "in")), ["k"], "t", "on", 2, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -280,7 +280,7 @@ def test_ordered(spark):
     assert sorted(r.v for r in ordered.missing_numbers(spark.createDataFrame([(2,), (5,), (9,), (None,)], "v int"), "v", 3).collect()) == [3, 4, 6, 7, 8]
     c = spark.createDataFrame([("k", 0, 5), ("k", 10, 8), ("k", 20, 2), ("k", 30, 4)], "k string, at long, v long")
     assert ordered.counter_increase(c, ["k"], "at", "v", F.lit(30), 20).first().increase == 3 + 2 + 2
-    b = ordered.greedy_batches(spark.createDataFrame([("s", i, x) for i, x in enumerate([10, 50, 41, 9, 200, 1])], "s string, i int, size long"), ["s"], ["i"], "size", 3, 100).orderBy("i").collect()
+    b = scans.greedy_batches(spark.createDataFrame([("s", i, x) for i, x in enumerate([10, 50, 41, 9, 200, 1])], "s string, i int, size long"), ["s"], ["i"], "size", 3, 100).orderBy("i").collect()
     assert [r.batch for r in b] == [1, 1, 2, 2, 3, 4]
 
 
@@ -326,7 +326,7 @@ def test_first_wins_with_a_map(spark):
 
 def test_ring_dedup(spark):
     rows = [("s", i, k) for i, k in enumerate("abacab")]
-    got = ordered.ring_dedup(spark.createDataFrame(rows, "s string, i int, k string"), ["s"], ["k"], ["i"], 2).orderBy("i").collect()
+    got = scans.ring_dedup(spark.createDataFrame(rows, "s string, i int, k string"), ["s"], ["k"], ["i"], 2).orderBy("i").collect()
     assert [r.i for r in got] == [0, 1, 3, 4, 5]
 
 
@@ -385,7 +385,7 @@ def test_decay_without_forgetting_is_exact(spark):
     rng = random.Random(0)
     rows = spark.createDataFrame([(0, i, rng.choice("ab"), rng.choice("xyz")) for i in range(120)], "s int, i int, p string, c string")
     a = analytics.prequential_bf(rows, ["s"], ["i"], "p", "c").first()
-    b = analytics.decayed_edge(rows, ["s"], ["i"], "p", "c", 1e15).first()
+    b = scans.decayed_edge(rows, ["s"], ["i"], "p", "c", 1e15).first()
     assert a.n == b.n and math.isclose(a.log10_bf, b.log10_bf, rel_tol=1e-9)
     assert one(spark, v=analytics.verdict(F.lit(3.0)), w=analytics.verdict(F.lit(0.0))).asDict() == {"v": "strong", "w": "insufficient"}
     ci = one(spark, c=analytics.beta_interval(F.lit(80.0), F.lit(20.0))).c
