@@ -8,11 +8,11 @@ Every rule is a window or a join, so verdicts depend on the rows alone, not on w
 * a sender's trust at a call is the count of its earlier proposals that agreed or not with the first
   confirmed one of their session, up to MOST_PENDING of a session, once that is confirmed;
 * the tip floor at a call is a quantile of the tips of proposals confirmed within `tip_window_us` before
-  whose transaction was seen pending, found hour by hour (window by window) in parallel;
+  whose transaction was seen pending, found by counting (operators.trailing);
 * within a session, the first call that is trusted and not below the floor is passed on.
 
 Rows: stream, arrival (microseconds), seq, kind ('propose' or 'dispute'), requester, question, timestamp,
-price, sender, tip_gwei, tx, confirmed.  (arrival, seq) orders the rows of a stream, without ties.
+price, sender, tip_gwei, tx, confirmed.  (arrival, seq) orders the rows of a stream and names them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opalstream.functions.columns import lower_bound_trust
+from opalstream.operators.trailing import trailing_rank
 from opalstream.shared import materialised
 
 MOST_PENDING = 32
@@ -101,30 +102,28 @@ def _trust(asked: DataFrame, scores: DataFrame, stream: str, s: GateSettings, kn
 
 
 def tip_floors(asked: DataFrame, tips: DataFrame, stream: str, s: GateSettings) -> DataFrame:
-    """asked (stream, arrival, seq) with _floor, null below the least number of samples; tips (stream, arrival, seq, tip)."""
-    bucket = F.floor(F.col("arrival") / s.tip_window_us)
-    a = asked.select(stream, *ORDER, bucket.alias("_b"), F.lit(None).cast("long").alias("tip"))
-    # a tip serves its own stretch of time and the next
-    t = tips.select(stream, *ORDER, F.explode(F.array(bucket, bucket + 1)).alias("_b"), F.col("tip").cast("long").alias("tip"))
-    w = Window.partitionBy(stream, "_b").orderBy("arrival").rangeBetween(-s.tip_window_us, 0)
-    near = F.collect_list(F.when(F.col("tip").isNotNull(), F.struct("arrival", "seq", "tip"))).over(w)
-    out = a.unionByName(t).withColumn("_near", near).filter("tip is null")
-    own = (F.col("arrival"), F.col("seq"))
-    before = F.filter("_near", lambda x: (x["arrival"] < own[0]) | (x["seq"] < own[1]))
-    out = out.withColumn("_tips", F.array_sort(F.transform(before, lambda x: x["tip"])))
-    n = F.size("_tips")
-    place = F.floor((n - 1) * s.tip_quantile + 0.5).cast("int")
-    return out.select(stream, *ORDER, F.when(n >= max(1, s.tip_min_samples), F.get("_tips", F.least(place, n - 1))).alias("_floor"))
+    """stream, arrival, seq and _floor of the rows of asked (stream, arrival, seq) that have samples enough; tips (stream,
+    arrival, seq, tip)."""
+    return trailing_rank(asked, tips, [stream], "arrival", "seq", "tip", s.tip_window_us, s.tip_quantile, s.tip_min_samples, "_floor")
+
+
+def delivered_once(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key: what a feed delivers again is no new row.  Of rows that differ the one that was judged
+    before counts, else the least of them, column by column."""
+    some = [n for n, t in rows.dtypes if n not in key and not t.startswith("map")]
+    first = F.struct(*([F.col("was").isNull()] if "was" in some else []), *some)
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), first).alias("_row")).select("_row.*")
 
 
 def gate(rows: DataFrame, stream: str, settings: GateSettings | None = None, rounds: DataFrame | None = None, trust: DataFrame | None = None) -> DataFrame:
-    """rows with `verdict`, null for confirmed ones: Emit, or why a call is dropped.
+    """rows with `verdict`, null for confirmed ones: Emit, or why a call is dropped.  A row delivered twice is judged, and
+    returned, once.
 
     rounds and trust (stream, sender, agree, disagree): what is known from before the first row.  A column `was`
     holds the verdicts of rows that have been judged before; they stand."""
     s = settings or GateSettings()
-    seen = materialised(sessions(rows, stream, s, rounds), "sessions")  # four uses below
     key = [stream, *ORDER]
+    seen = materialised(sessions(delivered_once(rows, key), stream, s, rounds), "sessions")  # four uses below
     tips = seen.filter("confirmed and kind = 'propose' and _seen is not null").filter(F.col("arrival") - F.col("_seen.arrival") < s.tip_window_us)
     tips = tips.select(*key, F.col("_seen.tip_gwei").alias("tip"))
     asked = seen.filter("not confirmed and not _stale and not _disputed")

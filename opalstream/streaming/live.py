@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from opalstream.operators import gate as gates
 from opalstream.operators.gate import GateSettings
+from opalstream.shared import scratch
 from opalstream.sources import sinks
 
 STATE = StructType([StructField("state", BinaryType())])
@@ -78,6 +79,10 @@ def gate_feed(stream: DataFrame, by: str, state: str, out: str, checkpoint: str,
     s = settings or GateSettings()
 
     def write(df: DataFrame, batch: int) -> None:
+        with scratch(df.sparkSession):  # what the gate writes on its way goes with the batch
+            judge(df, batch)
+
+    def judge(df: DataFrame, batch: int) -> None:
         spark, at = df.sparkSession, lambda b, name: f"{state}/batch={b:012d}/{name}"
         now = df.agg(F.max("arrival")).first()[0]
         if now is None:
