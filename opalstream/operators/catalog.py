@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opalstream.functions.columns import U64, hex_bytes, lenient_list
 from opalstream.functions.keccak import u256_list
 from opalstream.operators import rules
+from opalstream.shared import materialised
+from opalstream.sources.manifest import Table
 
 RAW_SCHEMA = "id string, updatedAt string, conditionId string, clobTokenIds string, tags array<struct<id:string>>, events array<struct<tags:array<struct<id:string>>>>, negRisk boolean, sportsMarketType string, question string"
 
@@ -32,10 +34,18 @@ def compact(raw: DataFrame) -> DataFrame:
     return back.withColumn("bet_type", rules.bet_type(F.col("category"), F.col("tag_ids"), F.col("sportsMarketType"), F.col("question"))).select("market_id", "condition_id", "token_ids", "tag_ids", "category", "bet_type", "neg_risk", "updated_at")
 
 
+def newest_rows(rows: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """One row a key: pages overlap, so a walk lists a market more than once.  The last by updated_at counts, where there is
+    such a column; of several of that time, or without it, the largest by content."""
+    order = F.struct(*(["updated_at"] if "updated_at" in rows.columns else []), *content)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*content), order).alias("_n")).select(key, "_n")
+
+
 def upsert(catalog: DataFrame, incoming: DataFrame, key: str, content: list[str], day: Column) -> DataFrame:
-    """catalog (key, content, seen_day) with incoming (key, content): equal content only moves seen_day on, to the
-    later; other content replaces the row and sets seen_day to `day`."""
-    new = incoming.select(key, F.struct(*content).alias("_n"))
+    """catalog (key, content, seen_day; a row a key) with incoming (key, content, maybe updated_at): equal content only
+    moves seen_day on, to the later; other content replaces the row and sets seen_day to `day`.  A key that comes more
+    than once counts once, by its newest row."""
+    new = newest_rows(incoming, key, content)
     old = catalog.select(key, F.struct(*content).alias("_o"), "seen_day")
     both = old.join(new, key, "full_outer")
     row = F.coalesce("_n", "_o")
@@ -43,10 +53,29 @@ def upsert(catalog: DataFrame, incoming: DataFrame, key: str, content: list[str]
     return both.select(key, row.alias("_r"), seen.alias("seen_day")).select(key, *[F.col(f"_r.{c}").alias(c) for c in content], "seen_day")
 
 
+def merge_catalog(table: Table, incoming: DataFrame, key: str, content: list[str], day: int, buckets: int = 64, **cursor) -> int:
+    """upsert into a stored catalog, and the cursor with it: only buckets of keys whose row changes, or is seen on a later
+    day, are written again.  Returns how many buckets were."""
+    state = table.state()
+    new = newest_rows(incoming, key, content)
+    if state["schema"] is not None:
+        old = table.read(state).select(key, F.struct(*content).alias("_o"), "seen_day")
+        same = F.col("_o").eqNullSafe(F.col("_n")) & (F.coalesce("seen_day", F.lit(-1)) >= day)
+        new = new.join(old, key, "left").filter(~F.coalesce(same, F.lit(False)))
+    new = materialised(new.select(key, *[F.col(f"_n.{c}").alias(c) for c in content]), "changes")
+
+    def update(current: DataFrame | None, changes: DataFrame) -> DataFrame:
+        if current is None:
+            return changes.withColumn("seen_day", F.lit(day))
+        return upsert(current, changes, key, content, F.lit(day))
+
+    return table.merge(new, key, buckets, update, **cursor)
+
+
 def reconcile(catalog: DataFrame, listed: DataFrame, key: str, content: list[str], walk_day: int, retention: int, last_fresh: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The catalog after a full walk of all markets, and one row of what it did: fresh (rows the walk listed), gaps
+    """The catalog after a full walk of all markets, and one row of what it did: fresh (markets the walk listed), gaps
     (markets the incremental passes had missed), changed, evicted.  Cursors aren't touched."""
-    new = listed.select(key, F.struct(*content).alias("_n"))
+    new = newest_rows(listed, key, content)
     old = catalog.select(key, F.struct(*content).alias("_o"))
     both = new.join(old, key, "left").select((F.col("_o").isNull()).alias("_gap"), (F.col("_o").isNotNull() & ~F.col("_o").eqNullSafe(F.col("_n"))).alias("_changed"))
     did = both.agg(F.count("*").alias("fresh"), F.count_if("_gap").alias("gaps"), F.count_if("_changed").alias("changed"))

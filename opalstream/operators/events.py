@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, key: list[str], arrival: list[str]) -> DataFrame:
-    """The first row of each key in order of arrival, which should be total: one aggregate, combined before the
-    shuffle.  Other columns may be of any type, maps too, as only arrivals are compared."""
-    best = df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*arrival)).alias("_x"))
+    """The first row of each key in order of arrival: one aggregate, combined before the shuffle.  Of rows that arrive
+    together the least by the other columns is first, in their order; maps, which have no order, aren't compared."""
+    ties = [n for n, t in df.dtypes if n not in key and n not in arrival and "map<" not in t and "variant" not in t]
+    best = df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), F.struct(*arrival, *ties)).alias("_x"))
     return best.select(*[F.col(c) if c in key else F.col(f"_x.{c}").alias(c) for c in df.columns])
 
 

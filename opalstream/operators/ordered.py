@@ -79,24 +79,45 @@ def last_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def missing_numbers(df: DataFrame, number: str, width: int = 1 << 16) -> DataFrame:
-    """Numbers between the smallest and the largest that aren't there, made range by range."""
+def gaps(df: DataFrame, number: str) -> DataFrame:
+    """first, last of each run of numbers that are missing between two that are there, however long it is.
+
+    Distinct numbers are sorted by ranges; neighbours within a part are compared there, and the parts' first and last
+    numbers, a row a part, with each other."""
     n = F.col(number)
-    seen = df.filter(n.isNotNull()).select(n.cast("long").alias(number)).distinct()
-    ends = seen.agg(F.min(number).alias("a"), F.max(number).alias("b")).filter("a is not null")
-    ranges = ends.select("a", "b", F.explode(F.expr(f"sequence(0L, (b - a) div {width})")).alias("k"))
-    every = ranges.select(F.explode(F.expr(f"sequence(a + k * {width}, least(b, a + (k + 1) * {width} - 1))")).alias(number))
-    return every.join(seen, number, "left_anti")
+    seen = df.filter(n.isNotNull()).select(n.cast("long").alias("n")).distinct()
+    placed = materialised(seen.repartitionByRange("n").sortWithinPartitions("n").withColumn("_at", F.monotonically_increasing_id()), "numbers")
+    part = F.shiftright("_at", 33)
+    # blocks of a part by number of row: each block's first number is the neighbour of the last of the block before
+    rows = placed.withColumn("_block", F.shiftright("_at", 14))
+    inner = rows.withColumn("before", F.lag("n").over(Window.partitionBy("_block").orderBy("n")))
+    ends = rows.groupBy(part.alias("_part"), "_block").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+    edges = ends.withColumn("before", F.lag("b").over(Window.partitionBy("_part").orderBy("_block"))).select("_part", "a", "before", "b")
+    parts = ends.groupBy("_part").agg(F.min("a").alias("n"), F.max("b").alias("b"))
+    across = parts.withColumn("before", F.lag("b").over(Window.orderBy("_part")))  # a row a part
+    pairs = inner.select("before", "n").unionByName(edges.select("before", F.col("a").alias("n"))).unionByName(across.select("before", "n"))
+    return pairs.filter("before is not null and n - 1 > before").select((F.col("before") + 1).alias("first"), (F.col("n") - 1).alias("last"))
+
+
+def missing_numbers(df: DataFrame, number: str, width: int = 1 << 16) -> DataFrame:
+    """Each missing number between the smallest and the largest that are there.  Gaps are cut into pieces of `width`, and
+    those of very long gaps are listed piece by piece, too, so no row holds more than `width` numbers; ask for gaps where
+    they may be too long to be spelled out."""
+    pieces = gaps(df, number).withColumn("_many", F.expr(f"(last - first) div {width}"))
+    for level in (2, 1):  # pieces of pieces: a gap of width ** 3 numbers at most in one list
+        step = width**level
+        pieces = pieces.select("last", F.explode(F.expr(f"sequence(first, last, {step}L)")).alias("first")).select("first", F.least("last", F.col("first") + (step - 1)).alias("last"))
+    return pieces.select(F.explode(F.expr("sequence(first, last)")).alias(number))
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: list[str], at: str, other: str, longest: int, salt: int = 1, how: str = "inner") -> DataFrame:
     """Pairs with 0 <= other - at <= longest: an equi-join on the key and buckets of that width.  With salt > 1 each
     (key, bucket) is shared among so many tasks: right's rows are dealt out, left's go to all.  how may be "left": rows
-    of left that have no partner come once, with nulls."""
+    of left that have no partner come once each, with nulls, whatever is null in them."""
     if how == "left":
-        rows = left.withColumn("_row", F.struct(*left.columns)).withColumn("_row", F.xxhash64("_row"))
-        pairs = interval_join(rows, right, key, at, other, longest, salt)
-        alone = rows.join(pairs.select("_row", *left.columns).distinct(), rows.columns, "left_anti")
+        rows = materialised(left.withColumn("_row", F.monotonically_increasing_id()), "left")
+        pairs = materialised(interval_join(rows, right, key, at, other, longest, salt), "pairs")
+        alone = rows.join(pairs.select("_row").distinct(), "_row", "left_anti")
         return pairs.drop("_row").unionByName(alone.drop("_row"), allowMissingColumns=True)
     if salt > 1:
         left = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))

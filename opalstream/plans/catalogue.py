@@ -247,6 +247,19 @@ def sequence_gaps(d):
     return ordered.missing_numbers(d.labels, "doc_id")
 
 
+@query("select before + 1 as first, n - 1 as last from (select n, lag(n) over (order by n) as before from (select distinct o_orderkey * o_orderkey * 1000 as n from orders)) where n - 1 > before")
+def gap_intervals(d):
+    """Gaps of any length, a row each."""
+    return ordered.gaps(d.orders.select((F.col("o_orderkey") * F.col("o_orderkey") * 1000).alias("n")), "n")
+
+
+@query("""select o_orderkey, l_linenumber, epoch_us(l_shipdate) - epoch_us(o_orderdate) as lead from orders left join (select l_orderkey, l_linenumber, l_shipdate from lineitem where l_returnflag = 'N')
+ on l_orderkey = o_orderkey and l_shipdate >= o_orderdate and epoch_us(l_shipdate) - epoch_us(o_orderdate) <= 2592000000000""")
+def interval_lead_left(d):
+    left = d.rounds.select("o_orderkey", "at", F.lit(None).cast("string").alias("note"))
+    right = d.lineitem.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", C.micros(F.col("l_shipdate")).alias("ship"))
+    return ordered.interval_join(left, right, ["o_orderkey"], "at", "ship", 2_592_000_000_000, 2, "left").select("o_orderkey", "l_linenumber", (F.col("ship") - F.col("at")).alias("lead"))
+
 @query("select o_orderkey, l_linenumber, epoch_us(l_shipdate) - epoch_us(o_orderdate) as lead from orders join lineitem on l_orderkey = o_orderkey where l_shipdate >= o_orderdate and epoch_us(l_shipdate) - epoch_us(o_orderdate) <= 2592000000000")
 def interval_lead(d):
     left = d.rounds.select("o_orderkey", "at")
@@ -393,6 +406,7 @@ def catalog_upsert(d):
     c = d.customer.select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
     old = c.filter("seg <> 'BUILDING'").withColumn("seen_day", F.lit(10))
     new = c.filter("seg <> 'MACHINERY'").withColumn("bal", F.when(F.col("c_nationkey") < 5, F.col("bal") + 1).otherwise(F.col("bal")))
+    new = new.withColumn("updated_at", F.lit("b")).unionByName(new.filter("c_nationkey < 12").withColumn("bal", F.col("bal") - 5).withColumn("updated_at", F.lit("a")))  # pages overlap
     return catalog.upsert(old, new, "c_custkey", ["seg", "bal"], F.lit(9)).select("c_custkey", "bal", "seen_day")
 
 
@@ -404,7 +418,7 @@ def reconciled(d):
     c = d.customer.select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("bal"))
     old = c.filter("c_mktsegment <> 'BUILDING'").withColumn("seen_day", 90 - F.col("c_nationkey"))
     new = c.filter("c_mktsegment in ('BUILDING', 'MACHINERY')").withColumn("bal", F.when(F.col("c_nationkey") < 5, F.col("bal") + 1).otherwise(F.col("bal")))
-    return catalog.reconcile(old, new, "c_custkey", ["bal"], 100, 20)
+    return catalog.reconcile(old, new.unionByName(new.filter("c_nationkey > 9")), "c_custkey", ["bal"], 100, 20)  # pages overlap
 
 
 @query(f"select c_custkey, bal, seen_day from {RECONCILED} where seen_day >= 80")
@@ -542,9 +556,11 @@ def three_way_race(d):
     return analytics.race(part("A", F.min, "pending"), part("N", F.max, "confirmed"), part("R", F.sum, "signal"), truth, ["l_orderkey"])
 
 
-@query("""select o_orderkey, l_linenumber, o_custkey from (select o_orderkey, o_custkey, unnest(range(1, 4)) as l_linenumber from orders) join lineitem using (l_linenumber) where l_orderkey = o_orderkey""")
+@query("""select o_orderkey, l_linenumber, o_custkey from (select o_orderkey, o_custkey, unnest(range(1, n + 1)) as l_linenumber from orders join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey) join lineitem using (l_linenumber) where l_orderkey = o_orderkey""")
 def ordinal_join(d):
-    calls = d.orders.select("o_orderkey", "o_custkey", F.posexplode(F.array(*[F.col("o_custkey")] * 3)).alias("i", "x"))
+    """An order makes as many calls as it has lines."""
+    lines = d.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("int").alias("n"))
+    calls = d.orders.join(lines, "o_orderkey").select("o_orderkey", "o_custkey", F.posexplode(F.array_repeat("o_custkey", F.col("n"))).alias("i", "x"))
     logs = d.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return calls.withColumn("l_linenumber", F.col("i") + 1).join(logs, ["o_orderkey", "l_linenumber"]).select("o_orderkey", "l_linenumber", "o_custkey")
 

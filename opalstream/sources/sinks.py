@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalstream.shared import hadoop_path
+from opalstream.sources.manifest import Table
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -26,37 +27,24 @@ def numbered(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(p) if f.getPath().getName().startswith("batch="))
 
 
-def move_into_place(spark: SparkSession, beside: str, path: str) -> None:
-    """What is at path stays readable until the new table stands beside it in whole."""
-    jvm = spark.sparkContext._jvm
-    a, b, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (beside, path, path + ".old"))
-    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(b):
-        fs.rename(b, old)
-    fs.rename(a, b)
-    fs.delete(old, True)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    beside = path + ".new"
-    df.write.mode("overwrite").parquet(beside)
-    move_into_place(df.sparkSession, beside, path)
-
-
-def save_catalog(catalog: DataFrame, path: str, cursor: DataFrame | None = None, cursor_path: str | None = None) -> None:
-    """Sorted by id; the cursor is written only when the catalog stands, so it never runs ahead."""
-    replace_table(catalog.repartitionByRange("market_id").sortWithinPartitions("market_id"), path)
-    if cursor is not None:
-        replace_table(cursor.coalesce(1), cursor_path)  # one row
+def save_catalog(catalog: DataFrame, path: str, cursor: str | None = None) -> None:
+    """The catalog, sorted by id, and its cursor, by one manifest: neither is ever there without the other."""
+    rows = catalog.repartitionByRange("market_id").sortWithinPartitions("market_id")
+    Table(catalog.sparkSession, path).overwrite(rows, **({} if cursor is None else {"cursor": cursor}))
 
 
 def load_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The optional seen_day of older tables is null."""
-    rows = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    table = Table(spark, path)
+    state = table.state()
+    rows = table.read(state) if state["schema"] is not None else spark.createDataFrame([], schema)
     return rows if "seen_day" in rows.columns else rows.withColumn("seen_day", F.lit(None).cast("int"))
 
 
+def load_cursor(spark: SparkSession, path: str) -> str | None:
+    return Table(spark, path).state()["properties"].get("cursor")
+
+
 def append_records(df: DataFrame, path: str, batch: int) -> None:
     """A micro-batch of the record log, in a folder of its own: written twice it is there once."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch:012d}")
@@ -67,22 +55,23 @@ def last_records(spark: SparkSession, path: str, order: str, n: int) -> DataFram
 
 
 def compact_records(spark: SparkSession, path: str, order: str, capacity: int, to: str) -> bool:
-    """Rewrites the log with its last `capacity` records once it holds more than twice as many."""
+    """Rewrites the log with its last `capacity` records once it holds more than twice as many; `to` is a Table."""
     rows = spark.read.parquet(path)
     if rows.count() <= 2 * capacity:
         return False
-    replace_table(rows.orderBy(F.col(order).desc()).limit(capacity), to)
+    Table(spark, to).overwrite(rows.orderBy(F.col(order).desc()).limit(capacity))
     return True
 
 
 def save_if_changed(new: DataFrame, path: str, key: list[str]) -> bool:
     """Counters, only if one differs from what is stored."""
-    spark = new.sparkSession
-    if exists(spark, path):
-        old = spark.read.parquet(path)
-        if new.exceptAll(old.select(*new.columns)).isEmpty() and old.select(*new.columns).exceptAll(new).isEmpty():
+    table = Table(new.sparkSession, path)
+    state = table.state()
+    if state["schema"] is not None:
+        old = table.read(state).select(*new.columns)
+        if new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty():
             return False
-    replace_table(new.orderBy(*key), path)
+    table.overwrite(new.orderBy(*key))
     return True
 
 
@@ -92,12 +81,22 @@ def resume_counters(stored: DataFrame, fresh: DataFrame, key: list[str]) -> Data
     return stored.select(*fresh.columns).unionByName(fresh).groupBy(*key).agg(*sums)
 
 
-def daily_json(df: DataFrame, path: str, at_us: str, keep_days: int | None = None, now_us: int | None = None) -> None:
-    """Compressed JSON lines by day; days older than keep_days are left out."""
-    rows = df.withColumn("day", F.date_format((F.col(at_us) / 1e6).cast("timestamp"), "yyyy-MM-dd"))
+def daily_rows(df: DataFrame, path: str, at_us: str, batch: tuple[str, int], keep_days: int | None = None, now_us: int | None = None) -> bool:
+    """Rows by day into a Table: a batch (writer, number) run again is there once, and days that have passed go, files too
+    (those a reader may still use, after an hour)."""
+    table = Table(df.sparkSession, path)
+    day = lambda c: F.date_format((c / 1e6).cast("timestamp"), "yyyy-MM-dd")
+    added = table.append(df.withColumn("day", day(F.col(at_us))), "day", batch)
     if keep_days is not None:
-        rows = rows.filter(F.col(at_us) >= now_us - keep_days * 86_400_000_000)
-    rows.write.mode("append").partitionBy("day").option("compression", "gzip").json(path)
+        first = df.sparkSession.range(1).select(day(F.lit(now_us - keep_days * 86_400_000_000)).alias("d")).first().d
+        if table.drop_parts(first):
+            table.vacuum()
+    return added
+
+
+def export_json(table: DataFrame, path: str) -> None:
+    """A table's rows as compressed JSON lines by day, for those who read such files; the folder is written anew."""
+    table.write.mode("overwrite").partitionBy("day").option("compression", "gzip").json(path)
 
 
 def recent(df: DataFrame, order: str, limit: int, since: str | None = None, since_col: str = "detect_iso") -> DataFrame:

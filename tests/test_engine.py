@@ -14,6 +14,7 @@ from opalstream.operators import analytics, catalog, console, events, ordered, r
 from opalstream.operators import gate as gates
 from opalstream.operators.gate import GateSettings
 from opalstream.sources import feeds, frames, sinks
+from opalstream.sources.manifest import Table
 from opalstream.streaming import live
 
 
@@ -324,6 +325,12 @@ def test_first_wins_with_a_map(spark):
     assert sorted((r.k, r.at, r.m) for r in events.first_wins(df, ["k"], ["at"]).collect()) == [(1, 3, {"b": 2}), (2, 1, None)]
 
 
+def test_first_wins_on_ties(spark):
+    rows = [(1, 5, "b", 2), (1, 5, "a", 9), (1, 6, "0", 0)]
+    for order in (rows, rows[::-1]):
+        assert [tuple(r) for r in events.first_wins(spark.createDataFrame(order, "k int, at int, v string, w int"), ["k"], ["at"]).collect()] == [(1, 5, "a", 9)]
+
+
 def test_ring_dedup(spark):
     rows = [("s", i, k) for i, k in enumerate("abacab")]
     got = scans.ring_dedup(spark.createDataFrame(rows, "s string, i int, k string"), ["s"], ["k"], ["i"], 2).orderBy("i").collect()
@@ -478,15 +485,17 @@ def test_sinks(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
     cat = spark.createDataFrame([(3, "c"), (1, "a")], "market_id int, x string")
     for _ in range(2):
-        sinks.save_catalog(cat, at("cat"), spark.createDataFrame([("u",)], "updated string"), at("cur"))
-    assert sinks.load_catalog(spark, at("cat"), "market_id int, x string").columns == ["market_id", "x", "seen_day"] and spark.read.parquet(at("cur")).count() == 1
+        sinks.save_catalog(cat, at("cat"), "u")
+    stored = sinks.load_catalog(spark, at("cat"), "market_id int, x string")
+    assert stored.columns == ["market_id", "x", "seen_day"] and stored.count() == 2 and sinks.load_cursor(spark, at("cat")) == "u"
+    assert sinks.load_catalog(spark, at("none"), "market_id int, x string").count() == 0 and sinks.load_cursor(spark, at("none")) is None
     c = spark.createDataFrame([("a", 1)], "k string, n long")
     assert sinks.save_if_changed(c, at("n"), ["k"]) and not sinks.save_if_changed(c, at("n"), ["k"])
-    assert sinks.resume_counters(spark.read.parquet(at("n")), c, ["k"]).first().n == 2
+    assert sinks.resume_counters(Table(spark, at("n")).read(), c, ["k"]).first().n == 2
     for b in (0, 1, 1):
         sinks.append_records(spark.range(10 * b, 10 * b + 10).withColumnRenamed("id", "seq"), at("wal"), b)
     assert spark.read.parquet(at("wal")).count() == 20 and sorted(r.seq for r in sinks.last_records(spark, at("wal"), "seq", 3).collect()) == [17, 18, 19]
-    assert not sinks.compact_records(spark, at("wal"), "seq", 10, at("w2")) and sinks.compact_records(spark, at("wal"), "seq", 5, at("w2")) and spark.read.parquet(at("w2")).count() == 5
+    assert not sinks.compact_records(spark, at("wal"), "seq", 10, at("w2")) and sinks.compact_records(spark, at("wal"), "seq", 5, at("w2")) and Table(spark, at("w2")).read().count() == 5
     text = sinks.alert_text(spark.createDataFrame([("warning", "b", ["x"], 1), ("critical", "a", ["y", "z"], 2)], "severity string, rule string, subjects array<string>, n long")).first().text
     assert text == "CRITICAL a (2): y, z\nWARNING b (1): x"
     assert [r.i for r in sinks.recent(spark.createDataFrame([(i, f"t{i}") for i in range(5)], "i int, detect_iso string"), "i", 2, "t1").collect()] == [3, 4]
