@@ -38,6 +38,29 @@ def outcome_rates(rows: DataFrame, by: list[str], predicted: Column, truth: Colu
     return out.withColumn("accuracy", ratio(F.col("correct"), F.col("correct") + F.col("wrong"))).withColumn("coverage", ratio(F.col("seen"), F.col("truths")))
 
 
+# A request is settled so many microseconds after its truth, after it began, and at the latest.
+SETTLE_AFTER_TRUTH, SETTLE_WITHOUT, SETTLE_LATEST = 150_000_000, 900_000_000, 3_600_000_000
+
+
+def settle_times(rows: DataFrame, request: str, at_us: str, kind: str, now: Column) -> DataFrame:
+    """request, settled_at, truth_at of the requests that are settled before `now`, from rows of kinds 'truth', 'asked' and
+    'answered' (receipts) and others.
+
+    Between one row and the next a request is settled 150 s after its truth or 900 s after it began, but at 3600 s while
+    receipts are outstanding, if the next row isn't there first (one of the same time is)."""
+    order = Window.partitionBy(request).orderBy(at_us, kind)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    is_ = lambda k: F.col(kind) == k
+    out = rows.filter(F.col(at_us).isNotNull()).withColumns({
+        "_first": F.min(at_us).over(Window.partitionBy(request)), "_truth": F.min(F.when(is_("truth"), F.col(at_us))).over(so_far),
+        "_asked": F.count_if(is_("asked")).over(so_far) - F.count_if(is_("answered")).over(so_far), "_next": F.coalesce(F.lead(at_us).over(order), now),
+    })
+    soon = F.least(F.col("_truth") + SETTLE_AFTER_TRUTH, F.col("_first") + SETTLE_WITHOUT)
+    due = F.greatest(F.col(at_us), F.when(F.col("_asked") > 0, F.col("_first") + SETTLE_LATEST).otherwise(soon))
+    out = out.withColumn("_due", due).filter("_due < _next")
+    return out.groupBy(request).agg(F.min("_due").alias("settled_at"), F.min_by("_truth", F.struct("_due", at_us)).alias("truth_at"))
+
+
 def settled(rows: DataFrame, now: Column, truth_at: str, first_at: str, outstanding: str) -> Column:
     """Whether a request is settled: 150 s after its truth, or 900 s after it began, or 3600 s while receipts are outstanding (seconds)."""
     age = now - F.col(first_at)

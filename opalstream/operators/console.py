@@ -167,3 +167,15 @@ def restarts(beats: DataFrame) -> DataFrame:
     last = F.lag("started_at").over(w)
     out = beats.withColumn("restarted", F.coalesce((last != 0) & (last != F.col("started_at")), F.lit(False)))
     return out.withColumn("clears_drain", F.col("restarted") & ~F.col("relay"))
+
+
+def registry(rows: DataFrame) -> DataFrame:
+    """node_id, at, restarted, desired_drain for each row (node_id, at, started_at, relay, drain): a heartbeat (drain null)
+    or a command to drain or not.  A restart, and any heartbeat of a relay, ends a drain."""
+    w = Window.partitionBy("node_id").orderBy("at", "drain", "started_at", "relay").rowsBetween(Window.unboundedPreceding, -1)
+    beat = F.col("drain").isNull()
+    last = F.last(F.when(beat, F.struct("started_at")), ignorenulls=True).over(w)["started_at"]
+    out = rows.withColumn("restarted", beat & F.coalesce(last != 0, F.lit(False)) & ~last.eqNullSafe(F.col("started_at")))
+    effect = F.coalesce("drain", F.when(F.col("restarted") | F.coalesce("relay", F.lit(False)), F.lit(False)))
+    drained = F.last(effect, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.select("node_id", "at", "restarted", F.coalesce(drained, F.lit(False)).alias("desired_drain"))

@@ -1,76 +1,22 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming forms of operators that need no state of their own; those with typed state are in `keyed`."""
 
 from __future__ import annotations
 
-import pickle
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from opalstream.operators import gate as gates
 from opalstream.operators.gate import GateSettings
 from opalstream.shared import scratch
 from opalstream.sources import sinks
 
-STATE = StructType([StructField("state", BinaryType())])
-
-
-def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, idle_hours: float | None = None) -> DataFrame:
-    """A stream whose state is a Python object per key: each micro-batch's rows, in order, go through step.
-
-    With idle_hours, a key without rows for so long, by processing time, is forgotten; such a query runs on when there
-    is nothing new, so it needs a trigger by interval."""
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if idle_hours is not None and state.hasTimedOut:
-            state.remove()
-            return
-        held = pickle.loads(state.get[0]) if state.exists else start()
-        pdf = pd.concat(list(batches)).sort_values(order)
-        out = step(held, pdf)
-        state.update((pickle.dumps(held),))
-        if idle_hours is not None:
-            state.setTimeoutDuration(int(idle_hours * 3_600_000))
-        yield out
-
-    return rows.groupBy(*key).applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.NoTimeout if idle_hours is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def dedup_within(stream: DataFrame, key: list[str], at: str, delay: str) -> DataFrame:
     """First arrival of each key; keys are remembered for the delay."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(key)
 
 
-class Ring:
-    """The last `size` keys, oldest out first."""
-
-    def __init__(self, size: int):
-        self.size, self.keys = size, OrderedDict()
-
-    def add(self, k) -> bool:
-        if k in self.keys:
-            return False
-        self.keys[k] = None
-        if len(self.keys) > self.size:
-            self.keys.popitem(last=False)
-        return True
-
-
-def dedup_ring(stream: DataFrame, by: list[str], key: list[str], arrival: list[str], size: int = 10_000, idle_hours: float | None = None) -> DataFrame:
-    """First arrival of each key among the last `size` accepted, exactly, one ring for each `by`."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
-
-    def step(ring: Ring, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[[ring.add(k) for k in pdf[key].itertuples(index=False, name=None)]]
-
-    return folded(stream, by, arrival, lambda: Ring(size), step, schema, idle_hours)
-
-
 def gate_feed(stream: DataFrame, by: str, state: str, out: str, checkpoint: str, settings: GateSettings | None = None, trigger: dict | None = None):
     """Verdicts as operators.gate gives over all rows, batch by batch: new rows are judged together with those that
     may still matter (rows of open sessions, with the verdicts they got), and rounds and trust of all others.
@@ -111,37 +57,6 @@ def gate_feed(stream: DataFrame, by: str, state: str, out: str, checkpoint: str,
     return q.trigger(**(trigger or {"availableNow": True})).start()
 
 
-class Alert:
-    def __init__(self):
-        self.since = self.fired = self.absent = None
-
-
-def alerts(stream: DataFrame, key: list[str], at: str, present: str, hold: int, resolve: int, idle_hours: float | None = None) -> DataFrame:
-    """key, at, change ('firing' or 'resolved') as conditions begin and end; rows are evaluations, so a rule
-    that isn't evaluated keeps its state, for idle_hours if given."""
-    types = dict(stream.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), "at long, change string"])
-
-    def step(a: Alert, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for *k, t, on in pdf[[*key, at, present]].itertuples(index=False, name=None):
-            if on:
-                a.since, a.absent = t if a.since is None else a.since, None
-                if a.fired is None and t - a.since >= hold:
-                    a.fired = t
-                    out.append((*k, t, "firing"))
-            elif a.fired is None:
-                a.since = None
-            else:
-                a.absent = t if a.absent is None else a.absent
-                if t - a.absent >= resolve:
-                    out.append((*k, t, "resolved"))
-                    a.since = a.fired = a.absent = None
-        return pd.DataFrame(out, columns=[*key, "at", "change"])
-
-    return folded(stream, key, [at], Alert, step, schema, idle_hours)
-
-
 def matched_within(pending: DataFrame, confirmed: DataFrame, key: str, at: str, other: str, wait: str) -> DataFrame:
     """Pending rows with their confirmation within `wait`, or null once that time has passed; timestamps."""
     a = pending.withWatermark(at, "1 second")

@@ -204,19 +204,6 @@ def test_sender_scores(spark):
     assert sorted(tuple(r) for r in sinks.load_scores(text).collect()) == [("1", 1, 0), ("2", 0, 1)]
 
 
-def test_ring_and_alert_streams(spark, tmp_path):
-    ring = live.Ring(2)
-    assert [ring.add(k) for k in "abacab"] == [True, True, False, True, True, True]
-    rows = [("a", t, on) for t, on in enumerate([0, 1, 1, 1, 1, 0, 1, 0, 0, 0, 1, 0])]
-    df = spark.createDataFrame([(k, t, bool(o)) for k, t, o in rows], "k string, t long, on boolean")
-    got = [tuple(r) for r in scans.islands(df, ["k"], "t", "on", 2, 2).collect()]
-    assert got == [("a", 1, 3, 9)]
-    df.coalesce(1).write.json(str(tmp_path / "in"))
-    q = live.alerts(spark.readStream.schema(df.schema).json(str(tmp_path / "in")), ["k"], "t", "on", 2, 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    assert sorted(tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "out")).select("k", "at", "change").collect()) == [(3, "firing"), (9, "resolved")]
-
-
 def test_store_and_broadcast(spark, tmp_path):
     spark.range(20).write.json(str(tmp_path / "in"))
     q = live.store_and_broadcast(spark.readStream.schema("id long").json(str(tmp_path / "in")), str(tmp_path / "s"), str(tmp_path / "b"), lambda df: df.withColumn("broadcast", F.col("id") % 2 == 0), str(tmp_path / "cp"))
