@@ -629,8 +629,8 @@ def elimination_rank(d):
 
 
 def seat_rows(d) -> DataFrame:
-    """Users as peers of one network, six-hourly; those seen on a day are online on it."""
-    rows = d.log.groupBy((F.lit("net")).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
+    """Users as peers of 64 networks, six-hourly; those seen on a day are online on it."""
+    rows = d.log.groupBy((F.col("user_id") % 64).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
     return rows.agg(
         (F.avg("value") / 5000).alias("share"), F.lit(True).alias("online"), (F.max("value") < 2).alias("silent"), (F.count("*") >= 1).alias("observed"), F.lit(50).alias("seen"), (F.min("value") > 40).alias("home")
     )
@@ -848,3 +848,45 @@ def decoded_logs(d):
     rows = d.documents.select(F.lit("0x" + "11" * 20).alias("address"), b(F.col("doc_id"), 20).alias("sender"), b(F.col("doc_id"), 32).alias("tx"), F.lit(0).cast("long").alias("ordinal"), call.alias("call"))
     out = abi.decode_logs(abi.synthetic_logs(rows), ["0x" + "11" * 20])
     return out.select(F.col("market_id").cast("long").alias("market_id"), "kind", "error", F.hex("question_id").alias("question_id"), F.hex("condition_id").alias("condition_id"))
+
+
+@query("""select doc_id, error, case when error is null then doc_id + 1 end as market_id from (select doc_id, ['address', 'emitter', 'topic', 'topic_count', 'data', 'chain', 'request', 'missing_id', null, null][1 + doc_id % 10] as error from documents)""")
+def decode_errors(d):
+    """Log records of documents, most of them damaged in one way each: the first check that fails names the error."""
+    from opalstream.functions import abi
+
+    n = F.col("doc_id") % 10
+    hexed = lambda x, n: F.lower(F.lpad(F.hex(x), 2 * n, "0"))
+    said = F.when(n == 7, F.lit("no id")).otherwise(F.concat(F.lit("title, market_id: "), (F.col("doc_id") + 1).cast("string")))
+    text = F.when(n == 6, F.lit("ff")).otherwise(F.lower(F.hex(said)))
+    size = F.expr("cast(length(text) / 2 as bigint)")
+    row = d.documents.select("doc_id", n.alias("n"), text.alias("text"))
+    data = F.concat(F.lit("0x"), hexed(F.lit(1), 32), hexed(F.col("doc_id"), 32), hexed(F.lit(192), 32), hexed(F.lit(0), 32), hexed(F.lit(0), 32), hexed(F.lit(0), 32), hexed(size, 32), F.col("text"))
+    topics = F.array(F.lit("0x" + abi.topic(abi.PROPOSE_EVENT)), F.concat(F.lit("0x"), hexed(F.col("doc_id"), 32)), F.lit("0x" + "0" * 64))
+    logs = row.select(
+        "doc_id", F.when(F.col("n") == 0, "0x11").when(F.col("n") == 1, "0x" + "22" * 20).otherwise("0x" + "11" * 20).alias("address"),
+        F.when(F.col("n") == 2, F.array(F.lit("0x" + "00" * 32), topics[1], topics[2])).when(F.col("n") == 3, F.slice(topics, 1, 2)).otherwise(topics).alias("topics"),
+        F.when(F.col("n") == 4, F.lit("0x00")).otherwise(data).alias("data"), F.when(F.col("n") == 5, F.lit("block")).otherwise("0x1").alias("blockNumber"), F.lit("0x0").alias("logIndex"),
+        F.lit("").alias("blockHash"), F.concat(F.lit("0x"), hexed(F.col("doc_id"), 32)).alias("transactionHash"), F.lit(None).cast("string").alias("transactionIndex"), F.lit(False).alias("removed"),
+    )
+    return abi.decode_logs(logs, ["0x" + "11" * 20]).select("doc_id", "error", F.col("market_id").cast("long").alias("market_id"))
+
+
+@query("""with r as (select conv_id * 7 % 5 as node_id, conv_id * 1000 + turn as at, case when conv_id % 9 <> 0 then conv_id // 40 % 3 end as started_at, conv_id % 50 = 0 as relay, case when conv_id % 9 = 0 then turn % 2 = 0 end as drain from conversations),
+b as (select *, last_value(case when drain is null then started_at end ignore nulls) over (partition by node_id order by at, drain nulls first, started_at nulls first, relay rows between unbounded preceding and 1 preceding) as last from r),
+c as (select *, drain is null and coalesce(last <> 0, false) and last is distinct from started_at as restarted from b)
+select node_id, at, restarted, coalesce(last_value(coalesce(drain, case when restarted or relay then false end) ignore nulls) over (partition by node_id order by at, drain nulls first, started_at nulls first, relay rows between unbounded preceding and current row), false) as desired_drain from c""")
+def node_registry(d):
+    c = F.col("conv_id")
+    rows = d.conversations.select((c * 7 % 5).alias("node_id"), (c * 1000 + F.col("turn")).alias("at"), F.when(c % 9 != 0, F.expr("conv_id div 40 % 3")).alias("started_at"), (c % 50 == 0).alias("relay"), F.when(c % 9 == 0, F.col("turn") % 2 == 0).alias("drain"))
+    return console.registry(rows)
+
+
+@query("""with r as (select user_id as request, epoch_us(ts) as at, ['truth', 'asked', 'answered', 'signal'][1 + event_id % 4] as kind from events), m as (select max(at) as now from r),
+s as (select *, min(at) over (partition by request) as f, min(case when kind = 'truth' then at end) over w as truth, count(*) filter (kind = 'asked') over w - count(*) filter (kind = 'answered') over w as asked, coalesce(lead(at) over (partition by request order by at, kind), (select now from m)) as nxt from r window w as (partition by request order by at, kind rows unbounded preceding)),
+d as (select *, greatest(at, case when asked > 0 then f + 3600000000 else least(truth + 150000000, f + 900000000) end) as due from s)
+select request, min(due) as settled_at, arg_min(coalesce(truth, -1), (due, at)) as truth_at from d where due < nxt group by 1""")
+def settle_times(d):
+    rows = d.log.select(F.col("user_id").alias("request"), "at", F.element_at(F.array(*map(F.lit, ("truth", "asked", "answered", "signal"))), (F.col("event_id") % 4 + 1).cast("int")).alias("kind"))
+    now = rows.agg(F.max("at")).first()[0]
+    return analytics.settle_times(rows, "request", "at", "kind", F.lit(now).cast("long")).withColumn("truth_at", F.coalesce("truth_at", F.lit(-1)))
