@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalstream.operators.selection import by_rank, nearest_place
 from opalstream.shared import materialised
 
 
@@ -26,10 +27,7 @@ def global_sequence(df: DataFrame, order: list[str], name: str = "seq", start: i
 
 def nearest_rank(df: DataFrame, group: list[str], value: str, qs: list[float]) -> DataFrame:
     """group, q, value: the element number floor((n - 1) * q + 0.5), from 0, of each group in order."""
-    seq = global_sequence(df.filter(F.col(value).isNotNull()).select(*group, value), [*group, value], "_seq", 0)
-    sizes = seq.groupBy(*group).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
-    wanted = sizes.withColumn("q", F.explode(F.array(*map(F.lit, qs)))).withColumn("_seq", F.col("_first") + F.least(F.floor((F.col("_n") - 1) * F.col("q") + 0.5), F.col("_n") - 1))
-    return wanted.select("q", "_seq").join(seq, "_seq").select(*group, "q", value)
+    return by_rank(df, group, value, {q: (lambda n, q=q: nearest_place(F.lit(q), n)) for q in dict.fromkeys(qs)}, "q")
 
 
 def running_total(df: DataFrame, order: list[str], value: Column, name: str, block: int = 4096) -> DataFrame:
@@ -153,9 +151,7 @@ def newest_matching(df: DataFrame, order: list[str], scan: int, match: Column, n
 
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, value: the element number n // 2, from 0, of each group in order."""
-    seq = global_sequence(df.filter(F.col(value).isNotNull()).select(*group, value), [*group, value], "_seq", 0)
-    at = seq.groupBy(*group).agg((F.min("_seq") + F.expr("count(*) div 2")).alias("_seq"))
-    return at.select("_seq").join(seq, "_seq").select(*group, value)
+    return by_rank(df, group, value, {0.5: lambda n: F.floor(n / 2)}, "_q").drop("_q")
 
 
 def latest_so_far(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
