@@ -628,6 +628,10 @@ def elimination_rank(d):
     return analytics.elimination(rows, "day", "user_id", "share", 5).select("day", "user_id", "place", "out")
 
 
+#: Networks are small here, so that the caps bind.
+SEAT_RULES = analytics.SeatRules(core_max=3, trial_seats=2)
+
+
 def seat_rows(d) -> DataFrame:
     """Users as peers of 64 networks, six-hourly; those seen on a day are online on it."""
     rows = d.log.groupBy((F.col("user_id") % 64).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
@@ -638,7 +642,7 @@ def seat_rows(d) -> DataFrame:
 
 @query()
 def seat_states(d):
-    return analytics.seats(seat_rows(d), ["network"], "user_id", "epoch")
+    return analytics.seats(seat_rows(d), ["network"], "user_id", "epoch", SEAT_RULES)
 
 
 @query()
