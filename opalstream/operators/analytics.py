@@ -213,6 +213,9 @@ def elimination(rows: DataFrame, trial: str, peer: str, share: str, keep: int) -
     return out.withColumn("out", F.col("place") <= F.col("_n") - keep).drop("_n")
 
 
+SEAT_COLUMNS = ["share", "online", "silent", "observed", "seen", "home", "exploring"]
+
+
 @dataclass(frozen=True)
 class SeatRules:
     # Seat rules, in hours and shares.
@@ -227,6 +230,7 @@ class SeatRules:
     silent_hours: int = 72
     stable_hours: int = 168
     home_floor: int = 2
+    explore_seats: int = 0  # trial seats more while exploring
 
 
 def seats(rows: DataFrame, network: list[str], peer: str, epoch: str, rules: SeatRules | None = None) -> DataFrame:
@@ -234,7 +238,8 @@ def seats(rows: DataFrame, network: list[str], peer: str, epoch: str, rules: Sea
 
     rows, one for each peer that is known at an evaluation: epoch (hours), share (the best of its shares), online,
     silent (online, forwarded nothing), observed (its trial is long enough), seen (what there was to see), home
-    (counts towards home_floor).  A peer without a row is offline.
+    (counts towards home_floor), and maybe exploring (whether the evaluation lies in an exploration).  A peer without a
+    row is offline.
 
     At an evaluation, in this order: a core that is offline is lost, a trial candidate again; who comes online and
     was lost is core again, others fill free trial seats in order of name; who is silent and not core cools down;
@@ -242,13 +247,16 @@ def seats(rows: DataFrame, network: list[str], peer: str, epoch: str, rules: Sea
     unless the home floor needs it, and one stable for `stable_hours` forgets its cooldowns; a core lost for more
     than `lost_hours` is a candidate; observed trials at `promote` or above become core; beyond `core_max` the
     lowest shares go to trial; of the observed trials that are left the one with the lowest share cools down, 24
-    hours the first time, 72 the second, 168 from then on.
+    hours the first time, 72 the second, 168 from then on.  While exploring there are `explore_seats` trial seats more;
+    who takes one isn't cooled down as the lowest, and when the exploration is over stays on trial with `promote` or
+    more, else is a candidate again, without a cooldown.
 
     Caps bind all peers of a network, so a network is folded evaluation by evaluation, one after the other; its
     peers, a few thousand, are what is held.
     """
     r = rules or SeatRules()
-    columns = [*network, epoch, peer, "share", "online", "silent", "observed", "seen", "home"]
+    columns = [*network, epoch, peer, *SEAT_COLUMNS]
+    rows = rows if "exploring" in rows.columns else rows.withColumn("exploring", F.lit(False))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, now, peers, here = None, None, {}, {}
@@ -288,19 +296,22 @@ class _Seat:
     since: float | None = None  # core since
     lost: float = 0
     observed: bool = False
+    explore: bool = False
 
 
 def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) -> dict[str, _Seat]:
     for k in here:
         peers.setdefault(k, _Seat())
     share = {k: v[0] for k, v in here.items()}
+    exploring = any(v[6] for v in here.values())
+    room = r.trial_seats + (r.explore_seats if exploring else 0)
     online = {k for k, v in here.items() if v[1]}
     in_state = lambda s: [k for k in sorted(peers) if peers[k].state == s and (k in online or s == "lost")]
     lowest = lambda ks: min(ks, key=lambda k: (share[k], k))
 
     def go(k: str, state: str, reason: str, **also) -> None:
         p = peers[k]
-        p.state, p.reason, p.below = state, reason, 0
+        p.state, p.reason, p.below, p.explore = state, reason, 0, False
         for name, v in also.items():
             setattr(p, name, v)
 
@@ -317,8 +328,8 @@ def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) ->
         elif k in online and p.state == "lost":
             go(k, "core", "back", since=now if p.since is None else p.since)
     for k in sorted(online):
-        if peers[k].state == "candidate" and len(in_state("trial")) < r.trial_seats:
-            go(k, "trial", "admitted", observed=False)
+        if peers[k].state == "candidate" and (taken := len(in_state("trial"))) < room:
+            go(k, "trial", "admitted", observed=False, explore=taken >= r.trial_seats)
     for k in sorted(online):
         if here[k][2] and peers[k].state not in ("core", "cooldown"):
             cool(k, "silent", True)
@@ -343,9 +354,14 @@ def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) ->
         peers[k].observed = peers[k].observed or here[k][3]
         if peers[k].observed and share[k] >= r.promote:
             go(k, "core", "promoted", since=now)
+    for k in in_state("trial"):
+        if peers[k].explore and not exploring:
+            peers[k].explore = False
+            if share[k] < r.promote:
+                go(k, "candidate", "explored")
     while len(cores := in_state("core")) > r.core_max:
         go(lowest(cores), "trial", "over the cap", observed=True)
-    if last := [k for k in in_state("trial") if peers[k].observed]:
+    if last := [k for k in in_state("trial") if peers[k].observed and not peers[k].explore]:
         cool(lowest(last), "lowest", False)
     return peers
 

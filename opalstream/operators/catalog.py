@@ -127,3 +127,20 @@ def stall_verdict(covered: DataFrame, number: str, verified: int, head: int, beh
     """missed, verdict: rows of the source in (verified, head - behind] that this side hasn't seen."""
     n = covered.filter((F.col(number) > verified) & (F.col(number) <= head - behind)).agg(F.count("*").alias("missed"))
     return n.withColumn("verdict", F.when(F.col("missed") > 0, "Missed").otherwise("Quiet"))
+
+
+def stall_checks(sessions: DataFrame, logs: DataFrame, number: str, head: int, now_us: int, idle_us: int = 60_000_000, behind: int = 5, max_window: int = 1000) -> DataFrame:
+    """source, verdict, first, last, logs of each session that has been idle for idle_us: whether logs lie in the blocks
+    that it should have delivered, up to `behind` blocks before the head and max_window of them at most.
+
+    sessions (source, verified, last_us), a row for each configured endpoint.  A session without a verified block has
+    nothing to be compared with: it is quiet, up to `last`, from where the next check goes on."""
+    to = F.lit(head - behind)
+    idle = sessions.filter(F.lit(now_us) - F.col("last_us") >= idle_us)
+    first = F.when(F.col("verified") < to, F.greatest(F.col("verified") + 1, to - (max(max_window, 1) - 1)))
+    idle = idle.withColumn("first", first)
+    counts = logs.filter((F.col(number) <= to)).groupBy(F.col(number).alias("_number")).agg(F.count("*").alias("_n"))
+    seen = idle.select("source", "first").filter("first is not null").join(counts, F.col("_number") >= F.col("first")).groupBy("source").agg(F.sum("_n").alias("logs"))
+    out = idle.join(seen, "source", "left").withColumn("logs", F.coalesce("logs", F.lit(0)))
+    quiet = F.col("logs") == 0
+    return out.select("source", F.when(quiet, "Quiet").otherwise("Missed").alias("verdict"), "first", F.when(quiet, F.greatest(to, F.coalesce("verified", F.lit(0)))).otherwise(to).alias("last"), "logs")

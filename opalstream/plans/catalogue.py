@@ -629,15 +629,15 @@ def elimination_rank(d):
 
 
 #: Networks are small here, so that the caps bind.
-SEAT_RULES = analytics.SeatRules(core_max=3, trial_seats=2)
+SEAT_RULES = analytics.SeatRules(core_max=3, trial_seats=1, explore_seats=2)
 
 
 def seat_rows(d) -> DataFrame:
-    """Users as peers of 64 networks, six-hourly; those seen on a day are online on it."""
-    rows = d.log.groupBy((F.col("user_id") % 64).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
+    """Users as peers of 16 networks, six-hourly; those seen on a day are online on it."""
+    rows = d.log.groupBy((F.col("user_id") % 16).alias("network"), "user_id", F.expr("day * 24 + (at div 21600000000) % 4 * 6").alias("epoch"))
     return rows.agg(
         (F.avg("value") / 5000).alias("share"), F.lit(True).alias("online"), (F.max("value") < 2).alias("silent"), (F.count("*") >= 1).alias("observed"), F.lit(50).alias("seen"), (F.min("value") > 40).alias("home")
-    )
+    ).withColumn("exploring", F.col("epoch") % 24 == 6)
 
 
 @query()
@@ -894,3 +894,15 @@ def settle_times(d):
     rows = d.log.select(F.col("user_id").alias("request"), "at", F.element_at(F.array(*map(F.lit, ("truth", "asked", "answered", "signal"))), (F.col("event_id") % 4 + 1).cast("int")).alias("kind"))
     now = rows.agg(F.max("at")).first()[0]
     return analytics.settle_times(rows, "request", "at", "kind", F.lit(now).cast("long")).withColumn("truth_at", F.coalesce("truth_at", F.lit(-1)))
+
+
+@query("""with s as (select event_type as source, max(event_id) filter (event_id % 3 > 0) - 400 as verified, epoch_us(max(ts) filter (event_id % 7 = 0)) as last_us from events group by 1), h as (select max(event_id) - 5 as top, epoch_us(max(ts)) as now from events),
+r as (select source, case when source = 'view' then null when source = 'cart' then top + 3 else verified end as verified, last_us, top, now from s, h)
+select source, verdict, first, case when verdict = 'Quiet' then greatest(top, coalesce(verified, 0)) else top end as last, n as logs from (select *, case when verified is null or top <= verified or n = 0 then 'Quiet' else 'Missed' end as verdict
+ from (select *, case when verified < top then greatest(verified + 1, top - 249) end as first, case when verified < top then (select count(*) from events e where e.event_id >= greatest(r.verified + 1, r.top - 249) and e.event_id <= r.top and e.value > 50) else 0 end as n from r)) where now - last_us >= 60000000""")
+def stall_checks(d):
+    log = d.log
+    head = log.agg((F.max("event_id") - 5).alias("top"), F.max("at").alias("now")).first()
+    s = log.groupBy(F.col("event_type").alias("source")).agg((F.max(F.when(F.col("event_id") % 3 > 0, F.col("event_id"))) - 400).alias("verified"), F.max(F.when(F.col("event_id") % 7 == 0, F.col("at"))).alias("last_us"))
+    s = s.withColumn("verified", F.when(F.col("source") == "view", None).when(F.col("source") == "cart", head.top + 3).otherwise(F.col("verified")))
+    return catalog.stall_checks(s, log.filter("value > 50"), "event_id", head.top + 5, head.now, max_window=250)

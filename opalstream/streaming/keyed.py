@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from opalstream.operators.analytics import LOOKUP_RANK, SeatRules, _evaluate, _Seat
-from opalstream.operators.analytics import SETTLE_AFTER_TRUTH, SETTLE_LATEST, SETTLE_WITHOUT
+from opalstream.operators.analytics import LOOKUP_RANK, SEAT_COLUMNS, SETTLE_AFTER_TRUTH, SETTLE_LATEST, SETTLE_WITHOUT, SeatRules, _evaluate, _Seat
 from opalstream.operators.scans import Alert, key_text
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -388,24 +387,25 @@ class SeatLogic(Logic):
     gives = "epoch long, peer string, state string, reason string, cooldowns long"
 
     def __init__(self, peer: str, rules: SeatRules):
-        self.peer, self.rules, self.reads = peer, rules, [peer, "epoch", "share", "online", "silent", "observed", "seen", "home"]
+        self.peer, self.rules, self.reads = peer, rules, [peer, "epoch", *SEAT_COLUMNS]
 
     def open(self, handle, ttl_ms) -> None:
-        fields = "state string, reason string, cooldowns long, until double, below long, since double, lost double, observed boolean"
+        fields = "state string, reason string, cooldowns long, until double, below long, since double, lost double, observed boolean, explore boolean"
         self.seats = handle.getMapState("seats", "peer string", fields)
 
     def rows(self, key, rows):
         peers = {k[0]: _Seat(*v) for k, v in self.seats.iterator()} if self.seats.exists() else {}
         for epoch, here in groupby(rows, key=lambda r: r["epoch"]):
-            now = {r[self.peer]: tuple(r[c] for c in ("share", "online", "silent", "observed", "seen", "home")) for r in here}
+            now = {r[self.peer]: tuple(r[c] for c in SEAT_COLUMNS) for r in here}
             for name, p in sorted(_evaluate(peers, now, epoch, self.rules).items()):
                 yield epoch, name, p.state, p.reason, p.cooldowns
         for name, p in peers.items():
             since = None if p.since is None else float(p.since)
-            self.seats.updateValue((name,), (p.state, p.reason, p.cooldowns, float(p.until), p.below, since, float(p.lost), p.observed))
+            self.seats.updateValue((name,), (p.state, p.reason, p.cooldowns, float(p.until), p.below, since, float(p.lost), p.observed, p.explore))
 
 
 def seats(stream: DataFrame, network: list[str], peer: str, at: str, delay: str, rules: SeatRules | None = None) -> DataFrame:
     """network, epoch, peer, state, reason, cooldowns as each evaluation is complete; rows as operators.analytics.seats takes
     them, with `at`, the evaluation's time."""
+    stream = stream if "exploring" in stream.columns else stream.withColumn("exploring", F.lit(False))
     return in_order(stream, network, at, delay, _WithKey(SeatLogic(peer, rules or SeatRules())), [peer])

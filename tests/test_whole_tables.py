@@ -7,7 +7,7 @@ import pytest
 
 from opalstream.plans import catalogue
 
-SF = os.environ.get("OPAL_TEST_SF", "/root/testdata/sf0.001")
+SF = os.environ.get("OPAL_TEST_SF", "/root/testdata/sf0.01")
 
 
 def keccak(data):
@@ -62,10 +62,12 @@ def slow_seats(rows, r):
     for now in sorted({x.epoch for x in rows}):
         here = {x.user_id: x for x in rows if x.epoch == now}
         for k in here:
-            seats.setdefault(k, {"state": "candidate", "why": "", "cool": 0, "below": 0, "core": None, "until": 0, "lost": 0, "seen": False})
+            seats.setdefault(k, {"state": "candidate", "why": "", "cool": 0, "below": 0, "core": None, "until": 0, "lost": 0, "seen": False, "extra": False})
+
+        exploring = any(x.exploring for x in here.values())
 
         def move(k, state, why):
-            seats[k].update(state=state, why=why, below=0)
+            seats[k].update(state=state, why=why, below=0, extra=False)
 
         def rest(k, why, quiet):
             seats[k]["cool"] += 1
@@ -85,9 +87,10 @@ def slow_seats(rows, r):
                 move(k, "core", "back")
                 s["core"] = now if s["core"] is None else s["core"]
         for k in sorted(here):
-            if seats[k]["state"] == "candidate" and len(on("trial")) < r.trial_seats:
+            full = len(on("trial"))
+            if seats[k]["state"] == "candidate" and (full < r.trial_seats or (exploring and full < r.trial_seats + r.explore_seats)):
                 move(k, "trial", "admitted")
-                seats[k]["seen"] = False
+                seats[k].update(seen=False, extra=full >= r.trial_seats)
         for k in sorted(here):
             if here[k].silent and seats[k]["state"] in ("candidate", "trial", "lost"):
                 rest(k, "silent", True)
@@ -113,11 +116,16 @@ def slow_seats(rows, r):
             if seats[k]["seen"] and here[k].share >= r.promote:
                 move(k, "core", "promoted")
                 seats[k]["core"] = now
+        if not exploring:
+            for k in on("trial"):
+                if seats[k]["extra"] and here[k].share < r.promote:
+                    move(k, "candidate", "explored")
+                seats[k]["extra"] = False
         ranked = sorted(on("core"), key=lambda k: (here[k].share, k))
         for k in ranked[: max(0, len(ranked) - r.core_max)]:
             move(k, "trial", "over the cap")
             seats[k]["seen"] = True
-        tried = sorted((here[k].share, k) for k in on("trial") if seats[k]["seen"])
+        tried = sorted((here[k].share, k) for k in on("trial") if seats[k]["seen"] and not seats[k]["extra"])
         if tried:
             rest(tried[0][1], "lowest", False)
         out += [(k, now, s["state"], s["why"], s["cool"]) for k, s in seats.items()]
@@ -132,6 +140,7 @@ def test_seats(spark, query):
         want += [(net, *x) for x in slow_seats([r for r in rows if r.network == net], catalogue.SEAT_RULES)]
     got = catalogue.QUERIES[query](spark, SF)
     if query == "seat_states":
+        assert any(w[4] == "explored" for w in want)
         assert sorted((r.network, r.user_id, r.epoch, r.state, r.reason, r.cooldowns) for r in got.collect()) == sorted(want) and len({w[3] for w in want}) > 2
     else:
         assert {(r.epoch, r.state): r.n for r in got.collect()} == Counter((e, s) for _, _, e, s, _, _ in want)
