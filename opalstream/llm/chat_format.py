@@ -14,7 +14,8 @@ Null roles and texts are empty; a null conv_id is a conversation of its own.  Co
 rendered in blocks of `block` turn numbers, and a block of more than `most` characters in parts of whole
 turns, so that one of any length is shared among tasks.  Parts end after a turn's line end, which is a
 pre-token of its own, so their ids, spans and masks laid end to end are those of the whole conversation
-encoded once.  An empty table gives an empty one.  Other columns of any name are not read.
+encoded once; spans are places in the whole conversation, and `first_char` and `first_token` say where a part begins
+in it.  An empty table gives an empty one.  Other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opalstream.llm.common import light_batches
+from opalstream.llm.common import Tables, light_batches
 from opalstream.llm.tokens import vocabulary_path
 
 START, END = "<|im_start|>", "<|im_end|>"
-FORMATTED = "conv_id long, block long, part long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>"
+PARTS = "conv_id long, block long, part long, formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>"
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
 
@@ -101,7 +102,8 @@ def read_loss(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.nda
 
 
 def format_chats(chats: DataFrame, block: int = 256, most: int = 1_000_000, vocabulary: str | None = None) -> DataFrame:
-    """One row per part: conv_id, block, part, formatted, ids, starts, ends (characters), mask."""
+    """One row per part: conv_id, block, part, first_char, first_token, formatted, ids, starts, ends (characters of the
+    conversation), mask."""
     path = vocabulary or vocabulary_path()
     light_batches(chats.sparkSession)
 
@@ -139,7 +141,13 @@ def format_chats(chats: DataFrame, block: int = 256, most: int = 1_000_000, voca
 
     rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.expr(f"floor(turn / {block})").cast("long").alias("block"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    return rows.mapInPandas(encode, FORMATTED)
+    parts = Tables(chats.sparkSession, "chats").write(rows.mapInPandas(encode, PARTS).withColumn("_at", F.monotonically_increasing_id()), "parts")
+    # a few numbers a part are all of a conversation that meets in one task
+    sizes = parts.select("_at", "conv_id", "block", "part", F.length("formatted").cast("long").alias("_chars"), F.size("ids").cast("long").alias("_tokens"))
+    before = Window.partitionBy("conv_id").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_at", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("first_char"), F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("first_token"))
+    whole = lambda c: F.transform(c, lambda x: x + F.col("first_char")).alias(c)
+    return parts.join(firsts, "_at").select("conv_id", "block", "part", "first_char", "first_token", "formatted", "ids", whole("starts"), whole("ends"), "mask")
 
 
 _NAMES = ["conv_id", "block", "part", "formatted", "ids", "starts", "ends", "mask"]
@@ -166,7 +174,7 @@ def chats_digest(formatted: DataFrame) -> DataFrame:
                 for role, text, _, _ in read_turns(r.formatted):
                     n += 1
                     all_sha.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                for text in read_loss(r.formatted, np.asarray(r.starts), np.asarray(r.ends), np.asarray(r.mask, bool)):
+                for text in read_loss(r.formatted, np.asarray(r.starts) - r.first_char, np.asarray(r.ends) - r.first_char, np.asarray(r.mask, bool)):
                     loss += len(text)
                     loss_sha.update(text.encode("utf-8", "surrogatepass"))
                 chars += len(r.formatted)
@@ -175,7 +183,7 @@ def chats_digest(formatted: DataFrame) -> DataFrame:
         if started:
             yield pd.DataFrame([done()], columns=names).astype({"conv_id": "Int64"})
 
-    rows = formatted.select("conv_id", "block", "part", "formatted", "starts", "ends", "mask")
+    rows = formatted.select("conv_id", "block", "part", "first_char", "formatted", "starts", "ends", "mask")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
     return rows.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

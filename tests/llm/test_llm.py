@@ -599,9 +599,9 @@ def test_parts_are_the_whole(spark, tokenizer):
         e = tokenizer.encode(text, add_special_tokens=False)
         at = np.array(e.offsets).reshape(-1, 2)
         assert "".join(g.formatted) == text and np.concatenate(g.ids.to_list()).tolist() == e.ids
-        before = np.cumsum([0, *map(len, g.formatted)])[:-1]
-        assert np.concatenate([np.asarray(x) + b for x, b in zip(g.starts, before)]).tolist() == at[:, 0].tolist()
-        assert np.concatenate([np.asarray(x) + b for x, b in zip(g.ends, before)]).tolist() == at[:, 1].tolist()
+        assert g.first_char.tolist() == np.cumsum([0, *map(len, g.formatted)])[:-1].tolist() and g.first_token.tolist() == np.cumsum([0, *map(len, g.ids)])[:-1].tolist()
+        assert np.concatenate(g.starts.to_list()).tolist() == at[:, 0].tolist()
+        assert np.concatenate(g.ends.to_list()).tolist() == at[:, 1].tolist()
         slow = [any(a < y and b > x and b > a for x, y in spans) for a, b in e.offsets]
         assert np.concatenate(g["mask"].to_list()).tolist() == slow
 
