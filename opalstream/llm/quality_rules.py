@@ -5,10 +5,12 @@ group the minimum-covariance-determinant estimate of the vectors' location and s
 concentration steps: keep the share SUPPORT of the rows with the smallest Mahalanobis distances, estimate
 anew, repeat.  Three deterministic starts (median absolute deviations alone, with the correlations of
 tanh scores, with those of spatial signs) take two steps each; the one of smallest determinant goes on until
-its determinant falls no further, and the smallest met is kept.  A row is rejected if its squared distance
-exceeds the cutoff.  Rows of groups of fewer than min_rows rows are judged by the estimate over all rows of
-their language, or of all languages where that has fewer too; `judged_by` says which ("group", "language",
-"all", or "none" in a table of fewer than min_rows rows, whose rows are kept unless a base rule fails).
+its determinant falls no further, and the smallest met is kept; `settled` is false where it still fell after
+MOST_STEPS steps.  A group's location and scatter are then drawn towards those of its language, as of
+PRIOR_ROWS rows more, and a language's towards those of all, which in turn has so many rows of a wide fixed
+scatter; these are of all rows that the groups' estimates rest on.  So a group of a few rows is judged by
+its language mostly, a large one by itself, and nothing changes at any size at once; `own_weight` is the
+group's own share.  A row is rejected if its squared distance exceeds the cutoff.
 
 All rows count in every step; a step moves one row of sums per group and task, so a group that
 holds a third of all rows costs no more than others.  Estimates are joined by key, broadcast only
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opalstream.llm.common import Tables
@@ -36,7 +38,9 @@ SPACES = " \t\n\r\x0b\f"
 FEATURES = ("word_length", "symbols", "capitals", "marks", "repeats", "same_lines")
 #: Least standard deviation of each feature, so that one which is constant in most rows stays regular.
 LEAST_SD = (0.06, 0.03, 0.06, 0.025, 0.06, 0.12)
-SUPPORT, MIN_ROWS, BROADCAST_GROUPS = 0.75, 40, 20_000
+SUPPORT, PRIOR_ROWS, BROADCAST_GROUPS = 0.75, 40, 20_000
+#: The fixed scatter's standard deviations, in least ones.
+WIDE = 4.0
 STARTS, FIRST_STEPS, MOST_STEPS = 3, 2, 40
 #: A log determinant that falls by less than this has settled: quantiles are found to a thousandth.
 SETTLED = 1e-3
@@ -142,7 +146,7 @@ def regular(sd: np.ndarray, cor: np.ndarray, least_sd: np.ndarray) -> tuple[list
     return np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
-ESTIMATE = "k string, start int, n long, mean array<double>, precision array<double>, logdet double"
+ESTIMATE = "k string, start int, n long, mean array<double>, precision array<double>, logdet double, s array<double>"
 
 
 def _first(least_sd: tuple[float, ...]):
@@ -156,8 +160,8 @@ def _first(least_sd: tuple[float, ...]):
                 sd, (tanh, sign) = np.array(r.sd, float), (_matrix(np.array(x, float), d) for x in (r.tanh, r.sign))
                 for i, c in enumerate((np.eye(d), tanh, sign)):
                     own = np.sqrt(np.maximum(np.diag(c), 1e-300))
-                    rows.append((r.k, i, int(r.n), list(r.mean), regular(sd, c / np.outer(own, own), np.array(least_sd))[0], math.inf))
-            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet"])
+                    rows.append((r.k, i, int(r.n), list(r.mean), regular(sd, c / np.outer(own, own), np.array(least_sd))[0], math.inf, None))
+            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet", "s"])
 
     return first
 
@@ -170,16 +174,49 @@ def _solve(least_sd: tuple[float, ...]):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                n, s = r.n, np.array(r.s, float)
-                mean = s[:d] / n
-                cov = _matrix(s[d:] / n, d) - np.outer(mean, mean)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
-                rows.append((r.k, r.start, int(n), mean.tolist(), *regular(sd, cov / np.outer(sd, sd), np.array(least_sd))))
-            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet"])
+                mean, cov = moments(r.n, r.s, d)
+                rows.append((r.k, r.start, int(r.n), mean.tolist(), *regular_scatter(cov, np.array(least_sd)), list(r.s)))
+            yield pd.DataFrame(rows, columns=["k", "start", "n", "mean", "precision", "logdet", "s"])
 
     return solve
 
 
+def moments(n: int, s, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the number of rows and the sums of values and products."""
+    s = np.array(s, float)
+    mean = s[:d] / n
+    return mean, _matrix(s[d:] / n, d) - np.outer(mean, mean)
+
+
+def regular_scatter(cov: np.ndarray, least_sd: np.ndarray) -> tuple[list[float], float]:
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    return regular(sd, cov / np.outer(sd, sd), least_sd)
+
+
+def drawn(n: int, own: tuple[np.ndarray, np.ndarray], to: tuple[np.ndarray, np.ndarray], prior: int = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of n rows with those of `prior` more."""
+    w = n / (n + prior)
+    return w * own[0] + (1 - w) * to[0], w * own[1] + (1 - w) * to[1]
+
+
+def _draw(least_sd: tuple[float, ...]):
+    """Groups' sums with those of their language and of all (ln, ls, an, as) to the estimates that judge."""
+    d, least = len(least_sd), np.array(least_sd)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                mean, cov = moments(r.an, r.a, d)
+                every = drawn(r.an, (mean, cov), (mean, np.diag((WIDE * least) ** 2)))
+                lang = drawn(r.ln, moments(r.ln, r.ls, d), every)
+                mean, cov = drawn(r.n, moments(r.n, r.s, d), lang)
+                rows.append((r.k, r.l, mean.tolist(), regular_scatter(cov, least)[0], r.n / (r.n + PRIOR_ROWS), bool(r.settled)))
+            yield pd.DataFrame(rows, columns=["k", "l", "mean", "precision", "own_weight", "settled"])
+
+    return draw
+
+
 def _with(rows: DataFrame, table: DataFrame, on: str, how: str, groups: int) -> DataFrame:
     return rows.join(F.broadcast(table) if groups <= BROADCAST_GROUPS else table, on, how)
 
@@ -188,22 +225,6 @@ def _quantile(c: Column, p: float) -> Column:
     return F.percentile_approx(c, F.lit(p), F.lit(1000))
 
 
-def _keys(rows: DataFrame, tables: Tables, min_rows: int) -> DataFrame:
-    """g, k (the estimate that judges the group), judged_by, and ks: all estimates its rows go into."""
-    counts = tables.write(rows.groupBy("g").agg(F.count("*").alias("n"), F.first("l").alias("l")), "counts")
-    n, small = F.col("n"), F.col("n") < min_rows
-    langs = counts.groupBy("l").agg(F.sum("n").alias("ln"), F.max(small).alias("some_small"))
-    all_ = langs.agg(F.coalesce(F.sum("ln"), F.lit(0)).alias("total"), F.coalesce(F.max(F.col("some_small") & (F.col("ln") < min_rows)), F.lit(False)).alias("any_small"))
-    out = counts.join(langs, "l").crossJoin(F.broadcast(all_))  # one row
-    lang, whole = F.concat("l", F.lit("\x02")), F.lit("\x02")
-    by = F.when(n >= min_rows, "group").when(F.col("ln") >= min_rows, "language").when(F.col("total") >= min_rows, "all").otherwise("none")
-    k = F.when(by == "group", F.col("g")).when(by == "language", lang).when(by == "all", whole)
-    into = F.array(F.when(~small, F.col("g")), F.when(F.col("some_small") & (F.col("ln") >= min_rows), lang), F.when(F.col("any_small") & (F.col("total") >= min_rows), whole))
-    out = tables.write(out.select("g", k.alias("k"), by.alias("judged_by"), F.array_compact(into).alias("ks")), "keys")
-    tables.drop(counts)
-    return out
-
-
 def _starts(of: DataFrame, tables: Tables, groups: int, least_sd: tuple[float, ...]) -> DataFrame:
     d = len(least_sd)
     mid = tables.write(of.groupBy("k").agg(F.count("*").alias("n"), F.array(*[_quantile(F.col("x")[i], 0.5) for i in range(d)]).alias("mean")), "medians")
@@ -233,11 +254,12 @@ def concentrate(of: DataFrame, est: DataFrame, tables: Tables, groups: int, leas
     return out
 
 
-def fit(spark: SparkSession, rows: DataFrame, tables: Tables, least_sd=LEAST_SD, min_rows: int = MIN_ROWS) -> tuple[DataFrame, DataFrame, int]:
-    """rows (g, l, x) to estimates (k, mean, precision, logdet, scale), keys (g, k, judged_by) and the number of groups."""
-    keys = _keys(rows, tables, min_rows)
-    groups = keys.count()
-    of = tables.write(_with(rows, keys, "g", "inner", groups).select(F.explode("ks").alias("k"), "x"), "vectors")
+def fit(rows: DataFrame, tables: Tables, least_sd=LEAST_SD) -> tuple[DataFrame, int]:
+    """rows (g, l, x) to estimates (k, mean, precision, own_weight, settled, scale), one for each g, and their number."""
+    of = tables.write(rows.select(F.col("g").alias("k"), "l", "x"), "vectors")
+    langs = tables.write(of.groupBy("k").agg(F.first("l").alias("l")), "langs")
+    groups = langs.count()
+    of, vectors = of.select("k", "x"), of
     est = _starts(of, tables, groups, least_sd)
     for i in range(FIRST_STEPS):
         est, old = concentrate(of, est, tables, groups, least_sd, f"first{i}"), est
@@ -255,22 +277,35 @@ def fit(spark: SparkSession, rows: DataFrame, tables: Tables, least_sd=LEAST_SD,
         if open_.isEmpty():
             break
         open_ = tables.write(open_, f"open{i}")
+    own = done[0]
     for x in done[1:]:
-        done[0] = done[0].unionByName(x)
-    est = tables.write(done[0] if open_.isEmpty() else done[0].unionByName(open_), "settled")
-    # the scale that makes the median distance that of a chi-squared one, never below 1
+        own = own.unionByName(x)
+    own = own.withColumn("settled", F.lit(True)).unionByName(open_.withColumn("settled", F.lit(False)))
+    own = tables.write(_with(own.select("k", "n", "s", "settled"), langs, "k", "inner", groups), "own")
     d = len(least_sd)
-    near = _with(of, est, "k", "inner", groups).select("k", _distance(d).alias("dist"))
-    scale = tables.write(near.groupBy("k").agg(F.greatest(F.lit(1.0), _quantile(F.col("dist"), 0.5) / chi2_quantile(0.5, d)).alias("scale")), "scale")
-    out = tables.write(_with(est, scale, "k", "inner", groups), "estimates")
-    tables.drop(of, est, scale)
-    return out, keys.select("g", "k", "judged_by"), groups
-
-
-def judge(rows: DataFrame, est: DataFrame, keys: DataFrame, groups: int, tail: float = TAIL) -> DataFrame:
-    """rows (g, x, ...) with k, judged_by, distance2 (null without an estimate) and outlier."""
+    total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
+    size = d + d * (d + 1) // 2
+    lang = own.groupBy("l").agg(F.sum("n").alias("ln"), total("s", size).alias("ls"))
+    every = own.agg(F.sum("n").alias("an"), total("s", size).alias("a"))  # one row
+    drawn_ = _with(own, lang, "l", "inner", groups).crossJoin(F.broadcast(every)).mapInPandas(_draw(least_sd), "k string, l string, mean array<double>, precision array<double>, own_weight double, settled boolean")
+    est = tables.write(drawn_, "drawn")
+    # the scale that makes the median distance that of a chi-squared one, never below 1, drawn together in the same way
+    near = tables.write(_with(of, est, "k", "inner", groups).select("k", "l", _distance(d).alias("dist")), "distances")
+    middle = F.greatest(F.lit(1.0), _quantile(F.col("dist"), 0.5) / chi2_quantile(0.5, d))
+    mine = near.groupBy("k").agg(F.first("l").alias("l"), middle.alias("m"), F.count("*").alias("n"))
+    theirs, all_ = near.groupBy("l").agg(middle.alias("lm"), F.count("*").alias("ln")), near.agg(middle.alias("am"))
+    w = lambda n: F.col(n) / (F.col(n) + PRIOR_ROWS)
+    scales = _with(mine, theirs, "l", "inner", groups).crossJoin(F.broadcast(all_))  # one row
+    scales = scales.select("k", (w("n") * F.col("m") + (1 - w("n")) * (w("ln") * F.col("lm") + (1 - w("ln")) * F.col("am"))).alias("scale"))
+    out = tables.write(_with(est.drop("l"), scales, "k", "inner", groups), "estimates")
+    tables.drop(vectors, langs, own, est, near)
+    return out, groups
+
+
+def judge(rows: DataFrame, est: DataFrame, groups: int, tail: float = TAIL) -> DataFrame:
+    """rows (g, x, ...) with own_weight, settled, distance2 and outlier."""
     d = len(FEATURES)
-    rows = _with(_with(rows, keys, "g", "left", groups), est.select("k", "mean", "precision", "scale"), "k", "left", groups)
+    rows = _with(rows.withColumn("k", F.col("g")), est, "k", "left", groups)
     rows = rows.withColumn("distance2", _distance(d) / F.col("scale"))
     return rows.withColumn("outlier", F.coalesce(F.col("distance2") > chi2_quantile(1 - tail, d), F.lit(False)))
 
@@ -281,22 +316,21 @@ def _vectors(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, the base counts, base_failed, kept, distance2, judged_by."""
+    """Per row of docs: doc_id, the base counts, base_failed, kept, distance2, own_weight, settled."""
     tables = Tables(docs.sparkSession, "quality")
     rows = tables.write(_vectors(docs).select("doc_id", "g", "l", "s.*"), "stats")
-    est, keys, groups = fit(docs.sparkSession, rows, tables)
+    est, groups = fit(rows, tables)
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = judge(rows, est, keys, groups).withColumn("base_failed", bad)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"), "distance2", "judged_by")
+    out = judge(rows, est, groups).withColumn("base_failed", bad)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("outlier")).alias("kept"), "distance2", "own_weight", "settled")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that pass the base rules and are no outliers."""
-    spark = docs.sparkSession
-    tables = Tables(spark, "quality")
+    tables = Tables(docs.sparkSession, "quality")
     rows = tables.write(_vectors(docs).select("g", "l", "s.x"), "stats")
-    est, keys, groups = fit(spark, rows, tables)
+    est, groups = fit(rows, tables)
     whole = docs.select(F.struct("*").alias("doc")).select(
         "doc", group_key(F.col("doc.lang"), F.col("doc.source")).alias("g"), statistics(F.col("doc.text")).alias("s")
     ).select("doc", "g", "s", "s.x")
-    return judge(whole, est, keys, groups).filter(~F.col("outlier") & ~base_failed("s")).select("doc.*")
+    return judge(whole, est, groups).filter(~F.col("outlier") & ~base_failed("s")).select("doc.*")

@@ -794,31 +794,36 @@ def test_quality_counts(docs, rows):
     assert got == want
 
 
-def slow_estimate(x, least_sd):
-    """The minimum covariance determinant of rows x: starts, steps and choice as the operator's, row by row."""
-    n, d = x.shape
-    rank = lambda v, p: np.sort(v)[max(math.ceil(p * len(v)), 1) - 1]
-
-    def regular(sd, c):
-        own = np.sqrt(np.maximum(np.diag(c), 1e-300))
-        wide = np.maximum(sd, least_sd)
-        cov = (0.95 * c / np.outer(own, own) + 0.05 * np.eye(d)) * np.outer(wide, wide)
-        return np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-
-    def far(mean, precision):
-        return np.einsum("ij,jk,ik->i", x - mean, precision, x - mean)
-
-    def step(mean, precision, _):
-        dist = far(mean, precision)
-        near = x[dist <= rank(dist, quality_rules.SUPPORT)]
+def slow_regular(sd, c, least_sd):
+    own = np.sqrt(np.maximum(np.diag(c), 1e-300))
+    wide = np.maximum(sd, least_sd)
+    cov = (0.95 * c / np.outer(own, own) + 0.05 * np.eye(len(sd))) * np.outer(wide, wide)
+    return np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def slow_rank(v, p):
+    return np.sort(v)[max(math.ceil(p * len(v)), 1) - 1]
+
+
+def slow_far(x, mean, precision):
+    return np.einsum("ij,jk,ik->i", x - mean, precision, x - mean)
+
+
+def slow_nearest(x, least_sd):
+    """The rows that the minimum covariance determinant of x rests on: starts, steps and choice as the operator's."""
+    d = x.shape[1]
+
+    def step(mean, precision, *_):
+        dist = slow_far(x, mean, precision)
+        near = x[dist <= slow_rank(dist, quality_rules.SUPPORT)]
         c = np.cov(near.T, bias=True)
-        return (near.mean(axis=0), *regular(np.sqrt(np.maximum(np.diag(c), 1e-300)), c))
+        return (near.mean(axis=0), *slow_regular(np.sqrt(np.maximum(np.diag(c), 1e-300)), c, least_sd), near)
 
-    mid = np.array([rank(x[:, i], 0.5) for i in range(d)])
-    sd = np.maximum(least_sd, [1.4826 * rank(abs(x[:, i] - mid[i]), 0.5) for i in range(d)])
+    mid = np.array([slow_rank(x[:, i], 0.5) for i in range(d)])
+    sd = np.maximum(least_sd, [1.4826 * slow_rank(abs(x[:, i] - mid[i]), 0.5) for i in range(d)])
     z = (x - mid) / sd
     u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
-    starts = [(mid, *regular(sd, c)) for c in (np.eye(d), np.tanh(z).T @ np.tanh(z), u.T @ u)]
+    starts = [(mid, *slow_regular(sd, c, least_sd)) for c in (np.eye(d), np.tanh(z).T @ np.tanh(z), u.T @ u)]
     for _ in range(quality_rules.FIRST_STEPS):
         starts = [step(*e) for e in starts]
     best = min(starts, key=lambda e: e[2])
@@ -827,12 +832,37 @@ def slow_estimate(x, least_sd):
         if new[2] >= best[2] - quality_rules.SETTLED:
             break
         best = new
-    scale = max(1.0, rank(far(best[0], best[1]), 0.5) / quality_rules.chi2_quantile(0.5, d))
-    return lambda v: (v - best[0]) @ best[1] @ (v - best[0]) / scale
+    return best[3]
+
+
+def slow_distances(groups, least):
+    """groups (lang, source) to rows x; each one's distance to a vector, drawn towards its language's and that to all's."""
+    prior, d = quality_rules.PRIOR_ROWS, len(least)
+    near = {g: slow_nearest(x, least) for g, x in groups.items()}
+    of = lambda some: np.concatenate([near[g] for g in near if some(g)])
+    every, shapes = of(lambda g: True), {}
+    mix = lambda n, a, b: (n * a + prior * b) / (n + prior)
+    moments = lambda x: (x.mean(axis=0), np.cov(x.T, bias=True))
+    for g, x in near.items():
+        lang = of(lambda q, g=g: q[0] == g[0])
+        (m, c), (lm, lc), (am, ac) = moments(x), moments(lang), moments(every)
+        ac = mix(len(every), ac, np.diag((quality_rules.WIDE * least) ** 2))
+        lm, lc = mix(len(lang), lm, am), mix(len(lang), lc, ac)
+        m, c = mix(len(x), m, lm), mix(len(x), c, lc)
+        shapes[g] = m, slow_regular(np.sqrt(np.maximum(np.diag(c), 1e-300)), c, least)[0]
+    dist = {g: slow_far(x, *shapes[g]) for g, x in groups.items()}
+    middle = lambda some: max(1.0, slow_rank(np.concatenate([v for g, v in dist.items() if some(g)]), 0.5) / quality_rules.chi2_quantile(0.5, d))
+    size = lambda some: sum(len(v) for g, v in dist.items() if some(g))
+    out = {}
+    for g in groups:
+        mine, theirs = (lambda q, g=g: q == g), (lambda q, g=g: q[0] == g[0])
+        scale = mix(size(mine), middle(mine), mix(size(theirs), middle(theirs), middle(lambda q: True)))
+        out[g] = lambda v, g=g, scale=scale: slow_far(v[None, :], *shapes[g])[0] / scale
+    return out, {g: len(x) / (len(x) + prior) for g, x in near.items()}
 
 
 def test_outliers_by_brute_force(spark):
-    """Distances, verdicts and who judged, for large groups, small ones of a large language, and small languages."""
+    """Distances, weights and verdicts, for large groups, small ones of a large language, and small languages."""
     rng = random.Random(14)
     rows = []
     for i in range(330):
@@ -842,37 +872,23 @@ def test_outliers_by_brute_force(spark):
             text = "".join(ch.upper() if rng.random() < 0.7 else ch for ch in text).replace("A", rng.choice("#$A"))
         rows.append((i, rng.choice([text, text, text, text, text + "\n" + text]), lang, source))
     rows += [(1000, None, "en", "src0"), (1001, "", None, None), rows[3]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
-    least = np.array(quality_rules.LEAST_SD)
+    schema, least = "doc_id long, text string, lang string, source string", np.array(quality_rules.LEAST_SD)
     x = {r[0]: np.array(quality_rules.text_stats(r[1])[5]) for r in rows}
-    members = lambda f: np.array([x[r[0]] for r in rows if f(r)])
-    groups = {(r[2], r[3]): members(lambda q, r=r: q[2:] == r[2:]) for r in rows}
-    langs = {r[2]: members(lambda q, r=r: q[2] == r[2]) for r in rows}
-    estimates = {}
-
-    def judge(r):
-        for by, key, table in (("group", r[2:], groups), ("language", r[2], langs)):
-            if len(table[key]) >= quality_rules.MIN_ROWS:
-                break
-        else:
-            by, key, table = "all", 0, {0: members(lambda q: True)}
-        if (by, key) not in estimates:
-            estimates[by, key] = slow_estimate(table[key], least)
-        return by, estimates[by, key](x[r[0]])
-
-    cutoff, want = quality_rules.chi2_quantile(1 - quality_rules.TAIL, len(least)), {}
-    for r in rows:
-        by, far = judge(r)
-        n, _, _, _, repeats = slow_counts(r[1])
-        want[r[0]] = by, far, not (n < 10 or 100 * repeats > 20 * n) and far <= cutoff
-    got = quality_rules.quality_rules(docs).collect()
-    assert len(got) == len(rows) and {w[0] for w in want.values()} == {"group", "language", "all"}
-    for r in got:
-        by, far, kept = want[r.doc_id]
-        assert r.judged_by == by and math.isclose(r.distance2, far, rel_tol=1e-6, abs_tol=1e-9) and r.kept == kept, r.doc_id
-    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, w in want.items() if w[2]}
-    few = quality_rules.quality_rules(docs.filter("doc_id < 20")).collect()
-    assert {r.judged_by for r in few} == {"none"} and all(r.kept != r.base_failed and r.distance2 is None for r in few)
+    cutoff = quality_rules.chi2_quantile(1 - quality_rules.TAIL, len(least))
+    for some in (rows, rows[:20], rows[315:318]):
+        groups = {r[2:]: np.array([x[q[0]] for q in some if q[2:] == r[2:]]) for r in some}
+        distances, weights = slow_distances(groups, least)
+        docs, want = spark.createDataFrame(some, schema).repartition(3), {}
+        for r in some:
+            n, _, _, _, repeats = slow_counts(r[1])
+            far = distances[r[2:]](x[r[0]])
+            want[r[0]] = far, weights[r[2:]], not (n < 10 or 100 * repeats > 20 * n) and far <= cutoff
+        got = quality_rules.quality_rules(docs).collect()
+        assert len(got) == len(some)
+        for r in got:
+            far, weight, kept = want[r.doc_id]
+            assert math.isclose(r.distance2, far, rel_tol=1e-6, abs_tol=1e-9) and math.isclose(r.own_weight, weight) and r.settled and r.kept == kept, r.doc_id
+        assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, w in want.items() if w[2]}
 
 
 def test_outliers_go_and_clean_rows_stay(spark):
