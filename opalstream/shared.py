@@ -38,17 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _DIRS[app]
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 _SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("opalstream_scope", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables that operators write to the shared folder within this block are deleted at its end, so their results
-    must have been written or collected by then.  Without it they stay until the application ends."""
+    """Tables and files that operators write to the shared folder within this block are deleted at its end, so their
+    results must have been written or collected by then.  Without it they stay until the application ends."""
     paths: list[str] = []
     token = _SCOPE.set(paths)
     try:
@@ -60,11 +56,17 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             fs.delete(p, True)
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, freed with the scratch it is asked for in."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
+
+
 def materialised(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df, written once and read from there: whatever depends on where rows came to lie, or on their
     order, stays the same however often it is used, and when executors are lost."""
     path = new_path(df.sparkSession, tag)
-    if (scope := _SCOPE.get()) is not None:
-        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ page holds a row older than where the micro-batch before began (`boundary` at fi
 and rows of that very time come again, as more of them may have been written.  A row stamped anew while a walk is on its
 way leaves the pages to come, but its new time is beyond the offset, so the next walk finds it; so none is lost, and
 rows that come twice are for an upsert to merge.  A page is tried `attempts` times (3), on keys in turn (`keys`): a key
-that fails rests for `cooldown` seconds.
+that fails rests for `cooldown` seconds.  With `every` ("past:5") a listing is asked only in every so many rounds,
+the first included.
 
 In batch form all pages down to `boundary` are read, all there are without one.
 """
@@ -102,18 +103,21 @@ class PageReader(DataSourceReader):
 
 class PageStream(DataSourceStreamReader):
     def __init__(self, options):
-        self.options, self.pager = options, Pager(options)
+        self.options, self.pager, self.round, self.last = options, Pager(options), 0, {}
+        self.every = {x.partition(":")[0].strip(): int(x.partition(":")[2]) for x in options.get("every", "").split(",") if x}
 
     def initialOffset(self) -> dict:
         return {x: self.options.get("boundary", "") for x in listings(self.options)}
 
     def latestOffset(self) -> dict:
         """The newest time of each listing, before any page of the micro-batch is read."""
-        out = self.initialOffset()
+        out = self.initialOffset() | self.last
         for x in out:
-            rows = self.pager.page(x, None)
-            out[x] = max([out[x], *(r["updated_at"] for r in rows[:1])])
-        return out
+            if self.round % self.every.get(x, 1) == 0:
+                rows = self.pager.page(x, None)
+                out[x] = max([out[x], *(r["updated_at"] for r in rows[:1])])
+        self.round, self.last = self.round + 1, out
+        return dict(out)
 
     def partitions(self, start: dict, end: dict) -> list[Listing]:
         return [Listing(x, start.get(x) or None) for x in listings(self.options) if end[x] > start.get(x, "")]

@@ -120,6 +120,18 @@ def test_pages(spark, tmp_path, follow):
     assert min(got) < "2024-01-01T00:00:15" and sum(x < "2024-01-01T00:00:15" for x in got) < 9  # the rest of the last page counts
 
 
+def test_listings_asked_now_and_then(tmp_path):
+    put = lambda x, when: (tmp_path / f"{x}.json").write_text(json.dumps([{"id": "a", "updated_at": when}]))
+    put("running", "1"), put("past", "1")
+    reader = paging.PageStream({"client": "fake_client:listing", "listings": "running,past", "every": "past:3", "state": str(tmp_path)})
+    seen = []
+    for i in range(1, 5):
+        put("running", str(i)), put("past", str(i))
+        seen.append(reader.latestOffset())
+    assert [x["running"] for x in seen] == ["1", "2", "3", "4"] and [x["past"] for x in seen] == ["1", "1", "1", "4"]
+    assert [p.name for p in reader.partitions(seen[0], seen[1])] == ["running"]
+
+
 def test_tail(spark, tmp_path, follow):
     spark.dataSource.register(tail.TailLines)
     log = tmp_path / "logs/feed.csv"
