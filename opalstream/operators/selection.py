@@ -29,10 +29,13 @@ def by_rank(df: DataFrame, group: list[str], value: str, wanted: dict[object, ob
     keys = [f"_g{i}" for i in range(len(group))]
     stretch = [*keys, "_lo", "_hi"]
     rows = df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], F.col(value).alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    fractions = [i / SPLITTERS for i in range(SPLITTERS + 1)]
+    splitters = F.array_sort(F.array_distinct(F.percentile_approx("_v", fractions, 1000))).alias("_cuts")
+    sizes = materialised(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), splitters).filter("_n > 0"), "sizes")
+    cuts = sizes.select(*stretch, "_cuts")
     places = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), place(F.col("_n")).cast("long").alias("_place")) for k, place in wanted.items()]))
     # _place: among the values that are left, of which there are _n, from _lo to _hi
-    left = materialised(sizes.filter("_n > 0").withColumn("_x", places).select(*keys, "_x._name", "_x._place", "_n", "_lo", "_hi"), "ranks")
+    left = materialised(sizes.withColumn("_x", places).select(*keys, "_x._name", "_x._place", "_n", "_lo", "_hi"), "ranks")
     found = []
     while True:
         done = left.filter("_lo = _hi").select(*keys, "_name", F.col("_lo").alias("_v"))
@@ -42,11 +45,8 @@ def by_rank(df: DataFrame, group: list[str], value: str, wanted: dict[object, ob
         if many.isEmpty():
             break
         small = left.filter(F.col("_n") <= few)
-        # several ranks may share a stretch
-        stretches = many.select(*stretch).distinct()
-        fractions = [i / SPLITTERS for i in range(SPLITTERS + 1)]
-        cuts = _inside(rows, stretches, keys).groupBy(*stretch).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", fractions, 1000))).alias("_cuts"))
-        cuts = materialised(cuts, "cuts")
+        if cuts is None:  # several ranks may share a stretch
+            cuts = materialised(_inside(rows, many.select(*stretch).distinct(), keys).groupBy(*stretch).agg(splitters), "cuts")
         # bucket 2i + 1: at splitter i; 2i: between splitter i - 1 and i
         below = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
         bucket = 2 * below + F.exists("_cuts", lambda x: x == F.col("_v")).cast("int")
@@ -55,7 +55,7 @@ def by_rank(df: DataFrame, group: list[str], value: str, wanted: dict[object, ob
         counts = counts.withColumn("_upto", F.sum("_c").over(order))
         now = _joined(many.drop("_n"), counts, stretch).filter("_place < _upto and _place >= _upto - _c")
         now = now.select(*keys, "_name", (F.col("_place") - (F.col("_upto") - F.col("_c"))).alias("_place"), F.col("_c").alias("_n"), F.col("_from").alias("_lo"), F.col("_to").alias("_hi"))
-        left = materialised(now.unionByName(small), "ranks")
+        left, cuts = materialised(now.unionByName(small), "ranks"), None
     each = _inside(rows, left.select(*stretch).distinct(), keys).groupBy(*stretch, "_v").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*stretch).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # `few` values at most
     last = _joined(left, each.withColumn("_upto", F.sum("_c").over(order)), stretch).filter("_place < _upto and _place >= _upto - _c").select(*keys, "_name", "_v")

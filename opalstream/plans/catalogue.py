@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opalstream.functions import columns as C
-from opalstream.operators import analytics, catalog, console, events, gate, ordered, rules, scans
+from opalstream.operators import analytics, catalog, console, events, gate, ordered, rules, scans, trailing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -906,3 +906,12 @@ def stall_checks(d):
     s = log.groupBy(F.col("event_type").alias("source")).agg((F.max(F.when(F.col("event_id") % 3 > 0, F.col("event_id"))) - 400).alias("verified"), F.max(F.when(F.col("event_id") % 7 == 0, F.col("at"))).alias("last_us"))
     s = s.withColumn("verified", F.when(F.col("source") == "view", None).when(F.col("source") == "cart", head.top + 3).otherwise(F.col("verified")))
     return catalog.stall_checks(s, log.filter("value > 50"), "event_id", head.top + 5, head.now, max_window=250)
+
+
+@query(f"""with e as (select event_id, event_type, at, floor(value * 100)::bigint as v from {LOG}),
+j as (select a.event_type, a.at, a.event_id as seq, list_sort(list(s.v)) as v from e a join e s on s.event_type = a.event_type and s.event_id % 2 = 1 and s.at <= a.at and a.at - s.at <= 43200000000 and (s.at < a.at or s.event_id < a.event_id) where a.event_id % 2 = 0 group by all)
+select event_type, at, seq, v[1 + least(floor((len(v) - 1) * 0.05 + 0.5)::bigint, len(v) - 1)] as low from j where len(v) >= 20""")
+def trailing_quantile(d):
+    """A low quantile of the values of the last half day, for every other event of each kind."""
+    log = d.log.select("event_type", "at", F.col("event_id").alias("seq"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    return trailing.trailing_rank(log.filter("seq % 2 = 0"), log.filter("seq % 2 = 1"), ["event_type"], "at", "seq", "v", 43_200_000_000, 0.05, 20, "low")

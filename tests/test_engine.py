@@ -488,8 +488,9 @@ def test_sinks(spark, tmp_path):
     assert [r.i for r in sinks.recent(spark.createDataFrame([(i, f"t{i}") for i in range(5)], "i int, detect_iso string"), "i", 2, "t1").collect()] == [3, 4]
 
 
-def test_package_without_llm(tmp_path):
-    """The entry imports, and has the other queries, where the llm folder and the pipeline are gone."""
+@pytest.mark.parametrize("pipeline_stays", [False, True])
+def test_package_without_llm(tmp_path, pipeline_stays):
+    """The entry imports, and has the other queries, where the llm folder is gone, with the pipeline or without."""
     import shutil
     import subprocess
     import sys
@@ -497,6 +498,8 @@ def test_package_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "opalstream"), tmp_path / "opalstream", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    if pipeline_stays and os.path.exists(os.path.join(root, "corpus_pipeline.py")):
+        shutil.copy(os.path.join(root, "corpus_pipeline.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 

@@ -31,7 +31,7 @@ def slow_batches(rows, most_rows, most_bytes):
     return out
 
 
-@pytest.mark.parametrize("most_rows,most_bytes,bits", [(3, 100, 2), (7, 60, 3), (7, 10**6, 4), (15, 100, 4), (64, 500, 14)])
+@pytest.mark.parametrize("most_rows,most_bytes,bits", [(3, 100, 2), (7, 10**6, 4), (64, 500, 14)])
 def test_greedy_batches(spark, most_rows, most_bytes, bits):
     rng, rows = streams(most_rows)
     rows = [(s, i, rng.choice([None, 0, 5, 10, 40, 99, 101, 300])) for s, i in rows]
@@ -63,7 +63,7 @@ def slow_islands(rows, hold, resolve):
     return sorted(out + [(s, a, b, None) for s, (a, b, _) in state.items() if b is not None], key=str)
 
 
-@pytest.mark.parametrize("hold,resolve,bits", [(0, 0, 0), (3, 5, 1), (20, 4, 2), (6, 30, 2), (40, 40, 3), (9, 9, 14)])
+@pytest.mark.parametrize("hold,resolve,bits", [(0, 0, 0), (3, 5, 1), (20, 4, 2), (9, 30, 14)])
 def test_islands(spark, hold, resolve, bits):
     rng, rows = streams(hold)
     on, out = True, []
@@ -87,7 +87,7 @@ def slow_ring(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size,bits,keys", [(1, 1, 3), (2, 0, 4), (5, 3, 9), (50, 4, 20), (8, 14, 30)])
+@pytest.mark.parametrize("size,bits,keys", [(2, 0, 4), (5, 3, 9), (8, 14, 30)])
 def test_ring_dedup(spark, size, bits, keys):
     rng, rows = streams(size)
     rows = [(s, i, rng.choice([None, *range(BIG - 1, BIG + keys)])) for s, i in rows]
@@ -113,7 +113,7 @@ def slow_edge(rows, half_life, alpha=2.0, base_alpha=1.0, vocabulary=2000):
     return out
 
 
-@pytest.mark.parametrize("half_life,most_rows", [(0.5, 1 << 16), (7, 30), (300, 40), (4, 1 << 16)])
+@pytest.mark.parametrize("half_life,most_rows", [(0.5, 1 << 16), (300, 40)])
 def test_decayed_edge(spark, half_life, most_rows):
     rng, rows = streams(3, 500)
     rows = [(s, i, rng.choice(["p", "q", "r", None]), rng.choice([BIG, BIG - 1, 3, None])) for s, i in rows]

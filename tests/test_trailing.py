@@ -18,7 +18,7 @@ def slow(asked, samples, window, q, least):
     return out
 
 
-@pytest.mark.parametrize("q,least,window,bits", [(0.05, 3, 50, 2), (0.5, 1, 20, 1), (1.0, 1, 10, 3), (0.0, 0, 200, 2), (0.3, 1, 0, 2), (0.9, 2, 10_000, 4), (0.05, 20, 100, None)])
+@pytest.mark.parametrize("q,least,window,bits", [(0.05, 3, 50, 2), (0.5, 1, 20, 1), (1.0, 1, 0, 3), (0.0, 0, 200, 2), (0.9, 20, 10_000, None)])
 def test_trailing_rank(spark, q, least, window, bits):
     rng = random.Random(window)
     rows = [(rng.choice(["hot", "hot", "hot", "x", None]), rng.randrange(300), i) for i in range(700)]
