@@ -443,6 +443,22 @@ def slow_spans(text):
     return len(found["assign"]), len(found["access"]), len(found["hex"]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)
 
 
+def slow_redact(text, mark="[secret]"):
+    """Spans of whatever kind that overlap are one mark."""
+    if not text:
+        return text
+    parts, out, last = [], [], 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in slow_spans(text)[-1].split(",") if x):
+        if parts and a < parts[-1][1]:
+            parts[-1][1] = max(parts[-1][1], b)
+        else:
+            parts.append([a, b])
+    for a, b in parts:
+        out += [text[last:a], mark]
+        last = b
+    return "".join([*out, text[last:]])
+
+
 def secret_texts():
     rng = random.Random(12)
     token = lambda n, chars=DIGIT + LOWER + UPPER: "".join(rng.choice(chars) for _ in range(n))
@@ -984,14 +1000,18 @@ def test_pipeline(spark, docs, rows, tokenizer):
         seen[name] = step
         if name != "packing":
             assert step.columns == docs.columns, name
-    kept = {r.doc_id for r in seen["quality_rules"].collect()}
-    slow = {r[0]: slow_counts(r[1]) for r in rows}
-    assert all(slow[i][0] >= 10 and 100 * slow[i][4] <= 20 * slow[i][0] for i in kept)
+    stats = [(r, slow_counts(r[1]), np.array(quality_rules.text_stats(r[1])[5])) for r in rows]
+    far, _ = slow_distances({g: np.array([x for r, _, x in stats if r[2:4] == g]) for g in {r[2:4] for r in rows}}, np.array(quality_rules.LEAST_SD))
+    cutoff = quality_rules.chi2_quantile(1 - quality_rules.TAIL, len(quality_rules.LEAST_SD))
+    good = Counter(r[0] for r, n, x in stats if n[0] >= 10 and 100 * n[4] <= 20 * n[0] and far[r[2:4]](x) <= cutoff)
+    assert Counter(r.doc_id for r in seen["quality_rules"].collect()) == good
     after = [tuple(r)[:2] for r in seen["quality_rules"].select("doc_id", "text").collect()]
     want = brute_components(after, 5, 80, 100)
     assert Counter(r.doc_id for r in seen["near_dedup"].collect()) == Counter({i for i, _ in after if want[i][1] == i or i is None})
-    scan = secret_scan.EntropyScan(secret_scan.Entropy())
-    assert all(not secret_scan.base_spans(r.text or "") for r in seen["secret_scan"].collect()) and scan
+    redacted = lambda some: Counter((r.doc_id, slow_redact(r.text)) for r in some.collect())
+    assert Counter(tuple(r)[:2] for r in seen["secret_scan"].collect()) == redacted(seen["near_dedup"])
+    more = spark.createDataFrame([(i, t, "en", None, 0, "k", 1) for i, t in enumerate([*secret_texts(), None])], docs.schema)
+    assert Counter(tuple(r)[:2] for r in P.secrets(spark, more, "").collect()) == redacted(more)
     before = seen["secret_scan"].collect()
     assert Counter(r.doc_id for r in seen["mixing"].collect()) == Counter(d for d, _ in slow_mix([tuple(r) for r in before], mixing.Mix()).elements())
     texts, ids = Counter(tuple(r)[:2] for r in seen["mixing"].collect()), {}
@@ -1016,3 +1036,16 @@ def test_llm_queries_are_named():
     from opalstream.llm.queries import QUERIES
 
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_what_a_query_writes_can_be_freed(spark, docs):
+    """Within a scratch, every operator's tables and files go when it ends."""
+    from opalstream.llm import byte_bpe, collocations
+    from opalstream.shared import hadoop_path, scratch, shared_dir
+
+    where, fs = hadoop_path(spark, shared_dir(spark))
+    before = {str(f.getPath()) for f in fs.listStatus(where)}
+    for run in (near_dedup.near_duplicates, token_store.tokens_digest, fingerprints.fingerprint_digest, quality_rules.quality_rules, mixing.mixing_digest, byte_bpe.bpe_digest, collocations.collocations):
+        with scratch(spark):
+            assert run(docs).count() >= 0
+        assert {str(f.getPath()) for f in fs.listStatus(where)} == before, run.__name__
