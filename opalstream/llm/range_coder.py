@@ -2,7 +2,7 @@
 
 An id's probability is a mixture: w2 [id is the one last seen after the two before it] + w1 [... after the
 one before it] + w0 p0(id).  p0, order 0, shares its part among the block's distinct ids by their counts so
-far, brought up to date after 16, 32, 64 ... and then every REFRESH ids.  How often in a row orders 2 and 1
+far, brought up to date after 32, 128, 512 and then every REFRESH ids.  How often in a row orders 2 and 1
 have been right and whether they agree choose the weights, which move towards the orders that are right.
 The mixture's interval of an id is one piece: those of the two predicted ids come first, then the others' in
 ascending order, which are order 0's without these two.
@@ -103,7 +103,7 @@ class Mixer:
 
 def refreshed(steps: int) -> list[int]:
     """Where order 0 is brought up to date, and the end."""
-    return sorted({0, *(1 << k for k in range(4, REFRESH.bit_length())), *range(REFRESH, steps, REFRESH)} & set(range(steps))) + [steps]
+    return sorted({0, *(1 << k for k in range(5, REFRESH.bit_length(), 2)), *range(REFRESH, steps, REFRESH)} & set(range(steps))) + [steps]
 
 
 # --- coder
