@@ -24,7 +24,7 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 def use_store(spark: SparkSession) -> None:
-    """The state store that typed state needs; a store that the user has set stays."""
+    """Typed state needs the RocksDB store, so the session gets it unless a form of it is set."""
     key = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(key, ""):
         spark.conf.set(key, PROVIDER)
