@@ -618,7 +618,8 @@ def region_posterior(d):
 @query(f"""with s as (select user_id, day, avg(value) as share from {LOG} group by 1, 2), g as (select *, sum((share >= 30)::int) over (partition by user_id order by day) as isl from s)
 select user_id, day, streak from (select *, sum((share < 30)::int) over (partition by user_id, isl order by day)::bigint as streak from g) where streak >= 2""")
 def streak_below(d):
-    rows = d.log.groupBy("user_id", "day").agg(F.avg("value").alias("share"))
+    # a mean at the bar is at the bar, in whatever order its values were added up
+    rows = d.log.groupBy("user_id", "day").agg(F.round(F.avg("value"), 10).alias("share"))
     return analytics.streaks_below(rows, "user_id", "day", "share", 30.0, 2)
 
 

@@ -1,10 +1,14 @@
 """Queries without SQL over whole tables against versions of their own: seats in plain Python, Keccak-256 bit by bit."""
 
+import functools
+import operator
 import os
+import time
 from collections import Counter
 
 import pytest
 
+from opalstream.operators import analytics
 from opalstream.plans import catalogue
 
 SF = os.environ.get("OPAL_TEST_SF", "/root/testdata/sf0.01")
@@ -144,3 +148,14 @@ def test_seats(spark, query):
         assert sorted((r.network, r.user_id, r.epoch, r.state, r.reason, r.cooldowns) for r in got.collect()) == sorted(want) and len({w[3] for w in want}) > 2
     else:
         assert {(r.epoch, r.state): r.n for r in got.collect()} == Counter((e, s) for _, _, e, s, _, _ in want)
+
+
+def test_streak_below_at_the_bar(spark, tmp_path):
+    """A mean of exactly 30, whose values' sum in this order is a little less, isn't below the bar."""
+    at = [2.5, 32.94, 56.41, 23.49, 13.78, 50.88]
+    assert functools.reduce(operator.add, at) / 6 < 30
+    rows = [(f"2024-01-0{day} 00:00:00", 1, float(v)) for day, vs in ((1, at), (2, [1]), (3, [2])) for v in vs]
+    df = spark.createDataFrame(rows, "ts string, user_id long, value double").selectExpr("1L as event_id", "cast(ts as timestamp) as ts", "user_id", "'x' as event_type", "value", "'' as props")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["streak_below"](spark, str(tmp_path)).collect()
+    assert [(r.day, r.streak) for r in got] == [(19725, 2)]
