@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush, nsmallest
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -252,38 +254,34 @@ def seats(rows: DataFrame, network: list[str], peer: str, epoch: str, rules: Sea
     more, else is a candidate again, without a cooldown.
 
     Caps bind all peers of a network, so a network is folded evaluation by evaluation, one after the other; its
-    peers, a few thousand, are what is held.
+    peers are what is held.  An evaluation looks at who is online, core, trial, lost or due, not at all peers; what all
+    are in after it is returned from arrays.
     """
     r = rules or SeatRules()
     columns = [*network, epoch, peer, *SEAT_COLUMNS]
     rows = rows if "exploring" in rows.columns else rows.withColumn("exploring", F.lit(False))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, now, peers, here = None, None, {}, {}
-
-        def evaluate() -> list[tuple]:
-            out = _evaluate(peers, here, now, r)
-            return [(*mine, now, k, p.state, p.reason, p.cooldowns) for k, p in sorted(out.items())]
-
-        for pdf in batches:
-            out = []
-            for row in pdf[columns].itertuples(index=False, name=None):
-                net, at = row[: len(network)], row[len(network)]
-                if (net, at) != (mine, now):
+    n = len(network)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, now, here, all_ = None, None, {}, _Standing(r)
+        for b in batches:
+            fields = b.schema
+            for row in zip(*(b.column(c).to_pylist() for c in columns)):
+                net, at = row[:n], row[n]
+                if at != now or net != mine:
                     if mine is not None:
-                        out += evaluate()
+                        yield all_.evaluated(here, mine, now, fields, names)
                     if net != mine:
-                        peers = {}
+                        all_ = _Standing(r)
                     mine, now, here = net, at, {}
-                here[row[len(network) + 1]] = row[len(network) + 2 :]
-            yield pd.DataFrame(out, columns=names)
+                here[row[n + 1]] = row[n + 2 :]
         if mine is not None:
-            yield pd.DataFrame(evaluate(), columns=names)
+            yield all_.evaluated(here, mine, now, fields, names)
 
     names = [*network, epoch, peer, "state", "reason", "cooldowns"]
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in names[:-3]) + ", state string, reason string, cooldowns long"
-    return rows.select(*columns).repartition(*network).sortWithinPartitions(*network, epoch, peer).mapInPandas(fold, schema)
+    return rows.select(*columns).repartition(*network).sortWithinPartitions(*network, epoch, peer).mapInArrow(fold, schema)
 
 
 @dataclass
@@ -299,70 +297,124 @@ class _Seat:
     explore: bool = False
 
 
-def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) -> dict[str, _Seat]:
-    for k in here:
-        peers.setdefault(k, _Seat())
-    share = {k: v[0] for k, v in here.items()}
-    exploring = any(v[6] for v in here.values())
-    room = r.trial_seats + (r.explore_seats if exploring else 0)
-    online = {k for k, v in here.items() if v[1]}
-    in_state = lambda s: [k for k in sorted(peers) if peers[k].state == s and (k in online or s == "lost")]
-    lowest = lambda ks: min(ks, key=lambda k: (share[k], k))
-
-    def go(k: str, state: str, reason: str, **also) -> None:
-        p = peers[k]
+SEAT_STATES = ["candidate", "trial", "core", "lost", "cooldown"]
+
+
+class _Network:
+    """The seats of a network, and which peers are in which state, so that an evaluation needn't look at all of them."""
+
+    def __init__(self, peers: dict, r: SeatRules):
+        self.peers, self.rules = peers, r
+        self.by_state: dict[str, set] = {s: set() for s in SEAT_STATES}
+        for k, p in peers.items():
+            self.by_state[p.state].add(k)
+        self.due = [(peers[k].until, k) for k in self.by_state["cooldown"]]
+        heapify(self.due)
+        self.changed: set = set()
+
+    def go(self, k, state: str, reason: str, **also) -> None:
+        p = self.peers[k]
+        self.by_state[p.state].discard(k)
+        self.by_state[state].add(k)
+        self.changed.add(k)
         p.state, p.reason, p.below, p.explore = state, reason, 0, False
         for name, v in also.items():
             setattr(p, name, v)
 
-    def cool(k: str, reason: str, silent: bool) -> None:
-        n = peers[k].cooldowns + 1
+    def cool(self, k, reason: str, silent: bool, now: float) -> None:
+        r, n = self.rules, self.peers[k].cooldowns + 1
         hours = r.cooldown_hours[min(n, len(r.cooldown_hours)) - 1]
-        go(k, "cooldown", reason, cooldowns=n, until=now + (max(hours, r.silent_hours) if silent else hours))
-
-    for k, p in sorted(peers.items()):
-        if k not in online and p.state == "core":
+        until = now + (max(hours, r.silent_hours) if silent else hours)
+        self.go(k, "cooldown", reason, cooldowns=n, until=until)
+        heappush(self.due, (until, k))
+
+    def evaluate(self, here: dict, now: float) -> None:
+        peers, r, go = self.peers, self.rules, self.go
+        candidates, trial, core, lost, _ = (self.by_state[s] for s in SEAT_STATES)
+        for k in here:
+            if k not in peers:
+                peers[k] = _Seat()
+                candidates.add(k)
+                self.changed.add(k)
+        share = lambda k: here[k][0]
+        exploring = any(v[6] for v in here.values())
+        room = r.trial_seats + (r.explore_seats if exploring else 0)
+        online = {k for k, v in here.items() if v[1]}
+        lowest = lambda ks: min(ks, key=lambda k: (share(k), k))
+
+        back = lost & online
+        for k in core - online:
             go(k, "lost", "offline", lost=now)
-        elif k not in online and p.state == "trial":
+        for k in trial - online:
             go(k, "candidate", "offline")
-        elif k in online and p.state == "lost":
-            go(k, "core", "back", since=now if p.since is None else p.since)
-    for k in sorted(online):
-        if peers[k].state == "candidate" and (taken := len(in_state("trial"))) < room:
-            go(k, "trial", "admitted", observed=False, explore=taken >= r.trial_seats)
-    for k in sorted(online):
-        if here[k][2] and peers[k].state not in ("core", "cooldown"):
-            cool(k, "silent", True)
-    for k, p in sorted(peers.items()):
-        if p.state == "cooldown" and now >= p.until:
-            go(k, "candidate", "cooled")
-    homes = sum(here[k][5] for k in in_state("core"))
-    for k in in_state("core"):
-        p, home = peers[k], here[k][5]
-        if here[k][4] < r.least_seen:
-            continue
-        p.below = p.below + 1 if share[k] < r.demote else 0
-        if p.below >= r.demote_rounds and not (home and homes <= r.home_floor):
-            homes -= home
-            go(k, "trial", "demoted", observed=True)
-        if p.since is not None and now - p.since > r.stable_hours:
-            p.cooldowns = 0
-    for k in in_state("lost"):
-        if now - peers[k].lost > r.lost_hours:
-            go(k, "candidate", "lost")
-    for k in in_state("trial"):
-        peers[k].observed = peers[k].observed or here[k][3]
-        if peers[k].observed and share[k] >= r.promote:
-            go(k, "core", "promoted", since=now)
-    for k in in_state("trial"):
-        if peers[k].explore and not exploring:
-            peers[k].explore = False
-            if share[k] < r.promote:
-                go(k, "candidate", "explored")
-    while len(cores := in_state("core")) > r.core_max:
-        go(lowest(cores), "trial", "over the cap", observed=True)
-    if last := [k for k in in_state("trial") if peers[k].observed and not peers[k].explore]:
-        cool(lowest(last), "lowest", False)
+        for k in back:
+            go(k, "core", "back", since=now if peers[k].since is None else peers[k].since)
+        # whoever is core or trial is online from here on
+        for k in nsmallest(max(0, room - len(trial)), online & candidates):
+            go(k, "trial", "admitted", observed=False, explore=len(trial) >= r.trial_seats)
+        for k in online:
+            if here[k][2] and peers[k].state not in ("core", "cooldown"):
+                self.cool(k, "silent", True, now)
+        while self.due and now >= self.due[0][0]:
+            until, k = heappop(self.due)
+            if peers[k].state == "cooldown" and peers[k].until == until:
+                go(k, "candidate", "cooled")
+        homes = sum(here[k][5] for k in core)
+        for k in sorted(core):
+            p, home = peers[k], here[k][5]
+            if here[k][4] < r.least_seen:
+                continue
+            p.below = p.below + 1 if share(k) < r.demote else 0
+            if p.below >= r.demote_rounds and not (home and homes <= r.home_floor):
+                homes -= home
+                go(k, "trial", "demoted", observed=True)
+            if p.since is not None and now - p.since > r.stable_hours:
+                p.cooldowns = 0
+                self.changed.add(k)
+        for k in list(lost):
+            if now - peers[k].lost > r.lost_hours:
+                go(k, "candidate", "lost")
+        for k in list(trial):
+            peers[k].observed = peers[k].observed or here[k][3]
+            if peers[k].observed and share(k) >= r.promote:
+                go(k, "core", "promoted", since=now)
+        for k in list(trial):
+            if peers[k].explore and not exploring:
+                peers[k].explore = False
+                if share(k) < r.promote:
+                    go(k, "candidate", "explored")
+        if len(core) > r.core_max:
+            for k in nsmallest(len(core) - r.core_max, core, key=lambda k: (share(k), k)):
+                go(k, "trial", "over the cap", observed=True)
+        if last := [k for k in trial if peers[k].observed and not peers[k].explore]:
+            self.cool(lowest(last), "lowest", False, now)
+
+
+class _Standing:
+    """A network and, as arrays in the order in which its peers came, what they are in."""
+
+    def __init__(self, r: SeatRules):
+        self.network, self.at, self.labels = _Network({}, r), {}, {}
+        self.state, self.reason, self.cooldowns = (np.zeros(64, t) for t in (np.int8, np.int8, np.int64))
+
+    def evaluated(self, here: dict, net: tuple, now, fields: pa.Schema, names: list[str]) -> pa.RecordBatch:
+        self.network.evaluate(here, now)
+        for k in self.network.changed:
+            i = self.at.setdefault(k, len(self.at))
+            if i == len(self.state):
+                self.state, self.reason, self.cooldowns = (np.concatenate([x, np.zeros_like(x)]) for x in (self.state, self.reason, self.cooldowns))
+            p = self.network.peers[k]
+            self.state[i], self.reason[i], self.cooldowns[i] = SEAT_STATES.index(p.state), self.labels.setdefault(p.reason, len(self.labels)), p.cooldowns
+        self.network.changed.clear()
+        n = len(self.at)
+        types = [fields.field(c).type for c in names[:-3]]
+        fixed = [pa.repeat(pa.scalar(v, t), n) for v, t in zip([*net, now], types)]
+        text = lambda values, codes: pa.array(values, pa.string()).take(pa.array(codes[:n]))
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(list(self.at), types[-1]), text(SEAT_STATES, self.state), text(list(self.labels), self.reason), pa.array(self.cooldowns[:n])], names)
+
+
+def _evaluate(peers: dict[str, _Seat], here: dict, now: float, r: SeatRules) -> dict[str, _Seat]:
+    _Network(peers, r).evaluate(here, now)
     return peers
 
 

@@ -159,3 +159,14 @@ def test_streak_below_at_the_bar(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = catalogue.QUERIES["streak_below"](spark, str(tmp_path)).collect()
     assert [(r.day, r.streak) for r in got] == [(19725, 2)]
+
+
+def test_seats_of_many_peers(spark):
+    """An evaluation looks at who is online, not at all peers for each of them: this took minutes."""
+    n = 20_000
+    rows = spark.range(4 * n).selectExpr("'n' as network", f"id % {n} as user_id", f"(id div {n}) * 6 as epoch", "(id % 7) / 100.0D as share", "true as online", "id % 11 = 3 as silent", "true as observed", "50 as seen", "id % 5 = 0 as home")
+    rows = rows.withColumn("exploring", rows.epoch == 6)
+    began = time.time()
+    got = Counter((r.epoch, r.state) for r in analytics.seats(rows, ["network"], "user_id", "epoch", catalogue.SEAT_RULES).collect())
+    assert sum(got.values()) == 4 * n and {s for e, s in got if e == 18} >= {"core", "cooldown", "candidate"}
+    assert time.time() - began < 60
