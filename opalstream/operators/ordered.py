@@ -175,5 +175,6 @@ def condition_runs(df: DataFrame, key: list[str], at: str, on: str) -> DataFrame
 def lead_summary(df: DataFrame, lead_us: str) -> DataFrame:
     """One row: p10, p50, p90, least and most lead in milliseconds, by nearest rank; null without rows."""
     names = {0.1: "lead_ms_p10", 0.5: "lead_ms_p50", 0.9: "lead_ms_p90", 0.0: "lead_ms_min", 1.0: "lead_ms_max"}
-    got = nearest_rank(df.select(lead_us), [], lead_us, list(names))
+    leads = materialised(df.select(lead_us), "leads")  # read several times, and mostly a join's
+    got = nearest_rank(leads, [], lead_us, list(names))
     return got.agg(*[F.max(F.when(F.col("q") == q, F.col(lead_us) / 1000.0)).alias(n) for q, n in names.items()])

@@ -43,3 +43,17 @@ def test_no_sort_of_all_rows(spark):
     assert "rangepartitioning" not in plan
     got = {r.g: r.v for r in ordered.nearest_rank(df, ["g"], "v", [0.5]).collect()}
     assert got == {g: sorted(r.v for r in df.filter(F.col("g") == g).collect())[math.floor((n - 1) * 0.5 + 0.5)] for g, n in ((0, 33_334), (1, 33_333), (2, 33_333))}
+
+
+def test_lead_summary_reads_its_rows_once(spark):
+    """Leads mostly come from a join, which passes over them mustn't repeat."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    n = 200_000
+    got = ordered.lead_summary(spark.range(n).select(counted("id").alias("lead")), "lead").first()
+    assert (got.lead_ms_min, got.lead_ms_max) == (0.0, (n - 1) / 1000) and seen.value == n
