@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalstream.operators.scans import key_text
 from opalstream.shared import materialised
 from opalstream.functions.columns import game, normal_name, ratio, safe_int, truthy
 
@@ -101,15 +102,66 @@ def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
     return each.agg(F.coalesce(F.sum(F.col("c") / F.col("t") * F.log2(F.col("c") * F.col("t") / (F.col("ca") * F.col("cb")))), F.lit(0.0)).alias("bits"))
 
 
+def _before(codes: np.ndarray) -> np.ndarray:
+    """How often each element has come before."""
+    order = np.argsort(codes, kind="stable")
+    at = codes[order]
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out = np.empty(len(codes), np.int64)
+    out[order] = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    return out
+
+
 def prequential_bf(rows: DataFrame, stream: list[str], order: list[str], parent: str, child: str, alpha: float = 2.0, base_alpha: float = 1.0, vocabulary: int = 2000) -> DataFrame:
     """stream, n, log10_bf: sum over rows of log10 of the conditional over the marginal prediction, each from the rows
-    before it in its stream; without decay these are running counts, so windows do."""
+    before it in its stream; without decay these are running counts.
+
+    Rows are sorted once and gone through batch by batch; what is held of a stream is how often each parent, child and
+    pair has come."""
+    names = list(dict.fromkeys(stream))
     rows = rows.filter(F.col(parent).isNotNull() & F.col(child).isNotNull())
-    before = lambda *c: F.count("*").over(Window.partitionBy(*stream, *c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"_t": before(), "_m": before(child), "_n": before(parent), "_c": before(parent, child)})
-    base = (F.col("_m") + base_alpha / vocabulary) / (F.col("_t") + base_alpha)
-    p = (F.col("_c") + alpha * base) / (F.col("_n") + alpha)
-    return rows.groupBy(*stream).agg(F.count("*").alias("n"), F.sum(F.log10(p / base)).alias("log10_bf"))
+    rows = rows.select(*dict.fromkeys([*stream, *order]), key_text(stream).alias("_k"), F.col(parent).alias("_a"), F.col(child).alias("_b"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, first, n, total, seen = None, None, 0, 0.0, {}
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*first.columns, pa.array([n], pa.int64()), pa.array([total])], [*names, "n", "log10_bf"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            done = []
+            k, a, b = (batch.column(c).dictionary_encode() for c in ("_k", "_a", "_b"))
+            ks = k.indices.to_numpy(zero_copy_only=False)
+            x, y = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (a, b))
+            xs, ys = ([str(v) for v in c.dictionary.to_pylist()] for c in (a, b))  # so that a NaN is itself
+            kinds = [(x, lambda i: (0, xs[i])), (y, lambda i: (1, ys[i])), (x * len(ys) + y, lambda i: (xs[i // len(ys)], ys[i % len(ys)], 2))]
+            cuts = (np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(ks)]):
+                if (key := k.dictionary[int(ks[i])].as_py()) != mine or first is None:
+                    if first is not None:
+                        done.append(ended())
+                    mine, first, n, total, seen = key, batch.select(names).slice(i, 1), 0, 0.0, {}
+                counts = []
+                for codes, name in kinds:
+                    some, where, times = np.unique(codes[i:j], return_inverse=True, return_counts=True)
+                    keys = [name(int(c)) for c in some]
+                    had = np.array([seen.get(c, 0) for c in keys], np.int64)
+                    counts.append((had[where] + _before(where)).astype(float))
+                    seen.update(zip(keys, (had + times).tolist()))
+                of_parent, of_child, of_both = counts
+                base = (of_child + base_alpha / vocabulary) / (n + np.arange(j - i) + base_alpha)
+                total += float(np.log10((of_both + alpha * base) / (of_parent + alpha) / base).sum())
+                n += j - i
+            if done:
+                yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        if first is not None:
+            yield ended()
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n long, log10_bf double"])
+    return rows.repartition("_k").sortWithinPartitions("_k", *order).mapInArrow(fold, schema)
 
 
 def beta_interval(a: Column, b: Column, draws: int = 1500, seed: int = 7) -> Column:

@@ -144,3 +144,29 @@ def test_scratch_frees_what_was_written(spark):
         rows = scans.ring_dedup(spark.range(50).select(F.lit(1).alias("s"), (F.col("id") % 7).alias("k"), "id"), ["s"], ["k"], ["id"], 3, 2).collect()
         assert rows and paths and held() > before
     assert held() == before
+
+
+def test_prequential_bf_sorts_once(spark):
+    """Against running counts row by row, a stream longer than an Arrow batch and a null one included; no windows."""
+    import math
+    import random
+
+    from opalstream.operators import analytics
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "x", "y"]) if i % 3 else "long", i, rng.choice([None, "p", "q", "r"]), rng.choice([1.0, 2.0, float("nan")])) for i in range(45_000)]
+    df = spark.createDataFrame(rows, "s string, i long, p string, c double").repartition(7)
+    out = analytics.prequential_bf(df, ["s"], ["i"], "p", "c")
+    seen, want = {}, {}
+    for s, _, p, c in rows:
+        if p is not None:
+            t, m, n, b = (seen.get(k, 0) for k in ((s,), (s, 1, str(c)), (s, 2, p), (s, p, str(c))))
+            base = (m + 1 / 2000) / (t + 1)
+            k, bf = want.get(s, (0, 0.0))
+            want[s] = k + 1, bf + math.log10((b + 2 * base) / (n + 2) / base)
+            for key in ((s,), (s, 1, str(c)), (s, 2, p), (s, p, str(c))):
+                seen[key] = seen.get(key, 0) + 1
+    got = {r.s: (r.n, r.log10_bf) for r in out.collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    assert "Window" not in out._jdf.queryExecution().sparkPlan().toString()  # each window would sort, and hold, a task's rows again
