@@ -62,19 +62,9 @@ class Tables:
         self.spark.sparkContext._jvm.System.gc()
 
 
-class WordHash(dict):
-    """Word bytes to a 64-bit hash; bounded, as vocabularies are not."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each; hashing a word costs less than keeping it, as vocabularies are large."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -103,4 +93,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = (h ^ words[i : i + m]) * M3
         h = h ^ (h >> _S29)
-    return np.unique(mix(h))
+    h = np.sort(mix(h))
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]

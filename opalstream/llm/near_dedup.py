@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opalstream.llm.common import Tables, WordHash, lower_words, mix, shingle_hashes
+from opalstream.llm.common import Tables, lower_words, mix, shingle_hashes, word_hashes
 from opalstream.llm.components import components
 
 
@@ -107,11 +107,11 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 def _sketch(cfg: Near):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, (xor, mul) = WordHash(), _family(cfg.coordinates)
+        xor, mul = _family(cfg.coordinates)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                h = shingle_hashes(words.of(lower_words(text)), cfg.shingle)
+                h = shingle_hashes(word_hashes(lower_words(text)), cfg.shingle)
                 if not len(h):
                     rows.append((doc, 0, None, None, None, None))
                     continue
@@ -229,13 +229,13 @@ def _likely(cfg: Near):
 
 def _sets(cfg: Near, table):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, bits = WordHash(), table.value
+        bits = table.value
         for pdf in batches:
             named = pdf["doc_id"].notna().to_numpy()
             bit = pdf["bit"].fillna(0).to_numpy(np.int64)
             rows, hit = [], ~named | (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
             for doc, text in zip(pdf["doc_id"].to_numpy()[hit], pdf["text"].to_numpy()[hit]):
-                h = shingle_hashes(words.of(lower_words(text)), cfg.shingle)
+                h = shingle_hashes(word_hashes(lower_words(text)), cfg.shingle)
                 rows.append((_nameless(_digest(h)) if pd.isna(doc) else int(doc), h.tobytes()))
             yield pd.DataFrame(rows, columns=["rep", "set"]).astype({"rep": "int64"})
 

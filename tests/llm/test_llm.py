@@ -1049,3 +1049,18 @@ def test_what_a_query_writes_can_be_freed(spark, docs):
         with scratch(spark):
             assert run(docs).count() >= 0
         assert {str(f.getPath()) for f in fs.listStatus(where)} == before, run.__name__
+
+
+def test_shingle_hashes_hold_no_vocabulary():
+    """Words are hashed as they come; shingles are distinct and in order."""
+    import numpy as np
+    import xxhash
+
+    from opalstream.llm import common
+
+    words = common.lower_words("A b c a B C a b d " * 3)
+    h = common.word_hashes(words)
+    assert h.dtype == np.uint64 and h.tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    s = common.shingle_hashes(h, 3)
+    assert (s[1:] > s[:-1]).all() and len(s) == len({tuple(words[i : i + 3]) for i in range(len(words) - 2)})
+    assert len(common.shingle_hashes(h[:2], 3)) == 1 and len(common.shingle_hashes(h[:0], 3)) == 0
