@@ -826,7 +826,8 @@ union all select stream, arrival, seq, 'StaleRound' from b where stale)"""
 
 
 def gate_rows(d) -> DataFrame:
-    li = d.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_linestatus").alias("stream"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supp"), F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("qty"))
+    # shuffled first: texts are aggregated by sorting, which before the shuffle would join hardly any rows
+    li = d.lineitem.repartition("l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_linestatus").alias("stream"), F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supp"), F.max("l_partkey").alias("part"), F.max("l_quantity").cast("long").alias("qty"))
     return li.select(
         "stream", (F.col("l_orderkey") * 1_000_000).alias("arrival"), F.col("l_linenumber").alias("seq"), F.when(F.col("flag") == "R", "dispute").otherwise("propose").alias("kind"), F.expr("supp div 10").alias("requester"),
         (F.col("part") % 3).alias("question"), F.expr("l_orderkey div 500").alias("timestamp"), (F.col("qty") % 5 == 0).cast("long").alias("price"), (F.col("part") % 40).alias("sender"), F.col("qty").alias("tip_gwei"), F.col("l_orderkey").cast("string").alias("tx"), (F.col("l_linenumber") == 7).alias("confirmed"),

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from opalstream.operators import gate, trailing
 from opalstream.operators.trailing import place, trailing_rank
 
 ASKED, SAMPLES = "s string, at long, seq long", "s string, at long, seq long, v long"
@@ -38,3 +39,28 @@ def test_nothing_to_ask(spark):
 def test_a_sample_at_the_same_place_is_not_before(spark):
     asked, samples = spark.createDataFrame([("a", 5, 1), ("a", 5, 2)], ASKED), spark.createDataFrame([("a", 5, 1, 7)], SAMPLES)
     assert [(r.seq, r.rank_value) for r in trailing_rank(asked, samples, ["s"], "at", "seq", "v", 0, 0.5, 1).collect()] == [(2, 7)]
+
+
+def test_questions_cost_no_timeline(spark, monkeypatch):
+    """What is answered one by one are samples' moves; questions, however many, take the last answer before them, across
+    parts, and with `every` keep their columns."""
+    written = {}
+
+    def noted(df, tag, real=trailing.materialised):
+        written[tag] = real(df, tag)
+        return written[tag]
+
+    monkeypatch.setattr(trailing, "materialised", noted)
+    samples = [(s, 10 * i, 0, i % 7) for s in ("a", "b") for i in range(30)]
+    asked = [(s, t, 1) for s in ("a", "b", "c") for t in range(1000)]
+    df = spark.createDataFrame(asked, ASKED).selectExpr("*", "at * 2 as more").repartition(5)
+    got = trailing_rank(df, spark.createDataFrame(samples, SAMPLES), ["s"], "at", "seq", "v", 100, 0.5, 3, every=True).collect()
+    want = slow(asked, samples, 100, 0.5, 3)
+    assert written["timeline"].count() == 2 * len(samples)
+    assert sorted(map(tuple, got)) == sorted((s, t, n, 2 * t, want.get((s, t, n))) for s, t, n in asked)
+
+
+def test_sessions_are_shuffled_once(spark):
+    rows = spark.createDataFrame([], "s string, arrival long, seq int, kind string, requester long, question long, timestamp long, price long, sender long, tip_gwei long, tx string, confirmed boolean")
+    plan = gate.sessions(rows, "s", gate.GateSettings())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
