@@ -15,6 +15,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from opalstream.operators.ordered import global_sequence
 from opalstream.shared import materialised
 
 BITS = 14
+_PLAIN = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -35,7 +37,9 @@ def numbered(df: DataFrame, stream: list[str], order: list[str], bits: int = BIT
     """df with _k, the stream, _g, rows' numbers from 0 by stream and order, and _block; a stream's numbers follow each
     other without gaps, and a block of a stream is at most 2^bits of its rows."""
     rows = df.withColumn("_k", key_text(stream))
-    return global_sequence(rows, ["_k", *order], "_g", 0).withColumn("_block", F.shiftright("_g", bits))
+    # numbers and the like first: sorting compares few bytes of texts at once, and those of _k begin alike
+    plain = [c for c, t in df.dtypes if c in stream and t in _PLAIN]
+    return global_sequence(rows, [*plain, "_k", *order], "_g", 0).withColumn("_block", F.shiftright("_g", bits))
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -360,47 +364,48 @@ def ring_dedup(df: DataFrame, by: list[str], key: list[str], order: list[str], s
 # --- decayed counts
 
 
-def _carry_schema(sums: DataFrame, key: list[str]) -> str:
-    types = dict(sums.dtypes)
-    return ", ".join([*(f"`{c}` {types[c]}" for c in key), "_span long, _carry double, _prev long"])
-
-
-def _carried(key: list[str], half_life: float):
-    """What each stretch of a key is entered with, and the number of the row before it."""
+def _carried(half_life: float):
+    """What each key of a stretch is entered with, and the number of the key's row before it."""
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, total, last = None, 0.0, None
         for b in batches:
             out = []
-            for *k, end, s in zip(*(b.column(c).to_pylist() for c in [*key, "_end", "_sum"])):
-                k = [str(x) for x in k]  # so that a NaN is itself
+            for *k, end, s in zip(*(b.column(c).to_pylist() for c in ("_k", "_a", "_b", "_end", "_sum"))):
+                k = [repr(x) for x in k]  # so that a NaN is itself, and a null no text
                 if k != mine:
                     mine, total, last = k, 0.0, None
                 out.append((total, last))
                 total, last = s if last is None else total * 2.0 ** -((end - last) / half_life) + s, end
             carry = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*key, "_span"]), *carry], [*key, "_span", "_carry", "_prev"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_k", "_block", "_a", "_b")), *carry], ["_k", "_block", "_a", "_b", "_carry", "_prev"])
 
     return carried
 
 
-def _decayed(rows: DataFrame, key: list[str], half_life: float, span: int, name: str) -> DataFrame:
-    """Adds {name}_s and {name}_g: the number of rows of this key before this one, each halved with every half_life rows
-    of the stream from it to the last of them, and that last one's number; 0 and null without any.
+def _before(code: np.ndarray, g: np.ndarray, at: np.ndarray, half_life: float, keys: np.ndarray, carry: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of a stretch's keys, in order: the number of the key's rows before, each halved with every half_life rows
+    from it to the last of them, and that last one's number; 0 and -1 without any.  at: g within the stretch; keys,
+    carry, prev: what keys are entered with."""
+    order = np.argsort(code, kind="stable")
+    code, g, at = code[order], g[order], at[order]
+    inside = pd.Series(np.exp2(at / half_life)).groupby(code, sort=False).cumsum().to_numpy()
+    again = np.concatenate([[False], code[1:] == code[:-1]])
+    last, total = np.where(again, np.roll(g, 1), -1), np.where(again, np.roll(inside, 1) * np.exp2(-np.roll(at, 1) / half_life), 0.0)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        known = keys[place] == code
+        since = np.where(last < 0, 0, last - prev[place])
+        total += np.where(known, carry[place] * np.exp2(-np.where(known, since, 0) / half_life), 0.0)
+        last = np.where(known & (last < 0), prev[place], last)
+    out = np.empty_like(total), np.empty_like(last)
+    out[0][order], out[1][order] = total, last
+    return out
 
-    Within `span` rows of a stream powers stay small; stretches' sums, a row each, are added up one after the other."""
-    place = F.expr(f"_g div {span}")
-    up = lambda g: F.pow(F.lit(2.0), g / half_life)
-    rows = rows.withColumn("_span", place)
-    at = F.col("_g") - F.col("_span") * span
-    w = Window.partitionBy(*key, "_span").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_in": F.sum(up(at)).over(w), "_last": F.max("_g").over(w)})
-    sums = rows.groupBy(*key, "_span").agg(F.max("_g").alias("_end"), (F.sum(up(at)) * up(-(F.max("_g") - F.col("_span") * span))).alias("_sum"))
-    carried = sums.repartition(*key).sortWithinPartitions(*key, "_span").mapInArrow(_carried(key, half_life), _carry_schema(sums, key))
-    out = rows.join(carried, [*key, "_span"], "left")
-    carry = F.coalesce(F.col("_carry") * up(F.col("_prev") - F.coalesce("_last", "_prev")), F.lit(0.0))
-    inside = F.coalesce(F.col("_in") * up(-(F.col("_last") - F.col("_span") * span)), F.lit(0.0))
-    return out.withColumns({f"{name}_s": carry + inside, f"{name}_g": F.coalesce("_last", "_prev")}).drop("_span", "_in", "_last", "_carry", "_prev")
+
+def _codes(table: pa.Table, name: str) -> np.ndarray:
+    """Equal values' numbers from 1, 0 for null."""
+    return table.column(name).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def decayed_edge(rows: DataFrame, stream: list[str], order: list[str], parent: str, child: str, half_life: float, alpha: float = 2.0, base_alpha: float = 1.0, vocabulary: int = 2000, most_rows: int = 1 << 16) -> DataFrame:
@@ -408,17 +413,58 @@ def decayed_edge(rows: DataFrame, stream: list[str], order: list[str], parent: s
     is updated.  Rows without a parent or a child don't count.
 
     A decayed count is a sum of powers, so counts of children, of parents, of pairs and of all are running sums over
-    stretches of a stream (64 half-lives, most_rows at most) with what the stretches before hand on."""
-    flat = rows.filter(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(*[F.col(c) for c in dict.fromkeys([*stream, *order, parent, child])])
-    flat = flat.withColumns({"_a": F.col(parent), "_b": F.col(child)})
-    placed = materialised(numbered(flat, stream, order).select(*[c for c in dict.fromkeys(stream)], "_k", "_g", "_a", "_b"), "numbered")
+    stretches of a stream (64 half-lives, most_rows at most) with what the stretches before hand on.  Rows are numbered,
+    summed up by stretch and pair, and gone through once for all four."""
     span = max(1, min(most_rows, int(64 * half_life)))
-    out = _decayed(placed, ["_k"], half_life, span, "t")
-    for key, name in ((["_k", "_b"], "m"), (["_k", "_a"], "n"), (["_k", "_a", "_b"], "c")):
-        out = _decayed(out, key, half_life, span, name)
-    down = lambda g, last: F.pow(F.lit(2.0), -(g - last) / half_life)
-    m = F.coalesce(F.col("m_s") * down(F.col("t_g"), F.col("m_g")), F.lit(0.0))
-    base = (m + base_alpha / vocabulary) / (F.col("t_s") + base_alpha)
-    c = F.coalesce(F.col("c_s") * down(F.col("n_g"), F.col("c_g")), F.lit(0.0))
-    out = out.withColumn("_base", base).withColumn("_p", (c + alpha * F.col("_base")) / (F.col("n_s") + alpha))
-    return out.groupBy("_k", *stream).agg(F.count("*").alias("n"), F.sum(F.log10(F.col("_p") / F.col("_base"))).alias("log10_bf")).drop("_k")
+    types = dict(rows.dtypes)
+    same = lambda c: F.col(c) + F.lit(0.0) if types[c] in ("float", "double") else F.col(c) if types[c] in _PLAIN | {"string", "boolean"} else key_text([c])  # noqa: E731  -0 is 0
+    flat = rows.filter(F.col(parent).isNotNull() & F.col(child).isNotNull()).withColumns({"_a": same(parent), "_b": same(child)})
+    flat = flat.select(*[F.col(c) for c in dict.fromkeys([*stream, *order, "_a", "_b"])])
+    streams = list(dict.fromkeys(stream))
+    placed = materialised(numbered(flat, stream, order).select(*streams, "_k", "_g", "_a", "_b"), "numbered").withColumn("_block", F.expr(f"_g div {span}"))
+    up = lambda g: F.pow(F.lit(2.0), g / half_life)
+    start = F.col("_block") * span
+    pairs = placed.groupBy("_k", "_block", "_a", "_b").agg(F.max("_g").alias("_end"), F.sum(up(F.col("_g") - start)).alias("_sum"))
+    by = ["_k", "_block", "_a", "_b"]  # a null: of whatever parent, or child
+    sums = pairs.groupingSets([by[:2], by[:3], ["_k", "_block", "_b"], by], *by).agg(F.max("_end").alias("_end"), F.sum("_sum").alias("_sum"))
+    sums = sums.select(*by, "_end", (F.col("_sum") * up(start - F.col("_end"))).alias("_sum"))
+    kinds = dict(placed.dtypes)
+    carried = sums.repartition("_k", "_a", "_b").sortWithinPartitions("_k", "_a", "_b", "_block").mapInArrow(_carried(half_life), f"_k string, _block long, _a {kinds['_a']}, _b {kinds['_b']}, _carry double, _prev long")
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def out() -> pa.RecordBatch:
+            t, sizes = pa.concat_tables(held).combine_chunks(), np.array([len(x) for x in held])
+            own, block = t.column("_what").to_numpy() == 1, np.repeat(np.arange(len(held)), sizes)
+            a, b = _codes(t, "_a"), _codes(t, "_b")
+            code = lambda x, y: (block * (a.max() + 1) + x) * (b.max() + 1) + y
+            entered = np.flatnonzero(~own)
+            keys = code(a, b)[entered]
+            entered, keys = entered[np.argsort(keys)], np.sort(keys)
+            carry, prev = (t.column(c).take(pa.array(entered)).to_numpy() for c in ("_carry", "_prev"))
+            g = t.column("_g").filter(pa.array(own)).to_numpy()
+            none = np.zeros_like(a)
+            of = lambda x, y: _before(code(x, y)[own], g, g % span, half_life, keys, carry, prev)
+            (t_s, t_g), (m_s, m_g), (n_s, n_g), (c_s, c_g) = of(none, none), of(none, b), of(a, none), of(a, b)
+            m = m_s * np.exp2(-(t_g - m_g) / half_life * (m_g >= 0))
+            base = (m + base_alpha / vocabulary) / (t_s + base_alpha)
+            c = c_s * np.exp2(-(n_g - c_g) / half_life * (c_g >= 0))
+            gain = np.log10((c + alpha * base) / (n_s + alpha) / base)
+            last = np.cumsum(sizes) - 1  # rows come after what is handed on
+            some = t.select(["_k", *streams]).take(pa.array(last)).combine_chunks().to_batches()[0]
+            n, bf = np.bincount(block[own], minlength=len(held)), np.bincount(block[own], gain, len(held))
+            return pa.RecordBatch.from_arrays([*some.columns, pa.array(n, pa.int64()), pa.array(bf, pa.float64())], ["_k", *streams, "n", "log10_bf"])
+
+        for t in blocks(batches):
+            held.append(t)
+            if sum(map(len, held)) >= 1 << 16:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    both = placed.withColumn("_what", F.lit(1)).unionByName(carried.filter("_prev is not null").withColumn("_what", F.lit(0)), allowMissingColumns=True)
+    schema = ", ".join(["_k string", *(f"`{c}` {types[c]}" for c in streams), "n long, log10_bf double"])
+    parts = _by_block(both, "_what", "_g").mapInArrow(weighed, schema)
+    return parts.groupBy("_k", *streams).agg(F.sum("n").alias("n"), F.sum("log10_bf").alias("log10_bf")).drop("_k")

@@ -124,6 +124,19 @@ def test_decayed_edge(spark, half_life, most_rows):
     assert all(got[s][0] == n and math.isclose(got[s][1], bf, rel_tol=1e-9) for s, (n, bf) in want.items())
 
 
+def test_decayed_edge_reads_rows_twice(spark):
+    """Once to sum up, once to weigh, whatever the number of counts; a parent called None is no null, a NaN is itself, -0 is 0."""
+    rng, rows = streams(7, 400)
+    rows = [(s, i, rng.choice(["None", "null", "q", None]), rng.choice([float("nan"), 0.0, -0.0, 1.5, None])) for s, i in rows]
+    out = scans.decayed_edge(spark.createDataFrame(rows, "s string, i long, p string, c double"), ["s"], ["i"], "p", "c", 40, most_rows=30)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("Scan parquet") == 2
+    want = slow_edge([(s, i, p, c if c is None else str(c + 0.0)) for s, i, p, c in rows], 40)
+    got = {r.s: (r.n, r.log10_bf) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[s][0] == n and math.isclose(got[s][1], bf, rel_tol=1e-9) for s, (n, bf) in want.items())
+
+
 def test_one_hot_stream_is_many_tasks(spark):
     """The rows of one stream go through as many tasks as there are partitions, in each of the steps over rows."""
     df = spark.range(1 << 12).select(F.lit("hot").alias("s"), F.col("id").alias("i"), F.lit(10).alias("size"))
