@@ -77,27 +77,35 @@ class Mixer:
         w1 = (np.array(FIRST1, np.int64)[state & 3] * (self.free[:, None] - w2) >> 16) * (state >= 16)  # below 16 both predict the same
         self.weights = (w2 << 32 | w1).ravel()  # order 2's and order 1's
         self.kind = np.int32 if self.bits.max() < 15 else np.int64  # that holds a first slot << 16 | slots
-        self.counts = np.zeros((lanes, self.most + 1), np.int64)
+        self.counts = np.zeros((lanes, self.most + 1))  # whole numbers, as doubles
+        self.slots = np.zeros(self.counts.shape, np.int64)
+        self.span = np.zeros(self.counts.size, self.kind)
 
     def refresh(self, columns: np.ndarray) -> np.ndarray:
         """Adds ids (steps x blocks) to the counts and sets order 0 by them: the first slot << 16 | slots of each id."""
-        if len(columns):
-            self.counts += np.bincount((columns + self.base).ravel(), minlength=self.counts.size).reshape(self.counts.shape)
-        n, all_, place = self.distinct[:, None], (1 << self.bits)[:, None], np.minimum(np.arange(self.most + 1), self.distinct[:, None])
-        before = np.cumsum(self.counts, axis=1)
-        seen = before[:, -1:].copy()
-        before -= self.counts
-        if seen[0, 0]:
-            # one slot each, the others by counts: products of doubles, rounded alike everywhere, and exact at the end
-            start = (before * ((all_ - n) / seen) + 2**-10).astype(np.int64)
-            start += place
-        else:
-            start = place * all_ // n
-        self.slots = np.zeros_like(start)
-        np.subtract(start[:, 1:], start[:, :-1], out=self.slots[:, :-1])
-        start <<= 16
-        start |= self.slots
-        self.span = start.ravel().astype(self.kind)
+        span, width = self.span.reshape(self.counts.shape), self.most + 1
+        for at in range(0, len(span), 32):  # some blocks at a time stay in the cache
+            rows = slice(at, at + 32)
+            counts, n, all_ = self.counts[rows], self.distinct[rows, None], (1 << self.bits[rows])[:, None]
+            if len(columns):
+                counts += np.bincount((columns[:, rows] + self.base[: len(n)]).ravel(), minlength=counts.size).reshape(counts.shape)
+            place = np.minimum(np.arange(width), n)
+            before = np.cumsum(counts, axis=1)
+            seen = before[:, -1:].copy()
+            before -= counts
+            if seen[0, 0]:
+                # one slot each, the others by counts: products of doubles, rounded alike everywhere, and exact at the end
+                before *= (all_ - n) / seen
+                before += 2**-10
+                start = before.astype(self.kind)
+                start += place.astype(self.kind)
+            else:
+                start = (place * all_ // n).astype(self.kind)
+            slots = self.slots[rows]
+            np.subtract(start[:, 1:], start[:, :-1], out=slots[:, :-1])
+            start <<= 16
+            start |= slots
+            span[rows] = start
         return self.span
 
 
@@ -139,10 +147,10 @@ def _followers(x: np.ndarray, ctx: np.ndarray, kind: type) -> np.ndarray:
     known[::n] = False
     hit = known.copy()
     hit[1:] &= x[1:] == x[:-1]
-    k = np.arange(len(x), dtype=np.int32)
-    run = k - np.maximum.accumulate(np.where(hit, 0, k))  # right in a row, up to here
+    sure = hit.astype(np.uint8)
+    sure[1:] += sure[1:] & hit[:-1]
     out = np.zeros(len(x), kind)
-    out[1:] = np.where(known[1:], x[:-1].astype(kind) << 2 | np.minimum(run[:-1] + 1, 3).astype(kind), 0)
+    out[1:] = (x[:-1].astype(kind) << 2 | sure[:-1] + np.uint8(1)) * known[1:]
     back = np.empty_like(out)
     back[order] = out
     return back.reshape(-1, n)
@@ -227,7 +235,7 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
     if not lanes or not steps:
         return np.zeros((lanes, steps), np.uint32)
     lists, starts = zip(*map(unpack_sorted, codes))
-    words = np.zeros((lanes, max(len(c) - e for c, e in zip(codes, starts)) // 2 + 4), np.int64)
+    words = np.zeros((lanes, max(len(c) - e for c, e in zip(codes, starts)) // 2 + 4), np.uint16)
     for k, (c, e) in enumerate(zip(codes, starts)):
         words[k, : (len(c) - e) // 2] = np.frombuffer(c, "<u2", (len(c) - e) // 2, e)
     flat = np.ascontiguousarray(words.T).reshape(-1)
@@ -235,25 +243,32 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
     base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits.astype(np.int32), (1 << m.bits) - 1
     base_s, free, slots = np.cumsum(top + 1) - top - 1, m.free.astype(np.int32), (top + 1).astype(np.int32)
     gain2, gain1 = m.gain << 32, m.gain
-    t2, t1 = np.zeros(lanes << CONTEXTS, np.int32), np.zeros(lanes * (m.most + 1), np.int32)  # id << 4 | sureness, order 2's << 2
+    kind = np.uint16 if m.most < 1 << 12 else np.int32  # small tables miss the cache less often
+    seen = np.zeros((lanes << CONTEXTS) + lanes * (m.most + 1), kind)  # orders 2 and 1, by context: id << 4 | sureness, order 2's << 2
+    base1, where, new = base + (lanes << CONTEXTS), np.empty((2, lanes), np.int64), np.empty((2, lanes), kind)
+    new2, new1 = new
+    places = np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    code = (flat[lane] << 32) | (flat[lane + lanes] << 16) | flat[lane + 2 * lanes]
-    rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), np.int32), len(flat) - 1
+    first3 = flat[: 3 * lanes].astype(np.int64).reshape(3, lanes)
+    code = first3[0] << 32 | first3[1] << 16 | first3[2]
+    rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), places.dtype), len(flat) - 1
     ends, done, whole, sixteen = refreshed(steps), 0, np.int32(1 << TOTAL), np.int32(16)
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(out[done:first]), first
-        slot = np.repeat(np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes), m.slots.ravel())
+        slot = np.repeat(places, m.slots.ravel())
         for t in range(first, last):
-            i2, i1 = base2 + context(a, b), base + a
-            c2, c1 = t2.take(i2), t1.take(i1)
-            g2, g1 = c2 >> 4, c1 >> 4
+            np.add(base2, context(a, b), out=where[0])
+            np.add(base1, a, out=where[1])
+            c2, c1 = c = seen.take(where)
+            g2, g1 = g = c >> 4
             differ = g2 != g1
             state = base_w + ((c2 & 12 | c1 & 3) + differ * sixteen)
             weight = m.weights.take(state)
             q1 = weight.astype(np.int32)  # the lower half
             unit = (free - (weight >> 32).astype(np.int32) - q1 >> bits) + 1
-            e2, e1 = span.take(base + g2), span.take(base + g1)
-            n2, n1, s2, s1 = e2 & 0xFFFF, (e1 & 0xFFFF) * differ, e2 >> 16, e1 >> 16
+            e = span.take(g + base)
+            (n2, n1), (s2, s1) = e & 0xFFFF, e >> 16
+            n1 *= differ
             end2 = whole - q1 - unit * (slots - n2)
             end1 = end2 + q1 + unit * n1
             r = rng >> TOTAL
@@ -283,16 +298,23 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
                 code[short] = code[short] << 16 | flat[np.minimum(place, end)]
                 at[short] = place + lanes
                 rng[short] = x_rng = rng[short] << 16
+                if x_rng.min() >= SMALL:
+                    break
                 short = short[(x_rng < SMALL) & (x_rng > 0)]
             out[t] = x
             m.weights[state] = weight
-            new2 = (x << 4) + 4
-            new1 = new2 - 3
+            new2[:] = x4 = x << 4
+            new2 += 4
+            new1[:] = x4
+            new1 += 1
             k = c2[as2]
             new2[as2] = np.minimum(k + 4, k | 12)
             as1 = np.flatnonzero(g1 == x)
             k = c1[as1]
             new1[as1] = np.minimum(k + 1, k | 3)
-            t2[i2], t1[i1] = new2, new1
+            seen[where] = new
             b, a = a, x.astype(np.int64)
-    return np.stack([u[out[:, k]] for k, u in enumerate(lists)]).astype(np.uint32)
+    ids = np.empty((lanes, steps), np.uint32)
+    for u, places, row in zip(lists, np.ascontiguousarray(out.T), ids):
+        u.astype(np.uint32).take(places, out=row, mode="clip")
+    return ids

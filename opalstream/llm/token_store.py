@@ -96,7 +96,7 @@ class Writer:
 
 def _decoded(codes: list[bytes], length: int, uri: str) -> np.ndarray:
     try:
-        return decode(codes, length).astype("<u4")
+        return decode(codes, length).astype("<u4", copy=False)
     except (ValueError, IndexError, struct.error) as e:
         raise Damaged(f"a block's list of ids in {uri} is damaged") from e
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from codecs import charmap_decode
 from collections.abc import Sequence
 from itertools import chain
 
@@ -59,7 +60,7 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return kind, cuts.ravel()
 
 
-_KIND, _CUTS = _kinds()
+_KIND, _CUTS = (x.astype(np.uint8).tobytes().ljust(256, b"\0") for x in _kinds())  # as tables for bytes.translate
 _BYTES = np.random.default_rng(77).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -98,7 +99,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.model, self.letters = self.tokenizer.model, "".join(c for _, c in sorted(byte_letters().items()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.powers = Powers()
         self._forget()
@@ -146,22 +147,23 @@ class Encoder:
 
     def _of_chunks(self, chunks: list[bytes]) -> list[list[int]]:
         out, tokenize, letters, space = [], self.model.tokenize, self.letters, self.letters[32]
+        spelled = lambda b: charmap_decode(b, "strict", letters)[0]
         for chunk in chunks:
             word = chunk[1:] if chunk[0] == 32 else chunk
             if word.isalpha() or word.isdigit():  # ASCII, one pre-token; its bytes are their own letters
                 out.append([t.id for t in tokenize(space + word.decode() if word is not chunk else word.decode())])
             elif word.decode().isalpha():
-                out.append([t.id for t in tokenize(chunk.decode("latin-1").translate(letters))])
+                out.append([t.id for t in tokenize(spelled(chunk))])
             else:
                 pieces = PRETOKEN.findall(chunk.decode())
-                out.append([t.id for p in pieces for t in tokenize(p.encode().decode("latin-1").translate(letters))])
+                out.append([t.id for p in pieces for t in tokenize(spelled(p.encode()))])
         return out
 
     def _portion(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
         """The ids of texts of known letters, none empty, laid end to end."""
         a, firsts = np.frombuffer(raw, np.uint8), np.concatenate([[0], ends[:-1]])
-        kind = _KIND[a]
-        new = _CUTS[kind[:-1] * np.uint8(8) + kind[1:]]
+        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+        new = np.frombuffer((kind[:-1] * np.uint8(8) + kind[1:]).tobytes().translate(_CUTS), bool).copy()
         wide = np.flatnonzero(new & (a[:-1] == 0xA0))  # the last byte of a no-break space, or of a letter
         new[wide] = a[np.maximum(wide - 1, 0)] != 0xC2
         new = np.concatenate([[True], new])

@@ -272,6 +272,20 @@ def test_range_coder_round_trip():
             assert (range_coder.decode(range_coder.encode(x), shape[1]) == x).all()
 
 
+def test_decoder_memory():
+    """Tables, words and ids are as narrow as a group's ids allow: an id takes 20 bytes in all at most (31 with wide ones)."""
+    import tracemalloc
+
+    ids = np.random.default_rng(4).integers(0, 50, (200, 2048)).astype(np.uint32) ** 2
+    codes = range_coder.encode(ids)
+    tracemalloc.start()
+    try:
+        assert (range_coder.decode(codes, 2048) == ids).all()
+        assert tracemalloc.get_traced_memory()[1] < 20 * ids.size
+    finally:
+        tracemalloc.stop()
+
+
 def test_range_coder_against_order_0_alone():
     rng = np.random.default_rng(1)
     zipf = np.minimum(rng.zipf(1.5, (32, 2000)), 65535) * 30_011  # beyond 16 bits
