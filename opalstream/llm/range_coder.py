@@ -199,22 +199,21 @@ def encode(ids: np.ndarray) -> list[bytes]:
             lo, width = np.where(hit2, 0, lo), np.where(hit2, end2, width)
             for i in range(len(y)):
                 r = rng >> TOTAL
-                low += r * lo[i]
-                if low.max() > LOW_MASK:
-                    carry = low > LOW_MASK
-                    flat[at[carry] - lanes] += 1
-                    low &= LOW_MASK
+                low += r * lo[i]  # below 2^49: a carry goes out with the next word
                 rng = r * width[i]
                 short = np.flatnonzero(rng < SMALL)
                 while len(short):
-                    x_low, place = low[short], at[short]
+                    x_low, place, x_rng = low.take(short), at.take(short), rng.take(short)
                     flat[place] = x_low >> 32
-                    at[short] = place + lanes
-                    low[short] = (x_low & SMALL - 1) << 16
-                    rng[short] = x_rng = rng[short] << 16
+                    place += lanes
+                    x_low &= SMALL - 1
+                    x_low <<= 16
+                    x_rng <<= 16
+                    at[short], low[short], rng[short] = place, x_low, x_rng
                     short = short[x_rng < SMALL]
     for shift in (32, 16, 0):  # the whole of low
-        flat[at] = (low >> shift) & 0xFFFF
+        flat[at] = low >> shift
+        low &= (1 << shift) - 1
         at = at + lanes
     ends = (at - lane) // lanes
     out, carry = out[: ends.max()], np.zeros(lanes, np.int32)
@@ -242,78 +241,77 @@ def decode(codes: list[bytes], steps: int) -> np.ndarray:
     m, lane = Mixer(np.array([len(u) for u in lists])), np.arange(lanes)
     base, base_w, base2, bits, top = m.base, m.base_w, lane << CONTEXTS, m.bits.astype(np.int32), (1 << m.bits) - 1
     base_s, free, slots = np.cumsum(top + 1) - top - 1, m.free.astype(np.int32), (top + 1).astype(np.int32)
-    gain2, gain1 = m.gain << 32, m.gain
+    gains = np.concatenate([m.gain << 32, m.gain])
     kind = np.uint16 if m.most < 1 << 12 else np.int32  # small tables miss the cache less often
     seen = np.zeros((lanes << CONTEXTS) + lanes * (m.most + 1), kind)  # orders 2 and 1, by context: id << 4 | sureness, order 2's << 2
-    base1, where, new = base + (lanes << CONTEXTS), np.empty((2, lanes), np.int64), np.empty((2, lanes), kind)
-    new2, new1 = new
+    base1, where = base + (lanes << CONTEXTS), np.empty((2, lanes), np.int64)
+    where2, where1 = where
+    new = np.empty((2, lanes), kind)
+    new_flat, seen_once, surer = new.reshape(-1), np.array([[4], [1]], kind), np.repeat(np.array([4, 1], kind), lanes)
     places = np.tile(np.arange(m.most + 1, dtype=np.uint16 if m.most < 1 << 16 else np.int32), lanes)
     a, b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     first3 = flat[: 3 * lanes].astype(np.int64).reshape(3, lanes)
     code = first3[0] << 32 | first3[1] << 16 | first3[2]
-    rng, at, out, end = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), places.dtype), len(flat) - 1
-    ends, done, whole, sixteen = refreshed(steps), 0, np.int32(1 << TOTAL), np.int32(16)
+    rng, at, out = np.full(lanes, LOW_MASK, np.int64), lane + 3 * lanes, np.empty((steps, lanes), places.dtype)
+    ends, done, whole = refreshed(steps), 0, np.int32(1 << TOTAL)
     for first, last in zip(ends, ends[1:]):
         span, done = m.refresh(out[done:first]), first
         slot = np.repeat(places, m.slots.ravel())
         for t in range(first, last):
-            np.add(base2, context(a, b), out=where[0])
-            np.add(base1, a, out=where[1])
+            np.add(context(a, b), base2, out=where2)
+            np.add(a, base1, out=where1)
             c2, c1 = c = seen.take(where)
             g2, g1 = g = c >> 4
             differ = g2 != g1
-            state = base_w + ((c2 & 12 | c1 & 3) + differ * sixteen)
+            state = c2 ^ c1  # both sure bits, and more where the ids differ
+            state = np.minimum(state, state & 15 | 16) + base_w
             weight = m.weights.take(state)
-            q1 = weight.astype(np.int32)  # the lower half
-            unit = (free - (weight >> 32).astype(np.int32) - q1 >> bits) + 1
+            q2, q1 = (weight >> 32).astype(np.int32), weight.astype(np.int32)
+            unit = (free - q2 - q1 >> bits) + 1
             e = span.take(g + base)
             (n2, n1), (s2, s1) = e & 0xFFFF, e >> 16
             n1 *= differ
             end2 = whole - q1 - unit * (slots - n2)
             end1 = end2 + q1 + unit * n1
             r = rng >> TOTAL
-            top1 = r * end1
-            in1 = code < top1
+            rest = code - r * end1
             # the place among the slots without the two predicted ids', then among all; what hits give here is put right below
-            q = ((code - top1) / (r * unit)).astype(m.kind)  # below 2^48: the quotient's floor is exact
+            q = (rest / (r * unit)).astype(m.kind)  # below 2^48: the quotient's floor is exact
             w = q + n1 * (q >= s1 - n2 * (s2 < s1))
             w += n2 * (w >= s2)
-            x = slot.take(base_s + w, mode="clip").astype(np.int32)
-            e = span.take(base + x)
+            x = slot.take(base_s + w, mode="clip")
+            hit = np.flatnonzero(rest < 0)  # as order 2 or as order 1 says
+            h2, h1 = end2.take(hit), end1.take(hit)
+            one = code.take(hit) >= r.take(hit) * h2
+            pick = one * lanes + hit
+            x[hit] = g.take(pick)
+            b, a = a, x.astype(np.int64)
+            e = span.take(a + base)
             lo, width = end1 + unit * (q + (e >> 16) - w), unit * (e & 0xFFFF)
+            lo[hit], width[hit] = h2 * one, np.where(one, h1 - h2, h2)
             weight -= weight >> RATE & BOTH
-            hit = np.flatnonzero(in1)  # as order 2 or as order 1 says
-            h2 = end2[hit]
-            two = code[hit] < r[hit] * h2
-            as2, as1 = hit[two], hit[~two]
-            x[as2], lo[as2], width[as2] = g2[as2], 0, h2[two]
-            x[as1], lo[as1], width[as1] = g1[as1], end2[as1], end1[as1] - end2[as1]
-            weight[as2] += gain2[as2]
-            weight[as1] += gain1[as1]
+            weight[hit] += gains.take(pick)
+            m.weights[state] = weight
             code -= r * lo
             rng = r * width
             short = np.flatnonzero(rng < SMALL)
             while len(short):
-                place = at[short]
-                code[short] = code[short] << 16 | flat[np.minimum(place, end)]
-                at[short] = place + lanes
-                rng[short] = x_rng = rng[short] << 16
+                place, x_code, x_rng = at.take(short), code.take(short), rng.take(short)
+                x_code <<= 16
+                x_code |= flat.take(place, mode="clip")
+                place += lanes
+                x_rng <<= 16
+                at[short], code[short], rng[short] = place, x_code, x_rng
                 if x_rng.min() >= SMALL:
                     break
                 short = short[(x_rng < SMALL) & (x_rng > 0)]
             out[t] = x
-            m.weights[state] = weight
-            new2[:] = x4 = x << 4
-            new2 += 4
-            new1[:] = x4
-            new1 += 1
-            k = c2[as2]
-            new2[as2] = np.minimum(k + 4, k | 12)
-            as1 = np.flatnonzero(g1 == x)
-            k = c1[as1]
-            new1[as1] = np.minimum(k + 1, k | 3)
+            x = x.astype(kind, copy=False)
+            np.add(x << 4, seen_once, out=new)
+            right = np.flatnonzero(g == x)
+            k, more = c.take(right), surer.take(right)
+            new_flat[right] = np.minimum(k + more, k | more * 3)
             seen[where] = new
-            b, a = a, x.astype(np.int64)
     ids = np.empty((lanes, steps), np.uint32)
     for u, places, row in zip(lists, np.ascontiguousarray(out.T), ids):
         u.astype(np.uint32).take(places, out=row, mode="clip")

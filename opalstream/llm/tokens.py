@@ -5,7 +5,8 @@ follows another character than white space, nor from an ASCII letter, digit or m
 these classes.  So a text is cut there into chunks, each distinct chunk is encoded by the library's model
 once and remembered, and a text's ids are those of its chunks one after the other.  Chunks are found, hashed
 and looked up in NumPy over a batch's bytes, with no object made per word; two chunks of equal 64-bit hash
-are taken for the same (among LIMIT remembered chunks: a chance of 1e-8).  The pattern that cuts a chunk into pre-tokens is the vocabulary's own for texts of known letters;
+are taken for the same (among LIMIT remembered chunks: a chance of 4e-8).  A full memo keeps those that
+were met again.  The pattern that cuts a chunk into pre-tokens is the vocabulary's own for texts of known letters;
 any text that holds a character outside that range, or an added token's string, is encoded whole by the
 library.
 """
@@ -18,6 +19,7 @@ import re
 from codecs import charmap_decode
 from collections.abc import Sequence
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -66,6 +68,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 3)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_ID = attrgetter("id")
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... of each run, end to end."""
+    at = np.repeat(first - (np.cumsum(size, dtype=np.int64) - size), size)
+    at += np.arange(len(at))
+    return at
+
+
 #: A place where a long text may be cut: before a space after a letter.
 _SAFE = re.compile(rb"[A-Za-z.,] ")
 
@@ -92,7 +104,7 @@ class Powers:
 
 
 class Encoder:
-    BITS, LIMIT, MOST_IDS, PORTION = 20, 600_000, 8_000_000, 1 << 20
+    BITS, LIMIT, MOST_IDS, PORTION = 21, 1_200_000, 8_000_000, 1 << 20
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -107,19 +119,29 @@ class Encoder:
     def _forget(self) -> None:
         """The memo: an open hash table of chunks' hashes and entries; an entry is a run of `ids`."""
         self.keys, self.entry = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
-        self.first, self.size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.first, self.size, self.again = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, bool)
         self.ids, self.used, self.kept = np.zeros(4096, np.uint32), 0, 0
 
-    def _keep(self, h: np.ndarray, runs: list[list[int]]) -> np.ndarray:
-        """Entries of new, distinct hashes."""
-        size = np.fromiter(map(len, runs), np.int32, len(runs))
-        k, n, used = self.kept, len(h), self.used + int(size.sum())
+    def _forget_rare(self) -> None:
+        """Keeps the chunks that a later portion than their first had, too, if that makes room enough."""
+        slots = np.flatnonzero(self.entry >= 0)
+        slots = slots[self.again[self.entry[slots]]]
+        h, old = self.keys[slots], self.entry[slots]
+        size = self.size[old]
+        ids = self.ids[_runs(self.first[old], size)]
+        self._forget()
+        if len(h) <= self.LIMIT // 2 and len(ids) <= self.MOST_IDS // 2:
+            self._keep(h, size, ids)
+
+    def _keep(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Entries of new, distinct hashes, by their runs' sizes and the runs end to end."""
+        k, n, used = self.kept, len(h), self.used + len(ids)
         if k + n > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * (k + n)), np.resize(self.size, 2 * (k + n))
+            self.first, self.size, self.again = (np.resize(x, 2 * (k + n)) for x in (self.first, self.size, self.again))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * used)
-        self.ids[self.used : used] = np.fromiter(chain.from_iterable(runs), np.uint32, used - self.used)
-        self.size[k : k + n], self.first[k : k + n] = size, self.used + np.cumsum(size) - size
+        self.ids[self.used : used] = ids
+        self.size[k : k + n], self.first[k : k + n], self.again[k : k + n] = size, self.used + np.cumsum(size) - size, False
         entries, at, open_ = np.arange(k, k + n, dtype=np.int32), self._slot(h), np.arange(n)
         while len(open_):
             free = open_[self.entry[at[open_]] < 0]
@@ -145,19 +167,21 @@ class Encoder:
             other = other[(self.keys[at[other]] != h[other]) & (out[other] >= 0)]
         return out
 
-    def _of_chunks(self, chunks: list[bytes]) -> list[list[int]]:
+    def _of_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each has, and all ids end to end."""
         out, tokenize, letters, space = [], self.model.tokenize, self.letters, self.letters[32]
         spelled = lambda b: charmap_decode(b, "strict", letters)[0]
         for chunk in chunks:
             word = chunk[1:] if chunk[0] == 32 else chunk
             if word.isalpha() or word.isdigit():  # ASCII, one pre-token; its bytes are their own letters
-                out.append([t.id for t in tokenize(space + word.decode() if word is not chunk else word.decode())])
+                out.append(list(map(_ID, tokenize(space + word.decode() if word is not chunk else word.decode()))))
             elif word.decode().isalpha():
-                out.append([t.id for t in tokenize(spelled(chunk))])
+                out.append(list(map(_ID, tokenize(spelled(chunk)))))
             else:
                 pieces = PRETOKEN.findall(chunk.decode())
                 out.append([t.id for p in pieces for t in tokenize(spelled(p.encode()))])
-        return out
+        size = np.fromiter(map(len, out), np.int32, len(out))
+        return size, np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum()))
 
     def _portion(self, raw: bytes, ends: np.ndarray) -> list[np.ndarray]:
         """The ids of texts of known letters, none empty, laid end to end."""
@@ -173,9 +197,10 @@ class Encoder:
         up, down = self.powers.of(len(a))
         h = (np.add.reduceat(_BYTES[a] * up[: len(a)], start) * down[start] ^ width.astype(np.uint64)) * _BASE
         if self.kept > self.LIMIT or self.used > self.MOST_IDS:
-            self._forget()
+            self._forget_rare()
         entry = self._look_up(h)
         missing = np.flatnonzero(entry < 0)
+        self.again[entry] = True  # -1 marks the last place, which costs nothing but room
         if len(missing):
             codes, u = pd.factorize(h[missing])
             some = np.empty(len(u), np.int64)
@@ -185,12 +210,10 @@ class Encoder:
                 self._forget()
                 return self._portion(raw, ends)
             runs = self._of_chunks([raw[i:j] for i, j in zip(start[some].tolist(), (start[some] + width[some]).tolist())])
-            entry[missing] = self._keep(u, runs)[codes]
+            entry[missing] = self._keep(u, *runs)[codes]
         size = self.size[entry]
         total = np.cumsum(size, dtype=np.int64)
-        at = np.repeat(self.first[entry].astype(np.int64) - (total - size), size)
-        at += np.arange(len(at))
-        return np.split(self.ids[at], total[np.searchsorted(start, ends[:-1]) - 1])
+        return np.split(self.ids[_runs(self.first[entry], size)], total[np.searchsorted(start, ends[:-1]) - 1])
 
     def batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Each text's ids (uint32); null is as empty."""

@@ -101,6 +101,23 @@ def test_encoder_in_batches(tokenizer):
                 assert ids.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_a_full_memo_keeps_what_comes_again(tokenizer):
+    def words(n, seed):
+        rng = random.Random(seed)
+        return ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+
+    encoder, common, asked = Encoder(vocabulary_path()), words(300, 0), Counter()
+    encoder.BITS, encoder.LIMIT = 14, 1000
+    encoder._forget()
+    of_chunks = encoder._of_chunks
+    encoder._of_chunks = lambda chunks: (asked.update(chunks), of_chunks(chunks))[1]
+    for k in range(1, 13):  # 200 new words in each portion: a memo that is full after a few
+        text = " " + " ".join(common + words(200, k))
+        assert encoder.batch([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.kept <= encoder.LIMIT + 200
+    assert {asked[b" " + w.encode()] for w in common} == {1} and asked.total() <= 300 + 12 * 200
+
+
 def test_best_fill_is_exhaustive():
     rng = random.Random(1)
     for _ in range(60):
@@ -272,6 +289,16 @@ def test_range_coder_round_trip():
             assert (range_coder.decode(range_coder.encode(x), shape[1]) == x).all()
 
 
+def test_range_coder_carries():
+    """Long runs of the last id keep low just below its end, so carries run back through many words."""
+    rng = np.random.default_rng(5)
+    ids = np.where(rng.random((64, 3000)) < 0.995, 9, rng.integers(0, 10, (64, 3000))).astype(np.uint32)
+    ids[:, :40] = np.arange(40) % 10
+    codes = range_coder.encode(ids)
+    assert (range_coder.decode(codes, 3000) == ids).all()
+    assert zlib.crc32(b"".join(codes)) == 2995920057  # as before carries were left to the end
+
+
 def test_decoder_memory():
     """Tables, words and ids are as narrow as a group's ids allow: an id takes 20 bytes in all at most (31 with wide ones)."""
     import tracemalloc
