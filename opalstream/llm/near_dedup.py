@@ -21,12 +21,18 @@ How it is found.  Equal sets form a class; only a class's smallest doc_id goes o
    member's set is compared with the centre's in full.  Members linked to it are connected.  A pair with at
    least one other member is linked only if the members' differences from the centre share tokens: for
    |Du| + |Dy| - 2|Du & Dy| is their distance.  So the node branches on by the tokens of each difference's
-   prefix, those that aren't in the centre first; by the prefix filter's argument no linked pair is lost.
-   Children are nodes in their turn, without the centre, until all are leaves.
+   prefix, those that aren't in the centre first, of them those that few sets hold; by the prefix filter's argument
+   no linked pair is lost in any order that is the same for all of a node's members.  Frequent tokens, of lines that
+   many texts hold, would lead the same texts through level upon level of large nodes.  A set's frequent tokens come
+   last, as counts of the tokens of large nodes' members say, in a table of fixed size; two tokens that share a counter
+   cost work only.  Children are nodes in their turn, without the centre.  As each level takes no more than the
+   centre from texts that are all a little alike, those of up to 8 leaves' members are compared exhaustively
+   like leaves, and what is larger after `levels` levels is, too, block by block: each two blocks of its members
+   make a node.
 
 Tables in between are small rows: ids, 128-byte signatures, and full sets only of members of nodes
 (found in the second pass over the texts by a bit table of fixed size; false hits cost nothing but
-work).  No list of pairs of a large group is made, and nothing but that bit table is broadcast.
+work).  No list of pairs of a large group is made, and nothing but that bit table and that of counts is broadcast.
 
 Null texts are as empty ones.  Rows that repeat a doc_id are one document's: whatever one of them is
 linked with, all are.  A null doc_id never names a component; ids are below 2^62.  An empty table gives an empty one.
@@ -58,9 +64,11 @@ class Near:
     trees: int = 12
     depth: int = 3
     leaf: int = 128
+    levels: int = 3  # of children of large nodes
     deviations: float = 5
     once: bool = False  # emit a pair only in the first small tree node that its members share; more to ship, fewer pairs
     bits: int = 23  # log2 of the bit table's bits: 1 MB
+    counters: int = 20  # log2 of the counts of tokens, a byte each: 1 MB
 
     @property
     def likely(self) -> float:
@@ -262,9 +270,32 @@ def _confirm(cfg: Near):
     return confirm
 
 
-def prefix(x: np.ndarray, hub: np.ndarray, near: bool, cfg: Near) -> np.ndarray:
-    """The tokens of x's difference from hub that a linked pair with a member not near hub must share one of."""
+def counter(hashes: np.ndarray, cfg: Near) -> np.ndarray:
+    return (hashes >> np.uint64(64 - cfg.counters)).astype(np.int64)
+
+
+def _counts(cfg: Near):
+    """Sets to how many of them hold a token of each counter, in parts."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << cfg.counters, np.int64)
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column("set").to_pylist()), np.uint64)
+            total += np.bincount(counter(hashes, cfg), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["counter", "n"])
+
+    return counts
+
+
+def prefix(x: np.ndarray, hub: np.ndarray, near: bool, cfg: Near, counts: np.ndarray | None = None) -> np.ndarray:
+    """The tokens of x's difference from hub that a linked pair with a member not near hub must share one of.
+
+    The order of tokens, by counts, depends on them and hub alone; with any such order no pair is lost."""
     added, removed = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    if counts is not None:  # what few hold, and what of the hub many hold, few differences hold
+        added = added[np.argsort(counts[counter(added, cfg)], kind="stable")]
+        removed = removed[np.argsort(-counts[counter(removed, cfg)].astype(np.int64), kind="stable")]
     d = len(added) + len(removed)
     # distance allowed to any partner, whose set is at most den/num times as large
     s = (cfg.den - cfg.num) * len(x) // cfg.num
@@ -274,14 +305,14 @@ def prefix(x: np.ndarray, hub: np.ndarray, near: bool, cfg: Near) -> np.ndarray:
     return np.concatenate([added, removed])[: max(0, d - least + 1)]
 
 
-def _stars(cfg: Near):
+def _stars(cfg: Near, counts):
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near, tokens = [], []
             for x, h in zip(batch.column("set"), batch.column("hset")):
                 x, h = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)
                 near.append(linked(x, h, cfg))
-                tokens.append(prefix(x, h, near[-1], cfg).view(np.int64))
+                tokens.append(prefix(x, h, near[-1], cfg, counts.value).view(np.int64))
             # a row for the member itself, then one for each token
             each = np.repeat(np.arange(len(near)), [len(t) + 1 for t in tokens])
             own = np.concatenate([[True], each[1:] != each[:-1]]) if len(each) else np.zeros(0, bool)
@@ -306,7 +337,7 @@ class Join:
         return self.t.write(nodes.join(size, "path").select("path", "rep", "size"), name)
 
     def grouped(self, nodes: DataFrame, label: DataFrame | None) -> DataFrame:
-        """Small nodes with their members' labels and signatures; a list has at most cfg.leaf members."""
+        """Small nodes with their members' labels and signatures; a list has at most some 8 * cfg.leaf members."""
         rows = nodes.select("path", "rep").join(self.members, "rep")
         extra = [c for c in self.members.columns if c != "rep"]
         if label is not None:
@@ -352,14 +383,24 @@ class Join:
         scored = rows.join(modes, "path", "left").select("path", "rep", F.when(F.col("mode").isNull(), 0).otherwise(equal("sig", F.coalesce("mode", "sig"))).alias("e"))
         return self.t.write(scored.groupBy("path").agg(F.max(F.struct("e", (-F.col("rep")).alias("r"))).alias("x")).select("path", (-F.col("x.r")).alias("hub")), "hubs")
 
-    def branch(self, nodes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Large nodes to links with their centres and child nodes."""
+    def counts(self, sets: DataFrame):
+        """The binary logarithms of tokens' counts in sets, in eighths, for each counter."""
+        few = self.cfg.leaf // 8
+        parts = sets.select("set").mapInArrow(_counts(self.cfg), "counter int, n long")
+        # what few sets hold needs no order
+        known = parts.groupBy("counter").agg(F.sum("n").alias("n")).filter(F.col("n") > few).select("counter", F.least(F.floor(F.log2("n") * 8), F.lit(255)).cast("short").alias("n")).toPandas()
+        table = np.zeros(1 << self.cfg.counters, np.uint8)
+        table[known["counter"].to_numpy(np.int64)] = known["n"].to_numpy(np.uint8)
+        return self.spark.sparkContext.broadcast(table)
+
+    def branch(self, nodes: DataFrame, sets: DataFrame, counts, level: int) -> tuple[DataFrame, DataFrame]:
+        """Large nodes, of members with these sets, to links with their centres and child nodes."""
         hubs = self.centres(nodes)
         pairs = self.t.write(nodes.join(hubs, "path").filter("rep <> hub").select("hub", "rep").distinct(), f"star-pairs{level}")
-        hub_sets = self.t.write(self.sets.join(pairs.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hset")), f"hub-sets{level}")
+        hub_sets = self.t.write(sets.join(pairs.select(F.col("hub").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hset")), f"hub-sets{level}")
         # members spread evenly: they lie as unevenly in the sets' files as near copies in the documents'
-        rows = pairs.join(self.sets, "rep").repartition("rep").join(hub_sets, "hub").select("hub", "rep", "set", "hset")
-        stars = self.t.write(rows.mapInArrow(_stars(self.cfg), "hub long, rep long, near boolean, token long"), f"stars{level}")
+        rows = pairs.join(sets, "rep").repartition("rep").join(hub_sets, "hub").select("hub", "rep", "set", "hset")
+        stars = self.t.write(rows.mapInArrow(_stars(self.cfg, counts), "hub long, rep long, near boolean, token long"), f"stars{level}")
         self.t.drop(pairs, hub_sets)
         self.t.tidy()
         links = stars.filter("near and token is null").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
@@ -367,6 +408,12 @@ class Join:
         child = stars.filter("token is not null").select(_child_path("hub", "token", F.lit(level)).alias("path"), "rep", (~F.col("near")).alias("u"))
         return links, self.sized(child, f"children{level}")
 
+    def blocks(self, nodes: DataFrame) -> DataFrame:
+        """Large nodes to small ones (path, rep) in which any two of their members meet: one for each two blocks."""
+        few = F.expr(f"cast(ceil(size / {3 * self.cfg.leaf}) as int)")
+        rows = nodes.select("path", "rep", few.alias("n"), F.pmod(F.xxhash64("rep"), few).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        return rows.filter("mine <> other").select(_child_path("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "rep")
+
     def with_homes(self, nodes: DataFrame) -> DataFrame:
         """Members with `home`: the path of their small node in each tree, 0 for none."""
         small = nodes.groupBy("rep").agg(F.collect_list("path").alias("p"))
@@ -409,11 +456,19 @@ class Join:
         t.tidy()
         self.members = self.with_homes(leaves) if cfg.once else self.classes.select("rep", "sig")
         links, large, level = None, last, 0
+        if not large.isEmpty():
+            sets = t.write(self.sets.join(last.select("rep").distinct(), "rep", "left_semi"), "large-sets")
+            t.tidy()
+            counts = self.counts(sets)
         while not large.isEmpty():
-            more, children = self.branch(large, level)
+            more, children = self.branch(large, sets, counts, level)
             links = more if links is None else links.union(more)
-            leaves = leaves.union(children.filter(f"size <= {cfg.leaf}").select("path", "rep"))
-            large, level = children.filter(f"size > {cfg.leaf}"), level + 1
+            leaves = leaves.union(children.filter(f"size <= {8 * cfg.leaf}").select("path", "rep"))
+            large, level = children.filter(f"size > {8 * cfg.leaf}"), level + 1
+            if level == cfg.levels:
+                if not large.isEmpty():
+                    leaves = leaves.union(t.write(self.blocks(large), "blocks"))
+                break
         label = components(links, t) if links is not None else None
         first = self.confirmed(self.grouped(leaves, label).mapInArrow(_candidates(cfg, True), "a long, b long"), "first")
         links = first if links is None else links.union(first)

@@ -239,6 +239,34 @@ def test_recall_near_the_threshold(spark):
     assert len(pairs) > 200 and {i: c for i, (_, c) in want.items()} == got
 
 
+def test_texts_of_shared_lines(spark, monkeypatch):
+    """Texts made of lines that many hold, most of them not near copies, don't go through level upon level of large nodes."""
+    rng, branch, calls = random.Random(23), near_dedup.Join.branch, []
+    lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 12))) for _ in range(14)]
+    rows = [(i, "\n".join(rng.sample(lines, rng.randrange(3, 7)) + [f"own{rng.randrange(400)}"] * (i % 2))) for i in range(400)]
+
+    def counted(self, *args):
+        calls.append(args[-1])
+        assert len(calls) <= 3
+        return branch(self, *args)
+
+    monkeypatch.setattr(near_dedup.Join, "branch", counted)
+    cfg = near_dedup.Near(leaf=3, depth=1)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
+    assert got == want and calls
+
+
+def test_blocks_of_a_large_node(spark):
+    """Any two members of a node meet in one of its small ones."""
+    join = near_dedup.Join(spark.createDataFrame([], "doc_id long, text string"), near_dedup.Near(leaf=3), "text", "doc_id")
+    nodes = defaultdict(set)
+    for r in join.blocks(spark.range(100).selectExpr("7L as path", "id as rep", "100L as size")).collect():
+        nodes[r.path].add(r.rep)
+    assert {(a, b) for m in nodes.values() for a in m for b in m if a < b} == {(a, b) for a in range(100) for b in range(a + 1, 100)}
+    assert max(map(len, nodes.values())) <= 36
+
+
 def test_a_document_without_an_id_is_a_centre(spark):
     """A null id in the midst of many near copies loses nobody's links; nor do columns with names used inside."""
     rng = random.Random(22)
