@@ -239,7 +239,8 @@ def test_recall_near_the_threshold(spark):
     assert len(pairs) > 200 and {i: c for i, (_, c) in want.items()} == got
 
 
-def test_texts_of_shared_lines(spark, monkeypatch):
+@pytest.mark.parametrize("cfg", [near_dedup.Near(leaf=3, depth=1), near_dedup.Near(shingle=5, num=80, trees=16, coordinates=256, once=True, leaf=3, depth=1)])
+def test_texts_of_shared_lines(spark, monkeypatch, cfg):
     """Texts made of lines that many hold, most of them not near copies, don't go through level upon level of large nodes."""
     rng, branch, calls = random.Random(23), near_dedup.Join.branch, []
     lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 12))) for _ in range(14)]
@@ -251,9 +252,8 @@ def test_texts_of_shared_lines(spark, monkeypatch):
         return branch(self, *args)
 
     monkeypatch.setattr(near_dedup.Join, "branch", counted)
-    cfg = near_dedup.Near(leaf=3, depth=1)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()}
-    want = {i: c for i, (_, c) in brute_components(rows, 3, 85, 100).items()}
+    want = {i: c for i, (_, c) in brute_components(rows, cfg.shingle, cfg.num, cfg.den).items()}
     assert got == want and calls
 
 
